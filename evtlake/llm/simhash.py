@@ -30,9 +30,10 @@ from .store import written
 from .textarrays import mix, slices, text_column
 
 SEED, SHINGLE, RADIUS, PARTS = 42, 3, 3, 4
-#: Wide fingerprints of the pipeline: shingles of five words at a similarity of 0.8 differ in about 39 of 256 bits (standard deviation 6).
-WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 256, 5, 0.8, 56
-TILE = {1: 4096, 4: 16384}
+#: Wide fingerprints of the pipeline: shingles of five words at a similarity of 0.8 differ in about 77 of 512 bits (standard deviation 8).
+WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 88
+#: Fingerprints in a tile, of 64 bits and of more.
+TILE, WIDE_TILE = 4096, 16384
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -92,16 +93,18 @@ def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int
     labels = np.arange(len(nodes))
     step = max(1, (1 << 21) // max(1, len(right)))
     words = fps.shape[1]
+    dense = min(words, radius // 32 + 2) if words > 1 else 1  # words compared for all pairs; the rest only where still near
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         far = np.bitwise_count(fps[rows, 0][:, None] ^ fps[right, 0][None, :])
-        if words > 1:
+        if dense > 1:
             far = far.astype(np.uint16)
-            far += np.bitwise_count(fps[rows, 1][:, None] ^ fps[right, 1][None, :])
+        for word in range(1, dense):
+            far += np.bitwise_count(fps[rows, word][:, None] ^ fps[right, word][None, :])
         i, j = np.nonzero(far <= radius)
         far = far[i, j].astype(np.int64)
         i, j = rows[i], right[j]
-        for word in range(2, words):
+        for word in range(dense, words):
             far = far + np.bitwise_count(fps[i, word] ^ fps[j, word])
         keep = (far <= radius) & (i != j)
         if ratio:
@@ -118,6 +121,25 @@ def _near_cells(radius: int) -> list[int]:
     return [sum(x * 64**i for i, x in enumerate(reversed(d))) for d in steps]
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles with their nodes, fingerprints and sizes as one value each; of 64-bit fingerprints nothing else is needed."""
+    for batch in batches:
+        out = []
+        for rows in batch.column(2):
+            node, fp, size = (rows.values.field(i) for i in range(3))
+            fps = b"".join(fp.to_pylist())
+            wide = len(fps) > 8 * len(node)
+            out.append((node.to_numpy().tobytes() if wide else b"", fps, size.to_numpy().tobytes() if wide else b""))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [batch.column(0), batch.column(1), *[pa.array([], pa.binary())] * 3], names=["cell", "salt", "nodes", "fps", "sizes"])
+
+
+def _read(blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fps = np.frombuffer(blobs[1], np.uint64).reshape(-1, words)
+    if words == 1:
+        return fps[:, 0].byteswap().view(np.int64), fps, np.zeros(len(fps), np.int32)
+    return np.frombuffer(blobs[0], np.int64), fps, np.frombuffer(blobs[2], np.int32)
+
+
 def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = None) -> DataFrame:
     """Links (u, v) that connect what is within the radius. nodes: node bigint, fp binary, size int, distinct by node."""
     words = bits // 64
@@ -131,25 +153,26 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
         near, ratio = _near_cells(radius), 0.0
     placed = nodes.withColumn("cell", cell)
     # At most 17**4 cells, or one for each factor of the number of words: a bounded table.
-    counts = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE.get(words, 16384)).cast("int").alias("tiles")), "cells")
-    tiles = written(
-        placed.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")).groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size")).alias("rows")),
-        "tiles",
-    )
-    left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), F.col("rows").alias("own_rows"), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
+    counts = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (TILE if words == 1 else WIDE_TILE)).cast("int").alias("tiles")), "cells")
+    salted = placed.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
+    grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size")).alias("rows"))
+    tiles = written(grouped.mapInArrow(_tiles, "cell bigint, salt int, nodes binary, fps binary, sizes binary"), "tiles")
+    blobs = ["nodes", "fps", "sizes"]
+    left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), *(F.col(b).alias(f"own_{b}") for b in blobs), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
     left = left.join(F.broadcast(counts), "cell").withColumn("salt", F.explode(F.sequence(F.when(F.col("own") == F.col("cell"), F.col("own_salt")).otherwise(0), F.col("tiles") - 1)))
-    pairs = left.join(tiles, ["cell", "salt"]).select(((F.col("own") == F.col("cell")) & (F.col("own_salt") == F.col("salt"))).alias("same"), "own_rows", "rows")
+    same = (F.col("own") == F.col("cell")) & (F.col("own_salt") == F.col("salt"))
+    pairs = left.join(tiles, ["cell", "salt"]).select(same.alias("same"), *(f"own_{b}" for b in blobs), *blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 same = batch.column(0)[row].as_py()
-                sides = [batch.column(c)[row].values for c in ((1,) if same else (1, 2))]
-                if same and len(sides[0]) < 2:
+                own, other = ([batch.column(c)[row].as_buffer() for c in cs] for cs in ((1, 2, 3), (4, 5, 6)))
+                sides = [_read(x, words) for x in ([own] if same else [own, other])]
+                if same and len(sides[0][0]) < 2:
                     continue
-                values = [np.concatenate([s.field(i).to_numpy(zero_copy_only=False) for s in sides]) for i in (0, 2)]
-                fps = np.concatenate([np.frombuffer(b"".join(s.field(1).to_pylist()), np.uint64).reshape(-1, words) for s in sides])
-                u, v = tile_links(values[0], fps, values[1], 0 if same else len(sides[0]), radius, ratio)
+                nodes, fps, sizes = (np.concatenate(x) for x in zip(*sides))
+                u, v = tile_links(nodes, fps, sizes, 0 if same else len(sides[0][0]), radius, ratio)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
