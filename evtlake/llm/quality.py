@@ -152,7 +152,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     rng = np.random.default_rng(seed)
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(x.shape[1] if x.ndim == 2 else DIMS), (DIMS + 2, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), prior)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return net
     held = np.arange(len(y)) % 5 == 4
     a, b = (x[~held] - mean) / scale, y[~held]

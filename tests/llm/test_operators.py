@@ -1,0 +1,303 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from evtlake.llm import components, decontam, licenses, packing, quality, simhash, substrings, token_rollup, tokens, url_rules, warc, winnow
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, hashes string, score string, uid bigint, node string"
+rng = random.Random(5)
+WORDS = ["the", "of", "Alpha", "beta", "gamma", "É", "x1", "don't", "zeta,", "MIT", "license"]
+LONG = " ".join(rng.choice(WORDS) for _ in range(4000))
+TEXTS = [LONG, None, "", " \n\t", "one", "one", LONG, "Released under the MIT License.", " ".join(LONG.split()[:300]), " ".join(LONG.split()[100:420]), *(" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n)) for n in (2, 34, 35, 80, 200))]
+TEXTS.append(" ".join(TEXTS[-1].split()[:-1] + ["other"]))
+
+
+def table(spark, texts=TEXTS):
+    rows = [(i if i != 4 else None, t, None if i % 3 else "en", None, None, "h", "s", 1, "n") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def stored(df, tmp_path):
+    path = str(tmp_path / "docs")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return tokens.encoder()
+
+
+def plain_ids(encoder, text):
+    return encoder.whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_equal_the_library(encoder):
+    parts = [" ", "  ", "\n", "\t", "'", "'s", "'ll", "re", "a", "É", "日本", "🙂", "1", "²", "!", "...", "　", " ", "<|endoftext|>", "\x00", "'ve"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)] + TEXTS
+    ids, offsets = encoder.encode(pa.array(texts))
+    assert all(plain_ids(encoder, t) == ids[offsets[i] : offsets[i + 1]].tolist() for i, t in enumerate(texts))
+
+
+def test_rollup(spark, tmp_path, encoder):
+    counted = token_rollup.token_counts(table(spark)).select("doc_id", "lang", "source", "n_tokens", F.lit("v1").alias("tokenizer"))
+    assert sorted(r["n_tokens"] for r in counted.collect()) == sorted(len(plain_ids(encoder, t)) for t in TEXTS)
+    r = token_rollup.Rollup(spark, str(tmp_path / "rollup"))
+    assert r.totals([0]).count() == 0
+    assert r.commit(0, counted.withColumn("op", F.lit("insert"))) and not r.commit(0, counted.withColumn("op", F.lit("insert")))
+    want = {(x["lang"]): (x["n"], x["t"]) for x in counted.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    assert {x["lang"]: (x["n_docs"], x["n_tokens"]) for x in r.totals([0]).collect()} == want
+    moved = counted.where("lang = 'en'").select(F.lit("revise").alias("op"), "source", "lang", F.lit("v2").alias("tokenizer"), F.lit(3).alias("n_tokens"), *(F.col(c).alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "n_tokens")))
+    assert r.commit(1, moved)
+    assert {(x["lang"], x["tokenizer"]) for x in r.totals([0, 1]).collect()} == {(None, "v1"), ("en", "v2")}
+    r.commit(2, counted.where("lang IS NULL").withColumn("op", F.lit("delete")))
+    assert [x["tokenizer"] for x in r.totals([0, 1, 2]).collect()] == ["v2"]
+    assert r.commit(3, counted.where("false").withColumn("op", F.lit("insert")))
+
+
+def brute_components(n, linked):
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_simhash(spark):
+    def fingerprint(text):
+        w = (text or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in ([w] if 0 < len(w) < 3 else zip(w, w[1:], w[2:]))]
+        return sum(1 << b for b in range(64) if h and sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    texts = [t for i, t in enumerate(TEXTS) if i != 4]
+    want = [fingerprint(t) for t in texts]
+    rows = simhash.near_duplicates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")).select("doc_id", simhash.hex_digits().alias("f"), "component_id").orderBy("doc_id").collect()
+    assert [r["f"] for r in rows] == [f"{x:016x}" for x in want]
+    assert [r["component_id"] for r in rows] == brute_components(len(texts), lambda i, j: bin(want[i] ^ want[j]).count("1") <= 3)
+    assert simhash.near_duplicates(table(spark)).count() == len(TEXTS)
+    assert simhash.near_duplicates(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_simhash_links_of_many_near_fingerprints(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    values = list({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) & (2**64 - 1) for b in base for _ in range(8)})
+    signed = [int.from_bytes(v.to_bytes(8, "little"), "big", signed=True) for v in values]
+    nodes = spark.createDataFrame([(n, v.to_bytes(8, "little"), 0) for n, v in zip(signed, values)], "node bigint, fp binary, size int")
+    got = {r["node"]: r["component"] for r in components.components(simhash.links(nodes, 64, 3)).collect()}
+    want = brute_components(len(values), lambda i, j: bin(values[i] ^ values[j]).count("1") <= 3)
+    assert brute_components(len(values), lambda i, j: got.get(signed[i], signed[i]) == got.get(signed[j], signed[j])) == want
+
+
+def test_wide_near_duplicates_keep_one(spark):
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(300)) for _ in range(6)]
+    texts = base + [" ".join([*b.split()[:150], "new", *b.split()[151:]]) for b in base[:3]] + [base[5]]
+    kept = simhash.deduplicated(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(6))
+
+
+def test_chain_of_links(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u bigint, v bigint")
+    got = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert components.components(edges.where("false")).count() == 0
+
+
+def test_winnow_definition():
+    for text in (LONG[:700], "a" * 300, "short", "x" * 32):
+        h = [int(winnow.span_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([i]), np.array([i + 32]))[0]) >> 32 for i in range(len(text) - 31)]
+        if h:
+            w = min(64, len(h))
+            want = sorted({max(range(i, i + w), key=lambda j: (-h[j], j)) for i in range(len(h) - w + 1)})
+            hashes, places = winnow.winnow(text)
+            assert places.tolist() == want and hashes.tolist() == [h[i] for i in want]
+    assert len(winnow.winnow("")[0]) == 0 and len(winnow.winnow("ab")[0]) == 1
+    shared = LONG[1000 : 1000 + 95]
+    assert len(np.intersect1d(winnow.winnow("q" * 40 + shared + "z" * 50)[0], winnow.winnow(shared + "!" * 70)[0]))
+
+
+@pytest.mark.parametrize("n", ["1", "4"])
+def test_edited_fingerprints(spark, n):
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    texts = [t for i, t in enumerate(TEXTS) if i != 4]
+    docs = spark.createDataFrame([(3 * i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, at string")
+    rows = winnow.edited_fingerprints(docs).orderBy("doc_id").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(rows) == len(texts)
+    for i, r in enumerate(rows):
+        own, following = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + following[:half]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == winnow.text_of(winnow.winnow(own)[0]) and r["edited_fingerprint"] == winnow.text_of(winnow.winnow(edited)[0])
+        assert r["near_next"] == winnow.likeness(winnow.winnow(own)[0], winnow.winnow(following)[0])
+    assert winnow.edited_fingerprints(table(spark)).count() == len(TEXTS)
+    assert winnow.edited_fingerprints(table(spark, [])).count() == 0
+    assert winnow.fingerprints(table(spark)).count() == len(TEXTS)
+
+
+def test_packing(spark, encoder):
+    rows = packing.packed(table(spark)).collect()
+    ids = {i if i != 4 else None: [*plain_ids(encoder, t), 0] for i, t in enumerate(TEXTS)}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    for doc, own in by_doc.items():
+        own.sort(key=lambda r: r["piece"])
+        n = len(ids[doc])
+        lengths = [r["length"] for r in own]
+        assert lengths == ([n] if n <= 2048 else ([n % 2048] if n % 2048 else []) + [2048] * (n // 2048))
+        assert [r["start"] for r in own] == [sum(lengths[:i]) for i in range(len(own))] and [r["piece"] for r in own] == list(range(len(own)))
+    assert set(by_doc) == set(ids)
+    for own in by_sequence.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))] and own[-1]["offset"] + own[-1]["length"] <= 2048
+    assert packing.packed(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_is_whole_and_tight(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.minimum(r.lognormal(4.5, 1.2, 3000).astype(int) + 1, 256)
+    histogram = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    rows = packing.plan(histogram, 256, 64)
+    used = {}
+    for length, first, end, _, offset in rows:
+        used[length] = used.get(length, 0) + end - first
+        assert offset + length <= 256
+    assert used == histogram
+    assert max(s + e - f for _, f, e, s, _ in rows) <= 1.02 * -(-int(lengths.sum()) // 256) + 1
+    assert packing.plan({}) == [] and packing.plan({2048: 3}) == [(2048, 0, 3, 0, 0)]
+
+
+def test_least_squares_is_non_negative():
+    r = np.random.default_rng(1)
+    a, b = r.random((12, 30)), r.random(12)
+    x = packing.nonnegative_least_squares(a, b)
+    slope = a.T @ (a @ x - b)
+    assert (x >= 0).all() and (slope > -1e-6).all() and abs(slope[x > 0]).max() < 1e-6
+
+
+def test_licenses(spark):
+    apache = licenses.TEMPLATES["apache-2"][0]
+    texts = ["Released under the MIT License. under the mit license", "a CC-BY-NC b cc by nc cc by nc", apache.upper(), "permission granted to any person", "gnu general public license " + "the mit " * 50, None, "", "x" * 5000]
+    rows = [r.asDict() for r in licenses.scanned(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + ["plain text"] * 40)], "doc_id bigint, text string, uid int")).orderBy("doc_id").collect()]
+    assert [(r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows[:3]] == [(2, 1, 5, "mit"), (3, 1, 8, "cc-by-nc"), (1, 3, 3, "apache-2")]
+    assert rows[2]["labels"] == "apache-2" and rows[3]["labels"] == "" and rows[5]["n_words"] == rows[6]["n_words"] == 0 and rows[6]["score"] == 0
+    assert "gpl" in rows[4]["labels"] and all(0 <= r["score"] <= 1 for r in rows) and len(rows) == 48
+    assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_quality(spark):
+    good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(200)]
+    bad = [" ".join(rng.choice(WORDS).upper() + "!!" for _ in range(60)) for _ in range(100)] + ["spam " * 60] * 50
+    texts = good + bad + [None, "", "word " * 30000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(350)] + [(3, None)], "doc_id bigint, quality int")
+    rows = quality.scored(docs, labels).collect()
+    held = [r for r in rows if r["held_out"] and r["doc_id"] < 350]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows) and len(rows) == len(texts)
+    assert np.mean([(r["predicted"] == 1) == (r["doc_id"] < 200) for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    assert {r["score"] for r in quality.scored(docs, labels.where("false"), keep_text=False).collect()} == {0.5}
+    assert quality.scored(docs.where("false"), labels).count() == 0
+
+
+def brute_removed(texts, n):
+    words = [(t or "").split() for t in texts]
+    seen = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append((d, i))
+    gone = [set() for _ in words]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                gone[d].update(range(i, i + n))
+    return words, gone
+
+
+@pytest.mark.parametrize("n", [5, 6, 35])
+def test_substrings(spark, tmp_path, n):
+    texts = TEXTS + ["nt " * 50, " ".join(f"v{rng.randrange(3)}" for _ in range(150)), " ".join(f"v{rng.randrange(3)}" for _ in range(150))]
+    docs = stored(table(spark, texts), tmp_path)
+    words, gone = brute_removed(texts, n)
+    want = sorted((len(w), len(g), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()) for w, g in zip(words, gone))
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removal_report(docs, n).collect()) == want
+    kept = substrings.deduplicated(docs.select("doc_id", "text", "lang", "source", "n_chars"), n).collect()
+    assert len(kept) == sum(not g or len(g) < len(w) for w, g in zip(words, gone))
+
+
+def test_substrings_of_nothing(spark, tmp_path):
+    assert substrings.removal_report(stored(table(spark, []), tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_decontamination(spark, monkeypatch, block):
+    items = [(1, " ".join(LONG.split()[50:75])), (2, "one"), (3, ""), (None, "the of"), (4, None), (10, " ".join(LONG.split()[60:72])), (10, " ".join(LONG.split()[60:72]))]
+    rows = decontam.contamination(table(spark), spark.createDataFrame(items, "item_id bigint, text string"), block=block).collect()
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    tests = {}
+    for item, text in items:
+        w = cut(text)
+        if item is not None and w:
+            for i in range(max(1, len(w) - 9)):
+                tests.setdefault(tuple(w[i : i + 10]), set()).add(str(item))
+    want = []
+    for t in TEXTS:
+        w, hit, found = cut(t), set(), set()
+        for n in {len(k) for k in tests}:
+            for i in range(len(w) - n + 1):
+                if own := tests.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= own
+        want.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    assert sorted(tuple(r)[1:] for r in rows) == sorted(want) if block > 7 else {tuple(r)[1:] for r in rows} == set(want)
+    assert decontam.contamination(table(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+    assert decontam.contamination(table(spark), spark.createDataFrame([], "item_id bigint, text string")).where("contaminated").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "aa bb xx cc dd"), (2, "aa bb cc dd"), (3, "dd cc bb aa")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "aa bb cc dd")], "item_id bigint, text string")
+    found = lambda slop: {r["doc_id"] for r in decontam.matches(docs, items, 4, slop).collect() if r["item_ids"]}
+    assert found(0) == {2} and found(1) == {1, 2}
+
+
+def test_warc(spark):
+    html = '<html lang="fr"><head><title>A &amp; B</title><script>x<b></script></head><body><p>Un<br>deux&nbsp;<a href="/u">u</a><a href="/u">u</a><!-- no --></p></body></html>'
+    rows = spark.createDataFrame([("r1", "http://a", None, "H", html, 1), ("r2", None, None, None, None, 2), ("r2", None, None, None, None, 2)], "record_id string, target_uri string, date string, http_headers string, payload string, text int")
+    out = [r.asDict() for r in warc.derivatives(rows).collect()]
+    text = next(r for r in out if r["warc_type"] == "conversion" and r["refers_to"] == "r1")
+    meta = next(r for r in out if r["warc_type"] == "metadata" and r["refers_to"] == "r1")
+    assert text["block"] == "A & B\nUn\ndeux u u" and meta["block"] == "title: A &amp; B\r\nlanguage: fr\r\noutlinks: 1\r\noutlink: /u\r\n"
+    assert text["source_digest"] == "sha1:" + hashlib.sha1(html.encode()).hexdigest() and text["block_digest"] == "sha1:" + hashlib.sha1(text["block"].encode()).hexdigest()
+    assert text["source_headers"] == "H" and len(out) == 6 and text["record_id"] != meta["record_id"]
+    assert warc.derivatives(rows.where("false")).count() == 0
+
+
+def test_urls(spark):
+    urls = ["http://a.example.org/es/1", "http://example.org/en/12?x", "http://b.org/es/1", "https://X.Example.COM/fr/a#b", "http://c.com/de/1", "http://spam.net/es/2", "nothing", None, "http://notexample.org/es/", "http://z.net"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(100 + i, f"http://q{i}.example.org/es/{i}", 1) for i in range(30)], "page_id bigint, url string, uid int")
+    rows = {r["page_id"]: r for r in url_rules.judged(pages).collect()}
+    assert [(rows[i]["host"], rows[i]["path"], rows[i]["rule"]) for i in range(10)] == [
+        ("a.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1"), ("b.org", "/es/1", "org/"), ("x.example.com", "/fr/a", "com/fr/"), ("c.com", "/de/1", "com/de/"),
+        ("spam.net", "/es/2", None), ("", "", None), ("", "", None), ("notexample.org", "/es/", "org/"), ("z.net", "", None),
+    ]
+    assert rows[5]["verdict"] == "block" and rows[9]["verdict"] == "allow" and rows[4]["verdict"] == "block" and len(rows) == 40
+    assert url_rules.judged(pages.where("false")).count() == 0
