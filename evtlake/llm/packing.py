@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .store import written
 from .textarrays import slices, text_column
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 CAPACITY, UNITS, GROUP_ROWS = 2048, 256, 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
     """One row for each piece; longer documents are cut so that only the first piece may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, offsets = encoder(vocabulary).encode(text_column(batch, "text"))
             out: list[tuple[int, int, int, int]] = []
             row: list[int] = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled alone.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -25,15 +25,15 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice has at most SLICE_BYTES of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a slice has at most `most` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(text_column(batch, text)).to_numpy(zero_copy_only=False)
         at, total = 0, 0
         for i, size in enumerate(sizes):
-            if total and total + size > SLICE_BYTES:
+            if total and total + size > most:
                 yield batch.slice(at, i - at)
                 at, total = i, 0
             total += int(size)
@@ -90,7 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers_of(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, U64)
     out[0] = 1
@@ -99,10 +99,9 @@ def _powers_of(size: int, base: int) -> np.ndarray:
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    size = 1 << 16
-    while size < n:
-        size *= 2
-    return _powers_of(size, base)[:n]
+    if n > SLICE_BYTES + 2:  # a text longer than a slice: not kept
+        return _powers_of.__wrapped__(n, base)
+    return _powers_of(SLICE_BYTES + 2, base)[:n]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

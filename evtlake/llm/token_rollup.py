@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textarrays import slices, text_column
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
 
@@ -31,7 +31,7 @@ def token_counts(docs: DataFrame, column: str = "text", vocabulary: str = "byte_
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` bigint"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, SLICE):
             _, offsets = encoder(vocabulary).encode(text_column(batch, column))
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(offsets))], names=[*(f.name for f in kept), to])

@@ -7,7 +7,8 @@ that hold a special token's string go through that library whole.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import json
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from .textarrays import expand, span_hashes, text_bytes
 
 #: Words kept by a worker; the store starts anew beyond this.
 CACHE_WORDS = 600_000
+#: Bytes of text encoded at once.
+SLICE = 1 << 21
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
 
@@ -85,14 +88,20 @@ class Encoder:
     """Ids of many texts at once, as one array and offsets by text."""
 
     def __init__(self, name: str = "byte_bpe_50k.json") -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(vocabulary_path(name))
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.name = name
+        with open(vocabulary_path(name)) as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
         self.ranked = _ranked(name)
         self.opens = np.array([self.ranked.decode_single_token_bytes(i)[:1] == b" " for i in range(self.ranked.n_vocab)]) if self.ranked else None
         self.clear()
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary_path(self.name))
+
     def clear(self) -> None:
         self.known: dict[int, int] = {}  # by the word's 64-bit hash
         self.ids = np.zeros(1 << 20, np.uint32)

@@ -92,7 +92,7 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
         rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("first")), "left")
         .select("doc_id", "text", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
         .select("doc_id", "text", "x.at", "x.ghost")
-        .repartition(n, "at")
+        .repartitionById(n, F.pmod(F.col("at"), F.lit(n)).cast("int"))
         .sortWithinPartitions("at", "ghost", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     )
     names = [x.split()[0] for x in EDITED.split(", ")]
