@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .textarrays import expand, span_hashes, text_bytes
 
 #: Words kept by a worker; the store starts anew beyond this.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
