@@ -98,6 +98,8 @@ def decode_events(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rule
     """({event: typed rows}, failed rows): failed rows keep their raw form and the error, and take no log_index."""
     kinds = kinds_of(catalog, _types(catalog))
     rows = matched(raw, contracts, catalog, rules)
+    if not any(in_python(k) for members in kinds.values() for _, _, k in members):
+        return _decode_in_one_pass(rows, kinds)
     parts: dict[str, DataFrame] = {}
     checks: list[DataFrame] = []
     for (abi, event), members in kinds.items():
@@ -120,6 +122,23 @@ def decode_events(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rule
     return out, every.where("decode_error IS NOT NULL")
 
 
+def _decode_in_one_pass(rows: DataFrame, kinds: dict[tuple[str, str], list[tuple[str, str, Kind]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Errors of all events in one column, so that rows are numbered once; then each event's own columns."""
+    error, events = F.lit(None).cast("string"), {}
+    for (abi, event), members in kinds.items():
+        if any(p == "output" for p, _, _ in members):
+            continue
+        own = (F.col("abi_name") == abi) & (F.col("event_name") == event)
+        values, failure = member_columns(members)
+        error = F.when(own, failure).otherwise(error)
+        events[event if event not in events else f"{abi}_{event}"] = (own, values)
+    every = rows.withColumn("decode_error", error)
+    good = with_log_index(every.where("decode_error IS NULL"))
+    time = F.col("timestamp") if "timestamp" in rows.columns else F.lit(0).cast("bigint")
+    metadata = ["block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name"]
+    return {name: good.where(own).select(*metadata, *values) for name, (own, values) in events.items()}, every.where("decode_error IS NOT NULL")
+
+
 def _types(catalog: DataFrame) -> dict[str, Types]:
     from ..sources.abi import types_of
 
