@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded
 from .textarrays import mix, slices, text_bytes, text_column, word_bounds, word_hashes
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 32, 4, 2
 MAX_ROWS, HIDDEN, EPOCHS, THRESHOLD = 20_000, 32, 60, 0.3
 BLOCKS = 64
+#: Bytes of text handled at once: each word has a vector while they are added.
+SLICE = 1 << 19
 AGAIN = 0
 #: Byte classes: 0 white space, 1 letters and bytes beyond ASCII, 2 digits, 3 other signs.
 KINDS = np.full(256, 3, np.uint8)
@@ -92,7 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.zeros((BUCKETS, DIMS), np.float32), False
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             _add_contexts(table, *bucketed_words(batch))
             seen = True
         if seen:
@@ -106,7 +109,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add, schema)
+    partial = bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(add, schema)
     table = np.zeros((BUCKETS, DIMS), np.float32)
     for r in partial.repartition(BLOCKS // 4, "block").mapInArrow(merge, schema).collect():  # BLOCKS rows, 4 MB in all
         table[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(r["sums"], np.float32).reshape(rows, DIMS)
@@ -189,11 +192,11 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             x = pooled(batch, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "h"])
 
-    found = sorted(rows.mapInArrow(features, "x binary, y int, h bigint").collect(), key=lambda r: (r["h"], bytes(r["x"])))[: 2 * max_rows]
+    found = sorted(bounded(rows).mapInArrow(features, "x binary, y int, h bigint").collect(), key=lambda r: (r["h"], bytes(r["x"])))[: 2 * max_rows]
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMS + 2))
     net = spark.sparkContext.broadcast(fit(x, np.array([r["y"] for r in found])))
     fields = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted")]
@@ -201,10 +204,10 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["held_out boolean, score double, predicted int"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             s = net.value.scores(pooled(batch, shared.value))
             names = [n for n in batch.schema.names if keep_text or n != "text"]
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields), held.alias("held_out")).mapInArrow(score, schema)
+    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in fields), held.alias("held_out"))).mapInArrow(score, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import bounded, written
 from .textarrays import mix, slices, text_column
 
 SEED, SHINGLE, RADIUS, PARTS = 42, 3, 3, 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> Dat
             fps = fold(hashes, bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([len(h) for h in hashes], pa.int32())], names=["doc_id", "fp", "size"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp binary, size int")
+    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id bigint, fp binary, size int")
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+    return bounded(pairs).mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:

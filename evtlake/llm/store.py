@@ -1,4 +1,5 @@
-"""Tables written to the cluster's shared folder, to cut lineage so that lost executors cost one stage at most."""
+"""Tables written to the cluster's shared folder, to cut lineage so that lost executors cost one stage at most; Arrow
+batches of bounded size."""
 
 from __future__ import annotations
 
@@ -7,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on its way to a Python worker; one larger row travels alone.
+BATCH_BYTES = 1 << 22
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary folder set there once."""
@@ -26,3 +30,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, for mapInArrow: batches are cut by bytes as well as by rows (a setting of its session), as texts have any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
