@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded, written
+from .store import bounded, lean, written
 from .textarrays import LOWER, PLAIN, expand, slices, text_bytes, text_column, word_bounds, word_hashes
 
 WINDOW = 10
@@ -54,7 +54,7 @@ def test_windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.binary())], names=["item_id", "words"])
 
     rows = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(run, "item_id string, words binary").distinct()
+    return bounded(rows).mapInArrow(lean(run), "item_id string, words binary").distinct()
 
 
 @dataclass
@@ -120,7 +120,7 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(bounded(rows).mapInArrow(run, SEGMENT), "index")
+    return written(bounded(rows).mapInArrow(lean(run), SEGMENT), "index")
 
 
 def term_counts(index: DataFrame) -> dict[int, int]:
@@ -134,7 +134,7 @@ def term_counts(index: DataFrame) -> dict[int, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
 
     sizes = index.select("terms", "term_starts", (F.octet_length("postings") / 4).cast("bigint").alias("n"))
-    return {r["term"]: r["n"] for r in bounded(sizes).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return {r["term"]: r["n"] for r in bounded(sizes).mapInArrow(lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def intersect(queries: Queries, terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
                 arrays = [pa.array(ids, pa.int64()), pa.array(doc_ends - begins), pa.array(items, pa.list_(pa.string())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in MATCHES.split(", ")])
 
-    return bounded(index).mapInArrow(run, MATCHES)
+    return bounded(index).mapInArrow(lean(run), MATCHES)
 
 
 def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop:
             arrays = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit])]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return bounded(matches(docs, items, length, slop, block)).mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return bounded(matches(docs, items, length, slop, block)).mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:

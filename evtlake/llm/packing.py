@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded, written
+from .store import bounded, lean, written
 from .textarrays import slices, text_column
 from .tokens import SLICE, encoder
 
@@ -47,8 +47,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
                     row.append(i)
             columns = [batch.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
+        encoder(vocabulary).rest()
 
-    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, PIECES)
+    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(lean(run), PIECES)
 
 
 def patterns(units: int = UNITS) -> np.ndarray:

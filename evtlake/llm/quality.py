@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded
+from .store import bounded, lean
 from .textarrays import mix, slices, text_bytes, text_column, word_bounds, word_hashes
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 32, 4, 2
@@ -109,9 +109,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
-    partial = bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(add, schema)
+    partial = bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(lean(add), schema)
     table = np.zeros((BUCKETS, DIMS), np.float32)
-    for r in partial.repartition(BLOCKS // 4, "block").mapInArrow(merge, schema).collect():  # BLOCKS rows, 4 MB in all
+    for r in partial.repartition(BLOCKS // 4, "block").mapInArrow(lean(merge), schema).collect():  # BLOCKS rows, 4 MB in all
         table[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(r["sums"], np.float32).reshape(rows, DIMS)
     size = np.linalg.norm(table, axis=1, keepdims=True)
     return table / np.maximum(size, 1e-9)
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
             x = pooled(batch, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "h"])
 
-    found = sorted(bounded(rows).mapInArrow(features, "x binary, y int, h bigint").collect(), key=lambda r: (r["h"], bytes(r["x"])))[: 2 * max_rows]
+    found = sorted(bounded(rows).mapInArrow(lean(features), "x binary, y int, h bigint").collect(), key=lambda r: (r["h"], bytes(r["x"])))[: 2 * max_rows]
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMS + 2))
     net = spark.sparkContext.broadcast(fit(x, np.array([r["y"] for r in found])))
     fields = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted")]
@@ -210,4 +210,4 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in fields), held.alias("held_out"))).mapInArrow(score, schema)
+    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in fields), held.alias("held_out"))).mapInArrow(lean(score), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bounded, written
+from .store import bounded, lean, written
 from .textarrays import mix, slices, text_column
 
 SEED, SHINGLE, RADIUS, PARTS = 42, 3, 3, 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> Dat
             fps = fold(hashes, bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([len(h) for h in hashes], pa.int32())], names=["doc_id", "fp", "size"])
 
-    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id bigint, fp binary, size int")
+    return bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(lean(run), "doc_id bigint, fp binary, size int")
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
     counts = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (TILE if words == 1 else WIDE_TILE)).cast("int").alias("tiles")), "cells")
     salted = placed.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
     grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size")).alias("rows"))
-    tiles = written(grouped.mapInArrow(_tiles, "cell bigint, salt int, nodes binary, fps binary, sizes binary"), "tiles")
+    tiles = written(grouped.mapInArrow(lean(_tiles), "cell bigint, salt int, nodes binary, fps binary, sizes binary"), "tiles")
     blobs = ["nodes", "fps", "sizes"]
     left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), *(F.col(b).alias(f"own_{b}") for b in blobs), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
     left = left.join(F.broadcast(counts), "cell").withColumn("salt", F.explode(F.sequence(F.when(F.col("own") == F.col("cell"), F.col("own_salt")).otherwise(0), F.col("tiles") - 1)))
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return bounded(pairs).mapInArrow(run, "u bigint, v bigint")
+    return bounded(pairs).mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:

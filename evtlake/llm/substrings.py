@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded, written
+from .store import bounded, lean, written
 from .textarrays import SPACED, expand, rightmost_minima, slices, span_hashes, text_bytes, text_column, word_bounds, word_hashes
 
 LENGTH = 35
@@ -67,7 +67,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 columns = [np.concatenate(c) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["uid", "first", "last", "anchor", "run"])
 
-    return bounded(docs.select("uid", "text")).mapInArrow(run, "uid bigint, first int, last int, anchor bigint, run bigint")
+    return bounded(docs.select("uid", "text")).mapInArrow(lean(run), "uid bigint, first int, last int, anchor bigint, run bigint")
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
@@ -101,7 +101,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for columns in _windows(batch, length):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "at", "anchor", "full", "often", "open"])
 
-    windows = bounded(docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "spans")).mapInArrow(run, "uid bigint, at bigint, anchor bigint, full bigint, often int, open boolean")
+    windows = bounded(docs.select("uid", "text").join(by_doc, "uid").select("uid", "text", "spans")).mapInArrow(lean(run), "uid bigint, at bigint, anchor bigint, full bigint, often int, open boolean")
     windows = written(windows, "windows")
     again = written(windows.groupBy("anchor", "full").agg(F.sum("often").alias("n")).where("n > 1").select("anchor", "full"), "again")
     single = windows.where("open").join(again, ["anchor", "full"]).select("uid", F.col("at").cast("int").alias("first"), F.col("at").cast("int").alias("last"))
@@ -148,7 +148,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept(batch, "text", "spans", length)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return bounded(_with_spans(docs, length).select("doc_id", "text", "spans")).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return bounded(_with_spans(docs, length).select("doc_id", "text", "spans")).mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -168,4 +168,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             stays = pa.array([not gone or bool(kept) for _, gone, kept in rows])
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(stays)
 
-    return bounded(_with_spans(_numbered(docs), length).select(*names, "spans")).mapInArrow(run, docs.schema)
+    return bounded(_with_spans(_numbered(docs), length).select(*names, "spans")).mapInArrow(lean(run), docs.schema)

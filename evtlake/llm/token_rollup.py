@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded
+from .store import bounded, lean
 from .textarrays import slices, text_column
 from .tokens import SLICE, encoder
 
@@ -36,8 +36,9 @@ def token_counts(docs: DataFrame, column: str = "text", vocabulary: str = "byte_
             _, offsets = encoder(vocabulary).encode(text_column(batch, column))
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(offsets))], names=[*(f.name for f in kept), to])
+        encoder(vocabulary).rest()
 
-    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`").cast("string").alias(column))).mapInArrow(count, schema)
+    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`").cast("string").alias(column))).mapInArrow(lean(count), schema)
 
 
 def signed(changes: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from .textarrays import expand, span_hashes, text_bytes
 
 #: Words kept by a worker; the store starts anew beyond this.
 CACHE_WORDS = 400_000
+#: Words that it keeps from one task to the next.
+IDLE_WORDS = 50_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
@@ -109,6 +111,11 @@ class Encoder:
         self.lengths = np.zeros(1 << 18, np.int64)
         self.used = 0
 
+    def rest(self) -> None:
+        """Called at the end of a task: a large store of words goes."""
+        if len(self.known) > IDLE_WORDS:
+            self.clear()
+
     def _lists(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number by word."""
         if not self.ranked:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded
+from .store import bounded, lean
 from .textarrays import span_hashes, window_hashes
 
 GRAM, WINDOW = 32, 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, column: str = "text", k: int = GRAM, w: int =
             arrays = [*batch.columns[:-1], pa.array([h.astype(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in kept), "hashes", "places"])
 
-    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`").cast("string").alias(column))).mapInArrow(run, schema)
+    return bounded(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`").cast("string").alias(column))).mapInArrow(lean(run), schema)
 
 
 EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes bigint"
@@ -124,4 +124,4 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if i in (0, 1, 7) else pa.array(c) for i, c in enumerate(zip(*out))], names=names)
 
-    return bounded(dealt).mapInArrow(run, EDITED)
+    return bounded(dealt).mapInArrow(lean(run), EDITED)
