@@ -1,8 +1,9 @@
 """Licence scans with DataFrame functions alone: base phrases, and a positional rare-token index of licence templates.
 
-For each file the words of the templates' vocabulary that are rarest among all documents (highest inverse document
-frequency, counted over all of them) are looked up; their places meet the templates' postings by relative position, and a
-template is found where enough distinct words agree on one shift and one of its mandatory phrases stands in the file.
+For each template whose mandatory phrase stands in a file, the template's own words that the file holds and that are rarest
+among all documents (highest inverse document frequency, counted over all of them) are looked up; their places meet the
+template's postings by relative position, and it is found where enough distinct words agree on one shift. Words rank by
+rarity alone, so a licence that most documents carry is found like any other.
 
 Defined results: a null text is empty: no words, no labels, score 0; an empty table gives no rows; repeated rows are
 scanned each on their own (they are numbered once, in a written table); phrases are found wherever their words stand
@@ -47,8 +48,8 @@ TEMPLATES = {
     "cc-by-nc": ("licensed under the creative commons attribution noncommercial license cc by nc 4 0", ["creative commons attribution noncommercial", "cc by nc"]),
     "proprietary": ("all rights reserved no part of this document may be reproduced without permission", ["all rights reserved"]),
 }
-#: Rarest words looked up in a file; the share of documents beyond which a word is not rare; agreeing words and share asked.
-LOOKUPS, COMMON, LEAST_WORDS, LEAST_SHARE = 12, 0.1, 2, 0.5
+#: Rarest words of a template looked up in a file; agreeing words and their share of those looked up that are asked.
+LOOKUPS, LEAST_WORDS, LEAST_SHARE = 12, 2, 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -90,30 +91,33 @@ def scanned(docs: DataFrame) -> DataFrame:
     norm = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("norm"))
     counts = document_counts(norm)
     total = counts.get("", 0)
-    rare = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in _vocabulary() if counts.get(w, 0) <= COMMON * total}
+    rarity = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in _vocabulary()}
     n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(_spaces(F.col("norm")) + 1).cast("bigint")
     base = F.filter(F.array(*(_places(F.col("norm"), p, F.col("n_words")) for p in BASE)), lambda x: x.isNotNull())
     words = F.split("norm", " ")
-    # The rarest words that the file holds, and their places.
-    by_rarity = F.array(*(F.lit(w) for w in sorted(rare, key=lambda w: (-rare[w], w)))).cast("array<string>")
-    looked_up = F.slice(F.array_intersect(by_rarity, words), 1, LOOKUPS)
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("top"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    verified = F.filter(F.array(*(F.when(reduce(Column.__or__, (F.contains(padded, F.lit(f" {p} ")) for p in must)), F.lit(t)) for t, (_, must) in TEMPLATES.items())), lambda x: x.isNotNull())
-    files = norm.withColumn("n_words", n_words).withColumn("base", base).withColumn("top", looked_up)
-    some = F.size("top") >= LEAST_WORDS
-    files = files.select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "base", F.size("top").alias("n_top"), F.when(some, places).alias("places"), F.when(some, verified).alias("verified")
-    )
+
+    def looked_up(template: str) -> Column:
+        """The template and its rarest words that the file holds; null without one of its mandatory phrases."""
+        text, must = TEMPLATES[template]
+        by_rarity = F.array(*(F.lit(w) for w in sorted(set(text.split()), key=lambda w: (-rarity[w], w))))
+        top = F.slice(F.array_intersect(by_rarity, words), 1, LOOKUPS)
+        return F.when(reduce(Column.__or__, (F.contains(padded, F.lit(f" {p} ")) for p in must)), F.struct(F.lit(template).alias("template"), top.alias("top")))
+
+    verified = F.filter(F.array(*map(looked_up, TEMPLATES)), lambda x: x.isNotNull())
+    files = norm.withColumn("n_words", n_words).withColumn("base", base).withColumn("verified", verified)
+    wanted = F.array_distinct(F.flatten(F.transform("verified", lambda x: x["top"])))
+    files = files.withColumn("wanted", wanted)
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("wanted"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    files = files.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "base", "verified", F.when(F.size("wanted") > 0, places).alias("places"))
     files = written(files, "files")
-    postings = spark.createDataFrame([(w, t, i) for t, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split()) if w in rare] or [("", "", 0)], "word string, template string, place int")
-    sizes = spark.createDataFrame([(t, len({w for w in text.split() if w in rare})) for t, (text, _) in TEMPLATES.items()], "template string, n_rare int")
-    tables = F.broadcast(postings.join(sizes, "template"))  # the templates alone
-    hits = files.where("size(verified) > 0").select("uid", "n_top", "verified", F.explode("places").alias("p")).select("uid", "n_top", "verified", "p.word", "p.at")
-    hits = hits.join(tables, "word").where(F.array_contains("verified", F.col("template")))
-    agreed = hits.groupBy("uid", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.first("n_top").alias("n_top"), F.first("n_rare").alias("n_rare"))
-    share = F.col("n") / F.least("n_top", "n_rare", F.lit(LOOKUPS))
-    agreed = agreed.withColumn("share", share).where((F.col("n") >= LEAST_WORDS) & (F.col("share") >= LEAST_SHARE))
+    postings = spark.createDataFrame([(w, t, i) for t, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split())], "word string, template string, place int")
+    hits = files.where("size(verified) > 0").select("uid", "verified", F.explode("places").alias("p")).select("uid", "verified", "p.word", "p.at")
+    hits = hits.join(F.broadcast(postings), "word")  # the templates alone
+    own = F.flatten(F.transform(F.filter("verified", lambda x: x["template"] == F.col("template")), lambda x: x["top"]))
+    hits = hits.withColumn("top", own).where(F.array_contains("top", F.col("word")))
+    agreed = hits.groupBy("uid", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.first(F.size("top")).alias("n_top"))
+    agreed = agreed.withColumn("share", F.col("n") / F.col("n_top")).where((F.col("n") >= LEAST_WORDS) & (F.col("share") >= LEAST_SHARE))
     label = F.when(F.col("template") == "mit-notice", F.lit("mit")).otherwise(F.col("template"))
     found = agreed.groupBy("uid").agg(F.collect_set(label).alias("more"), F.max("share").alias("share"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))

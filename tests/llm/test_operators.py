@@ -201,6 +201,15 @@ def test_licenses(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licenses_that_are_common_mixed_or_alone(spark):
+    whole = {t: text for t, (text, _) in licenses.TEMPLATES.items()}
+    labels = lambda texts: [r["labels"] for r in licenses.scanned(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert labels([whole["mit"]] * 20 + ["plain text"] * 40) == ["mit"] * 20 + [""] * 40
+    assert labels([whole["gpl"]]) == ["gpl"]
+    several = ["mit", "bsd", "gpl", "mpl-2", "isc"]
+    assert labels([" and then ".join(whole[t] for t in several)] + ["plain text"] * 40)[0] == ",".join(sorted(several))
+
+
 def test_quality(spark):
     good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(200)]
     bad = [" ".join(rng.choice(WORDS).upper() + "!!" for _ in range(60)) for _ in range(100)] + ["spam " * 60] * 50
