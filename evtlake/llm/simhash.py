@@ -9,6 +9,10 @@ fewer than `similarity` times the shingles of the other cannot be as similar, an
 Equal fingerprints are one node, so copies are never expanded; within a tile pair the matches are joined at once and only
 a link to the smallest node of each local group is kept, which loses no connection. Hot tiles are cut by salt.
 
+Wide fingerprints only pick candidates: those of distinct shingles within the radius are verified by the shingle sets
+themselves before they are linked. First each node meets one candidate of each tile, then all candidates that are in
+different groups still, so that a large group of copies takes few verifications.
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; one
 with fewer words than a shingle has the whole sequence as its only shingle; repeated rows are equal nodes; a null doc_id
 is linked like any other, and a component whose doc_ids are all null has component_id null.
@@ -30,8 +34,9 @@ from .store import bounded, lean, written
 from .textarrays import mix, slices, text_column
 
 SEED, SHINGLE, RADIUS, PARTS = 42, 3, 3, 4
-#: Wide fingerprints of the pipeline: shingles of five words at a similarity of 0.8 differ in about 77 of 512 bits (standard deviation 8).
-WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 88
+#: Wide fingerprints of the pipeline: sets of shingles of five words at a similarity of 0.8 differ in about 77 of 512 bits (standard
+#: deviation 8), at most 96 (9) for the shortest, four and five shingles. The radius lies over four deviations beyond; it only picks candidates.
+WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 136
 #: Fingerprints in a tile, of 64 bits and of more.
 TILE, WIDE_TILE = 4096, 16384
 
@@ -87,10 +92,9 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = shorter
 
 
-def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a tile pair (rows before and from split on; a tile with itself if split is 0) as (node, smallest node)."""
+def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of a tile pair within the radius (rows before and from split on; a tile with itself if split is 0)."""
     left, right = (np.arange(split), np.arange(split, len(fps))) if split else (np.arange(len(fps)), np.arange(len(fps)))
-    labels = np.arange(len(nodes))
     step = max(1, (1 << 21) // max(1, len(right)))
     words = fps.shape[1]
     dense = min(words, radius // 32 + 2) if words > 1 else 1  # words compared for all pairs; the rest only where still near
@@ -110,11 +114,35 @@ def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int
         if ratio:
             keep &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
         if keep.any():
-            labels = unite(labels, i[keep], j[keep])
+            yield i[keep], j[keep]
+
+
+def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a tile pair as (node, smallest node)."""
+    labels = np.arange(len(nodes))
+    for i, j in _near_pairs(fps, sizes, split, radius, ratio):
+        labels = unite(labels, i, j)
     at = np.flatnonzero(labels != np.arange(len(labels)))
     return nodes[at], nodes[labels[at]]
 
 
+def tile_candidates(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float, groups: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of a tile pair: all whose groups differ, or without groups for each node the first one."""
+    hub = np.full(len(nodes), len(nodes))
+    for i, j in _near_pairs(fps, sizes, split, radius, ratio):
+        if groups is None:
+            np.minimum.at(hub, i, j)
+            np.minimum.at(hub, j, i)
+            continue
+        keep = (groups[i] != groups[j]) & ((i < j) | bool(split))
+        if keep.any():
+            yield nodes[i[keep]], nodes[j[keep]]
+    if groups is None:
+        at = np.flatnonzero(hub < len(nodes))
+        if len(at):
+            yield nodes[at], nodes[hub[at]]
+
+
 def _near_cells(radius: int) -> list[int]:
     """Differences of cell numbers to compare with: those of population counts within the radius, one of each opposite two."""
     steps = [d for d in product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, d)) <= radius and d >= (0,) * PARTS]
@@ -126,10 +154,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for rows in batch.column(2):
-            node, fp, size = (rows.values.field(i) for i in range(3))
+            node, fp, size, *group = (rows.values.field(i) for i in range(rows.values.type.num_fields))
             fps = b"".join(fp.to_pylist())
             wide = len(fps) > 8 * len(node)
-            out.append((node.to_numpy().tobytes() if wide else b"", fps, size.to_numpy().tobytes() if wide else b""))
+            out.append((b"".join(x.to_numpy().tobytes() for x in (node, *group)) if wide else b"", fps, size.to_numpy().tobytes() if wide else b""))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [batch.column(0), batch.column(1), *[pa.array([], pa.binary())] * 3], names=["cell", "salt", "nodes", "fps", "sizes"])
 
 
@@ -137,11 +165,15 @@ def _read(blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, n
     fps = np.frombuffer(blobs[1], np.uint64).reshape(-1, words)
     if words == 1:
         return fps[:, 0].byteswap().view(np.int64), fps, np.zeros(len(fps), np.int32)
-    return np.frombuffer(blobs[0], np.int64), fps, np.frombuffer(blobs[2], np.int32)
+    return np.frombuffer(blobs[0], np.int64).reshape(-1, len(fps)).T, fps, np.frombuffer(blobs[2], np.int32)
+
 
+def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = None, candidates: str = "") -> DataFrame:
+    """Links (u, v) that connect what is within the radius. nodes: node bigint, fp binary, size int, distinct by node.
 
-def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = None) -> DataFrame:
-    """Links (u, v) that connect what is within the radius. nodes: node bigint, fp binary, size int, distinct by node."""
+    With candidates 'first' or 'all' pairs to be verified instead: one for each node and tile pair, or all between
+    different groups (a further column of nodes, component bigint).
+    """
     words = bits // 64
     if similarity:
         cell = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / -np.log(similarity) + 1e-9).cast("bigint")
@@ -155,7 +187,7 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
     # At most 17**4 cells, or one for each factor of the number of words: a bounded table.
     counts = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (TILE if words == 1 else WIDE_TILE)).cast("int").alias("tiles")), "cells")
     salted = placed.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
-    grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size")).alias("rows"))
+    grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size", *(["component"] if candidates == "all" else []))).alias("rows"))
     tiles = written(grouped.mapInArrow(lean(_tiles), "cell bigint, salt int, nodes binary, fps binary, sizes binary"), "tiles")
     blobs = ["nodes", "fps", "sizes"]
     left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), *(F.col(b).alias(f"own_{b}") for b in blobs), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
@@ -172,7 +204,14 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
                 if same and len(sides[0][0]) < 2:
                     continue
                 nodes, fps, sizes = (np.concatenate(x) for x in zip(*sides))
-                u, v = tile_links(nodes, fps, sizes, 0 if same else len(sides[0][0]), radius, ratio)
+                split = 0 if same else len(sides[0][0])
+                if candidates:
+                    for u, v in tile_candidates(nodes[:, 0], fps, sizes, split, radius, ratio, nodes[:, 1] if candidates == "all" else None):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    continue
+                if nodes.ndim > 1:
+                    nodes = nodes[:, 0]
+                u, v = tile_links(nodes, fps, sizes, split, radius, ratio)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -197,8 +236,59 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.concat(*(F.hex(F.substring(fp, 8 - i, 1)) for i in range(8))))
 
 
+def shingle_sets(rows: DataFrame, shingle: int, bits: int = 0) -> DataFrame:
+    """Of the distinct shingles of each text (row bigint, text): row, node (a hash of the set), and fp and size, or without
+    bits the sorted hashes themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in text_column(batch, "text").to_pylist()]
+            nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets], pa.int64())
+            if bits:
+                more = {"fp": pa.array([f.tobytes() for f in fold(sets, bits)], pa.binary()), "size": pa.array([len(x) for x in sets], pa.int32())}
+            else:
+                more = {"hashes": pa.array([x.tobytes() for x in sets], pa.binary())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, *more.values()], names=["row", "node", *more])
+
+    schema = "row bigint, node bigint, " + ("fp binary, size int" if bits else "hashes binary")
+    return bounded(rows.select("row", F.col("text").cast("string").alias("text"))).mapInArrow(lean(run), schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose sets (node, hashes) share at least `similarity` of all their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_hashes", "v_hashes")
+    return bounded(joined).mapInArrow(lean(run), "u bigint, v bigint")
+
+
 def deduplicated(docs: DataFrame, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, similarity: float = WIDE_SIMILARITY) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest doc_id stays (all rows of that doc_id), as do null doc_ids."""
-    groups = near_duplicates(docs, shingle, bits, radius, similarity)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    """docs without near copies: of each group of rows linked by verified similarity the one with the smallest doc_id stays
+    (null last, one of several rows of that doc_id)."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = written(shingle_sets(rows.select(F.col("_row").alias("row"), "text"), shingle, bits), "prints")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.min("row").alias("row")), "nodes")
+    pairs = written(links(nodes, bits, radius, similarity, "first"), "pairs")
+    # Every node that has a candidate is in a pair of the first round.
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("row").alias("_row")), "node")
+    texts = rows.select("_row", "text").join(wanted.select("_row"), "_row").select(F.col("_row").alias("row"), "text")
+    sets = written(shingle_sets(texts, shingle).select("node", "hashes"), "sets")
+    found = written(verified(pairs, sets, similarity), "similar")
+    grouped = nodes.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(links(written(grouped.select("node", "fp", "size", "component"), "grouped"), bits, radius, similarity, "all"), "pairs")
+    found = found.unionByName(written(verified(rest, sets, similarity), "similar"))
+    named = nodes.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    placed = prints.select(F.col("row").alias("_row"), "node").join(named, "node").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = placed.groupBy("component").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")

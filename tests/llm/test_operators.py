@@ -310,3 +310,24 @@ def test_urls(spark):
     ]
     assert rows[5]["verdict"] == "block" and rows[9]["verdict"] == "allow" and rows[4]["verdict"] == "block" and len(rows) == 40
     assert url_rules.judged(pages.where("false")).count() == 0
+
+
+def test_near_copies_are_verified_at_the_stated_similarity(spark):
+    def pair(shared, *own):
+        """Texts that share a run of words and end in words of their own: so many shingles of five words more each."""
+        base = [f"s{rng.randrange(10**9)}" for _ in range(shared + 4)]
+        return [" ".join(base + [f"o{rng.randrange(10**9)}" for _ in range(n)]) for n in own]
+
+    near = [pair(4, 0, 1), pair(8, 1, 1), pair(800, 100, 100), pair(800, 0, 200), pair(80, 10, 10)]
+    far = [pair(5, 0, 2), pair(7, 1, 1), pair(750, 125, 125), pair(790, 105, 105), pair(3, 0, 2)]
+    texts = [t for p in near + far for t in p]
+    repeated = "a b c d e f g h " * 40
+    texts += [repeated, "a b c d e f g h " * 3]  # the same set of shingles
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 4, 6, 8, *range(10, 20), 20]
+
+
+def test_near_copies_by_row(spark):
+    text = LONG[:2000]
+    kept = simhash.deduplicated(spark.createDataFrame([(1, text), (1, text), (None, text), (1, "other words"), (None, "alone")], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, text), (1, "other words"), (0, "alone")])
