@@ -28,7 +28,9 @@ from .textarrays import LOWER, PLAIN, expand, slices, text_bytes, text_column, w
 WINDOW = 10
 #: Test windows that are sent to the tasks at once (at most 120 bytes each); more are taken in further blocks.
 BLOCK = 500_000
-SEGMENT = "doc_ids array<bigint>, doc_ends array<bigint>, terms binary, term_starts binary, postings binary"
+#: Number of a row, unique in its table; input that has it keeps it.
+ROW = "_row"
+SEGMENT = "row_ids array<bigint>, doc_ids array<bigint>, doc_ends array<bigint>, terms binary, term_starts binary, postings binary"
 
 
 def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +86,11 @@ class Queries:
         self.rarity = np.argsort(often[self.windows], axis=1, kind="stable").astype(np.int16)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias(ROW), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """Segments of postings of these terms, written to the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -112,15 +119,14 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    *(pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)),
                     pa.array([first[1:]], pa.list_(pa.int64())),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (known[number[starts]], starts.astype(np.int64), places.astype(np.uint32))),
                 ],
-                names=["doc_ids", "doc_ends", "terms", "term_starts", "postings"],
+                names=["row_ids", "doc_ids", "doc_ends", "terms", "term_starts", "postings"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(bounded(rows).mapInArrow(lean(run), SEGMENT), "index")
+    return written(bounded(_numbered(docs)).mapInArrow(lean(run), SEGMENT), "index")
 
 
 def term_counts(index: DataFrame) -> dict[int, int]:
@@ -166,7 +172,7 @@ def intersect(queries: Queries, terms: np.ndarray, starts: np.ndarray, postings:
     return window, at
 
 
-MATCHES = "doc_id bigint, n_words bigint, item_ids array<string>, first array<bigint>, last array<bigint>"
+MATCHES = "row bigint, doc_id bigint, n_words bigint, item_ids array<string>, first array<bigint>, last array<bigint>"
 
 
 def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
@@ -177,8 +183,8 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
         queries = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, doc_ends = batch.column(0)[i].as_py(), np.array(batch.column(1)[i].as_py(), np.int64)
-                terms, starts, postings = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((2, np.int64), (3, np.int64), (4, np.uint32)))
+                row_ids, ids, doc_ends = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
+                terms, starts, postings = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int64), (4, np.int64), (5, np.uint32)))
                 window, at = intersect(queries, terms, starts, postings, slop)
                 doc = np.searchsorted(doc_ends, at, side="right")
                 begins = np.append(0, doc_ends[:-1])
@@ -193,16 +199,18 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
                     items.append(sorted({x for w in np.unique(window[own]) for x in queries.items[w]}))
                     firsts.append(at[own] - begins[d])
                     lasts.append(last[own] - begins[d])
-                arrays = [pa.array(ids, pa.int64()), pa.array(doc_ends - begins), pa.array(items, pa.list_(pa.string())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))]
+                arrays = [pa.array(row_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(doc_ends - begins), pa.array(items, pa.list_(pa.string())), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in MATCHES.split(", ")])
 
     return bounded(index).mapInArrow(lean(run), MATCHES)
 
 
 def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
-    """For each document doc_id, n_words, and for each block of windows the items and places found (one row a block)."""
+    """For each document row, doc_id, n_words, the items found and the places of the matches, those of all blocks together."""
     windows = written(test_windows(items, length), "tests")
     blocks = max(1, -(-windows.count() // block))
+    if blocks > 1:  # each block reads the documents again, under the same numbers
+        docs = written(_numbered(docs), "rows")
     out = None
     for b in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()  # at most about `block` windows
@@ -212,18 +220,16 @@ def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int =
         found = _search(index, queries, slop)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
-        keys = out.groupBy("doc_id", "n_words")
+        keys = out.groupBy("row", "doc_id", "n_words")
         out = keys.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "first", "last")))
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated for every document."""
-
+def _judged(docs: DataFrame, items: DataFrame, length: int, slop: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_hit, n_items, digest = [], [], []
-            for n, items, first, last in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            for n, items, first, last in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
                 change = np.zeros(n + 1, np.int64)
                 np.add.at(change, first.values.to_numpy(), 1)
                 np.add.at(change, last.values.to_numpy() + 1, -1)
@@ -231,13 +237,19 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop:
                 items = sorted(set(items))
                 n_items.append(len(items))
                 digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-            arrays = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            arrays = [*batch.columns[:3], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return bounded(matches(docs, items, length, slop, block)).mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return bounded(matches(docs, items, length, slop, block)).mapInArrow(lean(run), "row bigint, doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated for every document."""
+    return _judged(docs, items, length, slop, block).drop("row")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """docs without those that hold a test window (all rows of that doc_id); null doc_ids stay."""
-    bad = contamination(docs, items, length).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """docs without the rows that hold a test window, whatever their doc_id."""
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    bad = _judged(rows, items, length, 0, block).where("contaminated").select(F.col("row").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

@@ -331,3 +331,15 @@ def test_near_copies_by_row(spark):
     text = LONG[:2000]
     kept = simhash.deduplicated(spark.createDataFrame([(1, text), (1, text), (None, text), (1, "other words"), (None, "alone")], "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, text), (1, "other words"), (0, "alone")])
+
+
+@pytest.mark.parametrize("block", [500_000, 7])
+def test_decontamination_by_row(spark, block):
+    words = LONG.split()
+    docs = spark.createDataFrame([(1, "clean"), (1, LONG), (1, LONG), (None, LONG), (None, " ".join(words[::-1])), (None, "plain")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words[50:75])), (2, " ".join(words[200:230]))], "item_id bigint, text string")
+    found = sorted(((r["doc_id"] or 0), r["n_words"], r["n_items"]) for r in decontam.contamination(docs, items, block=block).collect())
+    assert [(d, i) for d, _, i in found if i] == [(0, 2), (1, 2), (1, 2)] and len(found) == 6
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in decontam.decontaminated(docs, items, block=block).collect()) == [(0, 5), (0, len(" ".join(words))), (1, 5)]
+    rows = lambda b: sorted(map(repr, decontam.contamination(table(spark), items, block=b).collect()))
+    assert rows(block) == rows(500_000)
