@@ -41,7 +41,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"), *winnow.DENSE)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

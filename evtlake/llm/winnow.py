@@ -20,6 +20,8 @@ from .store import bounded, lean
 from .textarrays import span_hashes, window_hashes
 
 GRAM, WINDOW = 32, 64
+#: k and w of the query over all documents: texts that share 19 code points share a hash.
+DENSE = 10, 10
 LOW = np.uint64(0xFFFFFFFF)
 
 

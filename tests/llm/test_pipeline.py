@@ -42,3 +42,8 @@ def test_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()))
+
+
+def test_winnowing_sees_half_of_short_documents(spark):
+    rows = queries.op3_winnowing(spark, SF).where("n_chars BETWEEN 38 AND 190").collect()
+    assert rows and all(r["near_edited"] > 0 for r in rows)
