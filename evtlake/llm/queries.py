@@ -16,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted, later copies of a text deleted, counts revised where outer white space falls away; the
-    deletes are sent twice and count once."""
+    """All documents inserted, later copies of a text deleted, counts of those that stay revised to those with white space
+    normalised (runs of it as one space, none outside); the deletes are sent twice and count once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    docs = docs.withColumn("digest", F.xxhash64("text")).withColumn("size", F.length("text")).withColumn("rest", F.when(trimmed != F.col("text"), trimmed))
+    plain = F.regexp_replace(F.regexp_replace("text", r"[ \t\r\n]+", " "), "^ | $", "")
+    docs = docs.withColumn("digest", F.xxhash64("text")).withColumn("size", F.length("text")).withColumn("rest", F.when(plain != F.col("text"), plain))
+    docs = docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("changed", F.col("rest").isNotNull())
     counted = token_rollup.token_counts(token_rollup.token_counts(docs), "rest", to="n_rest")
     counted = written(counted.withColumn("tokenizer", F.lit("byte_bpe_50k")), "counted")
-    first = counted.groupBy("digest", "size").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(written(first, "first"), ["digest", "size"]).where("doc_id > first")
-    revised = counted.where("n_rest > 0").select(F.lit("revise").alias("op"), "source", "lang", "tokenizer", F.col("n_rest").alias("n_tokens"), *(F.col(c).alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "n_tokens")))
+    first = written(counted.groupBy("digest", "size").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("first")).select("first"), "first")
+    copies = counted.join(first, counted["uid"] == first["first"], "left_anti")
+    stay = counted.join(first, counted["uid"] == first["first"], "left_semi")
+    revised = stay.where("changed").select(F.lit("revise").alias("op"), "source", "lang", "tokenizer", F.col("n_rest").alias("n_tokens"), *(F.col(c).alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "n_tokens")))
     revised = revised.where("n_tokens <> old_n_tokens")
     rollup = token_rollup.Rollup(spark, new_path(spark, "rollup"))
     rollup.commit(0, counted.withColumn("op", F.lit("insert")))
