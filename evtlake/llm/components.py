@@ -2,6 +2,10 @@
 
 Each round is joins and aggregations on node ids; hubs are joined as skewed keys and aggregated before the shuffle. No
 links, nodes or components pass through the driver; only a count and a checksum do, to see when nothing changes.
+
+Defined results: links of a node with itself and those with a null end are ignored; repeated links count once; without
+links there are no rows; further columns are ignored. The rounds grow with the logarithm of the longest chain; where
+`max_rounds` are not enough the result would be wrong, and an error is raised.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,13 +29,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not mark[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = written(both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        around = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.join(around, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, edges = edges, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old, around, large, least)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"components are not found after {max_rounds} rounds")
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
