@@ -1,20 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments, each a few thousand documents: the sorted terms of the tests that occur in them and for
-each term its postings (places in the segment), with the documents' bounds. Queries are windows of test words. For each
-window the postings of its rarest term (by count over all segments) are adjusted by the term's offset to candidate starts,
-and each further term's postings, the next rarest first, thin them out; with a slop, terms may stand that far from their
-place (proximity matches). Segments are searched where they lie; only test windows travel, in blocks of a stated size.
+The index is a table of segments, each a few thousand documents: the sorted terms that occur in them and for each term its
+postings (places in the segment), with the documents' bounds. It holds every word of every document, is built once and
+serves any number of tests. Queries are windows of test words. For each window the postings of its rarest term (by count
+over all segments) are adjusted by the term's offset to candidate starts, and each further term's postings, the next rarest
+first, thin them out; with a slop, terms may stand that far from their place (proximity matches). Segments are searched
+where they lie; only test windows travel, in blocks of a stated size.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased; a null text has none; an item with
 fewer words than the window is one window, one without words has none; equal windows of several items count for each;
-null item_ids are ignored; repeated items count once.
+null item_ids are ignored; repeated items count once; repeated documents and those with a null doc_id are rows of their
+own; empty tables give no rows or no matches. A very long text is a segment of its own, searched in parts; a task holds
+its words' hashes and postings (about 40 bytes a word), not more. Further columns are ignored by `contamination` and kept
+by `decontaminated`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded, lean, written
+from .store import bounded, discard, fresh, lean, written
 from .textarrays import LOWER, PLAIN, expand, slices, text_bytes, text_column, word_bounds, word_hashes
 
 WINDOW = 10
 #: Test windows that are sent to the tasks at once (at most 120 bytes each); more are taken in further blocks.
-BLOCK = 500_000
-#: Number of a row, unique in its table; input that has it keeps it.
-ROW = "_row"
+BLOCK = 250_000
+#: Candidate starts that are thinned out at once.
+CANDIDATES = 1 << 20
 SEGMENT = "row_ids array<bigint>, doc_ids array<bigint>, doc_ends array<bigint>, terms binary, term_starts binary, postings binary"
 
 
@@ -86,90 +90,85 @@ class Queries:
         self.rarity = np.argsort(often[self.windows], axis=1, kind="stable").astype(np.int16)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    return docs.select(row.alias(ROW), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """Segments of postings of these terms, written to the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Segments with the postings of all words of docs (doc_id, text), written to the shared folder. `row` names a column
+    with a number for each row; without it rows are numbered here, once, as the index is written."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.cast("bigint").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        bits = 4 * max(1, len(known))
-        bits = 1 << int(bits).bit_length()
-        slot = np.full(bits, -1, np.int32)
-        place = (known & (bits - 1)).astype(np.int64)
-        slot[place] = np.arange(len(known))
-        shadowed = known[slot[place] != np.arange(len(known))]  # terms that share a slot with a later one
         for batch in slices(batches, "text"):
             hashes, first = _hashed(batch)
-            number = slot[hashes & (bits - 1)]
-            if len(known):
-                number[known[number] != hashes] = -1
-                if len(shadowed):
-                    missed = np.flatnonzero(number < 0)
-                    at = np.minimum(np.searchsorted(shadowed, hashes[missed]), len(shadowed) - 1)
-                    hit = shadowed[at] == hashes[missed]
-                    number[missed[hit]] = np.searchsorted(known, hashes[missed[hit]])
-            places = np.flatnonzero(number >= 0)
-            order = np.argsort(number[places], kind="stable")
-            places, number = places[order], number[places[order]]
-            starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, np.int64)
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)),
                     pa.array([first[1:]], pa.list_(pa.int64())),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (known[number[starts]], starts.astype(np.int64), places.astype(np.uint32))),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (hashes[starts], starts.astype(np.uint32), order.astype(np.uint32))),
                 ],
                 names=["row_ids", "doc_ids", "doc_ends", "terms", "term_starts", "postings"],
             )
 
-    return written(bounded(_numbered(docs)).mapInArrow(lean(run), SEGMENT), "index")
+    return written(bounded(rows).mapInArrow(lean(run), SEGMENT), "index")
+
+
+def _places(blobs: Iterable[bytes], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment's terms those wanted: their places in the segment's list, and the number and counts of each."""
+    terms, starts = (np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.uint32)))
+    at = np.searchsorted(terms, wanted)
+    at = at[terms[np.minimum(at, len(terms) - 1)] == wanted] if len(terms) else at[:0]
+    return terms[at], at, starts.astype(np.int64)
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """How often each test term occurs in all documents: as many numbers as a block has terms."""
+def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """How often each of these terms occurs in all documents: as many numbers as a block has terms."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, starts = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (0, 1))
-                counts = np.diff(starts, append=batch.column(2)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+                found, at, starts = _places([batch.column(c)[i].as_py() for c in (0, 1)], shared.value)
+                counts = np.diff(starts, append=batch.column(2)[i].as_py())[at]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["term", "n"])
 
     sizes = index.select("terms", "term_starts", (F.octet_length("postings") / 4).cast("bigint").alias("n"))
     return {r["term"]: r["n"] for r in bounded(sizes).mapInArrow(lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def intersect(queries: Queries, terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in a segment, by offset-adjusted intersection from the rarest term on."""
+def intersect(queries: Queries, terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start) of all matches in a segment, by offset-adjusted intersection from the rarest term on, for some windows
+    at a time. terms, starts, postings: those of the segment that the queries hold."""
     n_words = int(postings.max()) + 1 if len(postings) else 0
     ends = np.append(starts[1:], len(postings)).astype(np.int64)
     local = np.full(len(queries.terms) + 1, -1, np.int64)  # the last stands for a place beyond a shorter window
     local[np.searchsorted(queries.terms, terms)] = np.arange(len(terms))
     found = local[queries.windows]
     alive = np.flatnonzero(((found >= 0) | (queries.windows < 0)).all(axis=1))
+    if not len(alive):
+        return
     stride = n_words + 2 * (slop + queries.windows.shape[1]) + 2
     keys = np.repeat(np.arange(len(terms)), ends - starts) * stride + postings  # sorted: by term, then place
     offset = queries.rarity[alive, 0].astype(np.int64)
     first = found[alive, offset]
     counts = ends[first] - starts[first]
-    window = np.repeat(alive, counts)
-    at = postings[expand(starts[first], counts)].astype(np.int64) - np.repeat(offset, counts)
-    keep = at >= 0
-    window, at = window[keep], at[keep]
-    for step in range(1, queries.windows.shape[1]):
-        more = queries.lengths[window] > step
-        offset = queries.rarity[window, step].astype(np.int64)
-        term = np.where(more, found[window, np.where(more, offset, 0)], 0)
-        want = term * stride + np.maximum(at + offset - slop, 0)
-        near = np.searchsorted(keys, want) if len(keys) else np.zeros(0, np.int64)
-        hit = keys[np.minimum(near, len(keys) - 1)] if len(keys) else want
-        keep = ~more | ((near < len(keys)) & (hit >= want) & (hit <= term * stride + at + offset + slop))
+    part = np.cumsum(counts) // CANDIDATES  # a window whose rarest term is frequent is a part of its own
+    for own in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(part)) + 1):
+        window = np.repeat(alive[own], counts[own])
+        at = postings[expand(starts[first[own]], counts[own])].astype(np.int64) - np.repeat(offset[own], counts[own])
+        keep = at >= 0
         window, at = window[keep], at[keep]
-    return window, at
+        for step in range(1, queries.windows.shape[1]):
+            more = queries.lengths[window] > step
+            place = queries.rarity[window, step].astype(np.int64)
+            term = np.where(more, found[window, np.where(more, place, 0)], 0)
+            want = term * stride + np.maximum(at + place - slop, 0)
+            near = np.searchsorted(keys, want)
+            hit = keys[np.minimum(near, len(keys) - 1)]
+            keep = ~more | ((near < len(keys)) & (hit >= want) & (hit <= term * stride + at + place + slop))
+            window, at = window[keep], at[keep]
+        yield window, at
 
 
 MATCHES = "row bigint, doc_id bigint, n_words bigint, item_ids array<string>, first array<bigint>, last array<bigint>"
@@ -184,8 +183,12 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row_ids, ids, doc_ends = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
-                terms, starts, postings = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int64), (4, np.int64), (5, np.uint32)))
-                window, at = intersect(queries, terms, starts, postings, slop)
+                terms, places, starts = _places([batch.column(c)[i].as_py() for c in (3, 4)], queries.terms)
+                postings = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint32)
+                counts = np.diff(starts, append=len(postings))[places]
+                postings = postings[expand(starts[places], counts)]
+                found = list(intersect(queries, terms, np.cumsum(counts) - counts, postings, slop))
+                window, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
                 doc = np.searchsorted(doc_ends, at, side="right")
                 begins = np.append(0, doc_ends[:-1])
                 last = at + queries.lengths[window] - 1
@@ -205,27 +208,31 @@ def _search(index: DataFrame, queries: Queries, slop: int) -> DataFrame:
     return bounded(index).mapInArrow(lean(run), MATCHES)
 
 
-def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
-    """For each document row, doc_id, n_words, the items found and the places of the matches, those of all blocks together."""
+def search(index: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
+    """For each document of the index row, doc_id, n_words, the items found and the places of the matches, those of all
+    blocks together."""
     windows = written(test_windows(items, length), "tests")
     blocks = max(1, -(-windows.count() // block))
-    if blocks > 1:  # each block reads the documents again, under the same numbers
-        docs = written(_numbered(docs), "rows")
     out = None
     for b in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()  # at most about `block` windows
         queries = Queries.of(rows, length)
-        index = build_index(docs, queries.terms)
-        queries.rank(term_counts(index))
+        queries.rank(term_counts(index, queries.terms))
         found = _search(index, queries, slop)
         out = found if out is None else out.unionByName(found)
+    discard(windows)
     if blocks > 1:
         keys = out.groupBy("row", "doc_id", "n_words")
         out = keys.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "first", "last")))
     return out
 
 
-def _judged(docs: DataFrame, items: DataFrame, length: int, slop: int, block: int) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
+    """`search` in an index of docs, by the numbers of its rows."""
+    return search(build_index(docs), items, length, slop, block)
+
+
+def _judged(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_hit, n_items, digest = [], [], []
@@ -240,16 +247,19 @@ def _judged(docs: DataFrame, items: DataFrame, length: int, slop: int, block: in
             arrays = [*batch.columns[:3], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit])]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return bounded(matches(docs, items, length, slop, block)).mapInArrow(lean(run), "row bigint, doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return bounded(found).mapInArrow(lean(run), "row bigint, doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 and contaminated for every document."""
-    return _judged(docs, items, length, slop, block).drop("row")
+    return _judged(matches(docs, items, length, slop, block)).drop("row")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs without the rows that hold a test window, whatever their doc_id."""
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    bad = _judged(rows, items, length, 0, block).where("contaminated").select(F.col("row").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    row = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    index = build_index(rows, row)
+    bad = written(_judged(search(index, items, length, 0, block)).where("contaminated").select(F.col("row").alias(row)), "contaminated")
+    discard(index)
+    return rows.join(bad, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
