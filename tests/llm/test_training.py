@@ -25,12 +25,6 @@ def table(spark, texts=TEXTS):
     return spark.createDataFrame(rows, DOCS)
 
 
-def stored(df, tmp_path):
-    path = str(tmp_path / "docs")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @pytest.fixture(scope="module")
 def encoder():
     return tokens.encoder()
@@ -239,19 +233,43 @@ def brute_removed(texts, n):
     return words, gone
 
 
-@pytest.mark.parametrize("n", [5, 6, 35])
-def test_substrings(spark, tmp_path, n):
+@pytest.mark.parametrize("n,least", [(5, 8), (5, 2), (6, 2), (7, 2), (12, 2), (35, 8)])
+def test_substrings(spark, n, least):
     texts = TEXTS + ["nt " * 50, " ".join(f"v{rng.randrange(3)}" for _ in range(150)), " ".join(f"v{rng.randrange(3)}" for _ in range(150))]
-    docs = stored(table(spark, texts), tmp_path)
+    docs = table(spark, texts)
     words, gone = brute_removed(texts, n)
     want = sorted((len(w), len(g), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()) for w, g in zip(words, gone))
-    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removal_report(docs, n).collect()) == want
-    kept = substrings.deduplicated(docs.select("doc_id", "text", "lang", "source", "n_chars"), n).collect()
+    assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removal_report(docs, n, least).collect()) == want
+    kept = substrings.deduplicated(docs.withColumn("spans", F.lit("own")).withColumn("uid", F.col("uid") + 6), n, least).collect()
     assert len(kept) == sum(not g or len(g) < len(w) for w, g in zip(words, gone))
+    assert {(r["uid"], r["spans"], r["hashes"]) for r in kept} == {(7, "own", "h")}
 
 
-def test_substrings_of_nothing(spark, tmp_path):
-    assert substrings.removal_report(stored(table(spark, []), tmp_path)).count() == 0
+def test_substrings_of_nothing(spark):
+    assert substrings.removal_report(table(spark, [])).count() == 0
+    assert substrings.levels(35) == [9, 18, 35] and substrings.levels(5) == [5]
+
+
+def test_substrings_with_other_splits_between_jobs(spark, tmp_path, monkeypatch):
+    """Rows keep their numbers when each job splits the files anew, as after a loss of executors."""
+    texts = [f"own{i} " + " ".join(LONG.split()[50 * (i % 40) : 50 * (i % 40) + 60]) for i in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    plain, splits = substrings.written, iter(range(1, 100))
+
+    def other_splits(df, name):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(2000 + 3001 * (next(splits) % 7)))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + next(splits) % 5))
+        return plain(df, name)
+
+    monkeypatch.setattr(substrings, "written", other_splits)
+    try:
+        rows = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.removal_report(spark.read.parquet(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    words, gone = brute_removed(texts, 35)
+    assert rows == {i: (len(w), len(g)) for i, (w, g) in enumerate(zip(words, gone))}
 
 
 @pytest.mark.parametrize("block", [500_000, 7])
