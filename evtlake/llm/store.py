@@ -49,9 +49,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
+    """df, written as Parquet to the shared folder and read again; small row groups, as tasks hold one while they write."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(32 << 20)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
