@@ -3,7 +3,10 @@ chosen, the rightmost of equal ones, with its place.
 
 Two texts that share a run of at least w + k - 1 code points share a chosen hash. Defined results: a null text counts as
 empty and has no hashes; a text shorter than k has one hash, of the whole text, at 0; one with fewer than w k-grams has
-the minimum of them all. Equal texts have equal fingerprints.
+the minimum of them all. Equal texts have equal fingerprints; repeated rows and null or repeated doc_ids are rows of their
+own; an empty table gives no rows. A very long text is handled alone, with about 40 bytes a code point in its task. Of
+further columns `fingerprints` keeps all (but the text and those named hashes and places), `edited_fingerprints` none.
+Hashes keep 32 bits: two of them are equal by chance once in four billion pairs.
 """
 
 from __future__ import annotations
@@ -69,11 +72,14 @@ def fingerprints(docs: DataFrame, column: str = "text", k: int = GRAM, w: int =
     return bounded(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`").cast("string").alias(column))).mapInArrow(lean(run), schema)
 
 
-EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes bigint"
+EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes bigint, places array<int>, edited_places array<int>"
+#: Characters of text in a batch of results.
+BATCH_CHARS = 2_000_000
 
 
 def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """For each document its fingerprint and that of its text with the last half replaced by the start of the next one.
+    """For each document its fingerprint and that of its text with the last half replaced by the start of the next one,
+    with the places of the chosen hashes.
 
     The next document by ascending doc_id, nulls first, equal doc_ids by the hash of their texts; after the last comes the
     first. Documents go to ranges of doc_id once, in order; the first document of each range is also sent to the range
@@ -105,25 +111,35 @@ def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> Data
             yield from zip(*(c.to_pylist() for c in b.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
+        types = [types[x.split()[1]] for x in EDITED.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         out: list[tuple] = []
-        last: tuple | None = None  # (bucket, doc_id, text, its hashes), waiting for the next one
+        size = 0
+        last: tuple | None = None  # (bucket, doc_id, text, its hashes and places), waiting for the next one
         for doc_id, text, at, ghost in rows_of(batches):
             if last and last[0] != at:
                 last = None
             if ghost and not last:
                 continue
-            hashes = winnow(text, k, w)[0]
+            hashes, places = winnow(text, k, w)
             if last:
-                _, own_id, own_text, own_hashes = last
+                _, own_id, own_text, own_hashes, own_places = last
                 half = len(own_text) // 2
                 edited = own_text[: len(own_text) - half] + text[:half]
-                other = winnow(edited, k, w)[0]
-                out.append((own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), text_of(own_hashes), text_of(other), likeness(own_hashes, other), likeness(own_hashes, hashes), len(own_hashes)))
-            last = None if ghost else (at, doc_id, text, hashes)
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-                out = []
+                other, other_places = winnow(edited, k, w)
+                out.append(
+                    (
+                        own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), text_of(own_hashes), text_of(other), likeness(own_hashes, other), likeness(own_hashes, hashes), len(own_hashes),
+                        own_places.astype(np.int32), other_places.astype(np.int32),
+                    )
+                )
+                size += len(own_text)
+            last = None if ghost else (at, doc_id, text, hashes, places)
+            if len(out) >= 500 or size > BATCH_CHARS:
+                yield batch(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if i in (0, 1, 7) else pa.array(c) for i, c in enumerate(zip(*out))], names=names)
+            yield batch(out)
 
     return bounded(dealt).mapInArrow(lean(run), EDITED)
