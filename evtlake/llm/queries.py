@@ -47,7 +47,8 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as responses: identifier from page_id and URL, the headers that the bytes imply."""
+    """The pages as responses: identifier from page_id and URL, the headers that the bytes imply, and one date for the whole
+    table, which has none of its own."""
     html = F.coalesce("html", F.lit(""))
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("urn:response:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("url", F.lit("")).cast("binary"))).alias("record_id"),
@@ -90,23 +91,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _warc_sql() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    """Patterns of its own; of the entities those that the supplied pages hold."""
     text = "html"
-    for p in warc.DROPPED:
-        text = f"regexp_replace({text}, {quote(p)}, ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, {quote(warc.LINE_ENDS)}, chr(10), 'g'), '<[^>]*>', ' ', 'g')"
-    for entity, sign in warc.ENTITIES:
-        text = f"replace({text}, {quote(entity)}, {quote(sign)})"
+    for pattern in (r"(?is)<script[ \t\r\n\f/>].*?(?:</script[^<>]*>?|\z)", r"(?is)<style[ \t\r\n\f/>].*?(?:</style[^<>]*>?|\z)", r"(?s)<!--.*?(?:-->|\z)"):
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    ends = r"(?i)</?(?:p|br|div|li|ul|ol|tr|table|h[1-6]|title|article|section|nav|header|footer|blockquote|pre)(?:[ \t\r\n\f/][^<>]*)?>"
+    text = f"regexp_replace(regexp_replace({text}, '{ends}', chr(10), 'g'), '</?[a-zA-Z!?][^<>]*>', ' ', 'g')"
+    title = r"regexp_extract(html, '(?is)<title(?:[ \t\r\n\f][^<>]*)?>([^<]*)', 1)"
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text, title = (f"replace({x}, '{entity}', '{sign}')" for x in (text, title))
     text = f"regexp_replace({text}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    title = f"regexp_replace(regexp_replace({title}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
     crlf = "chr(13) || chr(10)"
-    uuid = lambda k: "'urn:uuid:' || " + " || '-' || ".join(f"substr(md5('{k} ' || record_id), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    # Name-based UUIDs: the digits of MD5 with version 3 and the variant set.
+    digits = lambda k, at, n: f"substr(md5('{k} ' || record_id), {at}, {n})"
+    variant = lambda k: f"translate({digits(k, 17, 1)}, '0123456789abcdef', '89ab89ab89ab89ab')"
+    uuid = lambda k: f"'urn:uuid:' || {digits(k, 1, 8)} || '-' || {digits(k, 9, 4)} || '-3' || {digits(k, 14, 3)} || '-' || {variant(k)} || {digits(k, 18, 3)} || '-' || {digits(k, 21, 12)}"
     return f"""
 WITH responses AS (
   SELECT 'urn:response:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || md5(coalesce(url, '')) AS record_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
 parsed AS (
-  SELECT record_id, target_uri, html, {text} AS text,
-    regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<html[^>]* lang="([^"]*)"', 1) AS lang,
+  SELECT record_id, target_uri, html, {text} AS text, {title} AS title, regexp_extract(html, '(?is)<html[^<>]* lang="([^"]*)"', 1) AS lang,
     list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '') AS found FROM responses),
 linked AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS links FROM parsed),
 records AS (

@@ -2,70 +2,156 @@
 
 Input columns: record_id, target_uri, date, http_headers, payload (HTML). Both derivatives keep the response's identifier
 in refers_to, its HTTP headers in source_headers and its payload digest in source_digest, and carry a digest of their own
-block. The conversion's block is the page's text: scripts, styles and comments dropped, block ends as line ends, other
-tags removed, the common entities resolved, white space runs joined; the metadata's block is title, language and links.
+block. The conversion's block is the page's text: scripts, styles and comments dropped (those that never end, up to the
+end of the page), block ends as line ends, other tags removed, entities with a semicolon resolved, white space runs joined;
+the metadata's block is title, language and links, entities resolved too. `read_responses` and `write_records` read and
+write WARC files with Spark's text source, whose line separator is the boundary of two records.
 
 Defined results: null columns count as empty text; empty pages give both records with empty values; repeated responses
-give repeated derivatives with equal identifiers; identifiers derive from the response's, so a rerun repeats them.
+give repeated derivatives with equal identifiers; identifiers are name-based UUIDs of the response's, so a rerun repeats
+them; an empty table gives no records; further columns are ignored. Every pattern reads a page once, so the time for a very
+long page grows with its length, whatever stands in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import html as entities
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What is dropped, what ends a line, and the entities resolved, in this order.
-DROPPED = [r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>", r"(?is)<!--.*?-->"]
-LINE_ENDS = r"(?i)</?(p|br|div|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|title|article|section|nav|header|footer|blockquote|pre)[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+from .store import bounded, lean
+
+NAMES = ["record_id", "target_uri", "date", "http_headers", "payload"]
+RECORDS = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, content_length bigint, block_digest string, source_digest string, source_headers string, block string"
+# What is dropped with its content and how it ends, tags that end a line, tags, entities.
+OPENS = re.compile(r"<(!--|(?:script|style)(?=[ \t\r\n\f/>]))", re.I)
+CLOSES = {"!--": re.compile("-->"), "script": re.compile(r"</script[^<>]*>?", re.I), "style": re.compile(r"</style[^<>]*>?", re.I)}
+LINE_TAGS = "p|br|div|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|title|article|section|nav|header|footer|blockquote|pre"
+LINE_ENDS = re.compile(rf"</?(?:{LINE_TAGS})(?:[ \t\r\n\f/][^<>]*)?>", re.I)
+TAGS = re.compile(r"</?[a-zA-Z!?][^<>]*>")
+ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
+BLANKS, BREAKS = re.compile(r"[ \t\r\f\v]+"), re.compile(r" ?\n[ \n]*")
+TITLE = re.compile(r"<title(?:[ \t\r\n\f][^<>]*)?>([^<]*)", re.I)
+PAGE = re.compile(r"<html[^<>]*", re.I)
+LANG = re.compile(r"""[ \t\r\n\f]lang[ ]?=[ ]?("[^"<>]*"|'[^'<>]*'|[^ \t\r\n\f"'<>/]+)""", re.I)
+LINK = re.compile(r"""<a[ \t\r\n\f](?:[^<>]*?[ \t\r\n\f])?href[ ]?=[ ]?("[^"<>]*"|'[^'<>]*'|[^ \t\r\n\f"'<>]+)""", re.I)
+
+
+def resolved(text: str) -> str:
+    """text with its entities resolved; no-break spaces become spaces."""
+    return ENTITY.sub(lambda m: entities.unescape(m[0]), text).replace("\xa0", " ") if "&" in text or "\xa0" in text else text
+
+
+def without_hidden(page: str) -> str:
+    """The page with a space for each script, style and comment, read from left to right."""
+    out, at = [], 0
+    while found := OPENS.search(page, at):
+        out += [page[at : found.start()], " "]
+        end = CLOSES[found[1].lower()].search(page, found.end())
+        if not end:
+            return "".join(out)
+        at = end.end()
+    return "".join([*out, page[at:]])
 
 
-def page_text(html: Column) -> Column:
-    for pattern in DROPPED:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(F.regexp_replace(html, LINE_ENDS, "\n"), r"<[^>]*>", " ")
-    for entity, sign in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(sign))
-    html = F.regexp_replace(html, r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(html, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+def page_text(page: str) -> str:
+    text = TAGS.sub(" ", LINE_ENDS.sub("\n", without_hidden(page)))
+    return BREAKS.sub("\n", BLANKS.sub(" ", resolved(text))).strip(" \n")
 
 
-def _identifier(kind: str) -> Column:
-    h = F.md5(F.concat(F.lit(f"{kind} "), F.col("record_id")))
-    return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
+def page_fields(page: str) -> tuple[str, str, list[str]]:
+    """Title, language and distinct links in order."""
+    title, tag = TITLE.search(page), PAGE.search(page)
+    lang = LANG.search(tag[0]) if tag else None
+    links = dict.fromkeys(resolved(x.strip("\"'")) for x in LINK.findall(page))
+    return " ".join(resolved(title[1]).split()) if title else "", lang[1].strip("\"'") if lang else "", [x for x in links if x]
+
+
+def identifier(kind: str, record_id: str) -> str:
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{kind} {record_id}'.encode()).digest(), version=3)}"
+
+
+def _sha1(data: bytes) -> str:
+    return f"sha1:{hashlib.sha1(data).hexdigest()}"
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records for each response."""
-    names = ["record_id", "target_uri", "date", "http_headers", "payload"]
-    rows = responses.select(*(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names))
-    html = F.col("payload")
-    links = F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), 1), lambda x: x != ""))
-    rows = rows.select(
-        *names,
-        page_text(html).alias("text"),
-        F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract(html, r'(?is)<html[^>]* lang="([^"]*)"', 1).alias("lang"),
-        links.alias("links"),
-        F.concat(F.lit("sha1:"), F.sha1(html.cast("binary"))).alias("source_digest"),
-    )
-    metadata = F.concat(F.lit("title: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("lang"), F.lit("\r\noutlinks: "), F.size("links").cast("string"), F.lit("\r\n"), F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))
-    kinds = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), _identifier("metadata").alias("record"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), _identifier("conversion").alias("record"), F.lit("text/plain").alias("content_type"), F.col("text").alias("block")),
+    rows = responses.select(*(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in NAMES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for record_id, uri, date, headers, page in zip(*(c.to_pylist() for c in batch.columns)):
+                source = _sha1(page.encode())
+                title, lang, links = page_fields(page)
+                fields = f"title: {title}\r\nlanguage: {lang}\r\noutlinks: {len(links)}\r\n" + "".join(f"outlink: {x}\r\n" for x in links)
+                for kind, content, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain", page_text(page))):
+                    data = block.encode()
+                    out.append((identifier(kind, record_id), kind, record_id, uri, date, content, len(data), _sha1(data), source, headers, block))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+    return bounded(rows).mapInArrow(lean(run), RECORDS)
+
+
+def header(records: DataFrame) -> Column:
+    """The WARC header block of a record, up to the empty line."""
+    line = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
+    bracketed = lambda c: F.when(records[c] != "", F.concat(F.lit("<"), records[c], F.lit(">"))).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("WARC/1.1\r\n"),
+        line("WARC-Type", records["warc_type"]),
+        line("WARC-Record-ID", bracketed("record_id")),
+        line("WARC-Refers-To", bracketed("refers_to")),
+        line("WARC-Target-URI", records["target_uri"]),
+        line("WARC-Date", records["date"]),
+        line("WARC-Block-Digest", records["block_digest"]),
+        line("WARC-Source-Payload-Digest", records["source_digest"]),
+        # The response's own header lines, each under a prefix.
+        line("WARC-Source-Headers", F.regexp_replace(records["source_headers"], "\r?\n", " | ")),
+        line("Content-Type", records["content_type"]),
+        line("Content-Length", records["content_length"].cast("string")),
     )
-    rows = rows.select("record_id", "target_uri", "date", "http_headers", "source_digest", F.explode(kinds).alias("k"))
-    block = F.col("k.block")
+
+
+def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Records as WARC files, one for each partition."""
+    lines = records.select(F.concat(header(records), F.lit("\r\n"), records["block"]).alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def read_records(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """fields map<string,string> (header names in lower case) and block of each record in WARC files of a version.
+
+    A file's last record may lack the empty lines at its end. Blocks are text; a block that holds the boundary of two
+    records, empty lines and the version, is cut there.
+    """
+    lines = spark.read.option("lineSep", f"\r\n\r\nWARC/{version}\r\n").text(path)
+    whole = F.regexp_replace(F.regexp_replace("value", rf"^WARC/{re.escape(version)}\r\n", ""), r"\r\n\r\n$", "")
+    cut = F.instr(whole, "\r\n\r\n")
+    head = F.when(cut > 0, F.substring(whole, F.lit(1), cut - 1)).otherwise(whole)
+    block = F.when(cut > 0, F.substring(whole, cut + 4, F.length(whole))).otherwise(F.lit(""))
+    pairs = F.transform(F.filter(F.split(head, "\r\n"), lambda x: F.instr(x, ":") > 1), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    by_name = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"])))
+    return lines.select(by_name.alias("fields"), block.alias("block"))
+
+
+def read_responses(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """The responses of WARC files as `derivatives` takes them."""
+    rows = read_records(spark, path, version).where("fields['warc-type'] = 'response'")
+    cut = F.instr("block", "\r\n\r\n")
+    field = lambda name: F.coalesce(F.col("fields")[name], F.lit(""))
     return rows.select(
-        F.col("k.record").alias("record_id"),
-        "k.warc_type",
-        F.col("record_id").alias("refers_to"),
-        "target_uri",
-        "date",
-        "k.content_type",
-        F.octet_length(block).cast("bigint").alias("content_length"),
-        F.concat(F.lit("sha1:"), F.sha1(block.cast("binary"))).alias("block_digest"),
-        "source_digest",
-        F.col("http_headers").alias("source_headers"),
-        block.alias("block"),
+        F.regexp_replace(field("warc-record-id"), "^<|>$", "").alias("record_id"),
+        field("warc-target-uri").alias("target_uri"),
+        field("warc-date").alias("date"),
+        F.when(cut > 0, F.substring("block", F.lit(1), cut - 1)).otherwise(F.col("block")).alias("http_headers"),
+        F.when(cut > 0, F.substring(F.col("block"), cut + 4, F.length("block"))).otherwise(F.lit("")).alias("payload"),
     )
