@@ -2,16 +2,19 @@
 
 A change is one row: op ('insert', 'delete' or 'revise'), source, lang, tokenizer, n_tokens, and for 'revise' the former
 old_source, old_lang, old_tokenizer, old_n_tokens. `signed` turns it into additive rows (+1 or -1 document, plus or minus
-its tokens), `Rollup.commit` sums a batch before it is written, each batch in a folder of its own: a batch that was
-committed is skipped, one that broke off is written anew, so repeating any batch changes nothing.
+its tokens), `Rollup.commit` sums a batch before it is written, each batch in a folder of its own. It is written under a name of
+its own first and then renamed, which one of several writers can do: a batch that was committed is skipped, one that broke
+off is written anew, so repeating any batch changes nothing. `Rollup.compact` replaces the first batches by their sums.
 
 Defined results: null source, lang or tokenizer form groups of their own; a null count is 0; other ops are ignored; an
-empty batch commits nothing but counts as committed; repeated rows count each time; extra columns are ignored. Groups
-whose documents and tokens both sum to 0 are left out of the totals.
+empty batch or table commits nothing but counts as committed; repeated rows count each time; further columns are ignored
+by `signed` and kept by `token_counts`. Groups whose documents and tokens both sum to 0 are left out of the totals. A very
+long text is tokenized alone, in its task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded, lean
+from .store import at, bounded, lean
 from .textarrays import slices, text_column
 from .tokens import SLICE, encoder
 
@@ -59,32 +62,65 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+
+
 class Rollup:
-    """Totals in a folder of the shared store: one sub-folder of summed deltas for each committed batch."""
+    """Totals in a folder of the shared store: one sub-folder of summed deltas for each committed batch, and sums of the
+    batches up to a number."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/batch={int(batch_id)}"
-
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def _exists(self, name: str) -> bool:
+        system, where = at(self.spark, f"{self.path}/{name}")
+        return system.exists(where)
+
+    def _put(self, name: str, rows: DataFrame) -> bool:
+        """Writes rows and gives them the name at once; False if another writer did before."""
+        trial = f"{self.path}/trial-{uuid.uuid4().hex}"
+        rows.write.parquet(trial)
+        system, where = at(self.spark, trial)
+        _, final = at(self.spark, f"{self.path}/{name}")
+        # A rename onto a folder that exists fails or moves below it, as the file system has it.
+        if not system.exists(final) and system.rename(where, final):
+            _, below = at(self.spark, f"{self.path}/{name}/{where.getName()}")
+            if not system.exists(below):
+                return True
+            system.delete(below, True)
+        system.delete(where, True)
+        return False
+
+    def _compacted(self) -> int:
+        """The number up to which batches are summed; -1 if none are."""
+        system, where = at(self.spark, self.path)
+        names = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+        return max((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), default=-1)
 
     def committed(self, batch_id: int) -> bool:
-        return self._exists(f"{self._folder(batch_id)}/_SUCCESS")
+        return int(batch_id) <= self._compacted() or self._exists(f"batch={int(batch_id)}")
 
     def commit(self, batch_id: int, changes: DataFrame) -> bool:
-        """Adds a batch once; False if it had been committed before."""
-        if self.committed(batch_id):
-            return False
-        summed(signed(changes)).coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
+        """Adds a batch once; False if it had been committed before. Batch numbers count from 0."""
+        return not self.committed(batch_id) and self._put(f"batch={int(batch_id)}", summed(signed(changes)))
 
     def totals(self, batch_ids: list[int]) -> DataFrame:
-        """Totals over those of the given batches that were committed."""
-        folders = [self._folder(b) for b in dict.fromkeys(batch_ids) if self.committed(b)]
-        schema = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        """Totals over those of the given batches that were committed, and all that were compacted."""
+        upto = self._compacted()
+        names = [f"upto={upto}"] if upto >= 0 else []
+        names += [f"batch={b}" for b in dict.fromkeys(map(int, batch_ids)) if b > upto and self._exists(f"batch={b}")]
+        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], SCHEMA)
         return summed(rows).where("n_docs <> 0 OR n_tokens <> 0")
+
+    def compact(self, batch_id: int) -> None:
+        """Replaces all batches up to this one by their sums. ValueError if one of them is missing."""
+        batch_id = int(batch_id)
+        ids = list(range(self._compacted() + 1, batch_id + 1))
+        if missing := [b for b in ids if not self.committed(b)]:
+            raise ValueError(f"batches {missing} are not committed")
+        if ids:
+            former = [f"upto={ids[0] - 1}"] * (ids[0] > 0) + [f"batch={b}" for b in ids]
+            self._put(f"upto={batch_id}", self.totals(ids))
+            for name in former:
+                system, where = at(self.spark, f"{self.path}/{name}")
+                system.delete(where, True)

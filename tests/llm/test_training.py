@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import uuid
 import zlib
 
 import numpy as np
@@ -55,6 +57,13 @@ def test_rollup(spark, tmp_path, encoder):
     r.commit(2, counted.where("lang IS NULL").withColumn("op", F.lit("delete")))
     assert [x["tokenizer"] for x in r.totals([0, 1, 2]).collect()] == ["v2"]
     assert r.commit(3, counted.where("false").withColumn("op", F.lit("insert")))
+    # Compacted batches count as committed; what another writer put first stays.
+    before = sorted(map(tuple, r.totals([0, 1, 2, 3]).collect()))
+    r.compact(2)
+    assert sorted(map(tuple, r.totals([3]).collect())) == before and not r.commit(1, moved)
+    assert not r._put("batch=3", counted.select("source", "lang", "tokenizer", F.lit(1).alias("n_docs"), "n_tokens")) and sorted(map(tuple, r.totals([3]).collect())) == before
+    with pytest.raises(ValueError):
+        r.compact(5)
 
 
 def brute_components(n, linked):
@@ -135,7 +144,10 @@ def test_edited_fingerprints(spark, n):
         edited = own[: len(own) - half] + following[:half]
         assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == winnow.text_of(winnow.winnow(own)[0]) and r["edited_fingerprint"] == winnow.text_of(winnow.winnow(edited)[0])
+        assert r["places"] == winnow.winnow(own)[1].tolist() and r["edited_places"] == winnow.winnow(edited)[1].tolist()
         assert r["near_next"] == winnow.likeness(winnow.winnow(own)[0], winnow.winnow(following)[0])
+        a, b = set(winnow.winnow(own)[0].tolist()), set(winnow.winnow(edited)[0].tolist())
+        assert r["near_edited"] == (len(a & b) / len(a | b) if a | b else 1.0)
     assert winnow.edited_fingerprints(table(spark)).count() == len(TEXTS)
     assert winnow.edited_fingerprints(table(spark, [])).count() == 0
     assert winnow.fingerprints(table(spark)).count() == len(TEXTS)
@@ -312,12 +324,48 @@ def test_warc(spark):
     out = [r.asDict() for r in warc.derivatives(rows).collect()]
     text = next(r for r in out if r["warc_type"] == "conversion" and r["refers_to"] == "r1")
     meta = next(r for r in out if r["warc_type"] == "metadata" and r["refers_to"] == "r1")
-    assert text["block"] == "A & B\nUn\ndeux u u" and meta["block"] == "title: A &amp; B\r\nlanguage: fr\r\noutlinks: 1\r\noutlink: /u\r\n"
+    assert text["block"] == "A & B\nUn\ndeux u u" and meta["block"] == "title: A & B\r\nlanguage: fr\r\noutlinks: 1\r\noutlink: /u\r\n"
     assert text["source_digest"] == "sha1:" + hashlib.sha1(html.encode()).hexdigest() and text["block_digest"] == "sha1:" + hashlib.sha1(text["block"].encode()).hexdigest()
     assert text["source_headers"] == "H" and len(out) == 6 and text["record_id"] != meta["record_id"]
+    assert all(uuid.UUID(r["record_id"].removeprefix("urn:uuid:")).version == 3 for r in out)
     assert warc.derivatives(rows.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page,text", [
+    ("a<script>x <script> y</script>b", "a b"), ("a<style>p{}", "a"), ("a<!-- <script> -->b", "a b"), ("a < b > c", "a < b > c"), ("<param>x<picture>y", "x y"),
+    ("&#233;&#xE9;&eacute;&amp;lt; &amp &copy;", "\u00e9\u00e9\u00e9&lt; &amp \u00a9"), ("<p >a</P\n>b<br/>c", "a\nb\nc"), ("<SCRIPT>x</ScRiPt >b", "b"), ("<scripted>a", "a"), ("a<b", "a<b"), ("", ""),
+])
+def test_page_text(page, text):
+    assert warc.page_text(page) == text
+
+
+def test_pages_are_read_in_linear_time():
+    began = time.perf_counter()
+    for sign in ("<", "<!--", "<script>", "</script", '<a href="', "<title", "<html ", "&", " \n", "<p ", "&#1"):
+        page = sign * (2_000_000 // len(sign))
+        warc.page_text(page)
+        warc.page_fields(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_warc_files(spark, tmp_path):
+    page = "<html><title>T</title><p>eins\r\n\r\nzwei &uuml;</p></html>"
+    responses = [("urn:uuid:1", "http://a/?x=1:2", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html", page), ("urn:uuid:2", "http://b", "2024-01-02T00:00:00Z", "HTTP/1.1 200 OK", "")]
+    record = lambda r: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{r[0]}>\r\nWARC-Target-URI: {r[1]}\r\nWARC-Date: {r[2]}\r\nContent-Length: {len((r[3] + r[4]).encode()) + 4}\r\n\r\n{r[3]}\r\n\r\n{r[4]}\r\n\r\n"
+    info = "WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    (tmp_path / "in.warc").write_bytes((info + "".join(map(record, responses))).encode())
+    read = warc.read_responses(spark, str(tmp_path / "in.warc"))
+    assert sorted(map(tuple, read.collect())) == responses
+    made = warc.derivatives(read)
+    warc.write_records(made, str(tmp_path / "out"))
+    again = warc.read_records(spark, str(tmp_path / "out")).collect()
+    want = {r["record_id"]: r for r in made.collect()}
+    assert len(again) == len(want) == 4
+    for r in again:
+        w = want[r["fields"]["warc-record-id"].strip("<>")]
+        assert r["block"] == w["block"] and r["fields"]["warc-refers-to"] == f"<{w['refers_to']}>" and r["fields"]["warc-block-digest"] == w["block_digest"] and r["fields"]["content-length"] == str(w["content_length"])
+
+
 def test_urls(spark):
     urls = ["http://a.example.org/es/1", "http://example.org/en/12?x", "http://b.org/es/1", "https://X.Example.COM/fr/a#b", "http://c.com/de/1", "http://spam.net/es/2", "nothing", None, "http://notexample.org/es/", "http://z.net"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(100 + i, f"http://q{i}.example.org/es/{i}", 1) for i in range(30)], "page_id bigint, url string, uid int")
