@@ -15,11 +15,17 @@ different groups still, so that a large group of copies takes few verifications.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; one
 with fewer words than a shingle has the whole sequence as its only shingle; repeated rows are equal nodes; a null doc_id
-is linked like any other, and a component whose doc_ids are all null has component_id null.
+is linked like any other, and a component whose doc_ids are all null has component_id null; an empty table gives no rows.
+A very long text is hashed and folded in parts; its task holds the text, its words' hashes and one part. Further columns
+are ignored by `near_duplicates` and kept by `deduplicated`, whatever their names.
+
+Work: 64-bit fingerprints meet few tiles. Wide ones meet all of their size band and the next, so their comparison grows
+with the square of a band; it takes two of eight words for most pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -30,40 +36,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bounded, lean, written
+from .store import bounded, discard, fresh, lean, written
 from .textarrays import mix, slices, text_column
 
 SEED, SHINGLE, RADIUS, PARTS = 42, 3, 3, 4
 #: Wide fingerprints of the pipeline: sets of shingles of five words at a similarity of 0.8 differ in about 77 of 512 bits (standard
 #: deviation 8), at most 96 (9) for the shortest, four and five shingles. The radius lies over four deviations beyond; it only picks candidates.
 WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 136
+#: Of wide fingerprints the first words are compared first, within so many bits more than their share of the radius (five
+#: standard deviations for the shortest sets at the least similarity).
+FIRST_WORDS, FIRST_SLACK = 2, 12
 #: Fingerprints in a tile, of 64 bits and of more.
 TILE, WIDE_TILE = 4096, 16384
+#: Bytes of a text whose words are cut at once, and hashes folded at once.
+CHUNK, FOLD = 1 << 20, 1 << 16
+WHITE = re.compile(rb"[ \t-\r]")
+
+
+def _words(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, part by part."""
+    at = 0
+    while at < len(data):
+        cut = WHITE.search(data, at + CHUNK)
+        end = cut.start() if cut else len(data)
+        yield data[at:end].split()
+        at = end
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
     """XXH64 (seed 42) of the shingles of n words, A-Z lower-cased, words cut at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) >= n else [b" ".join(words)]
-    one = xxhash.xxh64_intdigest
-    return np.fromiter((one(g, SEED) for g in grams), np.uint64)
+    one, parts, carried = xxhash.xxh64_intdigest, [], []
+    for words in _words(text.encode("utf-8", "surrogatepass").lower()):
+        words = carried + words
+        parts.append(np.fromiter((one(g, SEED) for g in map(b" ".join, zip(*(words[i:] for i in range(n))))), np.uint64))
+        carried = words[max(0, len(words) - n + 1) :] if n > 1 else []
+    found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(found) and carried:  # fewer words than a shingle
+        found = np.array([one(b" ".join(carried), SEED)], np.uint64)
+    return found
+
+
+def _bits(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The bits of a fingerprint's word in each hash."""
+    values = hashes if not word else mix(hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64))
+    return np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def fold(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     """Fingerprints (rows of 64-bit words): a bit is set if it is in over half of the text's hashes; 0 without hashes."""
-    sizes = np.array([len(h) for h in hashes])
+    sizes = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros((len(hashes), bits // 64), np.uint64)
-    some = np.flatnonzero(sizes)
-    if not len(some):
-        return out
-    flat = np.concatenate(hashes)
-    starts = np.cumsum(sizes[some]) - sizes[some]
-    for word in range(bits // 64):
-        values = flat if not word else mix(flat + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64))
-        counts = np.add.reduceat(np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
-        out[some, word] = np.packbits(2 * counts > sizes[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    pack = lambda counts, n: np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    for row in np.flatnonzero(sizes > FOLD):
+        for word in range(bits // 64):
+            counts = sum(_bits(hashes[row][at : at + FOLD], word).sum(axis=0, dtype=np.int64) for at in range(0, sizes[row], FOLD))
+            out[row, word] = pack(counts[None, :], sizes[row])[0]
+    some = np.flatnonzero((sizes > 0) & (sizes <= FOLD))
+    for rows in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // FOLD)) + 1):
+        if len(rows):
+            flat = np.concatenate([hashes[r] for r in rows])
+            starts = np.cumsum(sizes[rows]) - sizes[rows]
+            for word in range(bits // 64):
+                out[rows, word] = pack(np.add.reduceat(_bits(flat, word), starts, axis=0, dtype=np.int32), sizes[rows, None])
     return out
 
 
@@ -97,15 +131,14 @@ def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, rat
     left, right = (np.arange(split), np.arange(split, len(fps))) if split else (np.arange(len(fps)), np.arange(len(fps)))
     step = max(1, (1 << 21) // max(1, len(right)))
     words = fps.shape[1]
-    dense = min(words, radius // 32 + 2) if words > 1 else 1  # words compared for all pairs; the rest only where still near
+    dense = min(words, FIRST_WORDS)  # words compared for all pairs; the rest only where still near
+    within = radius if words <= dense else min(radius, radius * dense // words + FIRST_SLACK)
     for at in range(0, len(left), step):
         rows = left[at : at + step]
         far = np.bitwise_count(fps[rows, 0][:, None] ^ fps[right, 0][None, :])
-        if dense > 1:
-            far = far.astype(np.uint16)
         for word in range(1, dense):
             far += np.bitwise_count(fps[rows, word][:, None] ^ fps[right, word][None, :])
-        i, j = np.nonzero(far <= radius)
+        i, j = np.nonzero(far <= within)
         far = far[i, j].astype(np.int64)
         i, j = rows[i], right[j]
         for word in range(dense, words):
@@ -275,20 +308,22 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, similarity: float = WIDE_SIMILARITY) -> DataFrame:
     """docs without near copies: of each group of rows linked by verified similarity the one with the smallest doc_id stays
     (null last, one of several rows of that doc_id)."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = written(shingle_sets(rows.select(F.col("_row").alias("row"), "text"), shingle, bits), "prints")
+    number = fresh(docs, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col(number).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    prints = written(shingle_sets(own.select("row", "text"), shingle, bits), "prints")
     nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.min("row").alias("row")), "nodes")
     pairs = written(links(nodes, bits, radius, similarity, "first"), "pairs")
     # Every node that has a candidate is in a pair of the first round.
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("row").alias("_row")), "node")
-    texts = rows.select("_row", "text").join(wanted.select("_row"), "_row").select(F.col("_row").alias("row"), "text")
-    sets = written(shingle_sets(texts, shingle).select("node", "hashes"), "sets")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    sets = written(shingle_sets(own.select("row", "text").join(wanted.select("row"), "row"), shingle).select("node", "hashes"), "sets")
     found = written(verified(pairs, sets, similarity), "similar")
-    grouped = nodes.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(links(written(grouped.select("node", "fp", "size", "component"), "grouped"), bits, radius, similarity, "all"), "pairs")
+    grouped = written(nodes.join(components(found), "node", "left").select("node", "fp", "size", F.coalesce("component", "node").alias("component")), "grouped")
+    rest = written(links(grouped, bits, radius, similarity, "all"), "pairs")
     found = found.unionByName(written(verified(rest, sets, similarity), "similar"))
+    discard(pairs, sets, grouped, rest)
     named = nodes.select("node").join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    placed = prints.select(F.col("row").alias("_row"), "node").join(named, "node").join(rows.select("_row", "doc_id"), "_row")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = placed.groupBy("component").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    placed = prints.select("row", "node").join(named, "node").join(own.select("row", "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = placed.groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.row").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import time
 import uuid
@@ -110,6 +111,30 @@ def test_wide_near_duplicates_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(6))
 
 
+def test_long_texts_are_folded_in_parts(monkeypatch):
+    texts = [LONG, "a b", "", " ".join(WORDS) + "\n" * 50, LONG[:900]]
+    for n in (1, 3, 5):
+        whole = [simhash.shingle_hashes(t, n) for t in texts]
+        prints = simhash.fold(whole, 128)
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "CHUNK", 7)
+            m.setattr(simhash, "FOLD", 10)
+            parts = [simhash.shingle_hashes(t, n) for t in texts]
+            assert all(np.array_equal(a, b) for a, b in zip(whole, parts)) and np.array_equal(simhash.fold(parts, 128), prints)
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint"), max_rounds=1)
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    rows = simhash.deduplicated(spark.createDataFrame([(1, "a b c", 5, "n", 7), (2, "a b c", 6, "n", 7), (3, "d", 6, "n", 7)], "doc_id bigint, text string, row bigint, node string, component int"))
+    assert rows.columns == ["doc_id", "text", "row", "node", "component"] and sorted(r["row"] for r in rows.collect()) == [5, 6]
+    kept = decontam.decontaminated(spark.createDataFrame([(1, "a b c", 5, "n"), (2, "d", 6, "n")], "doc_id bigint, text string, row bigint, terms string"), spark.createDataFrame([(1, "b c")], "item_id bigint, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(2, "d", 6, "n")]
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
@@ -378,6 +403,62 @@ def test_urls(spark):
     assert url_rules.judged(pages.where("false")).count() == 0
 
 
+def brute_rules(rows, least, min_confidence, most=3):
+    """(tokens, verdict): (confidence, support) of all rules, straight from their definition."""
+    rows = [(set(t), v) for t, v in rows if v]
+    held = {}
+    for i, (t, _) in enumerate(rows):
+        for x in t:
+            held.setdefault(x, set()).add(i)
+    known = {}
+    for n in range(1, most + 1):
+        for combo in itertools.combinations(sorted(held), n):
+            own = set.intersection(*(held[x] for x in combo))
+            for v in {rows[i][1] for i in own}:
+                hit = sum(rows[i][1] == v for i in own)
+                if hit >= least and hit / len(own) >= min_confidence:
+                    known[frozenset(combo), v] = hit / len(own), hit / len(rows)
+    return {(c, v): x for (c, v), x in known.items() if not any(w == v and d < c and known[d, w][0] >= x[0] for d, w in known)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mined_rules_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    names = [f"t{i}" for i in range(9)]
+    rows = []
+    for _ in range(150):
+        t = {x for x in names if r.random() < 0.35}
+        t |= {"u1", "u2"} if "t1" in t else set()  # always together
+        rows.append((sorted(t), None if r.random() < 0.1 else "block" if {"t1", "t2"} <= t or "t3" in t and r.random() < 0.95 else "allow"))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "uid bigint, tokens array<string>, verdict string")
+    got = {}
+    for x in url_rules.mined_rules(df, 0.02, 0.8, min_count=3).collect():
+        for combo in itertools.product(*x["items"]):
+            got[frozenset(combo), x["verdict"]] = x["confidence"], x["support"]
+    want = brute_rules(rows, 3, 0.8)
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k])) and len(got) > 5
+
+
+def test_long_urls_are_mined_in_time(spark):
+    """A URL of 40 words among 100, 30 words shared by mixed URLs, and more items than a transaction may have."""
+    words = lambda n, k=0: "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 + k)}" for i in range(n))
+    urls = [f"http://a.example.org/es/{words(40)}"] + [f"http://b{i}.example.org/{'es' if i % 2 else 'fr'}/{words(30, 3) if i % 3 else 'x'}" for i in range(100)]
+    r = random.Random(1)
+    urls += [f"http://c{i}.example.org/{'es' if r.random() < 0.5 else 'fr'}/" + "/".join(f"q{chr(97 + j)}" for j in range(26) if r.random() < 0.9) for i in range(100)]
+    began = time.perf_counter()
+    rows = url_rules.judged(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    assert len(rows) == len(urls) and time.perf_counter() - began < 60
+
+
+def test_urls_are_judged_alike_by_shuffled_rules(spark, monkeypatch):
+    urls = [(i, f"http://{'spam' if i % 3 else 'news'}{i % 7}.example.{'org' if i % 2 else 'net'}/{'es' if i % 3 else 'en'}/{i}") for i in range(300)] + [(None, None), (1, "http://x")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    rows = lambda: sorted(map(repr, url_rules.judged(pages).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(url_rules, "BROADCAST_ROWS", 0)
+    assert rows() == broadcast and any("mined_rule='" in x for x in broadcast) and len(broadcast) == 302
+
+
 def test_near_copies_are_verified_at_the_stated_similarity(spark):
     def pair(shared, *own):
         """Texts that share a run of words and end in words of their own: so many shingles of five words more each."""
