@@ -1,13 +1,16 @@
 """Licence scans with DataFrame functions alone: base phrases, and a positional rare-token index of licence templates.
 
-For each template whose mandatory phrase stands in a file, the template's own words that the file holds and that are rarest
+For each template whose mandatory phrases stand in a file, the template's own words that the file holds and that are rarest
 among all documents (highest inverse document frequency, counted over all of them) are looked up; their places meet the
 template's postings by relative position, and it is found where enough distinct words agree on one shift. Words rank by
 rarity alone, so a licence that most documents carry is found like any other.
 
-Defined results: a null text is empty: no words, no labels, score 0; an empty table gives no rows; repeated rows are
-scanned each on their own (they are numbered once, in a written table); phrases are found wherever their words stand
-consecutively. Phrases and templates below are lower-case words joined by one space.
+Defined results: a null text is empty: no words, no labels, score 0; an empty table gives no rows; repeated rows and those
+with a null doc_id are scanned each on their own (they are numbered once, in a written table); phrases are found wherever
+their words stand consecutively; words as rare as each other rank by their text; further columns are ignored. A very long
+text is one row like any other: its words are one array in its task, and only looked-up words leave it.
+
+Phrases and templates below are lower-case words joined by one space. A template's label is its name up to a slash.
 """
 
 from __future__ import annotations
@@ -20,32 +23,47 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-# Phrases of the contract and their labels; common licence texts, each with its mandatory phrases.
+# Phrases of the contract and their labels; licence texts or their notices, each with its mandatory phrases.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 TEMPLATES = {
     "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-        ["permission is hereby granted free of charge", "the rights to use copy modify merge publish distribute sublicense"],
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ["permission is hereby granted free of charge"],
     ),
-    "mit-notice": ("released under the mit license", ["under the mit license"]),
+    "mit/notice": ("released under the mit license", ["under the mit license"]),
     "apache-2": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-        ["apache license version 2", "you may not use this file except in compliance with the license"],
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ["apache license version 2"],
     ),
     "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
         ["redistribution and use in source and binary forms"],
     ),
     "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
         ["gnu general public license"],
     ),
-    "lgpl": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software for any purpose"]),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        ["gnu lesser general public license"],
+    ),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ["mozilla public license"],
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ["permission to use copy modify and or distribute this software for any purpose"],
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ["free and unencumbered software released into the public domain"],
+    ),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    "cc-by-sa": ("licensed under the creative commons attribution sharealike license cc by sa 4 0", ["creative commons attribution sharealike", "cc by sa"]),
-    "cc-by-nc": ("licensed under the creative commons attribution noncommercial license cc by nc 4 0", ["creative commons attribution noncommercial", "cc by nc"]),
+    "cc-by-sa": ("licensed under the creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    "cc-by-sa/notice": ("licensed under cc by sa 4 0", ["cc by sa"]),
+    "cc-by-nc": ("licensed under the creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    "cc-by-nc/notice": ("licensed under cc by nc 4 0", ["cc by nc"]),
     "proprietary": ("all rights reserved no part of this document may be reproduced without permission", ["all rights reserved"]),
 }
 #: Rarest words of a template looked up in a file; agreeing words and their share of those looked up that are asked.
@@ -98,11 +116,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
 
     def looked_up(template: str) -> Column:
-        """The template and its rarest words that the file holds; null without one of its mandatory phrases."""
+        """The template and its rarest words that the file holds; null where a mandatory phrase is missing."""
         text, must = TEMPLATES[template]
         by_rarity = F.array(*(F.lit(w) for w in sorted(set(text.split()), key=lambda w: (-rarity[w], w))))
         top = F.slice(F.array_intersect(by_rarity, words), 1, LOOKUPS)
-        return F.when(reduce(Column.__or__, (F.contains(padded, F.lit(f" {p} ")) for p in must)), F.struct(F.lit(template).alias("template"), top.alias("top")))
+        return F.when(reduce(Column.__and__, (F.contains(padded, F.lit(f" {p} ")) for p in must)), F.struct(F.lit(template).alias("template"), top.alias("top")))
 
     verified = F.filter(F.array(*map(looked_up, TEMPLATES)), lambda x: x.isNotNull())
     files = norm.withColumn("n_words", n_words).withColumn("base", base).withColumn("verified", verified)
@@ -118,7 +136,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     hits = hits.withColumn("top", own).where(F.array_contains("top", F.col("word")))
     agreed = hits.groupBy("uid", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.first(F.size("top")).alias("n_top"))
     agreed = agreed.withColumn("share", F.col("n") / F.col("n_top")).where((F.col("n") >= LEAST_WORDS) & (F.col("share") >= LEAST_SHARE))
-    label = F.when(F.col("template") == "mit-notice", F.lit("mit")).otherwise(F.col("template"))
+    label = F.substring_index("template", "/", 1)
     found = agreed.groupBy("uid").agg(F.collect_set(label).alias("more"), F.max("share").alias("share"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
     labels = F.array_sort(F.array_union(base_labels, F.coalesce("more", F.array().cast("array<string>"))))

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import os
 import random
+import re
 import time
 import uuid
 import zlib
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evtlake.llm import components, decontam, licenses, packing, quality, simhash, substrings, token_rollup, tokens, url_rules, warc, winnow
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, hashes string, score string, uid bigint, node string"
 rng = random.Random(5)
 WORDS = ["the", "of", "Alpha", "beta", "gamma", "É", "x1", "don't", "zeta,", "MIT", "license"]
@@ -233,7 +236,7 @@ def test_licenses(spark):
 
 
 def test_licenses_that_are_common_mixed_or_alone(spark):
-    whole = {t: text for t, (text, _) in licenses.TEMPLATES.items()}
+    whole = {t: text for t, (text, _) in licenses.TEMPLATES.items() if "/" not in t}
     labels = lambda texts: [r["labels"] for r in licenses.scanned(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")).orderBy("doc_id").collect()]
     assert labels([whole["mit"]] * 20 + ["plain text"] * 40) == ["mit"] * 20 + [""] * 40
     assert labels([whole["gpl"]]) == ["gpl"]
@@ -241,6 +244,58 @@ def test_licenses_that_are_common_mixed_or_alone(spark):
     assert labels([" and then ".join(whole[t] for t in several)] + ["plain text"] * 40)[0] == ",".join(sorted(several))
 
 
+def brute_labels(texts):
+    """Labels by the definition: all mandatory phrases, and of the rarest of a template's words that the file holds enough on one shift."""
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    held = [set(f) for f in files]
+    rarity = {w: -sum(w in h for h in held) for text, _ in licenses.TEMPLATES.values() for w in text.split()}
+    stands = lambda f, p: f" {p} " in f" {' '.join(f)} "
+    out = []
+    for f, h in zip(files, held):
+        found = {label for p, label in licenses.BASE.items() if stands(f, p)}
+        for name, (text, must) in licenses.TEMPLATES.items():
+            words = text.split()
+            top = sorted(set(words) & h, key=lambda w: (-rarity[w], w))[: licenses.LOOKUPS]
+            shifts = {}
+            for w in top:
+                for i in (i for i, x in enumerate(f) if x == w):
+                    for j in (j for j, x in enumerate(words) if x == w):
+                        shifts.setdefault(i - j, set()).add(w)
+            best = max(map(len, shifts.values()), default=0)
+            if all(stands(f, p) for p in must) and best >= licenses.LEAST_WORDS and best >= licenses.LEAST_SHARE * len(top):
+                found.add(name.split("/")[0])
+        out.append(",".join(sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_license_labels_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    words = "software license the copy rights terms public under version 2 0 general free any source files reserved".split()
+    texts = [None, "", "x" * 100_000]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randrange(4)):
+            own = r.choice(list(licenses.TEMPLATES.values()))[0].split()
+            at = r.randrange(len(own))
+            own = own if r.random() < 0.5 else own[at:] if r.random() < 0.5 else own[:at] + ["and", "more"] + own[at:]
+            parts += own + [r.choice(words) for _ in range(r.randrange(30))]
+        texts.append(r.choice([" ", "\n", "-"]).join(parts) if r.random() < 0.7 else " ".join(parts).upper())
+    rows = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [x["labels"] for x in rows] == brute_labels(texts) and sum(bool(x["labels"]) for x in rows) > 20
+
+
+def test_whole_licenses_are_found_by_text(spark):
+    """Recall on licence texts with a line of their own in front, behind and in the middle: at least 0.9, here all."""
+    names = [t for t in licenses.TEMPLATES if "/" not in t]
+    texts = []
+    for t in names:
+        w = licenses.TEMPLATES[t][0].split()
+        texts += [" ".join(["copyright", "2020", "someone", *w, "end"]), " ".join([*w[: len(w) * 3 // 4], "line", "of", "mine", *w[len(w) * 3 // 4 :]])]
+    rows = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert all(names[i // 2] in x["labels"].split(",") for i, x in enumerate(rows))
+
+
 def test_quality(spark):
     good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(200)]
     bad = [" ".join(rng.choice(WORDS).upper() + "!!" for _ in range(60)) for _ in range(100)] + ["spam " * 60] * 50
@@ -256,6 +311,13 @@ def test_quality(spark):
     assert quality.scored(docs.where("false"), labels).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
+def test_quality_on_held_out_labels(spark):
+    scores = quality.scored(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"), keep_text=False)
+    held = scores.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("quality IS NOT NULL").collect()
+    assert len(held) > 20 and np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.9
+
+
 def brute_removed(texts, n):
     words = [(t or "").split() for t in texts]
     seen = {}
@@ -313,8 +375,6 @@ def test_substrings_with_other_splits_between_jobs(spark, tmp_path, monkeypatch)
 def test_decontamination(spark, monkeypatch, block):
     items = [(1, " ".join(LONG.split()[50:75])), (2, "one"), (3, ""), (None, "the of"), (4, None), (10, " ".join(LONG.split()[60:72])), (10, " ".join(LONG.split()[60:72]))]
     rows = decontam.contamination(table(spark), spark.createDataFrame(items, "item_id bigint, text string"), block=block).collect()
-    import re
-
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     tests = {}
     for item, text in items:
