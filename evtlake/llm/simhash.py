@@ -10,8 +10,8 @@ Equal fingerprints are one node, so copies are never expanded; within a tile pai
 a link to the smallest node of each local group is kept, which loses no connection. Hot tiles are cut by salt.
 
 Wide fingerprints only pick candidates: those of distinct shingles within the radius are verified by the shingle sets
-themselves before they are linked. First each node meets one candidate of each tile, then all candidates that are in
-different groups still, so that a large group of copies takes few verifications.
+themselves before they are linked. First each node meets its nearest candidates of each tile and one that all share, then
+all candidates that are in different groups still, so that a large group of copies takes few verifications.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; one
 with fewer words than a shingle has the whole sequence as its only shingle; repeated rows are equal nodes; a null doc_id
@@ -46,6 +46,8 @@ WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 136
 #: Of wide fingerprints the first words are compared first, within so many bits more than their share of the radius (five
 #: standard deviations for the shortest sets at the least similarity).
 FIRST_WORDS, FIRST_SLACK = 2, 12
+#: Nearest candidates of a node in a tile that are verified first.
+NEAREST = 8
 #: Fingerprints in a tile, of 64 bits and of more.
 TILE, WIDE_TILE = 4096, 16384
 #: Bytes of a text whose words are cut at once, and hashes folded at once.
@@ -126,8 +128,9 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = shorter
 
 
-def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of a tile pair within the radius (rows before and from split on; a tile with itself if split is 0)."""
+def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) of a tile pair within the radius (rows before and from split on; a tile with itself if split is 0) and
+    their distances, all of an i at once."""
     left, right = (np.arange(split), np.arange(split, len(fps))) if split else (np.arange(len(fps)), np.arange(len(fps)))
     step = max(1, (1 << 21) // max(1, len(right)))
     words = fps.shape[1]
@@ -147,25 +150,30 @@ def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, rat
         if ratio:
             keep &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
         if keep.any():
-            yield i[keep], j[keep]
+            yield i[keep], j[keep], far[keep]
 
 
 def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of a tile pair as (node, smallest node)."""
     labels = np.arange(len(nodes))
-    for i, j in _near_pairs(fps, sizes, split, radius, ratio):
+    for i, j, _ in _near_pairs(fps, sizes, split, radius, ratio):
         labels = unite(labels, i, j)
     at = np.flatnonzero(labels != np.arange(len(labels)))
     return nodes[at], nodes[labels[at]]
 
 
 def tile_candidates(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float, groups: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of a tile pair: all whose groups differ, or without groups for each node the first one."""
+    """Candidates of a tile pair: all whose groups differ, or without groups for each node the nearest and the first one."""
     hub = np.full(len(nodes), len(nodes))
-    for i, j in _near_pairs(fps, sizes, split, radius, ratio):
+    for i, j, far in _near_pairs(fps, sizes, split, radius, ratio):
         if groups is None:
             np.minimum.at(hub, i, j)
             np.minimum.at(hub, j, i)
+            order = np.lexsort((far, i))
+            first = np.flatnonzero(np.append(True, np.diff(i[order]) != 0))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+            order = order[rank < NEAREST]
+            yield nodes[i[order]], nodes[j[order]]
             continue
         keep = (groups[i] != groups[j]) & ((i < j) | bool(split))
         if keep.any():
@@ -204,7 +212,7 @@ def _read(blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, n
 def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = None, candidates: str = "") -> DataFrame:
     """Links (u, v) that connect what is within the radius. nodes: node bigint, fp binary, size int, distinct by node.
 
-    With candidates 'first' or 'all' pairs to be verified instead: one for each node and tile pair, or all between
+    With candidates 'first' or 'all' pairs to be verified instead: a few for each node and tile pair, or all between
     different groups (a further column of nodes, component bigint).
     """
     words = bits // 64
