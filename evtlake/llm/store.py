@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,20 @@ def at(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+_record: list[str] | None = None
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that `new_path` gives meanwhile."""
+    global _record
+    before, _record = _record, []
+    try:
+        yield _record
+    finally:
+        _record = before
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that is not used yet, in the application's folder."""
     own = f"{shared_dir(spark)}/evtlake-{spark.sparkContext.applicationId}"
@@ -45,7 +60,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     if not system.exists(where):
         system.mkdirs(where)
         system.deleteOnExit(where)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    if _record is not None:
+        _record.append(path)
+    return path
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        system, where = at(spark, path)
+        system.delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
