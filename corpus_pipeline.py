@@ -2,44 +2,66 @@
 
 Each stage takes (spark, docs, sf_dir), reads what the one before kept and returns documents (the last one: pieces with
 their sequences). `run` applies them to the documents table, each stage's result written to the shared folder and read
-again. SQL can express neither the classifier nor the packing, so ORACLE_SQL is None and tests compare the stages with
-brute force.
+again. A stage that starts deletes the tables that the one before wrote on its way, so its result must be written by then.
+SQL can express neither the classifier nor the packing, so ORACLE_SQL is None and tests compare the stages with brute
+force.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from evtlake.llm import decontam, packing, quality, simhash, substrings
-from evtlake.llm.store import written
+from evtlake.llm.store import delete, recorded, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_former: dict[str, list[str]] = {}
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        delete(spark, _former.pop(application, []))
+        with recorded() as _former[application]:
+            return f(spark, docs.select(*COLUMNS), sf_dir)
+
+    return run
 
 
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scored(docs.select(*COLUMNS), labels).where("predicted = 1").select(*COLUMNS)
+    return quality.scored(docs, labels).where("predicted = 1").select(*COLUMNS)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
-    return simhash.deduplicated(docs.select(*COLUMNS))
+    return simhash.deduplicated(docs)
 
 
+@stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words or more that stand elsewhere too."""
-    return substrings.deduplicated(docs.select(*COLUMNS))
+    return substrings.deduplicated(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
-    return decontam.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, in sequences of 2048 tokens."""
-    return packing.packed(docs.select(*COLUMNS))
+    return packing.packed(docs)
 
 
 STAGES = [("quality", keep_good), ("near copies", drop_near_copies), ("repeats", drop_repeats), ("benchmark", drop_contaminated), ("packing", pack)]
@@ -48,6 +70,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, keep in STAGES[:-1]:
+        docs = written(keep(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
