@@ -1,7 +1,7 @@
 """Field elements ('0x' and hexadecimal digits) as typed columns.
 
 `compiled` turns a type into a column expression over an array of elements at an offset that may itself be a column, so
-that decoding stays in generated code; only arrays of elements of varying size go through Python (`decode_value`). Each
+that decoding stays in the JVM; only arrays of elements of varying size go through Python (`decode_value`). Each
 decoder gives a value and an error text, null where all is well.
 """
 
@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 @dataclass(frozen=True)
@@ -97,23 +96,41 @@ def limb(felt: Column, i: int) -> Column:
     return F.conv(F.substring(h, 49 - 16 * i, 16), 16, 10).cast("decimal(20,0)")
 
 
-@F.pandas_udf(StringType())
-def decimal_text(hex_digits: pd.Series) -> pd.Series:
-    """Decimal digits of unsigned hexadecimal ones of any length."""
-    return hex_digits.map(lambda h: None if h is None else str(int(h or "0", 16)))
+#: Decimal digits of one part of a wide integer.
+PART = 18
 
 
-@F.pandas_udf(StringType())
-def signed_text(hex_digits: pd.Series) -> pd.Series:
-    """Two's complement of 128 bits as decimal digits."""
+def decimal_text(hex_digits: Column, plus: int = 0) -> Column:
+    """Decimal digits of at most 64 hexadecimal ones without leading zeros, plus a small number; null for more.
 
-    def one(h: str | None) -> str | None:
-        if h is None:
-            return None
-        v = int(h or "0", 16)
-        return str(v - (1 << 128) if v >> 127 else v)
+    Up to 16 digits are converted at once. Of longer ones the limbs of 32 bits are multiplied by the decimal parts of their
+    weights, and the sums of each part's products are carried from the low end.
+    """
+    limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.lpad(hex_digits, 64, "0"), 57 - i * 8, F.lit(8)), 16, 10).cast("decimal(10,0)"))
+    none = F.lit(Decimal(0)).cast("decimal(38,0)")
+    weight = lambda part, i: F.lit(Decimal(2 ** (32 * i) // 10 ** (PART * part) % 10**PART)).cast("decimal(18,0)")
+    weights = F.array(*(F.array(*(weight(part, i) for i in range(8))) for part in range(5)))
+    sums = F.transform(weights, lambda own: F.aggregate(F.zip_with(limbs, own, lambda x, w: x * w), none, lambda x, y: (x + y).cast("decimal(38,0)")))
+    base = F.lit(Decimal(10**PART))
+
+    def carried(acc: Column, own: Column) -> Column:
+        whole = acc["carry"] + own
+        low = F.lpad((whole % base).cast("decimal(18,0)").cast("string"), PART, "0")
+        return F.struct(F.call_function("div", whole, base).cast("decimal(38,0)").alias("carry"), F.concat(low, acc["text"]).alias("text"))
 
-    return hex_digits.map(one)
+    start = F.struct((none + plus).cast("decimal(38,0)").alias("carry"), F.lit("").alias("text"))
+    text = F.ltrim(F.aggregate(sums, start, carried, lambda acc: acc["text"]), F.lit("0"))
+    text = F.when(F.length(hex_digits) <= 64, F.when(text == "", F.lit("0")).otherwise(text))
+    if plus:
+        return text
+    return F.when(F.length(hex_digits) <= 16, F.conv(F.when(hex_digits == "", F.lit("0")).otherwise(hex_digits), 16, 10)).otherwise(text)
+
+
+def signed_text(hex_digits: Column) -> Column:
+    """Two's complement of 128 bits as decimal digits."""
+    negative = (F.length(hex_digits) == 32) & F.substring(hex_digits, 1, 1).isin(*"89abcdef")
+    others = F.ltrim(F.translate(hex_digits, "0123456789abcdef", "fedcba9876543210"), F.lit("0"))
+    return F.when(negative, F.concat(F.lit("-"), decimal_text(others, 1))).otherwise(decimal_text(hex_digits))
 
 
 def _bits(name: str) -> int:
@@ -156,8 +173,10 @@ def compiled(kind: Kind, src: Column, at: Column | int) -> tuple[Column, Column,
     if kind.name == "unit":
         return none, none, at
     if kind.name == "u256":
-        low, high = element(at), element(_add(at, 1))
-        return decimal_text(F.concat(digits(high), F.lpad(digits(low), 32, "0"))), F.coalesce(missing(at), missing(_add(at, 1))), _add(at, 2)
+        low, high = digits(element(at)), digits(element(_add(at, 1)))
+        error = F.when((F.length(low) > 32) | (F.length(high) > 32), F.lit("value out of range for u256"))
+        value = decimal_text(F.ltrim(F.concat(high, F.lpad(low, 32, "0")), F.lit("0")))
+        return F.when(error.isNull(), value), F.coalesce(missing(at), missing(_add(at, 1)), error), _add(at, 2)
     if kind.name == "bytes":
         n = _count(element(at))
         chunks = F.transform(F.slice(src, (F.lit(at) if isinstance(at, int) else at) + 2, F.coalesce(n, F.lit(0))), lambda c: F.lpad(digits(c), 62, "0"))
@@ -209,13 +228,9 @@ def _count(felt: Column) -> Column:
     return F.when(F.length(h) <= 7, F.conv(F.when(h == "", F.lit("0")).otherwise(h), 16, 10).cast("int"))
 
 
-def _wide(kind: Kind) -> bool:
-    return kind.name in ("u128", "u256", "i128") or any(map(_wide, kind.inner))
-
-
 def in_python(kind: Kind) -> bool:
-    """Whether an array occurs of varying elements, or of integers beyond 64 bits (Spark has no Python functions in lambdas)."""
-    return (kind.name == "array" and (kind.inner[0].width is None or _wide(kind.inner[0]))) or any(map(in_python, kind.inner))
+    """Whether an array occurs whose elements vary in size."""
+    return (kind.name == "array" and kind.inner[0].width is None) or any(map(in_python, kind.inner))
 
 
 def decode_value(kind: Kind, felts: list[str], at: int) -> tuple[object, int]:
@@ -254,7 +269,10 @@ def decode_value(kind: Kind, felts: list[str], at: int) -> tuple[object, int]:
     if kind.name == "u256":
         if at + 1 >= len(felts):
             raise ValueError("not enough elements")
-        return str(v + (int(felts[at + 1], 16) << 128)), at + 2
+        high = int(felts[at + 1], 16)
+        if v >> 128 or high >> 128:
+            raise ValueError("value out of range for u256")
+        return str(v + (high << 128)), at + 2
     if kind.name == "felt":
         return hex(v), at + 1
     if kind.name == "bool":
@@ -281,14 +299,42 @@ def spark_type(kind: Kind) -> str:
     return "bigint" if kind.name in ("u8", "u16", "u32", "i8", "i16", "i32", "i64") else "string"
 
 
-def numeric(text: Column) -> Column:
-    """Metadata as decimal(38,0): numbers, decimal text, or '0x' text of at most 16 digits, longer ones by decimal text; null if none."""
-    text = text.cast("string")
-    is_hex = text.startswith("0x") | text.startswith("0X")
-    h = digits(text)
-    short = F.conv(F.when(is_hex & (F.length(h) <= 16), F.when(h == "", F.lit("0")).otherwise(h)), 16, 10).try_cast("decimal(38,0)")
-    long = decimal_text(F.when(is_hex & (F.length(h) > 16), h)).try_cast("decimal(38,0)")
-    return F.when(is_hex & text.rlike("^0[xX][0-9a-fA-F]+$"), F.coalesce(short, long)).otherwise(text.try_cast("decimal(38,0)"))
+def number_text(text: Column) -> Column:
+    """Metadata as plain decimal text of any length: integers, fractions, '0x' text; with an exponent what 38 digits, 18 of
+    them a fraction, hold; null if it is no number."""
+    text = F.trim(text.cast("string"))
+    plain = text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$")
+    scaled = text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$")
+    short = F.when(scaled, text).try_cast("decimal(38,18)").cast("string")
+    return F.when(text.rlike("^0x[0-9a-fA-F]+$"), decimal_text(digits(text))).when(plain, text).when(scaled, short)
+
+
+def _size(text: Column) -> tuple[Column, Column]:
+    """Whether plain decimal text is below zero, and a value that orders like its size."""
+    body = F.regexp_replace(text, "^[+-]", "")
+    whole = F.ltrim(F.substring_index(body, ".", 1), F.lit("0"))
+    part = F.rtrim(F.when(F.contains(body, F.lit(".")), F.substring_index(body, ".", -1)).otherwise(F.lit("")), F.lit("0"))
+    return text.startswith("-") & ((whole != "") | (part != "")), F.struct(F.length(whole).alias("n"), whole.alias("whole"), part.alias("part"))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f takes it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def compared(a: Column, b: Column) -> Column:
+    """(less: a < b, equal: a = b) of plain decimal texts, exact at any length; both null if one of them is."""
+
+    def sized(p: Column) -> Column:
+        (a_below, a_size), (b_below, b_size) = _size(p["a"]), _size(p["b"])
+        known = p["a"].isNotNull() & p["b"].isNotNull()
+        return let(F.struct(known.alias("known"), a_below.alias("a_below"), a_size.alias("a"), b_below.alias("b_below"), b_size.alias("b")), decided)
+
+    def decided(s: Column) -> Column:
+        less = F.when(s["a_below"] & ~s["b_below"], True).when(~s["a_below"] & s["b_below"], False).when(s["a_below"], s["b"] < s["a"]).otherwise(s["a"] < s["b"])
+        return F.struct(F.when(s["known"], less).alias("less"), F.when(s["known"], (s["a_below"] == s["b_below"]) & (s["a"] == s["b"])).alias("equal"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), sized)
 
 
 def any_error(errors: list[Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,8 +48,8 @@ def member_columns(kinds: list[tuple[str, str, Kind]]) -> tuple[list[Column], Co
     return values, any_error(errors)
 
 
-def _decoded_in_python(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
-    """The same for types that generated code does not reach: one Arrow function for all members of an event."""
+def _in_json(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
+    """rows with decode_json and decode_error, for types that expressions do not reach: one Arrow function for all members."""
     parts = [p for p in ("keys", "data", "result") if p in rows.columns]
 
     @F.pandas_udf("struct<value:string,decode_error:string>")
@@ -67,9 +68,16 @@ def _decoded_in_python(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> D
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["value", "decode_error"])
 
-    schema = "struct<" + ",".join(f"`{m}`:{spark_type(k)}" for _, m, k in kinds) + ">"
-    rows = rows.withColumn("_d", decode(*(F.col(p) for p in parts)))
-    return rows.withColumn("_v", F.from_json("_d.value", schema)).select(*rows.columns[:-1], *(F.col(f"_v.`{m}`").alias(m) for _, m, _ in kinds), F.col("_d.decode_error").alias("decode_error"))
+    return rows.withColumn("_d", decode(*(F.col(p) for p in parts))).select(*rows.columns, F.col("_d.value").alias("decode_json"), F.col("_d.decode_error").alias("decode_error"))
+
+
+def _struct_type(kinds: list[tuple[str, str, Kind]]) -> str:
+    return "struct<" + ",".join(f"`{m}`:{spark_type(k)}" for _, m, k in kinds) + ">"
+
+
+def _decoded_in_python(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
+    value = F.from_json("decode_json", _struct_type(kinds))
+    return _in_json(rows, kinds).withColumn("_v", value).select(*rows.columns, *(F.col(f"_v.`{m}`").alias(m) for _, m, _ in kinds), "decode_error")
 
 
 def decoded(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
@@ -94,49 +102,46 @@ def kinds_of(catalog: DataFrame, types: dict[str, Types]) -> dict[tuple[str, str
     return out
 
 
-def decode_events(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """({event: typed rows}, failed rows): failed rows keep their raw form and the error, and take no log_index."""
-    kinds = kinds_of(catalog, _types(catalog))
+def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+    """(decoded rows, failed rows, {event: members}), all events in one pass: metadata and for each event one struct, null in
+    rows of others (true for an event without members). Failed rows keep their raw form and the error, and take no log_index.
+
+    Only events with a type that expressions do not reach go through Python; all are numbered together.
+    """
+    kinds = {k: m for k, m in kinds_of(catalog, _types(catalog)).items() if not any(p == "output" for p, _, _ in m)}
+    for r in catalog.where("kind = 'event' AND type_name IS NULL").select("abi_name", "name").distinct().collect():  # interface files
+        kinds.setdefault((r["abi_name"], r["name"]), [])
     rows = matched(raw, contracts, catalog, rules)
-    if not any(in_python(k) for members in kinds.values() for _, _, k in members):
-        return _decode_in_one_pass(rows, kinds)
-    parts: dict[str, DataFrame] = {}
-    checks: list[DataFrame] = []
-    for (abi, event), members in kinds.items():
-        if any(p == "output" for p, _, _ in members):
-            continue
-        own = decoded(rows.where((F.col("abi_name") == abi) & (F.col("event_name") == event)), members)
-        key = event if event not in parts else f"{abi}_{event}"
-        parts[key] = own
-        checks.append(own.select(*rows.columns, "decode_error"))
-    every = checks[0]
-    for c in checks[1:]:
-        every = every.unionByName(c)
-    numbers = with_log_index(every.where("decode_error IS NULL")).select("block_number", "event_seq", "log_index")
-    out = {}
-    for event, own in parts.items():
-        members = [c for c in own.columns if c not in rows.columns and c != "decode_error"]
-        good = own.where("decode_error IS NULL").join(numbers, ["block_number", "event_seq"])
-        time = F.col("timestamp") if "timestamp" in raw.columns else F.lit(0).cast("bigint")
-        out[event] = good.select("block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name", *members)
-    return out, every.where("decode_error IS NOT NULL")
-
-
-def _decode_in_one_pass(rows: DataFrame, kinds: dict[tuple[str, str], list[tuple[str, str, Kind]]]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Errors of all events in one column, so that rows are numbered once; then each event's own columns."""
-    error, events = F.lit(None).cast("string"), {}
-    for (abi, event), members in kinds.items():
-        if any(p == "output" for p, _, _ in members):
+    own = {k: (F.col("abi_name") == k[0]) & (F.col("event_name") == k[1]) for k in kinds}
+    slow = [k for k, members in kinds.items() if any(in_python(kind) for _, _, kind in members)]
+    error, values = F.lit(None).cast("string"), {}
+    for k, members in kinds.items():
+        if k in slow:
+            values[k] = F.from_json("decode_json", _struct_type(members))
             continue
-        own = (F.col("abi_name") == abi) & (F.col("event_name") == event)
-        values, failure = member_columns(members)
-        error = F.when(own, failure).otherwise(error)
-        events[event if event not in events else f"{abi}_{event}"] = (own, values)
-    every = rows.withColumn("decode_error", error)
+        columns, failure = member_columns(members)
+        error = F.when(own[k], failure).otherwise(error)
+        values[k] = F.struct(*columns) if columns else F.lit(True)
+    every = rows.withColumn("decode_json", F.lit(None).cast("string")).withColumn("decode_error", error)
+    if slow:
+        every = reduce(DataFrame.unionByName, (_in_json(rows.where(own[k]), kinds[k]) for k in slow), every.where(~reduce(Column.__or__, (own[k] for k in slow))))
     good = with_log_index(every.where("decode_error IS NULL"))
-    time = F.col("timestamp") if "timestamp" in rows.columns else F.lit(0).cast("bigint")
-    metadata = ["block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name"]
-    return {name: good.where(own).select(*metadata, *values) for name, (own, values) in events.items()}, every.where("decode_error IS NOT NULL")
+    time = F.col("timestamp") if "timestamp" in raw.columns else F.lit(0).cast("bigint")
+    names: dict[tuple[str, str], str] = {}
+    for abi, event in kinds:
+        names[abi, event] = event if event not in names.values() else f"{abi}_{event}"
+    wide = good.select(
+        "block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name",
+        *(F.when(own[k], values[k]).alias(names[k]) for k in kinds),
+    )
+    return wide, every.where("decode_error IS NOT NULL").drop("decode_json"), {names[k]: [m for _, m, _ in members] for k, members in kinds.items()}
+
+
+def decode_events(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """({event: typed rows}, failed rows) of `decode_wide`. Store its rows first where several events are read."""
+    wide, failed, events = decode_wide(raw, contracts, catalog, rules)
+    rows = {e: wide.where(F.col(f"`{e}`").isNotNull()) for e in events}
+    return {e: rows[e].select(*METADATA, "contract_name", *(F.col(f"`{e}`.`{m}`").alias(m) for m in members)) for e, members in events.items()}, failed
 
 
 def _types(catalog: DataFrame) -> dict[str, Types]:

@@ -6,27 +6,10 @@ contract), meta_field, op, value (decimal text or hex).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.felt import canonical, numeric
-
-SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
-
-
-def resolved_value(text: str, now: int) -> int:
-    """A number, hexadecimal or decimal, or now() with an optional offset such as '- 2d'. ValueError if it is none."""
-    text = text.strip()
-    if m := re.fullmatch(r"now\(\)(?:\s*([+-])\s*(\d+)([smhd]))?", text):
-        return now + (0 if not m[1] else (1 if m[1] == "+" else -1) * int(m[2]) * SECONDS[m[3]])
-    if re.fullmatch(r"0[xX][0-9a-fA-F]+", text):
-        return int(text, 16)
-    if re.fullmatch(r"-?\d+", text):
-        return int(text)
-    raise ValueError(f"no number: {text!r}")
-
+from ..functions.felt import canonical, compared, let, number_text
 
 def _triggers(rows: DataFrame) -> DataFrame:
     """The first trigger of each contract."""
@@ -51,23 +34,31 @@ def sibling_triggers(events: DataFrame, rules: DataFrame, contracts: DataFrame)
     return _triggers(events.drop("contract_name").withColumn("emitter", canonical(F.col("contract_address"))).join(own, ["emitter", "event_name"]))
 
 
-def _meets(value: Column, op: Column, bound: Column) -> Column:
-    return F.coalesce(F.when(op == "lt", value < bound).when(op == "gt", value > bound).when(op == "lte", value <= bound).when(op == "gte", value >= bound).when(op == "eq", value == bound), F.lit(False))
-
-
-def predicate_matches(contracts: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """Names of contracts whose metadata meets a predicate; a missing field or a value that is no number meets none."""
-    text = F.trim("value")
+def resolved(value: Column, now: int) -> Column:
+    """A rule's value as plain decimal text: a number, or now() with an optional offset such as '- 2d'; null if it is none."""
+    text = F.trim(value)
     sign = F.regexp_extract(text, r"^now\(\)\s*([+-])", 1)
     count = F.regexp_extract(text, r"(\d+)[smhd]$", 1).try_cast("bigint")
     unit = F.regexp_extract(text, r"([smhd])$", 1)
     seconds = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
     moved = F.lit(now) + F.when(sign == "-", -1).otherwise(1) * count * seconds
-    bound = F.when(text == "now()", F.lit(now)).when(text.rlike(r"^now\(\)\s*[+-]\s*\d+[smhd]$"), moved).cast("decimal(38,0)")
-    own = rules.where("kind = 'predicate'").withColumn("bound", F.when(text.startswith("now()"), bound).otherwise(numeric(text)))
+    time = F.when(text == "now()", F.lit(now)).when(text.rlike(r"^now\(\)\s*[+-]\s*\d+[smhd]$"), moved)
+    return F.when(text.startswith("now()"), time.cast("string")).otherwise(number_text(text))
+
+
+def predicate_matches(contracts: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """Names of contracts whose metadata meets a predicate; a missing field or a value that is no number meets none. Numbers
+    of any length, with fractions, compare exactly."""
+    own = rules.where("kind = 'predicate'").withColumn("bound", resolved(F.col("value"), now))
     joined = own.join(contracts.select("contract_name", "factory_meta"), "contract_name")
-    value = numeric(F.col("factory_meta")[F.col("meta_field")])
-    return joined.where(_meets(value, F.col("op"), F.col("bound"))).select("contract_name").distinct()
+    op = F.col("op")
+
+    def holds(c: Column) -> Column:
+        less, equal = c["less"], c["equal"]
+        return F.when(op == "lt", less).when(op == "gt", ~(less | equal)).when(op == "lte", less | equal).when(op == "gte", ~less).when(op == "eq", equal)
+
+    meets = let(compared(number_text(F.col("factory_meta")[F.col("meta_field")]), F.col("bound")), holds)
+    return joined.where(F.coalesce(meets, F.lit(False))).select("contract_name").distinct()
 
 
 def reconciled(events: DataFrame, rules: DataFrame, contracts: DataFrame, now: int) -> DataFrame:

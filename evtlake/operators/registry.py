@@ -18,20 +18,24 @@ def hex_prefixed(address: Column) -> Column:
 
 
 def named(template: str, values: dict[str, Column]) -> Column:
-    """A template with {names} replaced."""
+    """A template with {names} replaced, one name after the other; where a value is null its name stays."""
     out = F.lit(template)
     for name, value in values.items():
-        if "{" + name + "}" in template:
-            out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+        out = F.coalesce(F.replace(out, F.lit("{" + name + "}"), value.cast("string")), out)
     return out
 
 
+def short_hex(address: Column) -> Column:
+    """The last eight digits, without the prefix."""
+    return F.right(F.regexp_replace(address, "^0x", ""), F.lit(8))
+
+
 def children(events: DataFrame, factory: str, event: str, field: str, child_abi: str, template: str = "{factory}_{short_address}", shared: bool = False) -> DataFrame:
     """Child contracts of one rule: every event with the address field; all other decoded fields are their metadata."""
     fields = [c for c in events.columns if c not in META and c != field]
     rows = events.where((F.col("event_name") == event) & F.col(field).isNotNull()).withColumn("address", hex_prefixed(F.col(field)))
     meta = F.map_filter(F.create_map(*(x for c in fields for x in (F.lit(c), F.col(c).cast("string")))), lambda k, v: v.isNotNull()) if fields else F.create_map().cast("map<string,string>")
-    values = {"factory": F.lit(factory), "short_address": F.right(F.col("address"), F.lit(8)), **{c: F.col(c) for c in fields}}
+    values = {"factory": F.lit(factory), "short_address": short_hex(F.col("address")), **{c: F.col(c) for c in fields}}
     return rows.select(
         named(template, values).alias("contract_name"), F.col("address").alias("contract_address"), F.lit(child_abi).alias("abi_name"), F.col("block_number").alias("start_block"), "log_index",
         F.lit(factory).alias("factory_name"), meta.alias("factory_meta"), F.lit(shared).alias("shared"), F.lit(True).alias("dynamic"),
@@ -45,18 +49,27 @@ def first_registrations(found: DataFrame, registry: DataFrame | None = None) ->
     return rows if registry is None else rows.join(registry.select("contract_name"), "contract_name", "left_anti")
 
 
-def deployments(raw: DataFrame, version: int | None = None) -> DataFrame:
-    """Deployer events by layout: address and class_hash; other shapes are skipped."""
+def deployments(raw: DataFrame, version: int | None = None, address_key: int | None = None, address_data: int | None = None, class_hash_key: int | None = None, class_hash_data: int | None = None) -> DataFrame:
+    """Deployer events by layout: address and class_hash; other shapes are skipped.
+
+    Without a version the layout is told by the shape; the places of the address and the class hash in keys or data (from 0,
+    data before keys) may then be given. A place beyond the event skips it.
+    """
     key, data = (lambda i: F.try_element_at("keys", F.lit(i + 1))), (lambda i: F.try_element_at("data", F.lit(i + 1)))
     one = F.size("keys") >= 4 if version is None else F.lit(version == 1)
     zero = (F.size("keys") == 1) & (F.size("data") >= 4) if version is None else F.lit(version == 0)
-    pick = F.when(one, F.struct(key(1).alias("address"), data(0).alias("class_hash"))).when(zero, F.struct(data(0).alias("address"), data(3).alias("class_hash")))
+    layouts = [[key(1), data(0)], [data(0), data(3)]]
+    for i, (in_keys, in_data) in enumerate([(address_key, address_data), (class_hash_key, class_hash_data)] if version is None else []):
+        if in_keys is not None or in_data is not None:
+            layouts[0][i] = layouts[1][i] = data(in_data) if in_data is not None else key(in_keys)
+    one_at, zero_at = (F.struct(a.alias("address"), c.alias("class_hash")) for a, c in layouts)
+    pick = F.when(one, one_at).when(zero, zero_at)
     return raw.withColumn("d", pick).where("d.address IS NOT NULL AND d.class_hash IS NOT NULL").select("block_number", "event_seq", F.col("d.address").alias("contract_address"), F.col("d.class_hash").alias("class_hash"))
 
 
-def discovered(found: DataFrame, watched: DataFrame, template: str = "{group}_{address_short}") -> DataFrame:
+def discovered(found: DataFrame, watched: DataFrame, template: str = "{class_hash_short}_{address_short}") -> DataFrame:
     """Registry rows of deployments with a watched class hash. watched: class_hash, group, abi_name, shared."""
-    values = {"class_hash_short": F.right("class_hash", F.lit(8)), "address_short": F.right("contract_address", F.lit(8)), "class_hash": F.col("class_hash"), "address": F.col("contract_address"), "group": F.col("group")}
+    values = {"class_hash_short": short_hex(F.col("class_hash")), "address_short": short_hex(F.col("contract_address")), "class_hash": F.col("class_hash"), "address": F.col("contract_address"), "group": F.nullif("group", F.lit(""))}
     rows = found.join(watched, "class_hash")
     return rows.select(
         named(template, values).alias("contract_name"), "contract_address", "abi_name", F.col("block_number").alias("start_block"), F.col("event_seq").alias("log_index"),

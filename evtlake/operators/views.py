@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["contract_address", "function"]
+#: A bucket of time of a view that is read in one task.
+BUCKET_SECONDS = 86_400
 
 
 def interval_snapshots(readings: DataFrame, seconds: int) -> DataFrame:
@@ -34,25 +36,36 @@ def triggers(events: DataFrame, rules: DataFrame) -> DataFrame:
     return live.join(rules, ["emitter", "event_name"]).select(*KEYS, "ts", "block_number").distinct()
 
 
-def ticks(asked: DataFrame, seconds: int, until: int) -> DataFrame:
-    """Forced readings: every `seconds` after each trigger until the next one of the same view (or `until`)."""
-    following = F.coalesce(F.lead("ts").over(Window.partitionBy(*KEYS).orderBy("ts", "block_number")), F.lit(until))
-    rows = asked.withColumn("next_ts", following).where(F.col("next_ts") - F.col("ts") > seconds)
+def ticks(asked: DataFrame, seconds: int, until: int, bucket: int = BUCKET_SECONDS) -> DataFrame:
+    """Forced readings: every `seconds` after each trigger until the next one of the same view (or `until`), which is sought in
+    the trigger's bucket of time, then in a table of one row a bucket."""
+    rows = asked.withColumn("bucket", F.expr(f"ts div {int(bucket)}"))
+    firsts = rows.groupBy(*KEYS, "bucket").agg(F.min("ts").alias("first"))
+    firsts = firsts.withColumn("later", F.lead("first").over(Window.partitionBy(*KEYS).orderBy("bucket"))).drop("first")
+    own = F.lead("ts").over(Window.partitionBy(*KEYS, "bucket").orderBy("ts", "block_number"))
+    rows = rows.withColumn("own", own).join(firsts, [*KEYS, "bucket"]).withColumn("next_ts", F.coalesce("own", "later", F.lit(until)))
+    rows = rows.where(F.col("next_ts") - F.col("ts") > seconds)
     return rows.select(*KEYS, F.explode(F.sequence(F.col("ts") + seconds, F.col("next_ts") - 1, F.lit(seconds).cast("bigint"))).alias("ts"), "block_number")
 
 
 def reorg_triggers(views: DataFrame, reorgs: DataFrame) -> DataFrame:
-    """Every view is read again after a reorg. reorgs: start_block, ts (one row a notice)."""
-    return views.select(*KEYS).distinct().crossJoin(F.broadcast(reorgs.select("ts", F.col("start_block").alias("block_number"))))  # a few notices
+    """Every view is read again after a reorg, so the result has a row for each view and notice. reorgs: start_block, ts."""
+    return views.select(*KEYS).distinct().crossJoin(reorgs.select("ts", F.col("start_block").alias("block_number")))
 
 
-def readings_at(asked: DataFrame, readings: DataFrame) -> DataFrame:
-    """The first reading at or after each trigger, by one ordered pass over each view's union of both."""
+def readings_at(asked: DataFrame, readings: DataFrame, bucket: int = BUCKET_SECONDS) -> DataFrame:
+    """The first reading at or after each trigger, by one ordered pass over the union of both in each bucket of time of a view;
+    where a bucket has none later, the first reading of the next bucket with one, from a table of one row a bucket."""
     a = asked.select(*KEYS, "ts", F.lit(None).cast("bigint").alias("block_number"), F.lit(None).cast("array<string>").alias("result"), F.lit(True).alias("asked"))
     r = readings.select(*KEYS, "ts", "block_number", "result", F.lit(False).alias("asked"))
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("ts"), F.asc("asked"), F.desc("block_number"))
-    later = F.last(F.when(~F.col("asked"), F.struct("ts", "block_number", "result")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = a.unionByName(r).withColumn("r", later).where("asked AND r IS NOT NULL")
+    both = a.unionByName(r).withColumn("bucket", F.expr(f"ts div {int(bucket)}"))
+    reading = F.when(~F.col("asked"), F.struct("ts", "block_number", "result"))
+    order = Window.partitionBy(*KEYS, "bucket").orderBy(F.desc("ts"), F.asc("asked"), F.desc("block_number"))
+    later = F.last(reading, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    firsts = both.groupBy(*KEYS, "bucket").agg(F.min_by(reading, F.when(~F.col("asked"), F.struct("ts", "block_number"))).alias("first"))
+    after = Window.partitionBy(*KEYS).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("next", F.last("first", ignorenulls=True).over(after)).select(*KEYS, "bucket", "next")
+    rows = both.withColumn("r", later).where("asked").join(firsts, [*KEYS, "bucket"]).withColumn("r", F.coalesce("r", "next")).where("r IS NOT NULL")
     return rows.select(*KEYS, F.col("ts").alias("asked_ts"), F.col("r.ts").alias("ts"), F.col("r.block_number").alias("block_number"), F.col("r.result").alias("result"))
 
 

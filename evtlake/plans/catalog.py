@@ -13,6 +13,7 @@ from ..functions import felt
 from ..operators import changelog as ch
 from ..operators import decode, lifecycle, query, registry, tables, views
 from ..schemas import Aggregate, Filter, Query
+from ..sources import abi
 from ..sources import events as src
 from ..streaming import streams
 from . import adapters as ad
@@ -147,11 +148,9 @@ add("timestamp_enrich", lambda s, d: src.with_timestamps(raw(s, d).drop("timesta
 
 
 def _decode(s: SparkSession, d: str) -> DataFrame:
-    decoded, _ = decode.decode_events(raw(s, d).drop("event_name", "contract_name"), ad.contracts(s), ad.catalog(s), tables.expanded_rules(ad.rules(s), ad.catalog(s), ad.contracts(s)))
-    out = None
-    for df in decoded.values():
-        out = df if out is None else out.unionByName(df)
-    return out.withColumn("amount_cents", F.col("amount_cents").cast("bigint"))
+    wide, _, events = decode.decode_wide(raw(s, d).drop("event_name", "contract_name"), ad.contracts(s), ad.catalog(s), tables.expanded_rules(ad.rules(s), ad.catalog(s), ad.contracts(s)))
+    member = lambda m: F.coalesce(*(F.col(f"`{e}`.`{m}`") for e in events))
+    return wide.select(*decode.METADATA, "contract_name", member("account").alias("account"), member("amount_cents").cast("bigint").alias("amount_cents"), member("k").alias("k"))
 
 
 add("decode_events", _decode, "SELECT block_number, transaction_hash, log_index, \"timestamp\", contract_address, event_name, status, contract_name, account, amount_cents, k FROM L")
@@ -181,10 +180,18 @@ low = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
 add("decode_u64", _typed([("v", "u64")], lambda: F.array(low(F.col("amount_cents")))), "SELECT event_id, CAST(amount_cents AS DECIMAL(20,0)) AS v, NULL::VARCHAR AS decode_error FROM L")
 add("decode_i32", _typed([("v", "i32")], lambda: F.array(low(F.when(F.col("k") > 50, F.lit(2**32) - F.col("k")).otherwise(F.col("k"))))), "SELECT event_id, CASE WHEN k > 50 THEN -k ELSE k END AS v, NULL::VARCHAR AS decode_error FROM L")
 add("decode_bool", _typed([("v", "bool")], lambda: F.array(low(F.col("k") % 2))), "SELECT event_id, k % 2 = 1 AS v, NULL::VARCHAR AS decode_error FROM L")
-add("decode_array", _typed([("v", "core::array::Array::<u64>")], lambda: F.concat(F.array(low(F.col("k") % 3)), F.slice(F.array(low(F.col("k")), low(F.col("amount_cents"))), F.lit(1), (F.col("k") % 3).cast("int")))), None)
-add("decode_array_size", lambda s, d: QUERIES["decode_array"](s, d).select("event_id", F.size("v").cast("bigint").alias("n"), F.array_max("v").cast("bigint").alias("most")), "SELECT event_id, k % 3 AS n, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN k ELSE greatest(k, amount_cents) END AS most FROM L")
-add("decode_enum", _typed([("v", "Choice")], lambda: F.array(low(F.col("k") % 2), low(F.col("k"))), '[{"type": "enum", "name": "Choice", "variants": [{"name": "None", "type": "()"}, {"name": "Some", "type": "u8"}]}]'), None)
-add("decode_enum_parts", lambda s, d: QUERIES["decode_enum"](s, d).select("event_id", "v.variant", "v.value"), "SELECT event_id, CASE WHEN k % 2 = 1 THEN 'Some' ELSE 'None' END AS variant, CASE WHEN k % 2 = 1 THEN CAST(k AS VARCHAR) END AS value FROM L")
+for bits in (8, 16, 64):  # k, negative above 50
+    value = "CASE WHEN k > 50 THEN -k ELSE k END"
+    add(f"decode_i{bits}", _typed([("v", f"i{bits}")], lambda bits=bits: F.array(F.when(F.col("k") > 50, F.concat(F.lit("0x"), F.right(low(-F.col("k")), F.lit(bits // 4)))).otherwise(low(F.col("k"))))), f"SELECT event_id, {value} AS v, NULL::VARCHAR AS decode_error FROM L")
+add("decode_i128", _typed([("v", "i128")], lambda: F.array(F.when(F.col("k") > 50, F.concat(F.lit("0x"), F.repeat(F.lit("f"), 16), F.substring(low(-F.col("k")), 3, 16))).otherwise(F.concat(low(F.col("k")), F.lit("0000000000000000"))))), "SELECT event_id, CAST(CASE WHEN k > 50 THEN CAST(-k AS HUGEINT) ELSE CAST(k AS HUGEINT) * 18446744073709551616 END AS VARCHAR) AS v, NULL::VARCHAR AS decode_error FROM L")
+# 2**128 = 34028236692093846346 * 10**19 + 3374607431768211456.
+add("decode_u256", _typed([("v", "u256")], lambda: F.array(low(F.col("amount_cents")), low(F.col("k")))), ", P AS (SELECT event_id, CAST(k AS HUGEINT) * 3374607431768211456 + amount_cents AS low, CAST(k AS HUGEINT) * 34028236692093846346 AS high FROM L) SELECT event_id, CASE WHEN high + low // 10000000000000000000 = 0 THEN CAST(low AS VARCHAR) ELSE CAST(high + low // 10000000000000000000 AS VARCHAR) || lpad(CAST(low % 10000000000000000000 AS VARCHAR), 19, '0') END AS v, NULL::VARCHAR AS decode_error FROM P")
+_array = _typed([("v", "core::array::Array::<u64>")], lambda: F.concat(F.array(low(F.col("k") % 3)), F.slice(F.array(low(F.col("k")), low(F.col("amount_cents"))), F.lit(1), (F.col("k") % 3).cast("int"))))
+add("decode_array", lambda s, d: _array(s, d).withColumn("v", F.col("v").cast("string")), "SELECT event_id, CAST(CASE k % 3 WHEN 0 THEN [] WHEN 1 THEN [k] ELSE [k, amount_cents] END AS VARCHAR) AS v, NULL::VARCHAR AS decode_error FROM L")
+add("decode_array_size", lambda s, d: _array(s, d).select("event_id", F.size("v").cast("bigint").alias("n"), F.array_max("v").cast("bigint").alias("most")), "SELECT event_id, k % 3 AS n, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN k ELSE greatest(k, amount_cents) END AS most FROM L")
+_enum = _typed([("v", "Choice")], lambda: F.array(low(F.col("k") % 2), low(F.col("k"))), '[{"type": "enum", "name": "Choice", "variants": [{"name": "None", "type": "()"}, {"name": "Some", "type": "u8"}]}]')
+add("decode_enum", lambda s, d: _enum(s, d).withColumn("v", F.to_json("v")), "SELECT event_id, CASE WHEN k % 2 = 1 THEN '{\"variant\":\"Some\",\"value\":\"' || k || '\"}' ELSE '{\"variant\":\"None\"}' END AS v, NULL::VARCHAR AS decode_error FROM L")
+add("decode_enum_parts", lambda s, d: _enum(s, d).select("event_id", "v.variant", "v.value"), "SELECT event_id, CASE WHEN k % 2 = 1 THEN 'Some' ELSE 'None' END AS variant, CASE WHEN k % 2 = 1 THEN CAST(k AS VARCHAR) END AS value FROM L")
 add("decode_struct", lambda s, d: _typed([("v", "(u64, bool)")], lambda: F.array(low(F.col("amount_cents")), low(F.col("k"))))(s, d).select("event_id", F.col("v.`0`").cast("bigint").alias("a"), F.col("v.`1`").alias("b")), "SELECT event_id, amount_cents AS a, k <> 0 AS b FROM L")
 add("decode_u128_text", _typed([("v", "u128")], lambda: F.array(F.concat(low(F.col("amount_cents")), F.lit("000000000000")))), "SELECT event_id, CAST(CAST(amount_cents AS HUGEINT) * 281474976710656 AS VARCHAR) AS v, NULL::VARCHAR AS decode_error FROM L")
 add("decode_u256_limbs", lambda s, d: ad.log(s, d, True).select("event_id", felt.limb(F.concat(low(F.col("k")), F.lpad(F.substring(low(F.col("amount_cents")), 3, 16), 16, "0")), 0).cast("bigint").alias("low"), felt.limb(F.concat(low(F.col("k")), F.lpad(F.substring(low(F.col("amount_cents")), 3, 16), 16, "0")), 1).cast("bigint").alias("high")), "SELECT event_id, amount_cents AS low, k AS high FROM L")
@@ -214,7 +221,7 @@ def _children(s: SparkSession, d: str) -> DataFrame:
     return registry.first_registrations(registry.children(rows, "f", "signup", "account", "shop"))
 
 
-CHILD = ", N AS (SELECT 'f_' || right(account, 8) AS contract_name, account AS contract_address, block_number AS start_block, k, row_number() OVER (PARTITION BY account ORDER BY block_number, log_index) AS r FROM L WHERE event_name = 'signup'), CH AS (SELECT * FROM N WHERE r = 1)"
+CHILD = ", N AS (SELECT 'f_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address, block_number AS start_block, k, row_number() OVER (PARTITION BY account ORDER BY block_number, log_index) AS r FROM L WHERE event_name = 'signup'), CH AS (SELECT * FROM N WHERE r = 1)"
 add("child_names", lambda s, d: _children(s, d).select("contract_name", "contract_address", "start_block", F.col("factory_meta")["k"].cast("bigint").alias("k")), f"{CHILD} SELECT contract_name, contract_address, start_block, k FROM CH")
 none_yet = lambda s: s.createDataFrame([], "contract_name string, last_block bigint")
 add("children_list", lambda s, d: registry.children_list(_children(s, d), none_yet(s), "f", ["k"], query=Query(order="contract_name", limit=100)), f"{CHILD} SELECT contract_name, contract_address, start_block AS deployment_block, CAST(0 AS BIGINT) AS last_block, CAST(k AS VARCHAR) AS k FROM CH ORDER BY contract_name DESC LIMIT 100")
@@ -233,12 +240,15 @@ def _deployer(s: SparkSession, d: str) -> DataFrame:
 
 def _discovered(s: SparkSession, d: str) -> DataFrame:
     watched = s.createDataFrame([("0x1", "pool", "shop", True), ("0x2", "vault", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")
-    return registry.discovered(registry.deployments(_deployer(s, d)), watched)
+    return registry.discovered(registry.deployments(_deployer(s, d)), watched, "{group}_{address_short}")
 
 
 add("discovery_layout", lambda s, d: registry.deployments(_deployer(s, d)), "SELECT block_number, event_id AS event_seq, account AS contract_address, '0x' || (k % 4) AS class_hash FROM L WHERE event_name = 'signup'")
-DISCOVERED = "SELECT CASE k % 4 WHEN 1 THEN 'pool' ELSE 'vault' END || '_' || right(account, 8) AS contract_name, account AS contract_address, 'shop' AS abi_name, block_number AS start_block, event_id AS log_index, CASE k % 4 WHEN 1 THEN 'shop' END AS factory_name, '0x' || (k % 4) AS class_hash, k % 4 = 1 AS shared, true AS dynamic FROM L WHERE event_name = 'signup' AND k % 4 IN (1, 2)"
+DISCOVERED = "SELECT CASE k % 4 WHEN 1 THEN 'pool' ELSE 'vault' END || '_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address, 'shop' AS abi_name, block_number AS start_block, event_id AS log_index, CASE k % 4 WHEN 1 THEN 'shop' END AS factory_name, '0x' || (k % 4) AS class_hash, k % 4 = 1 AS shared, true AS dynamic FROM L WHERE event_name = 'signup' AND k % 4 IN (1, 2)"
 add("discovered", _discovered, DISCOVERED)
+add("discovered_default_names", lambda s, d: registry.discovered(registry.deployments(_deployer(s, d)), s.createDataFrame([("0x1", "", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")).select("contract_name", "contract_address"), "SELECT '1_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address FROM L WHERE event_name = 'signup' AND k % 4 = 1")
+# The deployer's address (v1 keys[2] is 0x0) and the class hash from the places given, whatever the shape.
+add("discovery_layout_places", lambda s, d: registry.deployments(_deployer(s, d), address_key=2, address_data=1, class_hash_data=0), "SELECT block_number, event_id AS event_seq, '0x0' AS contract_address, CASE WHEN event_id % 2 = 0 THEN '0x' || (k % 4) ELSE account END AS class_hash FROM L WHERE event_name = 'signup'")
 add("discovered_by_class", lambda s, d: registry.of_class(registry.first_registrations(_discovered(s, d)), "0x1", none_yet(s)).select("contract_name", "start_block", "last_block"), f", D AS ({DISCOVERED}) SELECT contract_name, start_block, CAST(NULL AS BIGINT) AS last_block FROM D QUALIFY row_number() OVER (PARTITION BY contract_name ORDER BY start_block, log_index) = 1 AND class_hash = '0x1'")
 add("merge_contracts", lambda s, d: registry.merged(_children(s, d).where("start_block < 473600").select("contract_name", "start_block"), _children(s, d).select("contract_name", "start_block", F.lit(True).alias("stored"))), f"{CHILD} SELECT contract_name, start_block, CASE WHEN start_block >= 473600 THEN true END AS stored FROM CH")
 
@@ -284,8 +294,19 @@ def _predicate_children(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 add("freeze_predicate", lambda s, d: lifecycle.predicate_matches(*_predicate_children(s, d), 0), f"{CHILD} SELECT contract_name FROM CH WHERE k < 20")
+
+
+def _fractions(s: SparkSession, d: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Contracts by transaction whose metadata is an amount with cents behind 40 digits, and the rule 'at most value'."""
+    amount = F.concat(F.lit("1" * 40), F.lpad(F.col("amount_cents").cast("string"), 12, "0"))
+    rows = ad.log(s, d).select(F.col("transaction_hash").alias("contract_name"), F.create_map(F.lit("amount"), F.concat(F.substring(amount, 1, 50), F.lit("."), F.substring(amount, 51, 2))).alias("factory_meta"))
+    return rows, rows.select("contract_name", F.lit("predicate").alias("kind"), F.lit("amount").alias("meta_field"), F.lit("lte").alias("op"), F.lit(value).alias("value"))
+
+
+# Amounts up to 123.45, as fractions of numbers beyond 38 digits.
+add("freeze_fractions", lambda s, d: lifecycle.predicate_matches(*_fractions(s, d, "1" * 40 + "0000000123.450"), 0), "SELECT transaction_hash AS contract_name FROM L WHERE amount_cents <= 12345")
 add("freeze_at_registration", lambda s, d: lifecycle.registered(*_predicate_children(s, d), 0).select("contract_name", "frozen"), f"{CHILD} SELECT contract_name, k < 20 AS frozen FROM CH")
-add("freeze_coercion", on_log(lambda L: L.select("transaction_hash", felt.numeric(F.col("account")).cast("bigint").alias("n"))), "SELECT transaction_hash, CAST(('0x' || substring(account, 3)) AS BIGINT) AS n FROM L")
+add("freeze_coercion", on_log(lambda L: L.select("transaction_hash", felt.number_text(F.col("account")).cast("bigint").alias("n"))), "SELECT transaction_hash, CAST(('0x' || substring(account, 3)) AS BIGINT) AS n FROM L")
 add("freeze_reconcile", lambda s, d: lifecycle.reconciled(_terminal(s, d), _rules(s), ad.contracts(s), 0).join(ad.log(s, d, True), "contract_name").groupBy("contract_name").agg(F.count(F.lit(1)).alias("n")), "SELECT contract_name, COUNT(*) AS n FROM L WHERE contract_name IN ('c1', 'c4', 'c5', 'c6') GROUP BY contract_name")
 add("freeze_effect", lambda s, d: lifecycle.until_frozen(ad.log(s, d, True), lifecycle.local_triggers(_late(s, d), _rules(s))).select("transaction_hash"), f", T AS ({_first('c1', 'c1')}) SELECT transaction_hash FROM L LEFT JOIN T USING (contract_name) WHERE frozen_at_block IS NULL OR (block_number, log_index) <= (frozen_at_block, frozen_at_log)")
 add("frozen_registry", lambda s, d: lifecycle.frozen_registry(ad.contracts(s), lifecycle.local_triggers(_late(s, d), _rules(s))).select("contract_name", "frozen", "frozen_at_block"), f", C AS ({ad.CONTRACTS_SQL}), T AS ({_first('c1', 'c1')}) SELECT contract_name, frozen_at_block IS NOT NULL AS frozen, frozen_at_block FROM C LEFT JOIN T USING (contract_name)")
@@ -315,7 +336,10 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 ASKED = f", A AS (SELECT DISTINCT CASE contract_address WHEN '0x1' THEN '0x1' ELSE '0x2' END AS contract_address, 'balance' AS \"function\", \"timestamp\" + log_index AS ts, block_number FROM L WHERE block_number + 50 >= {TIP - 60} AND ((contract_address = '0x1' AND event_name = 'error') OR (contract_address = '0x3' AND event_name = 'purchase')))"
 add("view_triggers", _asked, f"{ASKED} SELECT * FROM A")
 add("view_reactive", lambda s, d: views.readings_at(_asked(s, d), ad.readings(s, d)).select("contract_address", "asked_ts", "ts"), f"{R}{ASKED} SELECT A.contract_address, A.ts AS asked_ts, min(R.ts) AS ts FROM A JOIN R ON A.contract_address = R.contract_address AND R.ts >= A.ts GROUP BY A.contract_address, A.ts, A.block_number")
-add("view_debounce", lambda s, d: views.debounced(_asked(s, d), 7200))
+add("view_debounce", lambda s, d: views.debounced(_asked(s, d), 7200), ASKED.replace(", A AS", ", E AS", 1) + """, A AS (SELECT contract_address, "function", ts, row_number() OVER (PARTITION BY contract_address ORDER BY ts) AS i FROM E),
+T AS (WITH RECURSIVE R AS (SELECT contract_address, "function", i, ts AS last, true AS read FROM A WHERE i = 1
+  UNION ALL SELECT A.contract_address, A."function", A.i, CASE WHEN A.ts >= last + 7200 THEN A.ts WHEN A.ts > last THEN last + 7200 ELSE last END, A.ts > last FROM R JOIN A ON A.contract_address = R.contract_address AND A.i = R.i + 1) SELECT * FROM R)
+SELECT contract_address, "function", last AS ts FROM T WHERE read""")
 add("view_ceiling", lambda s, d: views.ticks(_asked(s, d), 7200, (TIP + 40) * 3600), f"{ASKED}, B AS (SELECT *, lead(ts, 1, {(TIP + 40) * 3600}) OVER (PARTITION BY contract_address ORDER BY ts, block_number) AS n FROM A) SELECT contract_address, \"function\", unnest(range(ts + 7200, n, 7200)) AS ts, block_number FROM B")
 add("view_reorg", lambda s, d: views.readings_at(views.reorg_triggers(ad.readings(s, d), s.createDataFrame([(473_900, 473_900 * 3600)], "start_block bigint, ts bigint")), ad.readings(s, d)).select("contract_address", "ts"), f"{R} SELECT contract_address, min(ts) AS ts FROM R WHERE ts >= {473_900 * 3600} GROUP BY contract_address")
 
@@ -323,8 +347,11 @@ add("view_reorg", lambda s, d: views.readings_at(views.reorg_triggers(ad.reading
 
 
 def _folder(s: SparkSession) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder in spark.checkpoint.dir; where that is unset, in local tests a temporary one, on a cluster an error."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or f'file://{tempfile.mkdtemp(prefix="spark-")}').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
@@ -350,3 +377,80 @@ def _stream_cursors(s: SparkSession, d: str) -> DataFrame:
 
 add("stream_cursors", _stream_cursors, CURSORS)
 add("replay_then_live", lambda s, d: streams.replay_then_live(ad.log(s, d).where(f"block_number <= {TIP}"), ad.log(s, d).where(f"block_number >= {TIP - 5}"), TIP - 20, 0).select("event_id", "transaction_hash"), f"SELECT block_number || ':' || log_index AS event_id, transaction_hash FROM L WHERE (block_number, log_index) > ({TIP - 20}, 0)")
+
+
+def _followed(s: SparkSession, d: str) -> DataFrame:
+    """The log up to a block as stored, the rest (five blocks of both) as a stream of files."""
+    folder = _folder(s)
+    ad.log(s, d).where(f"block_number >= {TIP - 5}").select("block_number", "log_index", "transaction_hash").repartition(3, "block_number").write.parquet(f"{folder}/live")
+    stored = ad.log(s, d).where(f"block_number <= {TIP}").select("block_number", "log_index", "transaction_hash")
+    stream = streams.raw_stream(s, f"{folder}/live", "block_number bigint, log_index bigint, transaction_hash string", 1)
+    streams.followed(stored, stream, TIP - 20, 0, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("transaction_hash string, event_id string").parquet(f"{folder}/out/*")
+
+
+add("replay_then_stream", _followed, f"SELECT block_number || ':' || log_index AS event_id, transaction_hash FROM L WHERE (block_number, log_index) > ({TIP - 20}, 0)")
+
+
+def _stream_dedup(s: SparkSession, d: str) -> DataFrame:
+    """The raw events and every fourth again, streamed; each comes once."""
+    folder = _folder(s)
+    rows = raw(s, d).select("block_number", "transaction_hash", "event_seq", F.col("timestamp").cast("timestamp").alias("time"))
+    rows.unionByName(rows.where("event_seq % 4 = 0")).repartition(3).write.parquet(f"{folder}/raw")
+    stream = streams.raw_stream(s, f"{folder}/raw", "block_number bigint, transaction_hash string, event_seq bigint, time timestamp", 1)
+    streams.appended(streams.distinct_events(stream, "time", "60 days"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("event_seq bigint, block_number bigint").parquet(f"{folder}/log")
+
+
+add("stream_dedup", _stream_dedup, f"SELECT {RAW} FROM L")
+
+# Stored tables, output files and interface files, written and read again.
+
+
+def _stored_scan(s: SparkSession, d: str) -> DataFrame:
+    """A range of a stored log: folders pruned by the bucket, row groups by the block, other columns not read."""
+    folder = _folder(s)
+    src.write_raw(raw(s, d), f"{folder}/raw", bucket_blocks=100)
+    return pick(src.block_range(src.read_raw(s, f"{folder}/raw"), 473_400, 473_500, "0x2", bucket_blocks=100))
+
+
+add("stored_scan", _stored_scan, f"SELECT {RAW} FROM L WHERE block_number BETWEEN 473400 AND 473500 AND contract_address = '0x2'")
+
+
+def _stored_log(s: SparkSession, d: str) -> DataFrame:
+    """The log appended in two batches, one of them twice: every row is kept."""
+    folder = _folder(s)
+    for part in ("k < 50", "k >= 50", "k >= 50"):
+        tables.append_log(ad.log(s, d).where(part), f"{folder}/log", 100)
+    return s.read.parquet(f"{folder}/log").drop("block_bucket")
+
+
+add("append_log", _stored_log, f"SELECT {LOG} FROM L UNION ALL SELECT {LOG} FROM L WHERE k >= 50")
+
+
+def _outputs(s: SparkSession, d: str) -> DataFrame:
+    """A query's rows as JSON and as CSV with a header."""
+    folder = _folder(s)
+    rows = ad.log(s, d).where("event_name = 'purchase'").select("block_number", "log_index", "account", "amount_cents")
+    query.write_json(rows, f"{folder}/json")
+    query.write_csv(rows, f"{folder}/csv")
+    read = [s.read.schema(rows.schema).json(f"{folder}/json"), s.read.schema(rows.schema).option("header", True).csv(f"{folder}/csv")]
+    return read[0].withColumn("format", F.lit("json")).unionByName(read[1].withColumn("format", F.lit("csv")))
+
+
+add("outputs", _outputs, "SELECT block_number, log_index, account, amount_cents, format FROM L, (SELECT unnest(['json', 'csv']) AS format) WHERE event_name = 'purchase'")
+
+
+def _abi_files(s: SparkSession, d: str) -> DataFrame:
+    """An interface file for each event of the log, in the three shapes that are read, as a catalog."""
+    folder = _folder(s)
+    event = lambda name: F.concat(F.lit('[{"type": "event", "name": "shop::Shop::'), name, F.lit('", "kind": "struct", "members": [{"name": "who", "type": "felt", "kind": "key"}, {"name": "n", "type": "u64"}]}, {"type": "function", "name": "total", "state_mutability": "view", "inputs": [], "outputs": [{"type": "u64"}]}]'))
+    names = ad.log(s, d).select("event_name").distinct()
+    listed, size = event(F.col("event_name")), F.length("event_name")
+    text = F.when(size % 3 == 0, listed).when(size % 3 == 1, F.concat(F.lit('{"abi": '), listed, F.lit("}"))).otherwise(F.to_json(F.struct(listed.alias("abi"))))
+    names.select(text.alias("value"), F.col("event_name").alias("file")).write.partitionBy("file").text(f"{folder}/abi")
+    files = s.read.option("wholetext", True).text(f"{folder}/abi").select(F.col("file").alias("abi_name"), F.trim("value").alias("text"))
+    return abi.abi_catalog(abi.abi_entries(files)).select("abi_name", "kind", "name", "part", "pos", "member", "type_name")
+
+
+add("abi_catalog", _abi_files, ", N AS (SELECT DISTINCT event_name AS abi_name FROM L) SELECT abi_name, 'event' AS kind, abi_name AS name, 'key' AS part, 0 AS pos, 'who' AS member, 'felt' AS type_name FROM N UNION ALL SELECT abi_name, 'event', abi_name, 'data', 1, 'n', 'u64' FROM N UNION ALL SELECT abi_name, 'function', 'total', 'output', 0, NULL, 'u64' FROM N")

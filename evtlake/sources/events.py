@@ -13,7 +13,8 @@ from ..schemas import BUCKET_BLOCKS, CATCHUP_BLOCKS
 def write_raw(raw: DataFrame, path: str, mode: str = "append", bucket_blocks: int = BUCKET_BLOCKS) -> None:
     """Stored by block bucket, with the selector as a column of its own, sorted for min/max statistics."""
     rows = raw.withColumn("selector", F.try_element_at("keys", F.lit(1))).withColumn("block_bucket", F.expr(f"block_number div {bucket_blocks}"))
-    rows.repartition("block_bucket").sortWithinPartitions("block_bucket", "block_number", "event_seq").write.mode(mode).partitionBy("block_bucket").parquet(path)
+    # By ranges of the order itself, so that a batch of one bucket, or of one block, is not one task.
+    rows.repartitionByRange("block_number", "event_seq").sortWithinPartitions("block_number", "event_seq").write.mode(mode).partitionBy("block_bucket").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.query import after_event, filtered, with_event_id
 from ..schemas import RAW_EVENT, Filter
+from ..sources.events import exact_dedup
 
 
 def raw_stream(spark: SparkSession, path: str, schema: str = RAW_EVENT, files_per_trigger: int = 100) -> DataFrame:
@@ -52,6 +53,21 @@ def merged_cursors(parts: DataFrame) -> DataFrame:
     return parts.groupBy("contract_name").agg(F.max("last_block").alias("last_block"))
 
 
+def followed(log: DataFrame, stream: DataFrame, block: int, log_index: int, path: str, checkpoint: str, filters: list[Filter] | tuple[Filter, ...] = (), once: bool = True) -> StreamingQuery:
+    """Rows after an event id: those stored first, in the folder `path/replay`, then the stream's, each batch in a folder of
+    its own. The stream takes over behind the last stored row, so that no row comes twice."""
+    tip = log.agg(F.max(F.struct("block_number", "log_index")).alias("t")).select("t.*").first()
+    at = (block, log_index) if tip["block_number"] is None else max((block, log_index), (tip["block_number"], tip["log_index"]))
+    with_event_id(after_event(log, block, log_index, filters)).write.mode("overwrite").parquet(f"{path}/replay")
+    later = (F.col("block_number") > at[0]) | ((F.col("block_number") == at[0]) & (F.col("log_index") > at[1]))
+    return for_each_batch(with_event_id(filtered(stream.where(later), filters)), batch_writer(path), checkpoint, once)
+
+
+def distinct_events(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Each event of a stream once, as long as repeats come within `delay` of the newest time."""
+    return exact_dedup(stream.withWatermark(time, delay))
+
+
 def replay_then_live(log: DataFrame, later: DataFrame, block: int, log_index: int, filters: list[Filter] | tuple[Filter, ...] = ()) -> DataFrame:
     """Rows after an event id from the stored log and from the live part, each event once."""
     rows = with_event_id(after_event(log, block, log_index, filters)).unionByName(with_event_id(after_event(later, block, log_index, filters)))

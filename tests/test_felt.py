@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from evtlake.functions.felt import Kind, Types, canonical, decode_value, numeric
+from evtlake.functions.felt import Kind, Types, canonical, decimal_text, decode_value, number_text, signed_text
 from evtlake.functions.selector import keccak256, selector
 from evtlake.operators import decode
 from evtlake.sources.abi import abi_catalog, abi_entries, checked, types_of
@@ -110,6 +111,40 @@ def test_events_with_nested_arrays_and_failures(spark):
     assert [r["transaction_hash"] for r in failed.collect()] == ["0xb"]
 
 
-def test_numeric(spark):
+def test_number_text(spark):
     df = spark.createDataFrame([("12",), ("0x1f",), ("0x0",), ("0x" + "f" * 20,), ("x",), (None,), ("-3",)], "t string")
-    assert [None if r[0] is None else int(r[0]) for r in df.select(numeric(F.col("t"))).collect()] == [12, 31, 0, 16**20 - 1, None, None, -3]
+    assert [None if r[0] is None else int(r[0]) for r in df.select(number_text(F.col("t"))).collect()] == [12, 31, 0, 16**20 - 1, None, None, -3]
+
+
+def test_wide_integers_as_text(spark):
+    values = [0, 1, 2**64 - 1, 2**64, 10**18, 10**36, 10**36 - 1, 2**127 - 1, 2**127, 2**128 - 1, 10**54, 2**256 - 1, *(random.Random(4).getrandbits(n) for n in range(60, 257, 7))]
+    df = spark.createDataFrame([(i, f"{v:x}" if v else "") for i, v in enumerate(values)] + [(99, None), (100, "1" * 65)], "i int, h string").orderBy("i")
+    rows = df.select(decimal_text(F.col("h")), decimal_text(F.col("h"), 1), signed_text(F.col("h"))).collect()
+    assert [r[0] for r in rows] == [str(v) for v in values] + [None, None] and [r[1] for r in rows if r[1] != str(2**256)][: len(values) - 1] == [str(v + 1) for v in values if v != 2**256 - 1]
+    assert all(r[2] == str(v - 2**128 if v >> 127 else v) for r, v in zip(rows, values) if v < 2**128)
+    assert "Python" not in df.select(decimal_text(F.col("h")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrays_of_wide_integers_need_no_python(spark):
+    wide = [2**256 - 1, 0, 2**200 + 5]
+    row = [hex(3), *(x for v in wide for x in (hex(v & 2**128 - 1), hex(v >> 128)))]
+    df = spark.createDataFrame([(row, [])], "data array<string>, keys array<string>")
+    out = decode.decoded(df, [("data", "v", Types().resolve("Array<u256>"))])
+    assert out.first()["v"] == [str(v) for v in wide] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_of_compiled_and_python_types_are_numbered_together(spark):
+    """Of two events one holds arrays of byte arrays; failed rows take no number."""
+    def event(name, kind):
+        return {"type": "event", "name": f"m::{name}", "kind": "struct", "members": [{"name": "v", "type": kind, "kind": "data"}]}
+
+    text = json.dumps([event("A", "u8"), event("B", "Array<ByteArray>"), {"type": "event", "name": "m::C", "kind": "struct", "members": []}])
+    catalog = checked(abi_catalog(abi_entries(spark.createDataFrame([("x", text)], "abi_name string, text string"))))
+    contracts = spark.createDataFrame([("c", "0x1", "x")], "contract_name string, contract_address string, abi_name string")
+    rules = spark.createDataFrame([("c", e) for e in "ABC"], "contract_name string, event_name string")
+    data = [("A", ["0x5"]), ("B", ["0x1", "0x0", "0x6869", "0x2"]), ("A", ["0x100"]), ("C", []), ("B", ["0x9"]), ("A", ["0x7"])]
+    raw = spark.createDataFrame([(1, f"0x{i}", "0x1", [selector(e)], d, "", i) for i, (e, d) in enumerate(data)], "block_number bigint, transaction_hash string, contract_address string, keys array<string>, data array<string>, finality_status string, event_seq bigint")
+    rows, failed = decode.decode_events(raw, contracts, catalog, rules)
+    assert {(r["log_index"], r["v"]) for r in rows["A"].collect()} == {(0, 5), (3, 7)}
+    assert {(r["log_index"], tuple(r["v"])) for r in rows["B"].collect()} == {(1, ("hi",))}
+    assert [r["log_index"] for r in rows["C"].collect()] == [2] and {r["event_seq"] for r in failed.collect()} == {2, 4}

@@ -134,10 +134,40 @@ def test_deployments(spark):
     assert {(r["contract_address"], r["class_hash"]) for r in registry.deployments(raw).collect()} == {("0xa", "0xc1"), ("0xb", "0xc2")}
 
 
+def test_deployments_with_given_places(spark):
+    raw = spark.createDataFrame([(1, 1, ["s", "a1", "a2", "a3"], ["d0", "d1"]), (1, 2, ["s"], ["d0", "d1", "d2", "d3"]), (1, 3, ["s", "x"], ["y"])], "block_number bigint, event_seq bigint, keys array<string>, data array<string>")
+    got = lambda **k: {r["event_seq"]: (r["contract_address"], r["class_hash"]) for r in registry.deployments(raw, **k).collect()}
+    assert got(address_key=3, class_hash_data=1) == {1: ("a3", "d1")}
+    assert got(address_key=3, address_data=1, class_hash_key=0) == {1: ("d1", "s"), 2: ("d1", "s")}
+    assert got(version=0, address_key=3) == {2: ("d0", "d3")} and got(version=1) == {1: ("a1", "d0"), 3: ("x", "y")}
+
+
+def test_readings_over_buckets(spark):
+    rng = random.Random(3)
+    readings = [("v", "f", 0, t, [str(t)]) for t in sorted(rng.sample(range(3000), 40))] + [("w", "f", 0, 2999, ["x"])]
+    asked = [(v, "f", rng.randrange(3100), 0) for v in "vwx" for _ in range(60)]
+    r = spark.createDataFrame(readings, "contract_address string, function string, block_number bigint, ts bigint, result array<string>")
+    a = spark.createDataFrame(asked, "contract_address string, function string, ts bigint, block_number bigint")
+    want = sorted((v, t, min(x[3] for x in readings if x[0] == v and x[3] >= t)) for v, _, t, _ in asked if any(x[0] == v and x[3] >= t for x in readings))
+    for bucket in (7, 100, 10_000):
+        assert sorted((x["contract_address"], x["asked_ts"], x["ts"]) for x in views.readings_at(a, r, bucket).collect()) == want
+    ticks = lambda bucket: sorted(map(tuple, views.ticks(a, 20, 3200, bucket).collect()))
+    assert ticks(9) == ticks(10_000) != []
+
+
 def test_children(spark):
     events = spark.createDataFrame([(5, 0, "Pair", "c001", "0xE"), (6, 0, "Pair", "0xc001", "0xF"), (7, 0, "Pair", None, "0xE")], "block_number bigint, log_index bigint, event_name string, pair string, token0 string")
     found = registry.first_registrations(registry.children(events, "F", "Pair", "pair", "abi", "{factory}-{token0}-{short_address}"))
-    assert {(r["contract_name"], r["contract_address"], r["start_block"], r["factory_meta"]["token0"]) for r in found.collect()} == {("F-0xE-0xc001", "0xc001", 5, "0xE"), ("F-0xF-0xc001", "0xc001", 6, "0xF")}
+    assert {(r["contract_name"], r["contract_address"], r["start_block"], r["factory_meta"]["token0"]) for r in found.collect()} == {("F-0xE-c001", "0xc001", 5, "0xE"), ("F-0xF-c001", "0xc001", 6, "0xF")}
+
+
+def test_names(spark):
+    """Short forms are the last eight digits without the prefix; a group that is not set stays in the template."""
+    rows = spark.createDataFrame([("0x1234567", "0x96", ""), ("0x00aabbccddee", "0x123456789", "g")], "contract_address string, class_hash string, group string").withColumn("block_number", F.lit(1)).withColumn("event_seq", F.lit(0))
+    watched = rows.select("class_hash", "group", F.lit("abi").alias("abi_name"), F.lit(False).alias("shared"))
+    names = lambda *template: {r["contract_name"] for r in registry.discovered(rows.drop("group"), watched, *template).collect()}
+    assert names() == {"96_1234567", "23456789_bbccddee"}
+    assert names("{group}-{address}-{class_hash}") == {"{group}-0x1234567-0x96", "g-0x00aabbccddee-0x123456789"}
 
 
 def test_freeze(spark):
@@ -150,9 +180,18 @@ def test_freeze(spark):
     for value, now, hit in (("now()", 100, True), ("now() - 1s", 100, False), ("now() - 2d", 100 + 172800, True), ("0x63", 0, False), ("100", 0, True), ("bad", 0, False), ("now() + x", 0, False)):
         rule = spark.createDataFrame([("o", "predicate", None, None, "expiry", "lte", value), ("p", "predicate", None, None, "expiry", "lte", value)], schema)
         assert (lifecycle.predicate_matches(contracts, rule, now).count() == 1) == hit, value
-    assert lifecycle.resolved_value("now() - 2d", 200000) == 27200 and lifecycle.resolved_value("0x10", 0) == 16
-    with pytest.raises(ValueError):
-        lifecycle.resolved_value("soon", 0)
+
+
+def test_predicates_compare_exactly(spark):
+    big = "9" * 60
+    cases = [
+        ("19.6", "lt", "20", True), ("19.6", "gte", "20", False), ("20.0", "eq", "20", True), ("-1.5", "lt", "-1.4", True), ("-0", "eq", "0", True), ("1e3", "eq", "1000", True), (".5", "gt", "0.49", True),
+        (big + ".1", "gt", big, True), (big, "eq", big, True), ("0x" + "f" * 64, "eq", str(2**256 - 1), True), ("007", "eq", "7", True), ("0X10", "eq", "16", False), ("1.2.3", "gt", "0", False), (" 5 ", "lte", "0x5", True),
+        ("-3", "gt", "2", False), ("100", "gt", "99.999", True), ("", "eq", "0", False),
+    ]
+    contracts = spark.createDataFrame([(str(i), {"m": c[0]}) for i, c in enumerate(cases)], "contract_name string, factory_meta map<string,string>")
+    rules = spark.createDataFrame([(str(i), "predicate", "m", c[1], c[2]) for i, c in enumerate(cases)], "contract_name string, kind string, meta_field string, op string, value string")
+    assert {r[0] for r in lifecycle.predicate_matches(contracts, rules, 0).collect()} == {str(i) for i, c in enumerate(cases) if c[3]}
 
 
 def test_debounce(spark):

@@ -28,5 +28,10 @@ def test_equals_sql(spark, oracle, name):
     assert got == want
 
 
-def test_every_query_without_sql_is_known():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"decode_array", "decode_enum", "view_debounce"}
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+
+
+def test_decoding_is_one_pass(spark):
+    plan = catalog.QUERIES["decode_events"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
