@@ -10,7 +10,9 @@ Equal fingerprints are one node, so copies are never expanded; within a tile pai
 a link to the smallest node of each local group is kept, which loses no connection. Hot tiles are cut by salt.
 
 Wide fingerprints only pick candidates: those of distinct shingles within the radius are verified by the shingle sets
-themselves before they are linked. First each node meets its nearest candidates of each tile and one that all share, then
+themselves before they are linked. Beside its fingerprint each set has a parity sketch: one bit for each bucket of hashes,
+set if an odd number of its hashes falls there. Sketches differ in at most as many bits as sets differ in hashes, so a
+pair whose sketches differ in more than the least similarity allows is no candidate, and no link is lost. First each node meets its nearest candidates of each tile and one that all share, then
 all candidates that are in different groups still, so that a large group of copies takes few verifications.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; one
@@ -48,8 +50,10 @@ WIDE_BITS, WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 512, 5, 0.8, 136
 FIRST_WORDS, FIRST_SLACK = 2, 12
 #: Nearest candidates of a node in a tile that are verified first.
 NEAREST = 8
-#: Fingerprints in a tile, of 64 bits and of more.
-TILE, WIDE_TILE = 4096, 16384
+#: Fingerprints in a tile, of 64 bits and of more; bytes of the latter with their sketches.
+TILE, WIDE_TILE, TILE_BYTES = 4096, 16384, 1 << 22
+#: Bytes of sketches compared at once.
+SKETCH_BYTES = 1 << 23
 #: Bytes of a text whose words are cut at once, and hashes folded at once.
 CHUNK, FOLD = 1 << 20, 1 << 16
 WHITE = re.compile(rb"[ \t-\r]")
@@ -103,6 +107,27 @@ def fold(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketches of sets of these sizes: the least power of two of at least twice the size, and 64."""
+    return 1 << np.ceil(np.log2(np.maximum(2 * np.asarray(sizes, np.int64), 64))).astype(np.int64)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity sketch of a set of distinct hashes."""
+    bits = int(sketch_bits(len(hashes)))
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_sketches(blob: pa.Buffer, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """Sketches of sets of these sizes, one after the other in blob, folded to so many bits: rows of 64-bit words."""
+    words, out, at = np.frombuffer(blob, np.uint64), np.zeros((len(sizes), bits // 64), np.uint64), 0
+    for row, own in enumerate(sketch_bits(sizes) // 64):
+        np.bitwise_xor.reduce(words[at : at + own].reshape(-1, bits // 64), axis=0, out=out[row])
+        at += own
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
     """doc_id, fp binary (little-endian words), size int (shingles)."""
 
@@ -128,7 +153,16 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = shorter
 
 
-def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _alike(sketches: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs have sketches that differ in no more bits than sets of that similarity differ in hashes."""
+    step, far = max(1, SKETCH_BYTES // (8 * sketches.shape[1])), np.zeros(len(i), np.int64)
+    for at in range(0, len(i), step):
+        rows = slice(at, at + step)
+        far[rows] = np.bitwise_count(sketches[i[rows]] ^ sketches[j[rows]]).sum(axis=1, dtype=np.int64)
+    return far <= (1 - similarity) / (1 + similarity) * (sizes[i].astype(np.int64) + sizes[j]) + 1e-6
+
+
+def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float, sketches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places (i, j) of a tile pair within the radius (rows before and from split on; a tile with itself if split is 0) and
     their distances, all of an i at once."""
     left, right = (np.arange(split), np.arange(split, len(fps))) if split else (np.arange(len(fps)), np.arange(len(fps)))
@@ -149,8 +183,12 @@ def _near_pairs(fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, rat
         keep = (far <= radius) & (i != j)
         if ratio:
             keep &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
-        if keep.any():
-            yield i[keep], j[keep], far[keep]
+        i, j, far = i[keep], j[keep], far[keep]
+        if sketches is not None:
+            keep = _alike(sketches, sizes, i, j, ratio)
+            i, j, far = i[keep], j[keep], far[keep]
+        if len(i):
+            yield i, j, far
 
 
 def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +200,10 @@ def tile_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int
     return nodes[at], nodes[labels[at]]
 
 
-def tile_candidates(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float, groups: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_candidates(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, split: int, radius: int, ratio: float, groups: np.ndarray | None, sketches: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates of a tile pair: all whose groups differ, or without groups for each node the nearest and the first one."""
     hub = np.full(len(nodes), len(nodes))
-    for i, j, far in _near_pairs(fps, sizes, split, radius, ratio):
+    for i, j, far in _near_pairs(fps, sizes, split, radius, ratio, sketches):
         if groups is None:
             np.minimum.at(hub, i, j)
             np.minimum.at(hub, j, i)
@@ -190,16 +228,22 @@ def _near_cells(radius: int) -> list[int]:
     return [sum(x * 64**i for i, x in enumerate(reversed(d))) for d in steps]
 
 
+BLOBS = ["nodes", "fps", "sizes", "sketches"]
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles with their nodes, fingerprints and sizes as one value each; of 64-bit fingerprints nothing else is needed."""
+    """Tiles with their nodes, fingerprints, sizes and sketches as one value each; of 64-bit fingerprints nothing else is needed."""
     for batch in batches:
         out = []
         for rows in batch.column(2):
-            node, fp, size, *group = (rows.values.field(i) for i in range(rows.values.type.num_fields))
-            fps = b"".join(fp.to_pylist())
-            wide = len(fps) > 8 * len(node)
-            out.append((b"".join(x.to_numpy().tobytes() for x in (node, *group)) if wide else b"", fps, size.to_numpy().tobytes() if wide else b""))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [batch.column(0), batch.column(1), *[pa.array([], pa.binary())] * 3], names=["cell", "salt", "nodes", "fps", "sizes"])
+            field = {rows.values.type.field(i).name: rows.values.field(i) for i in range(rows.values.type.num_fields)}
+            fps = b"".join(field["fp"].to_pylist())
+            wide = len(fps) > 8 * len(field["fp"])
+            numbers = [field[name].to_numpy().tobytes() for name in ("node", "component") if name in field]
+            sketches = b"".join(field["sketch"].to_pylist()) if "sketch" in field else b""
+            out.append((b"".join(numbers) if wide else b"", fps, field["size"].to_numpy().tobytes() if wide else b"", sketches))
+        columns = [pa.array(c, pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * len(BLOBS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["cell", "salt", *BLOBS])
 
 
 def _read(blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,11 +253,20 @@ def _read(blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, n
     return np.frombuffer(blobs[0], np.int64).reshape(-1, len(fps)).T, fps, np.frombuffer(blobs[2], np.int32)
 
 
+def _sketches(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blobs: list[pa.Buffer]) -> np.ndarray | None:
+    """Sketches of a tile or two, all folded to the least number of bits; none where tiles hold none."""
+    if not all(map(len, blobs)):
+        return None
+    bits = int(min(sketch_bits(side[2]).min() for side in sides))
+    return np.concatenate([fold_sketches(blob, side[2], bits) for side, blob in zip(sides, blobs)])
+
+
 def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = None, candidates: str = "") -> DataFrame:
     """Links (u, v) that connect what is within the radius. nodes: node bigint, fp binary, size int, distinct by node.
 
     With candidates 'first' or 'all' pairs to be verified instead: a few for each node and tile pair, or all between
-    different groups (a further column of nodes, component bigint).
+    different groups (a further column of nodes, component bigint). A column sketch of nodes rules out pairs that cannot
+    be as similar.
     """
     words = bits // 64
     if similarity:
@@ -226,28 +279,31 @@ def links(nodes: DataFrame, bits: int, radius: int, similarity: float | None = N
         near, ratio = _near_cells(radius), 0.0
     placed = nodes.withColumn("cell", cell)
     # At most 17**4 cells, or one for each factor of the number of words: a bounded table.
-    counts = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (TILE if words == 1 else WIDE_TILE)).cast("int").alias("tiles")), "cells")
+    more = [c for c in ("sketch", "component") if c in nodes.columns]
+    bytes_each = F.length("fp") + (F.length("sketch") if "sketch" in more else 0)
+    share = F.lit(1 / TILE) if words == 1 else F.greatest(F.lit(1 / WIDE_TILE), bytes_each / TILE_BYTES)
+    counts = written(placed.groupBy("cell").agg(F.ceil(F.sum(share)).cast("int").alias("tiles")), "cells")
     salted = placed.join(F.broadcast(counts), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
-    grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size", *(["component"] if candidates == "all" else []))).alias("rows"))
-    tiles = written(grouped.mapInArrow(lean(_tiles), "cell bigint, salt int, nodes binary, fps binary, sizes binary"), "tiles")
-    blobs = ["nodes", "fps", "sizes"]
-    left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), *(F.col(b).alias(f"own_{b}") for b in blobs), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
+    grouped = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "fp", "size", *more)).alias("rows"))
+    tiles = written(grouped.mapInArrow(lean(_tiles), "cell bigint, salt int, " + ", ".join(f"{b} binary" for b in BLOBS)), "tiles")
+    left = tiles.select(F.col("cell").alias("own"), F.col("salt").alias("own_salt"), *(F.col(b).alias(f"own_{b}") for b in BLOBS), F.explode(F.array(*(F.col("cell") + d for d in near))).alias("cell"))
     left = left.join(F.broadcast(counts), "cell").withColumn("salt", F.explode(F.sequence(F.when(F.col("own") == F.col("cell"), F.col("own_salt")).otherwise(0), F.col("tiles") - 1)))
     same = (F.col("own") == F.col("cell")) & (F.col("own_salt") == F.col("salt"))
-    pairs = left.join(tiles, ["cell", "salt"]).select(same.alias("same"), *(f"own_{b}" for b in blobs), *blobs)
+    pairs = left.join(tiles, ["cell", "salt"]).select(same.alias("same"), *(f"own_{b}" for b in BLOBS), *BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 same = batch.column(0)[row].as_py()
-                own, other = ([batch.column(c)[row].as_buffer() for c in cs] for cs in ((1, 2, 3), (4, 5, 6)))
+                own, other = ([batch.column(c)[row].as_buffer() for c in cs] for cs in (range(1, 5), range(5, 9)))
                 sides = [_read(x, words) for x in ([own] if same else [own, other])]
                 if same and len(sides[0][0]) < 2:
                     continue
                 nodes, fps, sizes = (np.concatenate(x) for x in zip(*sides))
                 split = 0 if same else len(sides[0][0])
                 if candidates:
-                    for u, v in tile_candidates(nodes[:, 0], fps, sizes, split, radius, ratio, nodes[:, 1] if candidates == "all" else None):
+                    sketches = _sketches(sides, [own[3]] if same else [own[3], other[3]])
+                    for u, v in tile_candidates(nodes[:, 0], fps, sizes, split, radius, ratio, nodes[:, 1] if candidates == "all" else None, sketches):
                         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
                     continue
                 if nodes.ndim > 1:
@@ -278,20 +334,20 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def shingle_sets(rows: DataFrame, shingle: int, bits: int = 0) -> DataFrame:
-    """Of the distinct shingles of each text (row bigint, text): row, node (a hash of the set), and fp and size, or without
-    bits the sorted hashes themselves."""
+    """Of the distinct shingles of each text (row bigint, text): row, node (a hash of the set), and fp, size and sketch, or
+    without bits the sorted hashes themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in text_column(batch, "text").to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets], pa.int64())
             if bits:
-                more = {"fp": pa.array([f.tobytes() for f in fold(sets, bits)], pa.binary()), "size": pa.array([len(x) for x in sets], pa.int32())}
+                more = {"fp": pa.array([f.tobytes() for f in fold(sets, bits)], pa.binary()), "size": pa.array([len(x) for x in sets], pa.int32()), "sketch": pa.array([sketch(x) for x in sets], pa.binary())}
             else:
                 more = {"hashes": pa.array([x.tobytes() for x in sets], pa.binary())}
             yield pa.RecordBatch.from_arrays([batch.column(0), nodes, *more.values()], names=["row", "node", *more])
 
-    schema = "row bigint, node bigint, " + ("fp binary, size int" if bits else "hashes binary")
+    schema = "row bigint, node bigint, " + ("fp binary, size int, sketch binary" if bits else "hashes binary")
     return bounded(rows.select("row", F.col("text").cast("string").alias("text"))).mapInArrow(lean(run), schema)
 
 
@@ -320,13 +376,13 @@ def deduplicated(docs: DataFrame, shingle: int = WIDE_SHINGLE, bits: int = WIDE_
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     own = rows.select(F.col(number).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     prints = written(shingle_sets(own.select("row", "text"), shingle, bits), "prints")
-    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.min("row").alias("row")), "nodes")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.min("row").alias("row")), "nodes")
     pairs = written(links(nodes, bits, radius, similarity, "first"), "pairs")
     # Every node that has a candidate is in a pair of the first round.
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
     sets = written(shingle_sets(own.select("row", "text").join(wanted.select("row"), "row"), shingle).select("node", "hashes"), "sets")
     found = written(verified(pairs, sets, similarity), "similar")
-    grouped = written(nodes.join(components(found), "node", "left").select("node", "fp", "size", F.coalesce("component", "node").alias("component")), "grouped")
+    grouped = written(nodes.join(components(found), "node", "left").select("node", "fp", "size", "sketch", F.coalesce("component", "node").alias("component")), "grouped")
     rest = written(links(grouped, bits, radius, similarity, "all"), "pairs")
     found = found.unionByName(written(verified(rest, sets, similarity), "similar"))
     discard(pairs, sets, grouped, rest)

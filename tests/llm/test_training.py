@@ -95,6 +95,24 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 4, 5, 31, 32, 33, 90, 700, 5000):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for changed in sorted({0, 1, n // 10, n // 9, n // 8, n // 2, n}):
+            other = np.unique(np.concatenate([base[changed:], rng.integers(0, 2**63, changed * 7 // 8).astype(np.uint64)]))
+            sizes = np.array([len(base), len(other)])
+            bits = int(simhash.sketch_bits(sizes).min())
+            blob = pa.py_buffer(simhash.sketch(base) + simhash.sketch(other))
+            a, b = rows = simhash.fold_sketches(blob, sizes, bits)
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(base, other))
+            both = len(np.intersect1d(base, other))
+            alike = bool(simhash._alike(rows, sizes, np.array([0]), np.array([1]), 0.8)[0])
+            assert alike or both < 0.8 * (sizes.sum() - both)
+            if n == 5000 and both < 0.6 * (sizes.sum() - both):
+                assert not alike
+
+
 @pytest.mark.parametrize("tile", [2, 4096])
 def test_simhash_links_of_many_near_fingerprints(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
