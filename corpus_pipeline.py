@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), reads what the one before kept and returns documents (the last one: pieces with
 their sequences). `run` applies them to the documents table, each stage's result written to the shared folder and read
 again. A stage that starts deletes the tables that the one before wrote on its way, so its result must be written by then.
-SQL can express neither the classifier nor the packing, so ORACLE_SQL is None and tests compare the stages with brute
-force.
+SQL can express neither the classifier nor the packing, so ORACLE_SQL is None. Tests hold the first stage against its labels
+and the second against all pairs; the operators of the others are tested by themselves, the stages for what they may return.
 """
 
 from __future__ import annotations
