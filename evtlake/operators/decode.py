@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 
 from ..functions.felt import Kind, Types, any_error, compiled, decode_value, in_python, spark_type
 from ..schemas import DEFAULT_STATUS
+from ..sources.config import held, sized
 
 METADATA = ["block_number", "transaction_hash", "log_index", "timestamp", "contract_address", "event_name", "status"]
 
 
+def accepted(contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> DataFrame:
+    """contract_address and selector of every event that a rule takes, with contract_name, abi_name and event_name."""
+    events = catalog.where("kind = 'event'").select("abi_name", "selector", F.col("name").alias("event_name")).distinct()
+    known = contracts.select("contract_name", "contract_address", "abi_name")
+    wanted = rules.select("contract_name", "event_name").distinct()
+    return known.join(events, "abi_name").join(wanted, ["contract_name", "event_name"], "left_semi")
+
+
 def matched(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """Raw events with contract_name, abi_name and event_name; unknown contracts, selectors and events without a rule go.
 
-    contracts, catalog and rules describe configuration and are small; Spark broadcasts them by their size.
+    The configuration is joined first, so that events meet one table, by address and selector together: a broadcast up to
+    `config.BROADCAST_ROWS` rows, beyond it a shuffle on both keys.
     """
-    events = catalog.where("kind = 'event'").select("abi_name", "selector", F.col("name").alias("event_name")).distinct()
-    known = contracts.select("contract_name", "contract_address", "abi_name")
-    wanted = rules.select("contract_name", "event_name").distinct()
-    rows = raw.join(known, "contract_address").withColumn("selector", F.try_element_at("keys", F.lit(1)))
-    return rows.join(events, ["abi_name", "selector"]).join(wanted, ["contract_name", "event_name"], "left_semi")
+    rows = raw.withColumn("selector", F.try_element_at("keys", F.lit(1)))
+    return rows.join(sized(accepted(contracts, catalog, rules)), ["contract_address", "selector"])
 
 
 def status_or_default(status: Column) -> Column:
@@ -91,7 +98,7 @@ def decoded(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
 def kinds_of(catalog: DataFrame, types: dict[str, Types]) -> dict[tuple[str, str], list[tuple[str, str, Kind]]]:
     """(abi, event or view) to its members, keys first. An unnamed only output takes the view's name, several output_i."""
     out: dict[tuple[str, str], list] = {}
-    rows = catalog.where("kind IN ('event', 'function') AND type_name IS NOT NULL").collect()  # interface files: a small table
+    rows = [r for r in catalog.collect() if r["kind"] in ("event", "function") and r["type_name"] is not None]  # interface files: a small table
     for r in sorted(rows, key=lambda r: (r["abi_name"], r["name"], r["part"] != "key", r["pos"])):
         kind = types.get(r["abi_name"], Types()).resolve(r["type_name"])
         out.setdefault((r["abi_name"], r["name"]), []).append((r["part"], r["member"], kind))
@@ -108,20 +115,25 @@ def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules:
 
     Only events with a type that expressions do not reach go through Python; all are numbered together.
     """
+    catalog = held(catalog)
     kinds = {k: m for k, m in kinds_of(catalog, _types(catalog)).items() if not any(p == "output" for p, _, _ in m)}
-    for r in catalog.where("kind = 'event' AND type_name IS NULL").select("abi_name", "name").distinct().collect():  # interface files
+    for r in catalog.where("kind = 'event' AND type_name IS NULL").collect():
         kinds.setdefault((r["abi_name"], r["name"]), [])
     rows = matched(raw, contracts, catalog, rules)
     own = {k: (F.col("abi_name") == k[0]) & (F.col("event_name") == k[1]) for k in kinds}
     slow = [k for k, members in kinds.items() if any(in_python(kind) for _, _, kind in members)]
-    error, values = F.lit(None).cast("string"), {}
+    layouts: dict[tuple, list[tuple[str, str]]] = {}  # events with the same members are decoded by the same expressions
     for k, members in kinds.items():
-        if k in slow:
-            values[k] = F.from_json("decode_json", _struct_type(members))
+        layouts.setdefault(tuple(members), []).append(k)
+    error, values = F.lit(None).cast("string"), []
+    for members, events in layouts.items():
+        takes = reduce(Column.__or__, (own[k] for k in events))
+        if events[0] in slow:
+            values.append(F.when(takes, F.from_json("decode_json", _struct_type(list(members)))))
             continue
-        columns, failure = member_columns(members)
-        error = F.when(own[k], failure).otherwise(error)
-        values[k] = F.struct(*columns) if columns else F.lit(True)
+        columns, failure = member_columns(list(members))
+        error = F.when(takes, failure).otherwise(error)
+        values.append(F.when(takes, F.struct(*columns) if columns else F.lit(True)))
     every = rows.withColumn("decode_json", F.lit(None).cast("string")).withColumn("decode_error", error)
     if slow:
         every = reduce(DataFrame.unionByName, (_in_json(rows.where(own[k]), kinds[k]) for k in slow), every.where(~reduce(Column.__or__, (own[k] for k in slow))))
@@ -130,9 +142,10 @@ def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules:
     names: dict[tuple[str, str], str] = {}
     for abi, event in kinds:
         names[abi, event] = event if event not in names.values() else f"{abi}_{event}"
-    wide = good.select(
+    place = {k: i for i, events in enumerate(layouts.values()) for k in events}
+    wide = good.withColumns({f"_layout{i}": v for i, v in enumerate(values)}).select(
         "block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name",
-        *(F.when(own[k], values[k]).alias(names[k]) for k in kinds),
+        *(F.when(own[k], F.col(f"_layout{place[k]}")).alias(names[k]) for k in kinds),
     )
     return wide, every.where("decode_error IS NOT NULL").drop("decode_json"), {names[k]: [m for _, m, _ in members] for k, members in kinds.items()}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.selector import selector
 from ..sources.abi import abi_catalog, abi_entries, checked
+from ..sources.config import config_table
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 ADDRESSES = [f"0x{i}" for i in range(1, 8)]
@@ -63,20 +64,20 @@ def abi_text(data: list[tuple[str, str]] | None = None, events: list[str] = EVEN
 
 def catalog(spark: SparkSession, data: list[tuple[str, str]] | None = None, more: str = "[]") -> DataFrame:
     text = json.dumps(json.loads(abi_text(data)) + json.loads(more))
-    return checked(abi_catalog(abi_entries(spark.createDataFrame([("shop", text)], "abi_name string, text string"))))
+    return checked(abi_catalog(abi_entries(config_table(spark, [("shop", text)], "abi_name string, text string"))))
 
 
 def contracts(spark: SparkSession) -> DataFrame:
     """Seven contracts; the odd ones have a start block."""
     rows = [(f"c{i}", f"0x{i}", "shop", 473_400 + i if i % 2 else None, "f" if i < 4 else None, {"k": str(10 * i), "peer": f"0x{i % 7 + 1}"}, i < 4) for i in range(1, 8)]
-    return spark.createDataFrame(rows, "contract_name string, contract_address string, abi_name string, start_block bigint, factory_name string, factory_meta map<string,string>, dynamic boolean")
+    return config_table(spark, rows, "contract_name string, contract_address string, abi_name string, start_block bigint, factory_name string, factory_meta map<string,string>, dynamic boolean")
 
 
 CONTRACTS_SQL = "SELECT 'c' || i AS contract_name, '0x' || i AS contract_address, CASE WHEN i % 2 = 1 THEN 473400 + i END AS start_block, CASE WHEN i < 4 THEN 'f' END AS factory_name, 10 * i AS k, '0x' || (i % 7 + 1) AS peer, i < 4 AS dynamic FROM (SELECT CAST(unnest(range(1, 8)) AS BIGINT) AS i)"
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"c{i}", "*", "log", "") for i in range(1, 8)] + [("c1", "purchase", "unique", "account"), ("c2", "missing", "log", "")], "contract_name string, event_name string, table_type string, unique_key string")
+    return config_table(spark, [(f"c{i}", "*", "log", "") for i in range(1, 8)] + [("c1", "purchase", "unique", "account"), ("c2", "missing", "log", "")], "contract_name string, event_name string, table_type string, unique_key string")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import decode, lifecycle, query, registry, tables, views
 from ..schemas import Aggregate, Filter, Query
 from ..sources import abi
 from ..sources import events as src
+from ..sources.config import config_table
 from ..streaming import streams
 from . import adapters as ad
 
@@ -103,7 +104,7 @@ add("pending_rows", on_log(lambda L: ch.pending(L, TIP - 100)), f"SELECT {LOG} F
 
 
 def _reorgs(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(REORG[0], REORG[1], 1), (473_500, 473_510, 2), (10, 5, 3)], "start_block bigint, end_block bigint, seq bigint")
+    return config_table(s, [(REORG[0], REORG[1], 1), (473_500, 473_510, 2), (10, 5, 3)], "start_block bigint, end_block bigint, seq bigint")
 
 
 KEPT = f"block_number NOT BETWEEN {REORG[0]} AND {REORG[1]} AND block_number NOT BETWEEN 473500 AND 473510"
@@ -148,7 +149,8 @@ add("timestamp_enrich", lambda s, d: src.with_timestamps(raw(s, d).drop("timesta
 
 
 def _decode(s: SparkSession, d: str) -> DataFrame:
-    wide, _, events = decode.decode_wide(raw(s, d).drop("event_name", "contract_name"), ad.contracts(s), ad.catalog(s), tables.expanded_rules(ad.rules(s), ad.catalog(s), ad.contracts(s)))
+    interfaces = ad.catalog(s)
+    wide, _, events = decode.decode_wide(raw(s, d).drop("event_name", "contract_name"), ad.contracts(s), interfaces, tables.expanded_rules(ad.rules(s), interfaces, ad.contracts(s)))
     member = lambda m: F.coalesce(*(F.col(f"`{e}`.`{m}`") for e in events))
     return wide.select(*decode.METADATA, "contract_name", member("account").alias("account"), member("amount_cents").cast("bigint").alias("amount_cents"), member("k").alias("k"))
 
@@ -223,7 +225,7 @@ def _children(s: SparkSession, d: str) -> DataFrame:
 
 CHILD = ", N AS (SELECT 'f_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address, block_number AS start_block, k, row_number() OVER (PARTITION BY account ORDER BY block_number, log_index) AS r FROM L WHERE event_name = 'signup'), CH AS (SELECT * FROM N WHERE r = 1)"
 add("child_names", lambda s, d: _children(s, d).select("contract_name", "contract_address", "start_block", F.col("factory_meta")["k"].cast("bigint").alias("k")), f"{CHILD} SELECT contract_name, contract_address, start_block, k FROM CH")
-none_yet = lambda s: s.createDataFrame([], "contract_name string, last_block bigint")
+none_yet = lambda s: config_table(s, [], "contract_name string, last_block bigint")
 add("children_list", lambda s, d: registry.children_list(_children(s, d), none_yet(s), "f", ["k"], query=Query(order="contract_name", limit=100)), f"{CHILD} SELECT contract_name, contract_address, start_block AS deployment_block, CAST(0 AS BIGINT) AS last_block, CAST(k AS VARCHAR) AS k FROM CH ORDER BY contract_name DESC LIMIT 100")
 add("children_count", lambda s, d: registry.children_count(_children(s, d), "f", {"k": "7"}), f"{CHILD} SELECT COUNT(*) AS \"count\" FROM CH WHERE k = 7")
 add("child_events", lambda s, d: registry.child_events(ad.log(s, d).select(F.col("account").alias("contract_address"), "block_number", "transaction_hash"), _children(s, d)).select("contract_name", "transaction_hash"), f"{CHILD} SELECT contract_name, transaction_hash FROM L JOIN CH ON L.account = CH.contract_address WHERE block_number >= start_block".replace("SELECT contract_name, transaction_hash", "SELECT CH.contract_name, transaction_hash"))
@@ -239,14 +241,14 @@ def _deployer(s: SparkSession, d: str) -> DataFrame:
 
 
 def _discovered(s: SparkSession, d: str) -> DataFrame:
-    watched = s.createDataFrame([("0x1", "pool", "shop", True), ("0x2", "vault", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")
+    watched = config_table(s, [("0x1", "pool", "shop", True), ("0x2", "vault", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")
     return registry.discovered(registry.deployments(_deployer(s, d)), watched, "{group}_{address_short}")
 
 
 add("discovery_layout", lambda s, d: registry.deployments(_deployer(s, d)), "SELECT block_number, event_id AS event_seq, account AS contract_address, '0x' || (k % 4) AS class_hash FROM L WHERE event_name = 'signup'")
 DISCOVERED = "SELECT CASE k % 4 WHEN 1 THEN 'pool' ELSE 'vault' END || '_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address, 'shop' AS abi_name, block_number AS start_block, event_id AS log_index, CASE k % 4 WHEN 1 THEN 'shop' END AS factory_name, '0x' || (k % 4) AS class_hash, k % 4 = 1 AS shared, true AS dynamic FROM L WHERE event_name = 'signup' AND k % 4 IN (1, 2)"
 add("discovered", _discovered, DISCOVERED)
-add("discovered_default_names", lambda s, d: registry.discovered(registry.deployments(_deployer(s, d)), s.createDataFrame([("0x1", "", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")).select("contract_name", "contract_address"), "SELECT '1_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address FROM L WHERE event_name = 'signup' AND k % 4 = 1")
+add("discovered_default_names", lambda s, d: registry.discovered(registry.deployments(_deployer(s, d)), config_table(s, [("0x1", "", "shop", False)], "class_hash string, group string, abi_name string, shared boolean")).select("contract_name", "contract_address"), "SELECT '1_' || right(regexp_replace(account, '^0x', ''), 8) AS contract_name, account AS contract_address FROM L WHERE event_name = 'signup' AND k % 4 = 1")
 # The deployer's address (v1 keys[2] is 0x0) and the class hash from the places given, whatever the shape.
 add("discovery_layout_places", lambda s, d: registry.deployments(_deployer(s, d), address_key=2, address_data=1, class_hash_data=0), "SELECT block_number, event_id AS event_seq, '0x0' AS contract_address, CASE WHEN event_id % 2 = 0 THEN '0x' || (k % 4) ELSE account END AS class_hash FROM L WHERE event_name = 'signup'")
 add("discovered_by_class", lambda s, d: registry.of_class(registry.first_registrations(_discovered(s, d)), "0x1", none_yet(s)).select("contract_name", "start_block", "last_block"), f", D AS ({DISCOVERED}) SELECT contract_name, start_block, CAST(NULL AS BIGINT) AS last_block FROM D QUALIFY row_number() OVER (PARTITION BY contract_name ORDER BY start_block, log_index) = 1 AND class_hash = '0x1'")
@@ -254,7 +256,7 @@ add("merge_contracts", lambda s, d: registry.merged(_children(s, d).where("start
 
 
 def _resync(s: SparkSession, d: str) -> DataFrame:
-    rules = s.createDataFrame([("f", "shop", "own"), ("a", "other", "any")], "factory_name string, abi_name string, events string")
+    rules = config_table(s, [("f", "shop", "own"), ("a", "other", "any")], "factory_name string, abi_name string, events string")
     kids = _children(s, d).withColumn("abi_name", F.when(F.col("start_block") % 2 == 0, F.lit("other")).otherwise(F.col("abi_name")))
     return registry.resynced(kids, rules).select("contract_name", "events")
 
@@ -267,7 +269,7 @@ add("contract_list", lambda s, d: query.contract_list(ad.contracts(s).select("co
 
 def _rules(s: SparkSession) -> DataFrame:
     rows = [("c1", "local", "error", None, None, None, None), ("c2", "foreign", "error", "c3", None, None, None), ("c4", "sibling", "error", None, "peer", None, None), ("c5", "predicate", None, None, "k", "lte", "0x32"), ("c6", "predicate", None, None, "k", "gt", "now() - 2d"), ("c7", "predicate", None, None, "none", "eq", "70")]
-    return s.createDataFrame(rows, "contract_name string, kind string, event string, source string, meta_field string, op string, value string")
+    return config_table(s, rows, "contract_name string, kind string, event string, source string, meta_field string, op string, value string")
 
 
 def _terminal(s: SparkSession, d: str) -> DataFrame:
@@ -328,7 +330,7 @@ add("view_table", lambda s, d: first_of(tables.view_table(ad.readings(s, d), "un
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    rules = s.createDataFrame([("0x1", "balance", "error", None), ("0x2", "balance", "purchase", "0x3")], "contract_address string, function string, event string, source_address string")
+    rules = config_table(s, [("0x1", "balance", "error", None), ("0x2", "balance", "purchase", "0x3")], "contract_address string, function string, event string, source_address string")
     events = src.with_catchup(ad.log(s, d), TIP - 60).withColumn("timestamp", F.col("timestamp") + F.col("log_index"))
     return views.triggers(events, rules)
 
@@ -341,7 +343,7 @@ T AS (WITH RECURSIVE R AS (SELECT contract_address, "function", i, ts AS last, t
   UNION ALL SELECT A.contract_address, A."function", A.i, CASE WHEN A.ts >= last + 7200 THEN A.ts WHEN A.ts > last THEN last + 7200 ELSE last END, A.ts > last FROM R JOIN A ON A.contract_address = R.contract_address AND A.i = R.i + 1) SELECT * FROM R)
 SELECT contract_address, "function", last AS ts FROM T WHERE read""")
 add("view_ceiling", lambda s, d: views.ticks(_asked(s, d), 7200, (TIP + 40) * 3600), f"{ASKED}, B AS (SELECT *, lead(ts, 1, {(TIP + 40) * 3600}) OVER (PARTITION BY contract_address ORDER BY ts, block_number) AS n FROM A) SELECT contract_address, \"function\", unnest(range(ts + 7200, n, 7200)) AS ts, block_number FROM B")
-add("view_reorg", lambda s, d: views.readings_at(views.reorg_triggers(ad.readings(s, d), s.createDataFrame([(473_900, 473_900 * 3600)], "start_block bigint, ts bigint")), ad.readings(s, d)).select("contract_address", "ts"), f"{R} SELECT contract_address, min(ts) AS ts FROM R WHERE ts >= {473_900 * 3600} GROUP BY contract_address")
+add("view_reorg", lambda s, d: views.readings_at(views.reorg_triggers(ad.readings(s, d), config_table(s, [(473_900, 473_900 * 3600)], "start_block bigint, ts bigint")), ad.readings(s, d)).select("contract_address", "ts"), f"{R} SELECT contract_address, min(ts) AS ts FROM R WHERE ts >= {473_900 * 3600} GROUP BY contract_address")
 
 # Streams.
 

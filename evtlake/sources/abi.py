@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.felt import Types
 from ..functions.selector import selector_column
+from .config import held
 
 _MEMBER = "struct<name:string,type:string,kind:string>"
 _FUNCTION = f"type string, name string, kind string, state_mutability string, inputs array<{_MEMBER}>, outputs array<{_MEMBER}>, members array<{_MEMBER}>, variants array<{_MEMBER}>"
@@ -51,17 +52,20 @@ def abi_catalog(entries: DataFrame) -> DataFrame:
 
 
 def checked(catalog: DataFrame) -> DataFrame:
-    """The catalog, or ValueError if short names collide."""
-    twice = catalog.where("kind = 'event'").groupBy("abi_name", "name").agg(F.count_distinct("full_name").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"events of {twice[0]['abi_name']} share the name {twice[0]['name']}")
-    return catalog
+    """The catalog, computed once and held (interface files are a small table), or ValueError if short names collide."""
+    out = held(catalog)
+    full: dict[tuple[str, str], str] = {}
+    for r in out.where("kind = 'event'").collect():
+        if full.setdefault((r["abi_name"], r["name"]), r["full_name"]) != r["full_name"]:
+            raise ValueError(f"events of {r['abi_name']} share the name {r['name']}")
+    return out
 
 
 def types_of(catalog: DataFrame) -> dict[str, Types]:
     """Struct and enum definitions by ABI (interface files, so a small table)."""
     out: dict[str, Types] = {}
-    for r in catalog.where("kind IN ('struct', 'enum') AND member IS NOT NULL").orderBy("abi_name", "full_name", "pos").collect():
+    rows = catalog.where("kind IN ('struct', 'enum') AND member IS NOT NULL").collect()
+    for r in sorted(rows, key=lambda r: (r["abi_name"], r["full_name"], r["pos"])):
         own = out.setdefault(r["abi_name"], Types())
         (own.structs if r["kind"] == "struct" else own.enums).setdefault(r["full_name"], []).append((r["member"], r["type_name"]))
     return out

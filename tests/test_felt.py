@@ -148,3 +148,24 @@ def test_events_of_compiled_and_python_types_are_numbered_together(spark):
     assert {(r["log_index"], r["v"]) for r in rows["A"].collect()} == {(0, 5), (3, 7)}
     assert {(r["log_index"], tuple(r["v"])) for r in rows["B"].collect()} == {(1, ("hi",))}
     assert [r["log_index"] for r in rows["C"].collect()] == [2] and {r["event_seq"] for r in failed.collect()} == {2, 4}
+
+
+def test_events_meet_one_table_of_the_configuration(spark, monkeypatch):
+    """Broadcast while it is small, joined by shuffle beyond the bound; the same rows both ways."""
+    from evtlake.sources import config
+
+    catalog = checked(abi_catalog(abi_entries(config.config_table(spark, [("a", json.dumps(ABI))], "abi_name string, text string"))))
+    contracts = config.config_table(spark, [("x", "0x1", "a"), ("y", "0x2", "none")], "contract_name string, contract_address string, abi_name string")
+    rules = config.config_table(spark, [("x", "Posted"), ("x", "Changed"), ("y", "Posted")], "contract_name string, event_name string")
+    rows = [(i, a, [selector(e)] if e else []) for i, (a, e) in enumerate([("0x1", "Posted"), ("0x1", "Changed"), ("0x2", "Posted"), ("0x3", "Posted"), ("0x1", None), (None, "Posted")])]
+    raw = spark.createDataFrame(rows, "event_seq bigint, contract_address string, keys array<string>")
+    seen = []
+    for bound in (config.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(config, "BROADCAST_ROWS", bound)
+        out = decode.matched(raw, contracts, catalog, rules)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == (bound > 1)
+        seen.append(sorted((r["event_seq"], r["contract_name"], r["event_name"]) for r in out.collect()))
+    assert seen[0] == seen[1] == [(0, "x", "Posted"), (1, "x", "Changed")]
+    assert config.config_table(spark, [], "a int, m map<string,string>").collect() == []
+    assert config.config_table(spark, [(1, {"k": "v"}), (None, None)], "a int, m map<string,string>").collect() == [(1, {"k": "v"}), (None, None)]
