@@ -76,8 +76,7 @@ def _delta(s: SparkSession, d: str) -> DataFrame:
 GONE = "CASE WHEN event_id % 17 = 0 THEN amount_cents + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END ELSE 0 END"
 add("agg_delta", _delta, f"SELECT CAST(SUM(amount_cents) - SUM({GONE}) AS DOUBLE) AS total, CAST(COUNT(*) FILTER (WHERE event_id % 17 <> 0) AS BIGINT) AS n, ROUND(CAST(SUM(amount_cents) - SUM({GONE}) AS DOUBLE) / COUNT(*) FILTER (WHERE event_id % 17 <> 0), 4) AS mean FROM L")
 add("exact_sum", on_log(lambda L: tables.exact_sum(L.select(F.concat(F.col("amount_cents").cast("string"), F.lit("000000000000000000"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("v")), "v")), "SELECT CAST(SUM(CAST(amount_cents AS HUGEINT) * 100000000000000000000 + k) AS VARCHAR) AS total FROM L")
-add("log_index", lambda s, d: decode.with_log_index(ad.raw_events(s, d).where("event_seq % 3 <> 0")).select("block_number", "event_seq", "log_index"), "SELECT block_number, event_id AS event_seq, row_number() OVER (PARTITION BY block_number ORDER BY event_id) - 1 AS log_index FROM L WHERE event_id % 3 <> 0")
-add("log_index_whole", lambda s, d: decode.with_log_index(ad.raw_events(s, d)).select("block_number", "event_seq", "log_index"), "SELECT block_number, event_id AS event_seq, log_index FROM L")
+add("log_index", lambda s, d: decode.with_log_index(ad.raw_events(s, d)).select("block_number", "event_seq", "log_index"), "SELECT block_number, event_id AS event_seq, log_index FROM L")
 add("status_default", lambda s, d: ad.raw_events(s, d).select("event_seq", decode.status_or_default(F.col("finality_status")).alias("status")), "SELECT event_id AS event_seq, 'ACCEPTED_ON_L2' AS status FROM L")
 add("json_text", on_log(lambda L: decode.as_text(L.select("transaction_hash", F.struct("k", "account").alias("pair"), F.when(F.col("k") > 50, F.col("k")).alias("maybe")))), "SELECT transaction_hash, '{\"k\":' || k || ',\"account\":\"' || account || '\"}' AS pair, CASE WHEN k > 50 THEN CAST(k AS VARCHAR) ELSE '' END AS maybe FROM L")
 add("cast_columns", on_log(lambda L: decode.cast_columns(L.select("transaction_hash", F.col("k").cast("string").alias("k"), F.when(F.col("k") > 50, "true").otherwise("no").alias("flag")), {"k": "bigint", "flag": "boolean"})), "SELECT transaction_hash, k, k > 50 AS flag FROM L")
@@ -210,9 +209,7 @@ def _byte_array(s: SparkSession, d: str) -> DataFrame:
     return decode.decoded(items.select("item_id", data.alias("data"), F.array().cast("array<string>").alias("keys")), [("data", "text", felt.Kind("bytes"))]).select("item_id", "text")
 
 
-# The first compares prefixes of what is decoded whole, as its SQL asks for; the second compares all of it.
-add("decode_byte_array", lambda s, d: _byte_array(s, d).withColumn("text", F.substring("text", 1, 200)), "SELECT item_id, substring(text, 1, 200) AS text FROM benchmark", log=False)
-add("decode_byte_array_whole", _byte_array, "SELECT item_id, text FROM benchmark", log=False)
+add("decode_byte_array", _byte_array, "SELECT item_id, text FROM benchmark", log=False)
 add("decode_view", lambda s, d: decode.decode_results(ad.readings(s, d), [("output", "balance", felt.Kind("u64"))]).select("contract_address", "ts", F.col("balance").cast("bigint").alias("balance")), "SELECT contract_address, \"timestamp\" + log_index AS ts, amount_cents AS balance FROM L")
 
 # Registry, status and lifecycle.
@@ -276,17 +273,10 @@ def _terminal(s: SparkSession, d: str) -> DataFrame:
     return ad.log(s, d, True).select("contract_name", "contract_address", "event_name", "block_number", "log_index")
 
 
-def _late(s: SparkSession, d: str) -> DataFrame:
-    return _terminal(s, d).where("block_number >= 473600")
+def _first(name: str, emitter: str) -> str:
+    return f"SELECT '{name}' AS contract_name, block_number AS frozen_at_block, log_index AS frozen_at_log FROM L WHERE contract_name = '{emitter}' AND event_name = 'error' QUALIFY row_number() OVER (ORDER BY block_number, log_index) = 1"
 
 
-def _first(name: str, emitter: str, since: str = " AND block_number >= 473600") -> str:
-    return f"SELECT '{name}' AS contract_name, block_number AS frozen_at_block, log_index AS frozen_at_log FROM L WHERE contract_name = '{emitter}' AND event_name = 'error'{since} QUALIFY row_number() OVER (ORDER BY block_number, log_index) = 1"
-
-
-add("freeze_local", lambda s, d: lifecycle.local_triggers(_late(s, d), _rules(s)), _first("c1", "c1"))
-add("freeze_foreign", lambda s, d: lifecycle.foreign_triggers(_late(s, d), _rules(s)), _first("c2", "c3"))
-add("freeze_sibling", lambda s, d: lifecycle.sibling_triggers(_late(s, d), _rules(s), ad.contracts(s)), _first("c4", "c5"))
 
 
 def _predicate_children(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -310,15 +300,12 @@ add("freeze_fractions", lambda s, d: lifecycle.predicate_matches(*_fractions(s,
 add("freeze_at_registration", lambda s, d: lifecycle.registered(*_predicate_children(s, d), 0).select("contract_name", "frozen"), f"{CHILD} SELECT contract_name, k < 20 AS frozen FROM CH")
 add("freeze_coercion", on_log(lambda L: L.select("transaction_hash", felt.number_text(F.col("account")).cast("bigint").alias("n"))), "SELECT transaction_hash, CAST(('0x' || substring(account, 3)) AS BIGINT) AS n FROM L")
 add("freeze_reconcile", lambda s, d: lifecycle.reconciled(_terminal(s, d), _rules(s), ad.contracts(s), 0).join(ad.log(s, d, True), "contract_name").groupBy("contract_name").agg(F.count(F.lit(1)).alias("n")), "SELECT contract_name, COUNT(*) AS n FROM L WHERE contract_name IN ('c1', 'c4', 'c5', 'c6') GROUP BY contract_name")
-add("freeze_effect", lambda s, d: lifecycle.until_frozen(ad.log(s, d, True), lifecycle.local_triggers(_late(s, d), _rules(s))).select("transaction_hash"), f", T AS ({_first('c1', 'c1')}) SELECT transaction_hash FROM L LEFT JOIN T USING (contract_name) WHERE frozen_at_block IS NULL OR (block_number, log_index) <= (frozen_at_block, frozen_at_log)")
-add("frozen_registry", lambda s, d: lifecycle.frozen_registry(ad.contracts(s), lifecycle.local_triggers(_late(s, d), _rules(s))).select("contract_name", "frozen", "frozen_at_block"), f", C AS ({ad.CONTRACTS_SQL}), T AS ({_first('c1', 'c1')}) SELECT contract_name, frozen_at_block IS NOT NULL AS frozen, frozen_at_block FROM C LEFT JOIN T USING (contract_name)")
-
-# The same over the whole log; the SQL of the queries above starts at a block.
-add("freeze_local_whole", lambda s, d: lifecycle.local_triggers(_terminal(s, d), _rules(s)), _first("c1", "c1", ""))
-add("freeze_foreign_whole", lambda s, d: lifecycle.foreign_triggers(_terminal(s, d), _rules(s)), _first("c2", "c3", ""))
-add("freeze_sibling_whole", lambda s, d: lifecycle.sibling_triggers(_terminal(s, d), _rules(s), ad.contracts(s)), _first("c4", "c5", ""))
-add("freeze_effect_whole", lambda s, d: lifecycle.until_frozen(ad.log(s, d, True), lifecycle.local_triggers(_terminal(s, d), _rules(s))).select("transaction_hash"), f", T AS ({_first('c1', 'c1', '')}) SELECT transaction_hash FROM L LEFT JOIN T USING (contract_name) WHERE frozen_at_block IS NULL OR (block_number, log_index) <= (frozen_at_block, frozen_at_log)")
-add("frozen_registry_whole", lambda s, d: lifecycle.frozen_registry(ad.contracts(s), lifecycle.local_triggers(_terminal(s, d), _rules(s))).select("contract_name", "frozen", "frozen_at_block"), f", C AS ({ad.CONTRACTS_SQL}), T AS ({_first('c1', 'c1', '')}) SELECT contract_name, frozen_at_block IS NOT NULL AS frozen, frozen_at_block FROM C LEFT JOIN T USING (contract_name)")
+
+add("freeze_local", lambda s, d: lifecycle.local_triggers(_terminal(s, d), _rules(s)), _first("c1", "c1"))
+add("freeze_foreign", lambda s, d: lifecycle.foreign_triggers(_terminal(s, d), _rules(s)), _first("c2", "c3"))
+add("freeze_sibling", lambda s, d: lifecycle.sibling_triggers(_terminal(s, d), _rules(s), ad.contracts(s)), _first("c4", "c5"))
+add("freeze_effect", lambda s, d: lifecycle.until_frozen(ad.log(s, d, True), lifecycle.local_triggers(_terminal(s, d), _rules(s))).select("transaction_hash"), f", T AS ({_first('c1', 'c1')}) SELECT transaction_hash FROM L LEFT JOIN T USING (contract_name) WHERE frozen_at_block IS NULL OR (block_number, log_index) <= (frozen_at_block, frozen_at_log)")
+add("frozen_registry", lambda s, d: lifecycle.frozen_registry(ad.contracts(s), lifecycle.local_triggers(_terminal(s, d), _rules(s))).select("contract_name", "frozen", "frozen_at_block"), f", C AS ({ad.CONTRACTS_SQL}), T AS ({_first('c1', 'c1')}) SELECT contract_name, frozen_at_block IS NOT NULL AS frozen, frozen_at_block FROM C LEFT JOIN T USING (contract_name)")
 
 # Views over time. Readings of one view may share a second: the highest result text decides, as in the SQL.
 R = f", R AS ({ad.READINGS_SQL})"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evtlake.operators import changelog as ch
-from evtlake.operators import lifecycle, query, registry, tables, views
+from evtlake.operators import decode, lifecycle, query, registry, tables, views
 from evtlake.schemas import Aggregate, Filter, Query, TableSpec
 from evtlake.sources import events as src
 
@@ -213,3 +213,9 @@ def test_outputs(spark, tmp_path):
     query.write_json(df, str(tmp_path / "j"))
     query.write_csv(df, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 1
+
+
+def test_log_index_has_no_gaps_where_events_are_missing(spark):
+    rows = [(b, s) for b in (1, 2) for s in range(12) if s % 3]
+    out = decode.with_log_index(spark.createDataFrame(rows, "block_number bigint, event_seq bigint")).collect()
+    assert {(r["block_number"], r["event_seq"]): r["log_index"] for r in out} == {(b, s): s - 1 - s // 3 for b, s in rows}
