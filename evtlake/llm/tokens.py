@@ -21,7 +21,7 @@ CACHE_WORDS = 400_000
 #: Words that it keeps from one task to the next.
 IDLE_WORDS = 50_000
 #: Bytes of text encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 
 
