@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, quality, simhash, substrings, token_rollup, url_rules, warc, winnow
+from . import chat, collocations, decontam, divergence, licenses, packing, quality, simhash, substrings, token_rollup, url_rules, warc, winnow
 from .store import new_path, written
 
 
@@ -85,8 +85,25 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, read back from what was formatted."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    more = more.select(*(F.col(f.name).cast(f.dataType) for f in said.schema))
+    return chat.digests(chat.formatted(said.unionByName(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_winnowing, op4_warc, op5_packing, op6_licenses, op7_quality, op8_substrings, op9_decontamination, op10_urls)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_winnowing, op4_warc, op5_packing, op6_licenses, op7_quality, op8_substrings, op9_decontamination, op10_urls, op11_collocations, op12_source_divergence, op13_chat_format)
 }
 
 
@@ -150,4 +167,50 @@ hit AS (SELECT uid, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n
 items AS (SELECT uid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS s FROM found GROUP BY uid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (uid) LEFT JOIN items USING (uid)""",
+    # Sub-phrases of up to four words of each piece, their counts, cuts and covers.
+    "op11_collocations": r"""
+WITH texts AS (SELECT row_number() OVER () AS uid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM texts),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM w, (VALUES (1), (2), (3), (4)) AS ks(k), unnest(range(1, len(w) - k + 2)) AS r(i)),
+f AS (SELECT lang, k, s, count(*) AS n FROM grams GROUP BY lang, k, s HAVING count(*) >= 30),
+c AS (SELECT lang, k, s, n AS a, string_split(s, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.s, a, cut, x.n AS l, y.n AS r, (2000000 * a::HUGEINT) // (x.n + y.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN f AS x ON x.lang = c.lang AND x.s = array_to_string(c.w[1 : cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.s = array_to_string(c.w[cut + 1 :], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS s, max(a) AS longer FROM (SELECT lang, w, k, a, unnest(range(2, k)) AS m FROM c WHERE k > 2) AS x, unnest(range(1, k - m + 2)) AS r(i) GROUP BY ALL),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN inside USING (lang, s) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS INTEGER) AS rank, s AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN sizes USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) <= 2000""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT uid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT uid) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups AS g JOIN kept AS k USING (lang) LEFT JOIN counts AS c USING (lang, source, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM grid GROUP BY ALL),
+rates AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS p FROM grid JOIN totals USING (lang, source) JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS m FROM counts GROUP BY ALL),
+lang_totals AS (SELECT lang, sum(m) AS total FROM whole GROUP BY lang),
+lang_rates AS (SELECT lang, term, 1 + (1000000000 * (m + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS q FROM whole JOIN lang_totals USING (lang) JOIN sizes USING (lang)),
+apart AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM rates AS x JOIN rates AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0) AS value FROM groups AS x JOIN groups AS y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart AS a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM rates JOIN lang_rates USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 50""",
+    # Lengths of the template: 6 for each of its first two marks, 7 for the last.
+    "op13_chat_format": r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+sized AS (SELECT *, length(regexp_replace(role || chr(10) || text, '\\|<(turn>|says>|/turn>|\|endoftext\|>)', '\0+', 'g')) - 1 AS shown FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text))) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(shown + 19) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }

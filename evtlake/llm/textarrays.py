@@ -42,7 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and their offsets (one more than texts), from 0."""
-    col = col.cast(pa.large_string())
+    col = col if pa.types.is_large_binary(col.type) else col.cast(pa.large_string())
     col = pc.fill_null(col, "") if col.null_count else col
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
