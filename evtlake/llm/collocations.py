@@ -18,7 +18,7 @@ length are read whole; an empty table gives no rows; further columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import chunk_batch, chunk_rows, chunk_schema, hash_filter, lines, merged, passes, strings
+from .runs import chunk_batch, chunk_rows, chunk_schema, hash_filter, lines, merged, passes
 from .store import bounded, lean, written
-from .textarrays import LOWER, U64, byte_table, mix, slices, span_hashes, text_bytes, text_column, word_bounds
+from .textarrays import LOWER, SLICE_BYTES, U64, byte_table, mix, slices, span_hashes, text_bytes, text_column, word_bounds
 
 BREAKS = byte_table(".,;:!?\n\v\f\r")
 WORDS = byte_table(" \t.,;:!?\n\v\f\r")
 #: Entries of a container before it bursts, rows that wait in one before they are added up, entries of a trie before it spills.
 BURST, WAIT, MOST = 1 << 16, 1 << 15, 3 << 19
 #: Bytes of text counted at once.
-SLICE = 1 << 21
+SLICE = SLICE_BYTES
+#: A number for each byte value, for hashes that the order of bytes does not change.
+BAG = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Container:
@@ -122,25 +124,42 @@ def word_at(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Trie:
-    """A task's trie and its vocabulary: ids of (lang, word), from 1."""
+    """A task's trie and its vocabulary: ids of (lang, word), from 1. Words are told apart by a 64-bit hash of their bytes in order;
+    a second one, of the bytes in any order, shows whether two have the first in common. Then the vocabulary starts anew
+    with another `salt`."""
 
     def __init__(self, length: int, parts: int) -> None:
-        self.length, self.parts = length, parts
+        self.length, self.parts, self.salt = length, parts, 0
         self.clear()
 
     def clear(self) -> None:
         self.root: Container | Node = Container(0)
-        self.ids: dict[tuple[str, bytes], int] = {}
-        self.hashes = np.zeros(1, U64)
-
-    def numbers(self, pairs: list[tuple[str, bytes]], hashes: np.ndarray) -> np.ndarray:
-        known = len(self.ids)
-        ids = np.array([self.ids.setdefault(p, len(self.ids) + 1) for p in pairs], np.int64)
-        if len(self.ids) > known:
-            grown = np.zeros(len(self.ids) + 1, U64)
-            grown[: known + 1] = self.hashes
-            grown[ids] = hashes
-            self.hashes = grown
+        self.known, self.known_ids = np.zeros(0, U64), np.zeros(0, np.int64)  # ascending hashes and their ids
+        self.checks, self.hashes = np.zeros(1, U64), np.zeros(1, U64)  # by id: second hash, hash for filters and prefixes
+        self.words: list[bytes] = []
+        self.langs: list[str] = []
+
+    def spread(self, raw: np.ndarray) -> np.ndarray:
+        return np.roll(BAG, self.salt)[raw] if self.salt else raw
+
+    def numbers(self, own: np.ndarray, checks: np.ndarray, spell: Callable[[np.ndarray], tuple[list[str], list[bytes], np.ndarray]]) -> np.ndarray | None:
+        """Ids of distinct hashes; None if one of them is another word's. spell: langs, words and lasting hashes of new ones."""
+        at = np.searchsorted(self.known, own)
+        old = np.zeros(len(own), bool)
+        inside = at < len(self.known)
+        old[inside] = self.known[at[inside]] == own[inside]
+        ids = np.zeros(len(own), np.int64)
+        ids[old] = self.known_ids[at[old]]
+        if (self.checks[ids[old]] != checks[old]).any():
+            return None
+        new = np.flatnonzero(~old)
+        if len(new):
+            langs, words, hashes = spell(new)
+            ids[new] = np.arange(len(self.words) + 1, len(self.words) + 1 + len(new))
+            self.langs += langs
+            self.words += words
+            self.checks, self.hashes = np.concatenate([self.checks, checks[new]]), np.concatenate([self.hashes, hashes])
+            self.known, self.known_ids = np.insert(self.known, at[new], own[new]), np.insert(self.known_ids, at[new], ids[new])
         return ids
 
     def add(self, columns: list[np.ndarray]) -> None:
@@ -149,10 +168,10 @@ class Trie:
 
     def spill(self, whole: bool) -> Iterator[tuple]:
         """Chunks of the largest subtrees, until half of MOST is left, or of all."""
-        if not whole and self.root.size() <= MOST and len(self.ids) <= MOST:
+        if not whole and self.root.size() <= MOST and len(self.words) <= MOST:
             return
-        words = pa.array([w for _, w in self.ids], pa.large_binary())
-        langs = pa.array([lang for lang, _ in self.ids], pa.string()).dictionary_encode()
+        words = pa.array(self.words, pa.large_binary())
+        langs = pa.array(self.langs, pa.string()).dictionary_encode()
         lang_of = np.r_[0, langs.indices.to_numpy()]
         trees = sorted([self.root] if isinstance(self.root, Container) else self.root.children, key=lambda t: -t.size())
         left = self.root.size()
@@ -166,7 +185,7 @@ class Trie:
                 self.root.children[self.root.children.index(tree)] = Container(self.root.depth)
             else:
                 self.root = Container(0)
-        if whole or len(self.ids) > MOST:
+        if whole or len(self.words) > MOST:
             if not whole:
                 for table in self.root.tables():
                     yield from self.run(table, words, lang_of, langs.dictionary.to_pylist())
@@ -225,7 +244,10 @@ def phrase_runs(docs: DataFrame, length: int, parts: int, keep: np.ndarray | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(length, parts)
         for batch in slices(batches, "text", SLICE):
-            ids, joins = words_of(batch, trie)
+            while (found := words_of(batch, trie)) is None:
+                yield from sent(trie.spill(True))
+                trie.salt += 1
+            ids, joins = found
             n = len(ids) - length + 1
             if n > 0:
                 good = np.ones(n, bool)
@@ -255,8 +277,9 @@ def phrase_runs(docs: DataFrame, length: int, parts: int, keep: np.ndarray | Non
     return bounded(docs.select("lang", "text")).mapInArrow(lean(run), chunk_schema(["lang"]))
 
 
-def words_of(batch: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of a slice in order, and whether each is followed by another of its piece."""
+def words_of(batch: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids of all words of a slice in order, and whether each is followed by another of its piece; None if two words have one
+    hash."""
     raw, offsets = text_bytes(text_column(batch, "text"))
     raw = LOWER[raw]
     starts, ends, first = word_bounds(raw, offsets, WORDS)
@@ -265,14 +288,33 @@ def words_of(batch: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndarray]
     breaks = np.cumsum(~BREAKS[raw], dtype=np.int64)[starts]
     doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
     joins = np.append((breaks[1:] == breaks[:-1]) & (doc[1:] == doc[:-1]), False)
-    found = strings(raw[WORDS[raw]], ends - starts).dictionary_encode()
     langs = batch.column(batch.schema.get_field_index("lang")).dictionary_encode()
-    own, place = np.unique(langs.indices.to_numpy()[doc].astype(np.int64) * len(found.dictionary) + found.indices.to_numpy(), return_inverse=True)
-    lang, word = np.divmod(own, len(found.dictionary))
-    names, terms = langs.dictionary.to_pylist(), found.dictionary.take(pa.array(word))
-    bytes_, ends_ = text_bytes(terms.cast(pa.large_string()))
-    hashes = mix(span_hashes(bytes_, ends_[:-1], ends_[1:]) + lang_hashes(names)[lang])
-    return trie.numbers(list(zip([names[i] for i in lang], terms.to_pylist())), hashes)[place], joins
+    names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()[doc]
+    salts = mix(lang_hashes(names))
+    hashes = span_hashes(trie.spread(raw), starts, ends) + salts[lang]
+    bags = np.zeros(len(raw) + 1, U64)
+    np.cumsum(BAG[raw], dtype=U64, out=bags[1:])
+    checks = bags[ends] - bags[starts] + salts[lang]
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    kind = np.cumsum(new) - 1
+    firsts = order[new]
+    if (checks[order] != checks[firsts][kind]).any():
+        return None
+
+    def spell(chosen: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
+        at = firsts[chosen]
+        data = raw.tobytes()
+        lasting = mix(span_hashes(raw, starts[at], ends[at]) + lang_hashes(names)[lang[at]])
+        return [names[i] for i in lang[at].tolist()], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], lasting
+
+    ids = trie.numbers(hashes[firsts], checks[firsts], spell)
+    if ids is None:
+        return None
+    place = np.empty(len(order), np.int64)
+    place[order] = kind
+    return ids[place], joins
 
 
 def mined(docs: DataFrame, longest: int = 4, least: int = 30, top: int = 2000, share: int = 80, scale: int = 2_000_000) -> DataFrame:
