@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runs import chunk_batch, chunk_rows, chunk_schema, hash_filter, lines, merged, passes
-from .store import bounded, lean, written
+from .store import bounded, give_back, lean, written
 from .textarrays import LOWER, SLICE_BYTES, U64, byte_table, mix, slices, span_hashes, text_bytes, text_column, word_bounds
 
 BREAKS = byte_table(".,;:!?\n\v\f\r")
 WORDS = byte_table(" \t.,;:!?\n\v\f\r")
 #: Entries of a container before it bursts, rows that wait in one before they are added up, entries of a trie before it spills.
-BURST, WAIT, MOST = 1 << 16, 1 << 15, 3 << 19
+BURST, WAIT, MOST = 1 << 15, 1 << 14, 3 << 18
 #: Bytes of text counted at once.
 SLICE = SLICE_BYTES
 #: A number for each byte value, for hashes that the order of bytes does not change.
@@ -190,6 +190,7 @@ class Trie:
                 for table in self.root.tables():
                     yield from self.run(table, words, lang_of, langs.dictionary.to_pylist())
             self.clear()
+        give_back()
 
     def run(self, table: pa.Table, words: pa.Array, lang_of: np.ndarray, langs: list[str]) -> Iterator[tuple]:
         a, b, n = (table.column(c).to_numpy() for c in "abn")
