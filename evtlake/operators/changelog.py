@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CONFIRMATION_DEPTH
+from .ranges import within
 
 KEY = ["block_number", "log_index"]
 
@@ -68,11 +69,11 @@ def confirmed(log: DataFrame, depth: int = CONFIRMATION_DEPTH) -> DataFrame:
 def undone_blocks(log: DataFrame, reorgs: DataFrame) -> DataFrame:
     """(block_number, undone_seq): blocks of the log that a range covers, with the newest such notice.
 
-    Only distinct blocks meet the ranges; the log itself is joined by block number.
+    Only distinct blocks meet the ranges, by the equi-join of `ranges`; the log itself is joined by block number.
     """
     blocks = log.select("block_number").distinct()
-    hit = (F.col("block_number") >= F.col("start_block")) & (F.col("block_number") <= F.col("end_block"))
-    return blocks.join(reorgs, hit).groupBy("block_number").agg(F.max("seq").alias("undone_seq"))
+    hit = within(blocks, "block_number", reorgs.select("start_block", "end_block", "seq"), "start_block", "end_block")
+    return hit.groupBy("block_number").agg(F.max("seq").alias("undone_seq"))
 
 
 def surviving(log: DataFrame, reorgs: DataFrame) -> DataFrame:
@@ -88,5 +89,6 @@ def reset_cursors(cursors: DataFrame, start_block: int) -> DataFrame:
 
 def surviving_contracts(contracts: DataFrame, reorgs: DataFrame) -> DataFrame:
     """The registry without dynamic contracts whose start block lies in an undone range."""
-    hit = (F.col("start_block") >= F.col("first")) & (F.col("start_block") <= F.col("last")) & F.col("dynamic")
-    return contracts.join(reorgs.select(F.col("start_block").alias("first"), F.col("end_block").alias("last")), hit, "left_anti")
+    blocks = contracts.where("dynamic").select(F.col("start_block").alias("undone")).distinct()
+    undone = within(blocks, "undone", reorgs.select("start_block", "end_block"), "start_block", "end_block").select("undone").distinct()
+    return contracts.join(undone, (F.col("start_block") == F.col("undone")) & F.col("dynamic"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BUCKET_BLOCKS, Aggregate
+from ..schemas import Aggregate
 
 
 def expanded_rules(rules: DataFrame, catalog: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -19,17 +19,18 @@ def expanded_rules(rules: DataFrame, catalog: DataFrame, contracts: DataFrame) -
     return joined.withColumn("r", F.coalesce("own", "star")).where("r IS NOT NULL").select("contract_name", "event_name", "r.*")
 
 
-def append_log(df: DataFrame, path: str, bucket_blocks: int = BUCKET_BLOCKS) -> None:
-    """Every event, nothing dropped; folders by block bucket."""
-    df.withColumn("block_bucket", F.expr(f"block_number div {bucket_blocks}")).write.mode("append").partitionBy("block_bucket").parquet(path)
-
-
 def latest(df: DataFrame, *keys: str) -> DataFrame:
     """The row of the highest (block_number, log_index) of each key. Spark limits groups before the shuffle."""
     order = Window.partitionBy(*keys).orderBy(F.desc("block_number"), F.desc("log_index"))
     return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def earliest(df: DataFrame, *keys: str) -> DataFrame:
+    """The row of the lowest (block_number, log_index) of each key."""
+    order = Window.partitionBy(*keys).orderBy("block_number", "log_index")
+    return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
 def latest_shared(df: DataFrame, key: str) -> DataFrame:
     """The same in a table of several contracts."""
     return latest(df, "contract_address", key)
@@ -60,8 +61,8 @@ def deltas(changes: DataFrame, aggregates: list[Aggregate]) -> DataFrame:
 
 
 def merged_deltas(parts: DataFrame, aggregates: list[Aggregate]) -> DataFrame:
-    """Totals from the deltas of any number of batches."""
-    sums = parts.agg(*(F.sum(c).alias(c) for c in parts.columns))
+    """Totals from the deltas of any number of batches; of none, 0."""
+    sums = parts.agg(*(F.coalesce(F.sum(c), F.lit(0).cast(parts.schema[c].dataType)).alias(c) for c in parts.columns))
     out = []
     for a in aggregates:
         value = F.col("n") if a.operation == "count" else F.col(f"{a.column}_sum")
@@ -70,19 +71,26 @@ def merged_deltas(parts: DataFrame, aggregates: list[Aggregate]) -> DataFrame:
 
 
 def exact_sum(df: DataFrame, text: str, to: str = "total") -> DataFrame:
-    """The exact sum of unsigned decimal text of up to 78 digits, as text, by parts of 18 digits."""
-    padded = F.lpad(F.col(text), 90, "0")
-    part = [F.sum(F.substring(padded, 1 + 18 * (4 - i), 18).cast("decimal(28,0)")).cast("decimal(38,0)").alias(f"p{i}") for i in range(5)]
-    row = df.where(F.col(text).rlike("^[0-9]+$")).agg(*part)
-    carry: Column = F.lit(0).cast("decimal(38,0)")
+    """The exact sum of decimal text of up to 78 digits, with or without a sign, as text, by parts of 18 digits. Text that is
+    no whole number counts as 0."""
+    sign = F.when(F.col(text).startswith("-"), -1).otherwise(1)
+    padded = F.lpad(F.regexp_replace(text, "^[+-]", ""), 90, "0")
+    part = [F.coalesce(F.sum(sign * F.substring(padded, 1 + 18 * (4 - i), 18).cast("decimal(18,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"p{i}") for i in range(5)]
+    row = df.where(F.col(text).rlike("^[+-]?[0-9]{1,78}$")).agg(*part)
     base = F.lit(10**18).cast("decimal(38,0)")
-    texts = []
-    for i in range(5):
-        whole = F.coalesce(F.col(f"p{i}"), F.lit(0).cast("decimal(38,0)")) + carry
-        texts.append(F.lpad((whole % base).cast("decimal(18,0)").cast("string"), 18, "0"))
-        carry = ((whole - whole % base) / base).cast("decimal(38,0)")
-    joined = F.ltrim(F.concat(carry.cast("string"), *reversed(texts)), F.lit("0"))
-    return row.select(F.when(joined == "", F.lit("0")).otherwise(joined).alias(to))
+
+    def digits(side: int) -> tuple[Column, Column]:
+        """The sum, or its negative, in parts from 0 to 10**18 - 1, and what is carried out of the last."""
+        carry: Column = F.lit(0).cast("decimal(38,0)")
+        texts = []
+        for i in range(5):
+            whole = side * F.col(f"p{i}") + carry
+            texts.append(F.lpad(F.pmod(whole, base).cast("decimal(18,0)").cast("string"), 18, "0"))
+            carry = ((whole - F.pmod(whole, base)) / base).cast("decimal(38,0)")
+        return F.ltrim(F.concat(carry.cast("string"), *reversed(texts)), F.lit("0")), carry
+
+    (plus, over), (minus, _) = digits(1), digits(-1)
+    return row.select(F.when(over < 0, F.concat(F.lit("-"), minus)).when(plus == "", F.lit("0")).otherwise(plus).alias(to))
 
 
 def migrated(old: DataFrame, new: DataFrame) -> DataFrame:

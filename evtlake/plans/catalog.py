@@ -16,7 +16,7 @@ from ..schemas import Aggregate, Filter, Query
 from ..sources import abi
 from ..sources import events as src
 from ..sources.config import config_table
-from ..streaming import streams
+from ..streaming import stateful, stored, streams
 from . import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,7 @@ AGGS = [Aggregate("total", "sum", "amount_cents"), Aggregate("n", "count", "amou
 AGG_SQL = "SUM(CAST(amount_cents AS DOUBLE)) AS total, COUNT(*) AS n, ROUND(SUM(CAST(amount_cents AS DOUBLE)) / COUNT(*), 4) AS mean"
 TIP = 474_000  # a block near the end of the supplied month
 REORG = (473_900, 473_923)
+REORGS = [(*REORG, 1), (473_500, 473_510, 2), (10, 5, 3)]
 
 
 def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None, log: bool = True) -> None:
@@ -103,7 +104,7 @@ add("pending_rows", on_log(lambda L: ch.pending(L, TIP - 100)), f"SELECT {LOG} F
 
 
 def _reorgs(s: SparkSession) -> DataFrame:
-    return config_table(s, [(REORG[0], REORG[1], 1), (473_500, 473_510, 2), (10, 5, 3)], "start_block bigint, end_block bigint, seq bigint")
+    return config_table(s, REORGS, "start_block bigint, end_block bigint, seq bigint")
 
 
 KEPT = f"block_number NOT BETWEEN {REORG[0]} AND {REORG[1]} AND block_number NOT BETWEEN 473500 AND 473510"
@@ -407,14 +408,153 @@ add("stored_scan", _stored_scan, f"SELECT {RAW} FROM L WHERE block_number BETWEE
 
 
 def _stored_log(s: SparkSession, d: str) -> DataFrame:
-    """The log appended in two batches, one of them twice: every row is kept."""
+    """The log appended in two batches, one of them twice under its number, and some rows once more in a third: each row once."""
+    rows = ad.log(s, d)
+    log = stored.LogTable(s, f"{_folder(s)}/log", rows.schema, 100)
+    for batch, part in ((0, "k < 50"), (1, "k >= 50"), (1, "k >= 50"), (2, "k BETWEEN 40 AND 60")):
+        log.append(rows.where(part), "log", batch)
+    return log.read()
+
+
+add("append_log", _stored_log, f"SELECT {LOG} FROM L")
+
+
+def _split(rows: DataFrame, folder: str, parts: int) -> None:
+    """Files of rows in no order, so that every micro-batch of one file has old rows and new ones."""
+    rows.repartition(parts, F.xxhash64("block_number", "log_index")).write.parquet(folder)
+
+
+def _stored_unique(s: SparkSession, d: str) -> DataFrame:
+    """The latest row of each account, kept by a stream that starts twice; then its batches come again from a second one."""
+    rows, folder = ad.log(s, d), _folder(s)
+    _split(rows, f"{folder}/raw", 4)
+    table = stored.UniqueTable(s, f"{folder}/unique", rows.schema, ["account"], 16)
+    for writer in ("live", "live", "again"):
+        stream = streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)
+        stored.kept_by(stream, table.merge, writer, f"{folder}/checkpoint-{writer}").awaitTermination()
+    return table.read()
+
+
+add("stored_unique", _stored_unique, f"SELECT {LOG} FROM L QUALIFY {NEWEST.format(keys='account')}")
+
+
+def _stored_totals(s: SparkSession, d: str) -> DataFrame:
+    """The changes as signed parts by batch, each batch sent twice under its number."""
+    changes = ad.changelog(s, d).select("op", F.coalesce("data", "prev").alias("r"), "block_number").select("op", "r.amount_cents", "block_number")
+    table = stored.TotalsTable(s, f"{_folder(s)}/totals", AGGS)
+    for batch in (2, 0, 1, 0, 2):
+        table.add(changes.where(F.col("block_number") % 3 == batch), "changes", batch)
+    return rounded(table.read())
+
+
+add("stored_totals", _stored_totals, SQL["agg_delta"], log=False)
+
+
+def _stored_reorg(s: SparkSession, d: str) -> DataFrame:
+    """The log stored, three notices taken out of it, one of them twice; the part below the newest blocks compacted."""
+    rows = ad.log(s, d)
+    log = stored.LogTable(s, f"{_folder(s)}/log", rows.schema, 24)
+    for batch, part in enumerate(("k < 50", "k >= 50")):
+        log.append(rows.where(part), "log", batch)
+    for start, end, seq in (*REORGS, REORGS[0]):
+        log.undo(start, end, seq)
+    log.confirm_depth()
+    return log.read()
+
+
+add("stored_reorg", _stored_reorg, f"SELECT {LOG} FROM L WHERE {KEPT}")
+
+
+def _by_blocks(rows: DataFrame, folder: str, blocks: list[int]) -> None:
+    """Files in order of blocks, cut inside the given blocks (at log_index 1), as a stream gets them."""
+    edges, low = [(b, 1) for b in blocks], F.struct(F.col("block_number"), F.col("log_index").cast("bigint"))
+    part = sum((F.when(low >= F.struct(F.lit(b).cast("bigint"), F.lit(i).cast("bigint")), 1).otherwise(0) for b, i in edges), F.lit(0))
+    for i in range(len(blocks) + 1):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _stored_freeze(s: SparkSession, d: str) -> DataFrame:
+    """The log in three files that a stream takes one by one; each contract ends with the event that freezes it."""
+    rows, folder = ad.log(s, d, True), _folder(s)
+    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
+    table = stored.FrozenLog(s, f"{folder}/log", rows.schema, lambda L: lifecycle.local_triggers(L, _rules(s)), 100)
+    stored.kept_by(streams.raw_stream(s, f"{folder}/raw", rows.schema, 1), table.append, "live", f"{folder}/checkpoint").awaitTermination()
+    return table.read().select("transaction_hash")
+
+
+add("stored_freeze", _stored_freeze, SQL["freeze_effect"], log=False)
+
+
+def _stored_children(s: SparkSession, d: str) -> DataFrame:
+    """Children and their events from one stream of three files: sign-ups register an account, whose events are then kept."""
+    rows, folder = ad.log(s, d), _folder(s)
+    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
+    found = lambda L: registry.children(L.select("event_name", "block_number", "log_index", "account", "k"), "f", "signup", "account", "shop")
+    events = lambda L: L.withColumn("contract_address", F.col("account"))
+    table = stored.ChildLog(s, f"{folder}/log", rows.schema, found, found(rows).schema, 100)
+    stored.kept_by(events(streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)), table.append, "live", f"{folder}/checkpoint").awaitTermination()
+    return table.read().select("contract_name", "transaction_hash")
+
+
+add("stored_children", _stored_children, SQL["child_events"], log=False)
+
+
+def _stream_log_index(s: SparkSession, d: str) -> DataFrame:
+    """Numbers in the block over a stream whose files end inside blocks."""
+    folder = _folder(s)
+    _by_blocks(decode.with_log_index(ad.raw_events(s, d).select("block_number", "event_seq")), f"{folder}/raw", [473_400, 473_600])
+    stream = streams.raw_stream(s, f"{folder}/raw", "block_number bigint, event_seq bigint", 1)
+    streams.appended(stateful.with_log_index(stream), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("block_number bigint, event_seq bigint, log_index bigint").parquet(f"{folder}/log")
+
+
+add("stream_log_index", _stream_log_index, SQL["log_index"], log=False)
+
+
+def _stream_confirmed(s: SparkSession, d: str) -> DataFrame:
+    """Rows once they are ten blocks deep, from a stream of three files."""
+    rows, folder = ad.log(s, d).withColumn("ingest_seq", F.lit(0).cast("bigint")), _folder(s)
+    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
+    stream = streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)
+    streams.appended(stateful.confirmed(stream), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{folder}/log").drop("ingest_seq")
+
+
+add("stream_confirmed", _stream_confirmed, SQL["confirmed_split"], log=False)
+
+
+def _stream_debounce(s: SparkSession, d: str) -> DataFrame:
+    """Debounced readings of a stream of triggers in three files; a last trigger of no view moves event time past them all."""
     folder = _folder(s)
-    for part in ("k < 50", "k >= 50", "k >= 50"):
-        tables.append_log(ad.log(s, d).where(part), f"{folder}/log", 100)
-    return s.read.parquet(f"{folder}/log").drop("block_bucket")
+    asked = _asked(s, d).select("contract_address", "function", "ts")
+    for first, last in ((0, 473_500), (473_500, 473_800), (473_800, 2 * TIP)):
+        asked.where((F.col("ts") >= first * 3600 + 7) & (F.col("ts") < last * 3600 + 7)).coalesce(1).write.mode("append").parquet(f"{folder}/asked")
+    config_table(s, [("", "", 3 * TIP * 3600)], "contract_address string, function string, ts bigint").write.mode("append").parquet(f"{folder}/asked")
+    stream = streams.raw_stream(s, f"{folder}/asked", "contract_address string, function string, ts bigint", 1)
+    streams.appended(stateful.debounced(stream, 7200), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("contract_address string, function string, ts bigint").parquet(f"{folder}/log").where("function <> ''")
+
 
+add("stream_debounce", _stream_debounce, SQL["view_debounce"], log=False)
 
-add("append_log", _stored_log, f"SELECT {LOG} FROM L UNION ALL SELECT {LOG} FROM L WHERE k >= 50")
+
+def _stream_timestamps(s: SparkSession, d: str) -> DataFrame:
+    """Timestamps from a stream of blocks; a last event and a last block of no contract end the wait."""
+    folder = _folder(s)
+    rows = raw(s, d).select("block_number", "event_seq")
+    ends = config_table(s, [(TIP * 2, -1)], "block_number bigint, event_seq bigint")
+    rows.repartitionByRange(3, "block_number").write.parquet(f"{folder}/raw")
+    ends.write.mode("append").parquet(f"{folder}/raw")
+    blocks = ad.log(s, d).where("block_number % 5 <> 0").select("block_number", "timestamp").distinct()
+    blocks.repartitionByRange(3, "block_number").write.parquet(f"{folder}/blocks")
+    ends.select("block_number", F.lit(0).cast("bigint").alias("timestamp")).write.mode("append").parquet(f"{folder}/blocks")
+    events = streams.raw_stream(s, f"{folder}/raw", "block_number bigint, event_seq bigint", 1)
+    times = streams.raw_stream(s, f"{folder}/blocks", "block_number bigint, timestamp bigint", 1)
+    streams.appended(streams.timestamped(events, times, 1000), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return s.read.schema("event_seq bigint, timestamp bigint").parquet(f"{folder}/log").where("event_seq >= 0")
+
+
+add("stream_timestamps", _stream_timestamps, SQL["timestamp_enrich"], log=False)
 
 
 def _outputs(s: SparkSession, d: str) -> DataFrame:

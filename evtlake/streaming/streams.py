@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.query import after_event, filtered, with_event_id
-from ..schemas import RAW_EVENT, Filter
+from ..schemas import CONFIRMATION_DEPTH, RAW_EVENT, Filter
 from ..sources.events import exact_dedup
 
 
@@ -55,14 +55,39 @@ def merged_cursors(parts: DataFrame) -> DataFrame:
 
 def followed(log: DataFrame, stream: DataFrame, block: int, log_index: int, path: str, checkpoint: str, filters: list[Filter] | tuple[Filter, ...] = (), once: bool = True) -> StreamingQuery:
     """Rows after an event id: those stored first, in the folder `path/replay`, then the stream's, each batch in a folder of
-    its own. The stream takes over behind the last stored row, so that no row comes twice."""
-    tip = log.agg(F.max(F.struct("block_number", "log_index")).alias("t")).select("t.*").first()
+    its own. The stream takes over behind the last row stored at the first start. That boundary is kept beside the checkpoint,
+    so a later start replays nothing beyond it, whatever the log holds by then, and no row comes twice."""
+    spark, kept = log.sparkSession, f"{checkpoint}-boundary"
+    schema = "block_number bigint, log_index bigint"
+    if not finished(spark, kept):
+        tip = log.agg(F.max(F.struct("block_number", "log_index")).alias("t")).select("t.block_number", "t.log_index")
+        tip.write.mode("overwrite").parquet(kept)
+    tip = spark.read.schema(schema).parquet(kept).first()
     at = (block, log_index) if tip["block_number"] is None else max((block, log_index), (tip["block_number"], tip["log_index"]))
-    with_event_id(after_event(log, block, log_index, filters)).write.mode("overwrite").parquet(f"{path}/replay")
     later = (F.col("block_number") > at[0]) | ((F.col("block_number") == at[0]) & (F.col("log_index") > at[1]))
+    if not finished(spark, f"{path}/replay"):
+        with_event_id(after_event(log.where(~later), block, log_index, filters)).write.mode("overwrite").parquet(f"{path}/replay")
     return for_each_batch(with_event_id(filtered(stream.where(later), filters)), batch_writer(path), checkpoint, once)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has written this folder to its end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def timestamped(stream: DataFrame, blocks: DataFrame, delay: int = CONFIRMATION_DEPTH) -> DataFrame:
+    """Block timestamps for a stream of events from a stream of blocks (block_number, timestamp); 0 where the block does not
+    come within `delay` blocks of the newest. A row comes out when its block is known, one without at the end of the delay.
+    Heights count as seconds of event time; a block that comes again counts once."""
+    height = lambda df: df.withColumn("_height", F.timestamp_seconds(F.col("block_number") + 1)).withWatermark("_height", f"{delay} seconds")
+    times = height(blocks.select("block_number", "timestamp")).dropDuplicatesWithinWatermark(["block_number"])
+    times = times.select(F.col("block_number").alias("_block"), "timestamp", F.col("_height").alias("_at"))
+    rows = height(stream.drop("timestamp"))
+    joined = rows.join(times, (F.col("block_number") == F.col("_block")) & (F.col("_height") == F.col("_at")), "left")
+    return joined.withColumn("timestamp", F.coalesce("timestamp", F.lit(0).cast("bigint"))).drop("_block", "_at", "_height")
+
+
 def distinct_events(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """Each event of a stream once, as long as repeats come within `delay` of the newest time."""
     return exact_dedup(stream.withWatermark(time, delay))
