@@ -7,8 +7,11 @@ confidence and support reach the bounds and no shorter rule of the same verdict
 
 Three steps keep the mining small and lose no rule. Tokens rarer than the least support go. A token that only one label has
 is a rule by itself, and no longer one with it could be kept, so it goes from the transactions. Tokens that always occur
-together are one item, and its rules stand for each of them. Should a labelled URL still have more than `MAX_ITEMS` items,
-whose sets FP-growth would list one by one, the least support is doubled until none has.
+together are one item, and its rules stand for each of them. FP-growth lists every set of a transaction, 2^n of n items, so
+labelled URLs with more than `MAX_ITEMS` items are left out of it: their sets of up to `max_tokens` items are listed and
+counted, those that FP-growth has not found are counted in the other URLs too, and both counts are added before support and
+confidence are judged. The result is that of all URLs together. max_tokens = None finds rules of any length and gives
+FP-growth all URLs, whatever that takes.
 
 Rules are matched by an inverted index from the tokens of their rarest item to the rules: a rule fires where each of its
 items has a token in the URL. The most confident fires first, then the longer, the better supported, and the lesser text;
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from .store import discard, written
 
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 5, 0.9, 3
-#: Items of a transaction beyond which the least support is doubled, at most so often.
-MAX_ITEMS, DOUBLINGS = 16, 40
+#: Items of a transaction beyond which its sets are counted apart.
+MAX_ITEMS = 16
 LABEL = "label="
 #: At most so many rows of the index travel to all tasks; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
@@ -75,7 +78,47 @@ def frequent_tokens(rows: DataFrame, least: int) -> DataFrame:
     return counted.join(items, ["n", "rows_of", "mark"]).select("token", "n", "pure", "item")
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
+def listed_sets(rows: DataFrame, most: int) -> DataFrame:
+    """heads (sorted) and verdict of each set of 1 to `most` items of each row. rows: items array<string>, verdict."""
+    rows = rows.select("verdict", F.array_sort("items").alias("items"), F.array().cast("array<string>").alias("heads"), F.lit(0).alias("last"))
+    found = None
+    for _ in range(most):
+        rows = rows.where(F.col("last") < F.size("items")).withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.size("items"))))
+        rows = rows.withColumn("heads", F.array_append("heads", F.element_at("items", F.col("last"))))
+        found = rows.select("heads", "verdict") if found is None else found.unionByName(rows.select("heads", "verdict"))
+    return found
+
+
+def _set_counts(held: DataFrame, labels: DataFrame, least: int, max_tokens: int | None) -> DataFrame:
+    """heads, verdict, n_both (rows with the set and the verdict) and n_all (rows with the set) of the sets whose n_both may
+    reach `least`. held: uid, verdict, items; labels: uid, verdict of all labelled rows."""
+    is_long = F.size("items") > MAX_ITEMS
+    n_long = held.where(is_long).count() if max_tokens is not None else 0
+    short = held.where(~is_long) if n_long else held
+    transactions = labels.join(held.where(is_long).select("uid"), "uid", "left_anti") if n_long else labels
+    transactions = transactions.join(short.select("uid", "items"), "uid", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
+    n_short = labels.count() - n_long
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(n_short, 1))).fit(transactions).freqItemsets
+    is_label = lambda t: t.startswith(LABEL)
+    sets = sets.select(F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("heads"), F.substring(F.try_element_at(F.filter("items", is_label), F.lit(1)), len(LABEL) + 1, 100).alias("verdict"), F.col("freq").alias("n"))
+    sets = sets.where("size(heads) > 0" if max_tokens is None else f"size(heads) BETWEEN 1 AND {max_tokens}")
+    sets = written(sets, "sets")
+    known = sets.where("verdict IS NOT NULL").withColumnRenamed("n", "n_both").join(sets.where("verdict IS NULL").select("heads", F.col("n").alias("n_all")), "heads")
+    if not n_long:
+        return known
+    counted = written(listed_sets(held.where(is_long), max_tokens).groupBy("heads", "verdict").agg(F.count(F.lit(1)).alias("n_both")), "long-sets")
+    pairs = known.select("heads", "verdict")
+    more = counted.join(pairs, ["heads", "verdict"], "left_anti").select("heads").distinct().withColumn("token", F.element_at("heads", 1))
+    again = short.select("verdict", "items", F.explode("items").alias("token")).join(more, "token").where(F.size(F.array_except("heads", "items")) == 0)
+    again = written(again.groupBy("heads", "verdict").agg(F.count(F.lit(1)).alias("n_both")), "counted-again")
+    all_of = lambda df: df.groupBy("heads").agg(F.sum("n_both").alias("n_all"))
+    totals = known.select("heads", "n_all").distinct().unionByName(all_of(again.join(pairs.select("heads").distinct(), "heads", "left_anti"))).unionByName(all_of(counted))
+    both = known.select("heads", "verdict", "n_both").unionByName(again.join(pairs, ["heads", "verdict"], "left_anti")).unionByName(counted)
+    both = both.groupBy("heads", "verdict").agg(F.sum("n_both").alias("n_both"))
+    return both.join(totals.groupBy("heads").agg(F.sum("n_all").alias("n_all")), "heads")
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
     """rule_id, items array<array<string>> (the rarest first), verdict, confidence and support. labelled: uid, tokens
     array<string> (distinct), verdict."""
     rows = labelled.where("verdict IS NOT NULL").select("uid", "tokens", "verdict")
@@ -83,20 +126,12 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     least = max(min_count, -int(-min_support * total // 1))
     tokens = written(frequent_tokens(rows, least), "frequent")
     alone = tokens.where("pure IS NOT NULL").select(F.array(F.array("token")).alias("items"), F.col("pure").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / total).alias("support"))
-    heads = tokens.where("pure IS NULL AND token = item").select("token", "n")
+    heads = tokens.where("pure IS NULL AND token = item").select("token")
     held = rows.select("uid", "verdict", F.explode("tokens").alias("token")).join(heads, "token")
-    held = written(held.groupBy("uid", "verdict").agg(F.collect_list(F.struct("token", "n")).alias("held")), "held")
-    # For each doubling the most items that a URL has; at last there are none.
-    often = lambda bound: F.filter("held", lambda t: t["n"] >= F.lit(bound))
-    sizes = held.agg(*(F.max(F.size(often(least << i))).alias(str(i)) for i in range(DOUBLINGS + 1))).first()
-    least <<= next((i for i in range(DOUBLINGS + 1) if (sizes[i] or 0) <= MAX_ITEMS), DOUBLINGS)
-    items = F.transform(often(least), lambda t: t["token"])
-    transactions = rows.select("uid", "verdict").join(held.select("uid", "held"), "uid", "left").select(F.array_append(F.coalesce(items, F.array().cast("array<string>")), F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(total, 1)), minConfidence=min_confidence).fit(transactions)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL)).select(
-        F.array_sort("antecedent").alias("heads"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 100).alias("verdict"), "confidence", "support"
-    )
-    rules = written(rules.where((F.size("heads") <= max_tokens) & ~F.exists("heads", lambda t: t.startswith(LABEL))), "mined")
+    held = written(held.groupBy("uid", "verdict").agg(F.collect_list("token").alias("items")), "held")
+    counts = _set_counts(held, rows.select("uid", "verdict"), least, max_tokens).where(F.col("n_both") >= least)
+    rules = counts.withColumn("confidence", F.col("n_both") / F.col("n_all")).where(F.col("confidence") >= min_confidence)
+    rules = written(rules.select("heads", "verdict", "confidence", (F.col("n_both") / total).alias("support")), "mined")
     # A rule goes if one with a part of its items, found by any of them, is as confident.
     short = rules.select(F.col("heads").alias("part"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"), F.element_at("heads", 1).alias("head"))
     worse = rules.withColumn("head", F.explode("heads")).join(short, "head").where((F.col("verdict") == F.col("same")) & (F.size("part") < F.size("heads")) & (F.size(F.array_except("part", "heads")) == 0) & (F.col("sure") >= F.col("confidence")))
