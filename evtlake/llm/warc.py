@@ -5,7 +5,8 @@ in refers_to, its HTTP headers in source_headers and its payload digest in sourc
 block. The conversion's block is the page's text: scripts, styles and comments dropped (those that never end, up to the
 end of the page), block ends as line ends, other tags removed, entities with a semicolon resolved, white space runs joined;
 the metadata's block is title, language and links, entities resolved too. `read_responses` and `write_records` read and
-write WARC files with Spark's text source, whose line separator is the boundary of two records.
+write WARC files with Spark's text source, which hands over bytes as they are; a payload_digest that a response brings stays
+its source_digest. Content and transfer encodings inside HTTP are not undone.
 
 Defined results: null columns count as empty text; empty pages give both records with empty values; repeated responses
 give repeated derivatives with equal identifiers; identifiers are name-based UUIDs of the response's, so a rerun repeats
@@ -29,6 +30,9 @@ from .store import bounded, lean
 
 NAMES = ["record_id", "target_uri", "date", "http_headers", "payload"]
 RECORDS = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, content_length bigint, block_digest string, source_digest string, source_headers string, block string"
+#: What stands between two records, but for the version.
+BOUNDARY = b"\r\n\r\nWARC/"
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 # What is dropped with its content and how it ends, tags that end a line, tags, entities.
 OPENS = re.compile(r"<(!--|(?:script|style)(?=[ \t\r\n\f/>]))", re.I)
 CLOSES = {"!--": re.compile("-->"), "script": re.compile(r"</script[^<>]*>?", re.I), "style": re.compile(r"</style[^<>]*>?", re.I)}
@@ -83,13 +87,13 @@ def _sha1(data: bytes) -> str:
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records for each response."""
-    rows = responses.select(*(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in NAMES))
+    rows = responses.select(*(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in NAMES), (F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None)).cast("string").alias("payload_digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for record_id, uri, date, headers, page in zip(*(c.to_pylist() for c in batch.columns)):
-                source = _sha1(page.encode())
+            for record_id, uri, date, headers, page, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                source = digest or _sha1(page.encode())
                 title, lang, links = page_fields(page)
                 fields = f"title: {title}\r\nlanguage: {lang}\r\noutlinks: {len(links)}\r\n" + "".join(f"outlink: {x}\r\n" for x in links)
                 for kind, content, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain", page_text(page))):
@@ -122,36 +126,94 @@ def header(records: DataFrame) -> Column:
 
 
 def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Records as WARC files, one for each partition."""
-    lines = records.select(F.concat(header(records), F.lit("\r\n"), records["block"]).alias("value"))
+    """Records as WARC files, one for each partition. Blocks are text, or binary and then written as they are."""
+    lines = records.select(F.concat(header(records), F.lit("\r\n"), records["block"].cast("string")).alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def read_records(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
-    """fields map<string,string> (header names in lower case) and block of each record in WARC files of a version.
+def record_of(data: bytes) -> tuple[dict[str, str], bytes, int | None]:
+    """Header fields, block and Content-Length of the bytes that follow `WARC/`. Names in lower case, the first of equal ones; a line
+    that begins with white space goes on with the line before."""
+    head, _, block = data.partition(b"\r\n\r\n")
+    fields: dict[str, str] = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon and name.strip():
+            fields.setdefault(name.strip().lower(), value.strip())
+    size = fields.get("content-length", "")
+    return fields, block, int(size) if size.isdecimal() else None
 
-    A file's last record may lack the empty lines at its end. Blocks are text; a block that holds the boundary of two
-    records, empty lines and the version, is cut there.
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """fields map<string,string> (header names in lower case), block (bytes) and complete of each record in WARC files of any
+    version, compressed or not.
+
+    Spark's text source cuts the bytes at boundaries; Content-Length tells the block from what follows it, and joins the
+    pieces of a block that holds a boundary itself. complete is false where a file, or a split of an uncompressed file whose
+    block holds a boundary, ends before the block does.
     """
-    lines = spark.read.option("lineSep", f"\r\n\r\nWARC/{version}\r\n").text(path)
-    whole = F.regexp_replace(F.regexp_replace("value", rf"^WARC/{re.escape(version)}\r\n", ""), r"\r\n\r\n$", "")
-    cut = F.instr(whole, "\r\n\r\n")
-    head = F.when(cut > 0, F.substring(whole, F.lit(1), cut - 1)).otherwise(whole)
-    block = F.when(cut > 0, F.substring(whole, cut + 4, F.length(whole))).otherwise(F.lit(""))
-    pairs = F.transform(F.filter(F.split(head, "\r\n"), lambda x: F.instr(x, ":") > 1), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
-    by_name = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"])))
-    return lines.select(by_name.alias("fields"), block.alias("block"))
-
-
-def read_responses(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
-    """The responses of WARC files as `derivatives` takes them."""
-    rows = read_records(spark, path, version).where("fields['warc-type'] = 'response'")
-    cut = F.instr("block", "\r\n\r\n")
-    field = lambda name: F.coalesce(F.col("fields")[name], F.lit(""))
-    return rows.select(
-        F.regexp_replace(field("warc-record-id"), "^<|>$", "").alias("record_id"),
-        field("warc-target-uri").alias("target_uri"),
-        field("warc-date").alias("date"),
-        F.when(cut > 0, F.substring("block", F.lit(1), cut - 1)).otherwise(F.col("block")).alias("http_headers"),
-        F.when(cut > 0, F.substring(F.col("block"), cut + 4, F.length("block"))).otherwise(F.lit("")).alias("payload"),
-    )
+    lines = spark.read.option("lineSep", BOUNDARY.decode()).text(path)
+    lines = lines.select(F.col("value").cast("binary").alias("value"), F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, place, missing = [], None, 0  # of the record at hand: its pieces, split, and bytes of the block still to come
+        for batch in batches:
+            out = []
+            for value, split in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and split != place:
+                    out.append(finished(BOUNDARY.join(parts)))
+                    parts = []
+                if parts:
+                    missing -= len(BOUNDARY) + len(value)
+                else:
+                    value = value.removeprefix(b"WARC/")
+                    _, block, size = record_of(value)
+                    missing = 0 if size is None else size - len(block)
+                parts.append(value)
+                place = split
+                if missing <= 0:
+                    out.append(finished(BOUNDARY.join(parts)))
+                    parts = []
+            if out:
+                yield batch_of(out)
+        if parts:
+            yield batch_of([finished(BOUNDARY.join(parts))])
+
+    def finished(data: bytes) -> tuple:
+        fields, block, size = record_of(data)
+        return list(fields.items()), block if size is None else block[:size], size is None or len(block) >= size
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.map_(pa.string(), pa.string()), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fields", "block", "complete"])
+
+    return bounded(lines).mapInArrow(lean(run), "fields map<string,string>, block binary, complete boolean")
+
+
+def decoded(payload: bytes, headers: str) -> str:
+    """A page's text by the charset of its Content-Type, else by the one that its first bytes name, else UTF-8."""
+    found = CHARSET.search(headers) or CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The responses of WARC files as `derivatives` takes them, with payload_digest: the record's own, else that of the
+    payload's bytes as they are stored."""
+    rows = read_records(spark, path).where("fields['warc-type'] = 'response'")
+    names = {"record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest"}
+    rows = rows.select(*(F.coalesce(F.col("fields")[f], F.lit("")).alias(n) for n, f in names.items()), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for record_id, uri, date, digest, block in zip(*(c.to_pylist() for c in batch.columns)):
+                head, _, payload = block.partition(b"\r\n\r\n")
+                headers = head.decode("utf-8", "replace")
+                out.append((record_id.removeprefix("<").removesuffix(">"), uri, date, headers, decoded(payload, headers), digest or _sha1(payload)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], [*NAMES, "payload_digest"])
+
+    return bounded(rows).mapInArrow(lean(run), ", ".join(f"{n} string" for n in [*NAMES, "payload_digest"]))

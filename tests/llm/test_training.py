@@ -458,7 +458,7 @@ def test_warc_files(spark, tmp_path):
     info = "WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
     (tmp_path / "in.warc").write_bytes((info + "".join(map(record, responses))).encode())
     read = warc.read_responses(spark, str(tmp_path / "in.warc"))
-    assert sorted(map(tuple, read.collect())) == responses
+    assert sorted(tuple(r)[:5] for r in read.collect()) == responses
     made = warc.derivatives(read)
     warc.write_records(made, str(tmp_path / "out"))
     again = warc.read_records(spark, str(tmp_path / "out")).collect()
@@ -466,7 +466,7 @@ def test_warc_files(spark, tmp_path):
     assert len(again) == len(want) == 4
     for r in again:
         w = want[r["fields"]["warc-record-id"].strip("<>")]
-        assert r["block"] == w["block"] and r["fields"]["warc-refers-to"] == f"<{w['refers_to']}>" and r["fields"]["warc-block-digest"] == w["block_digest"] and r["fields"]["content-length"] == str(w["content_length"])
+        assert bytes(r["block"]).decode() == w["block"] and r["complete"] and r["fields"]["warc-refers-to"] == f"<{w['refers_to']}>" and r["fields"]["warc-block-digest"] == w["block_digest"] and r["fields"]["content-length"] == str(w["content_length"])
 
 
 def test_urls(spark):
