@@ -1,22 +1,23 @@
 """Licence scans with DataFrame functions alone: base phrases, and a positional rare-token index of licence templates.
 
-For each template whose mandatory phrases stand in a file, the template's own words that the file holds and that are rarest
-among all documents (highest inverse document frequency, counted over all of them) are looked up; their places meet the
-template's postings by relative position, and it is found where enough distinct words agree on one shift. Words rank by
-rarity alone, so a licence that most documents carry is found like any other.
+The index holds the postings of each template's own rarest words (highest inverse document frequency, counted over all documents). A
+file's words are looked up in it first; a template with enough of its words in the file is verified by its mandatory
+phrases; then the places of the words meet the template's postings by relative position: it is found where enough of its
+indexed words agree on one shift, give or take `DRIFT` places for lines put in. What is asked is a share of the template's
+words, not of those that the file holds, so a mention of a licence's name is no licence. The score is that share.
 
 Defined results: a null text is empty: no words, no labels, score 0; an empty table gives no rows; repeated rows and those
 with a null doc_id are scanned each on their own (they are numbered once, in a written table); phrases are found wherever
 their words stand consecutively; words as rare as each other rank by their text; further columns are ignored. A very long
 text is one row like any other: its words are one array in its task, and only looked-up words leave it.
 
-Phrases and templates below are lower-case words joined by one space. A template's label is its name up to a slash.
+Phrases and templates below are lower-case words joined by one space. A template's label is its name up to a slash. Other
+templates, such as whole licence texts from files, are an argument of `scanned`.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,9 @@ TEMPLATES = {
     "cc-by-nc/notice": ("licensed under cc by nc 4 0", ["cc by nc"]),
     "proprietary": ("all rights reserved no part of this document may be reproduced without permission", ["all rights reserved"]),
 }
-#: Rarest words of a template looked up in a file; agreeing words and their share of those looked up that are asked.
-LOOKUPS, LEAST_WORDS, LEAST_SHARE = 12, 2, 0.5
+#: Rarest words of a template that are indexed; the share of them that must agree, and that of a template with fewer than
+#: twice as many distinct words; places that a shift may drift (a band and a half at most).
+LOOKUPS, LEAST_SHARE, SHORT_SHARE, DRIFT = 12, 0.5, 0.8, 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -92,50 +94,57 @@ def _places(norm: Column, phrase: str, n_words: Column) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), found)
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for text, _ in TEMPLATES.values() for w in text.split()})
+def _vocabulary(templates: dict[str, tuple[str, list[str]]]) -> list[str]:
+    return sorted({w for text, _ in templates.values() for w in text.split()})
 
 
-def document_counts(norm: DataFrame) -> dict[str, int]:
+def document_counts(norm: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """For each word of the templates the number of documents that hold it, and under '' that of all."""
-    words = F.array_intersect(F.split("norm", " "), F.array(*map(F.lit, _vocabulary())))
+    words = F.array_intersect(F.split("norm", " "), F.array(*map(F.lit, vocabulary)))
     rows = norm.select(F.explode(F.concat(F.array(F.lit("")), F.array_except(words, F.array(F.lit(""))))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return {r["word"]: r["n"] for r in rows.collect()}  # as many rows as the templates have words
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every document."""
-    spark = docs.sparkSession
+def indexed_words(text: str, rarity: dict[str, float]) -> tuple[list[str], int]:
+    """A template's rarest words and how many of them must agree."""
+    own = sorted(set(text.split()), key=lambda w: (-rarity[w], w))
+    top = own[:LOOKUPS]
+    return top, math.ceil((LEAST_SHARE if len(own) >= 2 * LOOKUPS else SHORT_SHARE) * len(top))
+
+
+def scanned(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every document. templates: name to
+    (text, mandatory phrases); TEMPLATES if not given."""
+    spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
     norm = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("norm"))
-    counts = document_counts(norm)
+    vocabulary = _vocabulary(templates)
+    counts = document_counts(norm, vocabulary)
     total = counts.get("", 0)
-    rarity = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in _vocabulary()}
+    rarity = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+    index = {t: indexed_words(text, rarity) for t, (text, _) in templates.items()}
     n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(_spaces(F.col("norm")) + 1).cast("bigint")
     base = F.filter(F.array(*(_places(F.col("norm"), p, F.col("n_words")) for p in BASE)), lambda x: x.isNotNull())
-    words = F.split("norm", " ")
+    rare = sorted({w for top, _ in index.values() for w in top})
+    places = F.filter(F.transform(F.split("norm", " "), lambda w, i: F.when(w.isin(rare), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    files = norm.withColumn("n_words", n_words).withColumn("base", base).withColumn("places", places)
+    # Templates with enough indexed words in the file; of those, as there are few, the mandatory phrases are looked for.
+    strings = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    known = F.array(*(F.struct(F.lit(t).alias("template"), strings(top).alias("top"), F.lit(need).alias("need"), strings(templates[t][1]).alias("must")) for t, (top, need) in index.items()))
+    held = F.transform("places", lambda p: p["word"])
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-
-    def looked_up(template: str) -> Column:
-        """The template and its rarest words that the file holds; null where a mandatory phrase is missing."""
-        text, must = TEMPLATES[template]
-        by_rarity = F.array(*(F.lit(w) for w in sorted(set(text.split()), key=lambda w: (-rarity[w], w))))
-        top = F.slice(F.array_intersect(by_rarity, words), 1, LOOKUPS)
-        return F.when(reduce(Column.__and__, (F.contains(padded, F.lit(f" {p} ")) for p in must)), F.struct(F.lit(template).alias("template"), top.alias("top")))
-
-    verified = F.filter(F.array(*map(looked_up, TEMPLATES)), lambda x: x.isNotNull())
-    files = norm.withColumn("n_words", n_words).withColumn("base", base).withColumn("verified", verified)
-    wanted = F.array_distinct(F.flatten(F.transform("verified", lambda x: x["top"])))
-    files = files.withColumn("wanted", wanted)
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("wanted"), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    files = files.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "base", "verified", F.when(F.size("wanted") > 0, places).alias("places"))
-    files = written(files, "files")
-    postings = spark.createDataFrame([(w, t, i) for t, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split())], "word string, template string, place int")
-    hits = files.where("size(verified) > 0").select("uid", "verified", F.explode("places").alias("p")).select("uid", "verified", "p.word", "p.at")
-    hits = hits.join(F.broadcast(postings), "word")  # the templates alone
-    own = F.flatten(F.transform(F.filter("verified", lambda x: x["template"] == F.col("template")), lambda x: x["top"]))
-    hits = hits.withColumn("top", own).where(F.array_contains("top", F.col("word")))
-    agreed = hits.groupBy("uid", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.first(F.size("top")).alias("n_top"))
-    agreed = agreed.withColumn("share", F.col("n") / F.col("n_top")).where((F.col("n") >= LEAST_WORDS) & (F.col("share") >= LEAST_SHARE))
+    possible = F.when(F.size("places") > 0, F.filter(known, lambda t: F.size(F.array_intersect(t["top"], held)) >= t["need"]))
+    verified = F.transform(F.filter("possible", lambda t: F.forall(t["must"], lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))), lambda t: t["template"])
+    files = files.withColumn("possible", possible).withColumn("verified", F.when(F.size("possible") > 0, verified))
+    some = F.size("verified") > 0
+    files = written(files.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "base", F.when(some, F.col("verified")).alias("verified"), F.when(some, F.col("places")).alias("places")), "files")
+    postings = [(w, t, i, len(index[t][0]), index[t][1]) for t, (text, _) in templates.items() for i, w in enumerate(text.split()) if w in index[t][0]]
+    postings = spark.createDataFrame(postings, "word string, template string, place int, n_top int, need int")
+    hits = files.where("verified IS NOT NULL").select("uid", "verified", F.explode("places").alias("p")).select("uid", "verified", "p.word", "p.at")
+    hits = hits.join(F.broadcast(postings), "word").where(F.array_contains("verified", F.col("template")))  # the templates alone
+    shift = F.col("at") - F.col("place")
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.floor((shift + i * DRIFT // 2) / DRIFT).alias("band")) for i in range(2)))
+    agreed = hits.select("uid", "template", "word", "n_top", "need", F.explode(bands).alias("b")).groupBy("uid", "template", "b", "n_top", "need").agg(F.count_distinct("word").alias("n"))
+    agreed = agreed.where("n >= need").withColumn("share", F.col("n") / F.col("n_top"))
     label = F.substring_index("template", "/", 1)
     found = agreed.groupBy("uid").agg(F.collect_set(label).alias("more"), F.max("share").alias("share"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
