@@ -81,11 +81,12 @@ def _add_contexts(table: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> N
     order = np.argsort(bucket, kind="stable")
     starts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(bucket) else []
     if len(starts):
-        table[bucket[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
+        table[bucket[order][starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.float64).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The context directions over all documents: a table of fixed size (BUCKETS x DIMS)."""
+    """The context directions over all documents: a table of fixed size (BUCKETS x DIMS). Sums are whole numbers, so they do
+    not depend on how the documents are split over tasks."""
     rows = BUCKETS // BLOCKS
     schema = "block int, sums binary"
 
@@ -94,7 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros((BUCKETS, DIMS), np.float32), False
+        table, seen = np.zeros((BUCKETS, DIMS), np.int64), False
         for batch in slices(batches, "text", SLICE):
             _add_contexts(table, *bucketed_words(batch))
             seen = True
@@ -105,16 +106,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(blob, np.float32).astype(np.float64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(blob, np.int64)
         for block, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
     partial = bounded(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(lean(add), schema)
-    table = np.zeros((BUCKETS, DIMS), np.float32)
-    for r in partial.repartition(BLOCKS // 4, "block").mapInArrow(lean(merge), schema).collect():  # BLOCKS rows, 4 MB in all
-        table[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(r["sums"], np.float32).reshape(rows, DIMS)
+    table = np.zeros((BUCKETS, DIMS), np.float64)
+    for r in partial.repartition(BLOCKS // 4, "block").mapInArrow(lean(merge), schema).collect():  # BLOCKS rows, 8 MB in all
+        table[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(r["sums"], np.int64).reshape(rows, DIMS)
     size = np.linalg.norm(table, axis=1, keepdims=True)
-    return table / np.maximum(size, 1e-9)
+    return (table / np.maximum(size, 1e-9)).astype(np.float32)
 
 
 def pooled(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
@@ -189,14 +190,16 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
     known = labels.where(F.col(label).isin(0, 1) & ~held).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     # A bounded sample: the smallest hashes of doc_id, at most max_rows.
     sample = known.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y", "h")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             x = pooled(batch, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), batch.column(3)], names=["id", "x", "y", "h"])
 
-    found = sorted(bounded(rows).mapInArrow(lean(features), "x binary, y int, h bigint").collect(), key=lambda r: (r["h"], bytes(r["x"])))[: 2 * max_rows]
+    # One row for each doc_id, however often it occurs: at most max_rows.
+    found = bounded(rows).mapInArrow(lean(features), "id string, x binary, y int, h bigint").groupBy("id", "y", "h").agg(F.min("x").alias("x"))
+    found = sorted(found.collect(), key=lambda r: (r["h"], r["id"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMS + 2))
     net = spark.sparkContext.broadcast(fit(x, np.array([r["y"] for r in found])))
     fields = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted")]
