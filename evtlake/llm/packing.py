@@ -178,14 +178,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, units: int = UNITS
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, capacity, vocabulary, end_id), "pieces")
+    cut = written(pieces(docs, capacity, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     ranges = spark.createDataFrame(plan(histogram, capacity), "length bigint, first bigint, end bigint, at bigint, offset bigint")
     salts = -(-max(histogram.values(), default=1) // GROUP_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     # The plan's size is bounded by the capacity, not by the data.
     placed = ranked.join(F.broadcast(ranges.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
