@@ -77,32 +77,50 @@ EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 BATCH_CHARS = 2_000_000
 
 
+def range_bounds(rows: DataFrame, n: int) -> list[tuple[int | None, int]]:
+    """Upper ends, but for the last, of about n ranges of (doc_id, hash of text) with equally many rows, nulls first. A doc_id,
+    or null, with more rows than a range is cut by the hash, whose values are spread evenly."""
+    if n < 2:
+        return []
+    found = rows.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("some"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20_000).alias("b")).first()
+    top = 2**63 - 1
+    cuts = lambda d, m: [(d, -(2**63) + (2**64 * j) // m) for j in range(1, m)]
+    nulls = found["all"] - found["some"]
+    out: list[tuple[int | None, int]] = [*cuts(None, max(1, -(-nulls * n // max(found["all"], 1)))), (None, top)] if nulls else []
+    often: dict[int, int] = {}
+    for d in found["b"] or []:
+        often[d] = often.get(d, 0) + 1
+    for d in sorted(often):
+        out += [*cuts(d, often[d] + 1 if often[d] > 1 else 1), (d, top)]
+    return out
+
+
 def edited_fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """For each document its fingerprint and that of its text with the last half replaced by the start of the next one,
     with the places of the chosen hashes.
 
     The next document by ascending doc_id, nulls first, equal doc_ids by the hash of their texts; after the last comes the
-    first. Documents go to ranges of doc_id once, in order; the first document of each range is also sent to the range
-    before, so no task sees more than its range.
+    first. Documents go to ranges of doc_id and hash once, in order; the first document of each range is also sent to the
+    range before, so no task sees more than its range. Only rows equal in both stay in one range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    firsts = [tuple(r) for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id"))["doc_id"].alias("doc_id")).orderBy("bucket").collect()]  # as many as ranges
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    ghosts = spark.createDataFrame([(first, before[b]) for b, first in firsts], "first bigint, to_bucket int")
+    place = F.struct(F.col("doc_id").alias("d"), F.col("h").alias("h"))
+    bounds = F.array(*(F.struct(F.lit(d).cast("bigint").alias("d"), F.lit(h).cast("bigint").alias("h")) for d, h in range_bounds(rows, n)))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda x: x < place)).cast("int") if n > 1 else F.lit(0))
+    firsts = [(b, *first) for b, first in rows.groupBy("bucket").agg(F.min(place)).orderBy("bucket").collect()]  # as many as ranges
+    ghosts = spark.createDataFrame([(d, h, firsts[i - 1][0]) for i, (_, d, h) in enumerate(firsts)], "first bigint, first_h bigint, to_bucket int")
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost"))
     copy = F.struct(F.col("to_bucket").alias("at"), F.lit(True).alias("ghost"))
     dealt = (
-        rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("first")), "left")
-        .select("doc_id", "text", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
-        .select("doc_id", "text", "x.at", "x.ghost")
+        rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h")), "left")
+        .select("doc_id", "text", "h", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("x"))
+        .select("doc_id", "text", "x.at", "x.ghost", "h")
         .repartitionById(n, F.pmod(F.col("at"), F.lit(n)).cast("int"))
-        .sortWithinPartitions("at", "ghost", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+        .sortWithinPartitions("at", "ghost", F.asc_nulls_first("doc_id"), "h")
+        .drop("h")
     )
     names = [x.split()[0] for x in EDITED.split(", ")]
 
