@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,18 +40,18 @@ def at(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-_record: list[str] | None = None
+_record: ContextVar[list[str] | None] = ContextVar("record", default=None)
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths that `new_path` gives meanwhile."""
-    global _record
-    before, _record = _record, []
+    """The paths that `new_path` gives meanwhile in this thread."""
+    mine: list[str] = []
+    token = _record.set(mine)
     try:
-        yield _record
+        yield mine
     finally:
-        _record = before
+        _record.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -61,8 +62,8 @@ def new_path(spark: SparkSession, name: str) -> str:
         system.mkdirs(where)
         system.deleteOnExit(where)
     path = f"{own}/{name}-{uuid.uuid4().hex}"
-    if _record is not None:
-        _record.append(path)
+    if (record := _record.get()) is not None:
+        record.append(path)
     return path
 
 

