@@ -1,13 +1,12 @@
 """Field elements ('0x' and hexadecimal digits) as typed columns.
 
 `compiled` turns a type into a column expression over an array of elements at an offset that may itself be a column, so
-that decoding stays in the JVM; only arrays of elements of varying size go through Python (`decode_value`). Each
-decoder gives a value and an error text, null where all is well.
+that decoding stays in the JVM; arrays of elements of varying size are folds that carry the offset and the values so far.
+Each decoder gives a value and an error text, null where all is well.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -179,17 +178,17 @@ def compiled(kind: Kind, src: Column, at: Column | int) -> tuple[Column, Column,
         return F.when(error.isNull(), value), F.coalesce(missing(at), missing(_add(at, 1)), error), _add(at, 2)
     if kind.name == "bytes":
         n = _count(element(at))
-        chunks = F.transform(F.slice(src, (F.lit(at) if isinstance(at, int) else at) + 2, F.coalesce(n, F.lit(0))), lambda c: F.lpad(digits(c), 62, "0"))
+        chunks = F.transform(F.slice(src, (F.lit(at) if isinstance(at, int) else at) + 2, F.coalesce(n, F.lit(0))), lambda c: F.right(F.lpad(digits(c), 64, "0"), F.lit(62)))
         tail = F.lit(at) + 1 + n if isinstance(at, int) else at + 1 + n
         size = _count(element(tail + 1))
-        rest = F.when((size > 0) & (size <= 31), F.right(F.lpad(digits(element(tail)), 62, "0"), size * 2)).otherwise(F.lit(""))
+        rest = F.when((size > 0) & (size <= 31), F.right(F.lpad(digits(element(tail)), 64, "0"), size * 2)).otherwise(F.lit(""))
         value = F.make_valid_utf8(F.unhex(F.concat(F.array_join(chunks, ""), rest)).cast("string"))
         error = F.when(n.isNull() | (n > F.size(src)) | size.isNull(), F.lit("byte array longer than the data"))
         return F.when(error.isNull(), value), error, tail + 2
     if kind.name == "array":
         inner, n = kind.inner[0], _count(element(at))
         if inner.width is None:
-            raise ValueError("arrays of varying elements are decoded in Python")
+            return _folded(inner, src, F.lit(at) if isinstance(at, int) else at, n)
         start = (F.lit(at) if isinstance(at, int) else at) + 1
         fits = n.isNotNull() & (start + n * inner.width <= F.size(src))
         places = F.when(fits & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -228,61 +227,24 @@ def _count(felt: Column) -> Column:
     return F.when(F.length(h) <= 7, F.conv(F.when(h == "", F.lit("0")).otherwise(h), 16, 10).cast("int"))
 
 
-def in_python(kind: Kind) -> bool:
-    """Whether an array occurs whose elements vary in size."""
-    return (kind.name == "array" and kind.inner[0].width is None) or any(map(in_python, kind.inner))
-
-
-def decode_value(kind: Kind, felts: list[str], at: int) -> tuple[object, int]:
-    """One value and the offset after it; ValueError if the data does not hold it."""
-    if kind.name == "unit":
-        return None, at
-    if kind.name == "struct":
-        out = {}
-        for member, inner in zip(kind.members, kind.inner):
-            out[member], at = decode_value(inner, felts, at)
-        return out, at
-    if at >= len(felts):
-        raise ValueError("not enough elements")
-    v = int(felts[at], 16)
-    if kind.name == "array":
-        if v > len(felts):
-            raise ValueError("array longer than the data")
-        out, at = [], at + 1
-        for _ in range(v):
-            item, at = decode_value(kind.inner[0], felts, at)
-            out.append(item)
-        return out, at
-    if kind.name == "bytes":
-        if at + v + 2 >= len(felts):
-            raise ValueError("byte array longer than the data")
-        raw = b"".join(int(f, 16).to_bytes(31, "big") for f in felts[at + 1 : at + 1 + v])
-        size = int(felts[at + v + 2], 16)
-        if 0 < size <= 31:
-            raw += int(felts[at + v + 1], 16).to_bytes(32, "big")[-size:]
-        return raw.decode("utf-8", "replace"), at + v + 3
-    if kind.name == "enum":
-        if v >= len(kind.members):
-            raise ValueError("enum index out of range")
-        value, end = decode_value(kind.inner[v], felts, at + 1)
-        return {"variant": kind.members[v], "value": value if value is None or isinstance(value, str) else json.dumps(value)}, end
-    if kind.name == "u256":
-        if at + 1 >= len(felts):
-            raise ValueError("not enough elements")
-        high = int(felts[at + 1], 16)
-        if v >> 128 or high >> 128:
-            raise ValueError("value out of range for u256")
-        return str(v + (high << 128)), at + 2
-    if kind.name == "felt":
-        return hex(v), at + 1
-    if kind.name == "bool":
-        return v != 0, at + 1
-    bits = _bits(kind.name)
-    if v >> bits and kind.name != "u128":
-        raise ValueError(f"value out of range for {kind.name}")
-    if kind.name[0] == "i" and v >> (bits - 1):
-        v -= 1 << bits
-    return (str(v) if bits == 128 else v), at + 1
+def _folded(inner: Kind, src: Column, at: Column, n: Column) -> tuple[Column, Column, Column]:
+    """`compiled` for an array of n elements that vary in size. After an error the offset is null, and so is all that follows."""
+    item = spark_type(inner)
+    shape = f"struct<at:int,items:array<{item}>,error:string>"
+
+    def step(acc: Column, _: Column) -> Column:
+        value, error, end = compiled(inner, src, acc["at"])
+        failed = F.coalesce(acc["error"], error)
+        end = end if isinstance(end, Column) else F.lit(end)
+        more = F.when(failed.isNull(), F.array_append(acc["items"], value.cast(item))).otherwise(acc["items"])
+        return F.struct(F.when(failed.isNull(), end).alias("at"), more.alias("items"), failed.alias("error")).cast(shape)
+
+    fits = n.isNotNull() & (n <= F.size(src))
+    places = F.when(fits & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct((at + 1).alias("at"), F.array().cast(f"array<{item}>").alias("items"), F.lit(None).cast("string").alias("error")).cast(shape)
+    done = F.aggregate(places, start, step)
+    error = F.when(~fits, F.lit("array longer than the data")).otherwise(done["error"])
+    return F.when(fits & done["error"].isNull(), done["items"]), error, done["at"]
 
 
 def spark_type(kind: Kind) -> str:

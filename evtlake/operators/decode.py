@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.felt import Kind, Types, any_error, compiled, decode_value, in_python, spark_type
+from ..functions.felt import Kind, Types, any_error, compiled
 from ..schemas import DEFAULT_STATUS
 from ..sources.config import held, sized
 
+ELEMENT = "^0x[0-9a-fA-F]{1,64}$"
 METADATA = ["block_number", "transaction_hash", "log_index", "timestamp", "contract_address", "event_name", "status"]
 
 
@@ -47,50 +46,20 @@ def member_columns(kinds: list[tuple[str, str, Kind]]) -> tuple[list[Column], Co
     """Value columns of (part, member, kind) in order, and the first error. Keys start after the selector."""
     at: dict[str, Column | int] = {"key": 1, "data": 0, "output": 0}
     values, errors = [], []
+    columns = {"key": "keys", "data": "data", "output": "result"}
+    for part in dict.fromkeys(part for part, _, _ in kinds):
+        odd = F.exists(F.col(columns[part]), lambda e: ~e.rlike(ELEMENT))
+        errors.append(F.when(odd, F.lit("not a field element")))
     for part, member, kind in kinds:
-        src = F.col({"key": "keys", "data": "data", "output": "result"}[part])
+        src = F.col(columns[part])
         value, error, at[part] = compiled(kind, src, at[part])
         values.append(value.alias(member))
         errors.append(error)
     return values, any_error(errors)
 
 
-def _in_json(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
-    """rows with decode_json and decode_error, for types that expressions do not reach: one Arrow function for all members."""
-    parts = [p for p in ("keys", "data", "result") if p in rows.columns]
-
-    @F.pandas_udf("struct<value:string,decode_error:string>")
-    def decode(*columns: pd.Series) -> pd.DataFrame:
-        out = []
-        for felts in zip(*columns):
-            by_part = dict(zip(parts, felts))
-            at = {"key": 1, "data": 0, "output": 0}
-            try:
-                value = {}
-                for part, member, kind in kinds:
-                    src = by_part[{"key": "keys", "data": "data", "output": "result"}[part]]
-                    value[member], at[part] = decode_value(kind, list(src) if src is not None else [], at[part])
-                out.append((json.dumps(value), None))
-            except ValueError as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["value", "decode_error"])
-
-    return rows.withColumn("_d", decode(*(F.col(p) for p in parts))).select(*rows.columns, F.col("_d.value").alias("decode_json"), F.col("_d.decode_error").alias("decode_error"))
-
-
-def _struct_type(kinds: list[tuple[str, str, Kind]]) -> str:
-    return "struct<" + ",".join(f"`{m}`:{spark_type(k)}" for _, m, k in kinds) + ">"
-
-
-def _decoded_in_python(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
-    value = F.from_json("decode_json", _struct_type(kinds))
-    return _in_json(rows, kinds).withColumn("_v", value).select(*rows.columns, *(F.col(f"_v.`{m}`").alias(m) for _, m, _ in kinds), "decode_error")
-
-
 def decoded(rows: DataFrame, kinds: list[tuple[str, str, Kind]]) -> DataFrame:
     """rows with one column for each member and decode_error."""
-    if any(in_python(k) for _, _, k in kinds):
-        return _decoded_in_python(rows, kinds)
     values, error = member_columns(kinds)
     return rows.select(*rows.columns, *values, error.alias("decode_error"))
 
@@ -112,8 +81,6 @@ def kinds_of(catalog: DataFrame, types: dict[str, Types]) -> dict[tuple[str, str
 def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
     """(decoded rows, failed rows, {event: members}), all events in one pass: metadata and for each event one struct, null in
     rows of others (true for an event without members). Failed rows keep their raw form and the error, and take no log_index.
-
-    Only events with a type that expressions do not reach go through Python; all are numbered together.
     """
     catalog = held(catalog)
     kinds = {k: m for k, m in kinds_of(catalog, _types(catalog)).items() if not any(p == "output" for p, _, _ in m)}
@@ -121,22 +88,16 @@ def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules:
         kinds.setdefault((r["abi_name"], r["name"]), [])
     rows = matched(raw, contracts, catalog, rules)
     own = {k: (F.col("abi_name") == k[0]) & (F.col("event_name") == k[1]) for k in kinds}
-    slow = [k for k, members in kinds.items() if any(in_python(kind) for _, _, kind in members)]
     layouts: dict[tuple, list[tuple[str, str]]] = {}  # events with the same members are decoded by the same expressions
     for k, members in kinds.items():
         layouts.setdefault(tuple(members), []).append(k)
     error, values = F.lit(None).cast("string"), []
     for members, events in layouts.items():
         takes = reduce(Column.__or__, (own[k] for k in events))
-        if events[0] in slow:
-            values.append(F.when(takes, F.from_json("decode_json", _struct_type(list(members)))))
-            continue
         columns, failure = member_columns(list(members))
         error = F.when(takes, failure).otherwise(error)
         values.append(F.when(takes, F.struct(*columns) if columns else F.lit(True)))
-    every = rows.withColumn("decode_json", F.lit(None).cast("string")).withColumn("decode_error", error)
-    if slow:
-        every = reduce(DataFrame.unionByName, (_in_json(rows.where(own[k]), kinds[k]) for k in slow), every.where(~reduce(Column.__or__, (own[k] for k in slow))))
+    every = rows.withColumn("decode_error", error)
     good = with_log_index(every.where("decode_error IS NULL"))
     time = F.col("timestamp") if "timestamp" in raw.columns else F.lit(0).cast("bigint")
     names: dict[tuple[str, str], str] = {}
@@ -147,7 +108,7 @@ def decode_wide(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules:
         "block_number", "transaction_hash", "log_index", time.alias("timestamp"), "contract_address", "event_name", status_or_default(F.col("finality_status")).alias("status"), "contract_name",
         *(F.when(own[k], F.col(f"_layout{place[k]}")).alias(names[k]) for k in kinds),
     )
-    return wide, every.where("decode_error IS NOT NULL").drop("decode_json"), {names[k]: [m for _, m, _ in members] for k, members in kinds.items()}
+    return wide, every.where("decode_error IS NOT NULL"), {names[k]: [m for _, m, _ in members] for k, members in kinds.items()}
 
 
 def decode_events(raw: DataFrame, contracts: DataFrame, catalog: DataFrame, rules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
