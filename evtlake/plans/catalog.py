@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -337,11 +335,7 @@ add("view_reorg", lambda s, d: views.readings_at(views.reorg_triggers(ad.reading
 
 
 def _folder(s: SparkSession) -> str:
-    """A folder in spark.checkpoint.dir; where that is unset, in local tests a temporary one, on a cluster an error."""
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root and not s.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or f'file://{tempfile.mkdtemp(prefix="spark-")}').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return streams.shared_folder(s, "stream")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
@@ -419,6 +413,25 @@ def _stored_log(s: SparkSession, d: str) -> DataFrame:
 add("append_log", _stored_log, f"SELECT {LOG} FROM L")
 
 
+def _stored_reads(f: Callable[[stored.LogTable], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f on the log as a stored table in buckets of 100 blocks."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = ad.log(s, d)
+        log = stored.LogTable(s, f"{_folder(s)}/log", rows.schema, 100)
+        log.append(rows, "log", 0)
+        return f(log)
+
+    return run
+
+
+# The same queries as on the log made from events, where predicates reach the files and a range lists its buckets alone.
+add("stored_list", _stored_reads(lambda t: query.listed(t.read(), FLAGSHIP)), SQL["list_flagship"], log=False)
+add("stored_latest", _stored_reads(stored.LogTable.latest), SQL["latest_event"], log=False)
+add("stored_count", _stored_reads(lambda t: query.counted(t.read(), [Filter("event_name", "eq", "purchase")])), "SELECT COUNT(*) AS \"count\" FROM L WHERE event_name = 'purchase'")
+add("stored_range", _stored_reads(lambda t: t.read(473_450, 473_520)), f"SELECT {LOG} FROM L WHERE block_number BETWEEN 473450 AND 473520")
+
+
 def _split(rows: DataFrame, folder: str, parts: int) -> None:
     """Files of rows in no order, so that every micro-batch of one file has old rows and new ones."""
     rows.repartition(parts, F.xxhash64("block_number", "log_index")).write.parquet(folder)

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
 from ..operators.lifecycle import until_frozen
+from ..operators.query import latest_event
 from ..operators.registry import child_events
 from ..operators.tables import deltas, earliest, latest, merged_deltas
 from ..schemas import BUCKET_BLOCKS, CONFIRMATION_DEPTH, Aggregate
@@ -153,6 +154,12 @@ class LogTable:
         return rows if last is None else rows.where(F.col("block_number") <= last)
 
 
+    def latest(self) -> DataFrame:
+        """The newest event: only the last bucket is read, as no bucket without rows is kept."""
+        version = self.store.version()
+        return latest_event(self.store.read(version, [max(version.folders)] if version.folders else []))
+
+
 class TotalsTable:
     """Sums, counts and averages from signed changes: one row of additive parts a batch, added up when they are many."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,25 @@ from ..schemas import CONFIRMATION_DEPTH, RAW_EVENT, Filter
 from ..sources.events import exact_dedup
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path that is not used yet, in spark.checkpoint.dir, in a folder of the application that goes when the driver ends. Where
+    the setting is unset, a temporary folder is set there once in local tests; a cluster is refused, as executors do not
+    share their own folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    own = f"{root.rstrip('/')}/evtlake-{name}-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def raw_stream(spark: SparkSession, path: str, schema: str = RAW_EVENT, files_per_trigger: int = 100) -> DataFrame:
     """New files of raw events; the checkpoint of the query that reads it remembers where it was."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -49,6 +49,10 @@ def test_unique_and_log(spark, tmp_path, n):
     assert rows_of(log.read()) == rows_of(df)
     assert rows_of(log.read(10, 30)) == rows_of(df.where("block_number BETWEEN 10 AND 30"))
     assert unique.store.version().applied == {"w": ((0, n - 1),)}
+    newest = log.latest()
+    assert rows_of(newest) == rows_of(df.orderBy(F.desc("block_number"), F.desc("log_index")).limit(1))
+    assert {f.split("_bucket=")[1].split("/")[0] for f in newest.inputFiles()} == {"8"}
+    assert stored.LogTable(spark, str(tmp_path / "none"), df.schema).latest().count() == 0
 
 
 def test_redelivered_rows_replace_themselves(spark, tmp_path):
