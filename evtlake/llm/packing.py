@@ -6,8 +6,10 @@ how often each is used by non-negative least squares, rounds down, and packs the
 what is left of the open groups. The plan is a table of length ranges whose size depends on the capacity alone; pieces
 find their sequence by their rank among those of the same length, numbered in salted groups.
 
-Defined results: a null text is empty and one token (the separator) long; repeated rows are packed each on their own;
-an empty table gives no pieces.
+Defined results: a null text is empty and one token (the separator) long; repeated rows, and those with a null or repeated
+doc_id, are packed each on their own; pieces of one length are interchangeable, so ties go by the order of a written table; a
+very long text is tokenized alone and cut into pieces of `capacity`, the first of which may be shorter; an empty table
+gives no pieces; further columns are left out, whatever they are called.
 """
 
 from __future__ import annotations

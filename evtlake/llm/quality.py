@@ -9,8 +9,10 @@ Words are runs of letters, of digits and of other signs, case kept; a word equal
 Labels, lang, source and doc_id are no inputs of a score. Rows whose crc32(doc_id as text) modulo 5 is 0 are held out.
 
 Defined results: a null text is empty; empty texts have the features 0 and a score like any other; rows with a null
-doc_id are held out; null labels are ignored; of several labels of a doc_id any one is taken; without two labels the
-score is the share of label 1, or 0.5 without any.
+doc_id are held out; null labels are ignored; of several labels of a doc_id the highest is taken; without two labels the
+score is the share of label 1, or 0.5 without any. Rows with one doc_id are scored each on their own and count as one in the
+sample, by the least of their features; equal texts have equal scores. A very long text is one row like any other, read
+whole, alone in its slice. An empty table gives no rows. Columns named held_out, score or predicted are replaced, others kept.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ A change is one row: op ('insert', 'delete' or 'revise'), source, lang, tokenize
 old_source, old_lang, old_tokenizer, old_n_tokens. `signed` turns it into additive rows (+1 or -1 document, plus or minus
 its tokens), `Rollup.commit` sums a batch before it is written, each batch in a folder of its own. It is written under a name of
 its own first and then renamed, which one of several writers can do: a batch that was committed is skipped, one that broke
-off is written anew, so repeating any batch changes nothing. `Rollup.compact` replaces the first batches by their sums.
+off is written anew, so repeating any batch changes nothing. The rename is atomic on HDFS and local disks; on an object store
+only as the store's own is. `Rollup.compact` replaces the first batches by their sums and removes what broken writers left.
 
 Defined results: null source, lang or tokenizer form groups of their own; a null count is 0; other ops are ignored; an
 empty batch or table commits nothing but counts as committed; repeated rows count each time; further columns are ignored
@@ -113,7 +114,8 @@ class Rollup:
         return summed(rows).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, batch_id: int) -> None:
-        """Replaces all batches up to this one by their sums. ValueError if one of them is missing."""
+        """Replaces all batches up to this one by their sums, while no other writer is at work. ValueError if one of them is
+        missing."""
         batch_id = int(batch_id)
         ids = list(range(self._compacted() + 1, batch_id + 1))
         if missing := [b for b in ids if not self.committed(b)]:
@@ -124,3 +126,7 @@ class Rollup:
             for name in former:
                 system, where = at(self.spark, f"{self.path}/{name}")
                 system.delete(where, True)
+        system, where = at(self.spark, self.path)
+        for name in [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []:
+            if name.startswith("trial-"):
+                system.delete(at(self.spark, f"{self.path}/{name}")[1], True)
