@@ -75,6 +75,11 @@ class LogTable:
     def _bucket(self) -> Column:
         return F.coalesce(F.floor(F.col("block_number") / self.bucket_blocks), F.lit(-1)).cast("int")
 
+    def _write(self, rows: DataFrame) -> dict[int, tuple[str, ...]]:
+        """rows in order of blocks, so that a bucket is a few sorted files, not one from each task."""
+        placed = rows.withColumn(BUCKET, self._bucket()).repartitionByRange(BUCKET, *POSITION)
+        return self.store.write(placed.sortWithinPartitions(BUCKET, *POSITION))
+
     def _newest(self, rows: DataFrame) -> DataFrame:
         """One row of each position: the later ingest_seq, then the later _order."""
         data = F.struct(*self.store.schema.names)
@@ -93,12 +98,12 @@ class LogTable:
             same = [there[c].eqNullSafe(new[c]) for c in POSITION]
             again = values_of(new.join(there, same[0] & same[1], "left_semi"), BUCKET)
             fresh = new.where(~F.col(BUCKET).isin(again)) if again else new
-            for bucket, paths in self.store.write(fresh).items():
+            for bucket, paths in self._write(fresh).items():
                 folders[bucket] = (*folders.get(bucket, ()), *paths)
             if again:
                 kept = self.store.read(old, again).withColumn("_order", F.lit(0))
                 both = self._newest(kept.unionByName(new.where(F.col(BUCKET).isin(again)).drop(BUCKET).withColumn("_order", F.lit(1))))
-                folders |= self.store.write(both.withColumn(BUCKET, self._bucket()))
+                folders |= self._write(both)
         self.store.publish(old, replace(old, folders=folders).with_batch(writer, batch))
         new.unpersist()
 
@@ -117,7 +122,7 @@ class LogTable:
         touched = values_of(rows.where(hit), BUCKET) if inside else []
         folders = dict(old.folders)
         if touched:
-            left = self.store.write(self.store.read(old, touched).where(~F.coalesce(hit, F.lit(False))).withColumn(BUCKET, self._bucket()))
+            left = self._write(self.store.read(old, touched).where(~F.coalesce(hit, F.lit(False))))
             folders = {b: left.get(b, f) if b in touched else f for b, f in folders.items() if b not in touched or b in left}
         self.store.publish(old, replace(old, folders=folders).with_batch(writer, seq))
 
