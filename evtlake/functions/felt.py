@@ -102,34 +102,57 @@ PART = 18
 def decimal_text(hex_digits: Column, plus: int = 0) -> Column:
     """Decimal digits of at most 64 hexadecimal ones without leading zeros, plus a small number; null for more.
 
-    Up to 16 digits are converted at once. Of longer ones the limbs of 32 bits are multiplied by the decimal parts of their
-    weights, and the sums of each part's products are carried from the low end.
+    Up to 16 digits are converted at once. Of longer ones the limbs of 64 bits are multiplied by the decimal parts of their
+    weights, and the sums of each part's products are carried from the low end. The digits are computed once, and only the
+    limbs that a number has.
     """
-    limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.lpad(hex_digits, 64, "0"), 57 - i * 8, F.lit(8)), 16, 10).cast("decimal(10,0)"))
-    none = F.lit(Decimal(0)).cast("decimal(38,0)")
-    weight = lambda part, i: F.lit(Decimal(2 ** (32 * i) // 10 ** (PART * part) % 10**PART)).cast("decimal(18,0)")
-    weights = F.array(*(F.array(*(weight(part, i) for i in range(8))) for part in range(5)))
-    sums = F.transform(weights, lambda own: F.aggregate(F.zip_with(limbs, own, lambda x, w: x * w), none, lambda x, y: (x + y).cast("decimal(38,0)")))
-    base = F.lit(Decimal(10**PART))
-
-    def carried(acc: Column, own: Column) -> Column:
-        whole = acc["carry"] + own
-        low = F.lpad((whole % base).cast("decimal(18,0)").cast("string"), PART, "0")
-        return F.struct(F.call_function("div", whole, base).cast("decimal(38,0)").alias("carry"), F.concat(low, acc["text"]).alias("text"))
-
-    start = F.struct((none + plus).cast("decimal(38,0)").alias("carry"), F.lit("").alias("text"))
-    text = F.ltrim(F.aggregate(sums, start, carried, lambda acc: acc["text"]), F.lit("0"))
-    text = F.when(F.length(hex_digits) <= 64, F.when(text == "", F.lit("0")).otherwise(text))
-    if plus:
-        return text
-    return F.when(F.length(hex_digits) <= 16, F.conv(F.when(hex_digits == "", F.lit("0")).otherwise(hex_digits), 16, 10)).otherwise(text)
+
+    def sized(h: Column) -> Column:
+        size = F.length(h)
+        short = F.conv(F.when(h == "", F.lit("0")).otherwise(h), 16, 10)
+        first = F.when(size <= 16, _wide_text(h, 1, plus) if plus else short)
+        return first.when(size <= 32, _wide_text(h, 2, plus)).when(size <= 64, _wide_text(h, 4, plus))
+
+    return let(hex_digits, sized)
+
+
+def _wide_text(h: Column, limbs: int, plus: int) -> Column:
+    """`decimal_text` of hexadecimal digits that fill at most so many limbs of 64 bits. A part's products add up to less than
+    4 * 2**64 * 10**18, which 38 digits hold."""
+    number = lambda n, digits: F.lit(Decimal(n)).cast(f"decimal({digits},0)")
+    base, parts = number(10**PART, 19), -(-len(str(2 ** (64 * limbs) + plus)) // PART)
+    weight = lambda part, i: 2 ** (64 * i) // 10 ** (PART * part) % 10**PART
+
+    def total(padded: Column, part: int) -> Column:
+        limb = lambda i: F.conv(F.substring(padded, 16 * (limbs - i - 1) + 1, 16), 16, 10).cast("decimal(20,0)")
+        own = [limb(i) * number(weight(part, i), PART) for i in range(limbs) if weight(part, i)]
+        return reduce(Column.__add__, own, number(plus if part == 0 else 0, 38)).cast("decimal(38,0)")
+
+    def carried(padded: Column, whole: Column, part: int, after: list[Column]) -> Column:
+        """The text of this part and those above it, before the parts below."""
+        if part == parts - 1:
+            return F.concat(whole.cast("string"), *after)
+
+        def split(s: Column) -> Column:
+            low = s % base
+            over = ((s - low) / base).cast("decimal(38,0)")  # divided without a remainder, so nothing is rounded
+            return carried(padded, (total(padded, part + 1) + over).cast("decimal(38,0)"), part + 1, [F.lpad(low.cast("string"), PART, "0"), *after])
+
+        return let(whole, split)
+
+    text = let(F.lpad(h, 16 * limbs, "0"), lambda padded: F.ltrim(carried(padded, total(padded, 0), 0, []), F.lit("0")))
+    return let(text, lambda t: F.when(t == "", F.lit("0")).otherwise(t))
 
 
 def signed_text(hex_digits: Column) -> Column:
     """Two's complement of 128 bits as decimal digits."""
-    negative = (F.length(hex_digits) == 32) & F.substring(hex_digits, 1, 1).isin(*"89abcdef")
-    others = F.ltrim(F.translate(hex_digits, "0123456789abcdef", "fedcba9876543210"), F.lit("0"))
-    return F.when(negative, F.concat(F.lit("-"), decimal_text(others, 1))).otherwise(decimal_text(hex_digits))
+
+    def sized(h: Column) -> Column:
+        negative = (F.length(h) == 32) & F.substring(h, 1, 1).isin(*"89abcdef")
+        others = F.ltrim(F.translate(h, "0123456789abcdef", "fedcba9876543210"), F.lit("0"))
+        return F.when(negative, F.concat(F.lit("-"), decimal_text(others, 1))).otherwise(decimal_text(h))
+
+    return let(hex_digits, sized)
 
 
 def _bits(name: str) -> int:

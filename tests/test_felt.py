@@ -177,6 +177,12 @@ def test_wide_integers_as_text(spark):
     assert "Python" not in df.select(decimal_text(F.col("h")))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_wide_integers_read_their_digits_once(spark):
+    df = spark.createDataFrame([("ff",)], "h string")
+    for text in (decimal_text(F.upper("h")), decimal_text(F.upper("h"), 1), signed_text(F.upper("h"))):
+        assert df.select(text)._jdf.queryExecution().analyzed().toString().count("upper(h#") == 1
+
+
 def test_arrays_of_wide_integers_need_no_python(spark):
     wide = [2**256 - 1, 0, 2**200 + 5]
     row = [hex(3), *(x for v in wide for x in (hex(v & 2**128 - 1), hex(v >> 128)))]
