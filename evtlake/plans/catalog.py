@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import felt
 from ..operators import changelog as ch
@@ -478,20 +479,32 @@ def _stored_reorg(s: SparkSession, d: str) -> DataFrame:
 add("stored_reorg", _stored_reorg, f"SELECT {LOG} FROM L WHERE {KEPT}")
 
 
-def _by_blocks(rows: DataFrame, folder: str, blocks: list[int]) -> None:
-    """Files in order of blocks, cut inside the given blocks (at log_index 1), as a stream gets them."""
-    edges, low = [(b, 1) for b in blocks], F.struct(F.col("block_number"), F.col("log_index").cast("bigint"))
-    part = sum((F.when(low >= F.struct(F.lit(b).cast("bigint"), F.lit(i).cast("bigint")), 1).otherwise(0) for b, i in edges), F.lit(0))
-    for i in range(len(blocks) + 1):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+def _by_blocks(rows: DataFrame, blocks: list[int]) -> list[DataFrame]:
+    """Parts in order of blocks, cut inside the given blocks (at log_index 1), as a stream gets them; rows of no block are in
+    the first. The whole blocks are filtered first, below the window that numbers their rows."""
+    block, second = F.col("block_number"), F.col("log_index") >= 1
+    parts = []
+    for low, high in zip([None, *blocks], [*blocks, None]):
+        part = rows if low is None else rows.where(block >= low).where((block > low) | second)
+        if high is not None:
+            part = part.where((block <= high) | block.isNull()).where((block < high) | ~second | block.isNull())
+        parts.append(part)
+    return parts
+
+
+def _fed(parts: list[DataFrame], folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Parts as the micro-batches of a stream, one after the other: all tasks write a part's files, then the stream starts
+    again and takes them as one batch."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/raw")
+        start(streams.raw_stream(part.sparkSession, f"{folder}/raw", part.schema, None)).awaitTermination()
 
 
 def _stored_freeze(s: SparkSession, d: str) -> DataFrame:
-    """The log in three files that a stream takes one by one; each contract ends with the event that freezes it."""
+    """The log in three parts that a stream takes one by one; each contract ends with the event that freezes it."""
     rows, folder = ad.log(s, d, True), _folder(s)
-    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
     table = stored.FrozenLog(s, f"{folder}/log", rows.schema, lambda L: lifecycle.local_triggers(L, _rules(s)), 100)
-    stored.kept_by(streams.raw_stream(s, f"{folder}/raw", rows.schema, 1), table.append, "live", f"{folder}/checkpoint").awaitTermination()
+    _fed(_by_blocks(rows, [473_500, 473_800]), folder, lambda stream: stored.kept_by(stream, table.append, "live", f"{folder}/checkpoint"))
     return table.read().select("transaction_hash")
 
 
@@ -499,13 +512,12 @@ add("stored_freeze", _stored_freeze, SQL["freeze_effect"], log=False)
 
 
 def _stored_children(s: SparkSession, d: str) -> DataFrame:
-    """Children and their events from one stream of three files: sign-ups register an account, whose events are then kept."""
+    """Children and their events from one stream of three parts: sign-ups register an account, whose events are then kept."""
     rows, folder = ad.log(s, d), _folder(s)
-    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
     found = lambda L: registry.children(L.select("event_name", "block_number", "log_index", "account", "k"), "f", "signup", "account", "shop")
     events = lambda L: L.withColumn("contract_address", F.col("account"))
     table = stored.ChildLog(s, f"{folder}/log", rows.schema, found, found(rows).schema, 100)
-    stored.kept_by(events(streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)), table.append, "live", f"{folder}/checkpoint").awaitTermination()
+    _fed(_by_blocks(rows, [473_500, 473_800]), folder, lambda stream: stored.kept_by(events(stream), table.append, "live", f"{folder}/checkpoint"))
     return table.read().select("contract_name", "transaction_hash")
 
 
@@ -513,11 +525,10 @@ add("stored_children", _stored_children, SQL["child_events"], log=False)
 
 
 def _stream_log_index(s: SparkSession, d: str) -> DataFrame:
-    """Numbers in the block over a stream whose files end inside blocks."""
+    """Numbers in the block over a stream whose parts end inside blocks."""
     folder = _folder(s)
-    _by_blocks(decode.with_log_index(ad.raw_events(s, d).select("block_number", "event_seq")), f"{folder}/raw", [473_400, 473_600])
-    stream = streams.raw_stream(s, f"{folder}/raw", "block_number bigint, event_seq bigint", 1)
-    streams.appended(stateful.with_log_index(stream), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    parts = _by_blocks(decode.with_log_index(ad.raw_events(s, d).select("block_number", "event_seq")), [473_400, 473_600])
+    _fed(parts, folder, lambda stream: streams.appended(stateful.with_log_index(stream), f"{folder}/log", f"{folder}/checkpoint"))
     return s.read.schema("block_number bigint, event_seq bigint, log_index bigint").parquet(f"{folder}/log")
 
 
@@ -525,11 +536,9 @@ add("stream_log_index", _stream_log_index, SQL["log_index"], log=False)
 
 
 def _stream_confirmed(s: SparkSession, d: str) -> DataFrame:
-    """Rows once they are ten blocks deep, from a stream of three files."""
+    """Rows once they are ten blocks deep, from a stream of three parts."""
     rows, folder = ad.log(s, d).withColumn("ingest_seq", F.lit(0).cast("bigint")), _folder(s)
-    _by_blocks(rows, f"{folder}/raw", [473_500, 473_800])
-    stream = streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)
-    streams.appended(stateful.confirmed(stream), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    _fed(_by_blocks(rows, [473_500, 473_800]), folder, lambda stream: streams.appended(stateful.confirmed(stream), f"{folder}/log", f"{folder}/checkpoint"))
     return s.read.schema(rows.schema).parquet(f"{folder}/log").drop("ingest_seq")
 
 
@@ -537,15 +546,14 @@ add("stream_confirmed", _stream_confirmed, SQL["confirmed_split"], log=False)
 
 
 def _stream_debounce(s: SparkSession, d: str) -> DataFrame:
-    """Debounced readings of a stream of triggers in three files; a last trigger of no view moves event time past them all."""
+    """Debounced readings of a stream of triggers in three parts; a last trigger of no view moves event time past them all."""
     folder = _folder(s)
-    asked = _asked(s, d).select("contract_address", "function", "ts")
-    for first, last in ((0, 473_500), (473_500, 473_800), (473_800, 2 * TIP)):
-        asked.where((F.col("ts") >= first * 3600 + 7) & (F.col("ts") < last * 3600 + 7)).coalesce(1).write.mode("append").parquet(f"{folder}/asked")
-    config_table(s, [("", "", 3 * TIP * 3600)], "contract_address string, function string, ts bigint").write.mode("append").parquet(f"{folder}/asked")
-    stream = streams.raw_stream(s, f"{folder}/asked", "contract_address string, function string, ts bigint", 1)
-    streams.appended(stateful.debounced(stream, 7200), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    return s.read.schema("contract_address string, function string, ts bigint").parquet(f"{folder}/log").where("function <> ''")
+    schema = "contract_address string, function string, ts bigint"
+    _asked(s, d).select("contract_address", "function", "ts").write.parquet(f"{folder}/all")
+    asked = s.read.schema(schema).parquet(f"{folder}/all")
+    parts = [asked.where((F.col("ts") >= first * 3600 + 7) & (F.col("ts") < last * 3600 + 7)) for first, last in ((0, 473_500), (473_500, 473_800), (473_800, 2 * TIP))]
+    _fed([*parts, config_table(s, [("", "", 3 * TIP * 3600)], schema)], folder, lambda stream: streams.appended(stateful.debounced(stream, 7200), f"{folder}/log", f"{folder}/checkpoint"))
+    return s.read.schema(schema).parquet(f"{folder}/log").where("function <> ''")
 
 
 add("stream_debounce", _stream_debounce, SQL["view_debounce"], log=False)

@@ -8,6 +8,7 @@ grow, not as a clock runs. Heights and times are moved by one second, as Spark's
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -131,15 +132,16 @@ class _Debounce(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         times = sorted({r["ts"] for r in rows})
         self.waiting.appendList([(t,) for t in times])
-        for t in times:
-            self.handle.registerTimer((t + 1) * 1000)
+        self.handle.registerTimer((times[0] + 1) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        """All triggers that the watermark has passed, in order: one reading of the waiting ones for a batch, not for each."""
+        now = timerValues.getCurrentWatermarkInMs() // 1000 - 1
         waiting = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
         last, planned = tuple(self.readings.get()) if self.readings.exists() else (None, False)
-        for t in [t for t in waiting if t <= now]:
+        due = bisect_right(waiting, now)
+        for t in waiting[:due]:
             if planned and last <= t:
                 yield Row(contract_address=key[0], function=key[1], ts=last)
                 planned = False
@@ -148,17 +150,18 @@ class _Debounce(StatefulProcessor):
                 yield Row(contract_address=key[0], function=key[1], ts=last)
             elif t > last:
                 last, planned = last + self.window, True
-                self.handle.registerTimer((last + 1) * 1000)
         if planned and last <= now:
             yield Row(contract_address=key[0], function=key[1], ts=last)
             planned = False
         if last is not None:
             self.readings.update((last, planned))
-        later = [(t,) for t in waiting if t > now]
-        if later:
-            self.waiting.put(later)
-        else:
+        if planned:
+            self.handle.registerTimer((last + 1) * 1000)
+        if due == len(waiting):
             self.waiting.clear()
+        else:
+            self.waiting.put([(t,) for t in waiting[due:]])
+            self.handle.registerTimer((waiting[due] + 1) * 1000)
 
     def close(self) -> None:
         pass

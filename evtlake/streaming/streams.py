@@ -35,9 +35,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
-def raw_stream(spark: SparkSession, path: str, schema: str = RAW_EVENT, files_per_trigger: int = 100) -> DataFrame:
-    """New files of raw events; the checkpoint of the query that reads it remembers where it was."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def raw_stream(spark: SparkSession, path: str, schema: str = RAW_EVENT, files_per_trigger: int | None = 100) -> DataFrame:
+    """New files of raw events; the checkpoint of the query that reads it remembers where it was. Without files_per_trigger a
+    micro-batch takes all files that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
 def live(stream: DataFrame, filters: list[Filter] | tuple[Filter, ...] = ()) -> DataFrame:

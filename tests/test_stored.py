@@ -3,6 +3,7 @@
 import os
 import random
 import shutil
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,48 @@ def test_debounce_over_restarts(spark, tmp_path):
     assert sorted(g for g in got if g[1]) == sorted(want)
 
 
+class Kept:
+    """A value or a list of one key's state, and how often it is read."""
+
+    def __init__(self):
+        self.held, self.reads = None, 0
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.reads += 1
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def appendList(self, values):
+        self.held = [*(self.held or []), *values]
+
+    def clear(self):
+        self.held = None
+
+
+def test_debounce_reads_waiting_triggers_once_a_batch():
+    waiting, timers = Kept(), set()
+    handle = SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: Kept(), registerTimer=timers.add)
+    view = stateful._Debounce(50)
+    view.init(handle)
+    times, got = sorted(rng.sample(range(1000, 9000), 600)), []
+    for batch in (times[:400], times[400:], []):
+        list(view.handleInputRows(("a", "f"), iter([{"ts": t} for t in batch]), None)) if batch else None
+        now = (batch[-1] - 20 if batch else 10_000) * 1000  # some wait for the next batch
+        while due := sorted(t for t in timers if t <= now):
+            timers.remove(due[0])
+            expired = SimpleNamespace(getExpiryTimeInMs=lambda t=due[0]: t)
+            got += [r["ts"] for r in view.handleExpiredTimer(("a", "f"), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), expired)]
+    assert got == views.debounced_times(times, 50)
+    assert waiting.reads < 12
+
+
 def test_followed_restarts_without_repeats(spark, tmp_path):
     schema = "block_number bigint, log_index bigint"
     live = str(tmp_path / "live")
