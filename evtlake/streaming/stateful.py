@@ -1,9 +1,10 @@
 """Operators that keep state between micro-batches: numbers in a block, a buffer of unconfirmed rows, debounced readings.
 
-All use transformWithState, whose state lies in the stream's checkpoint, so a stream that starts again goes on where it
-stopped and rows come out once. It needs the RocksDB state store, which `with_state` sets. Time in these operators is event
-time: block heights count as seconds, so a watermark of `depth` seconds is one of `depth` blocks, and timers fire as heights
-grow, not as a clock runs. Heights and times are moved by one second, as Spark's first watermark is 0 and 0 is a block.
+Numbers and debounced readings use transformWithState, the buffer is an aggregation that ends with the watermark. Their state
+lies in the stream's checkpoint, so a stream that starts again goes on where it stopped and rows come out once. It needs the
+RocksDB state store, which `with_state` sets. Time in these operators is event time: block heights count as seconds, so a
+watermark of `depth` seconds is one of `depth` blocks, and timers fire as heights grow, not as a clock runs. Heights and times
+are moved by one second, as Spark's first watermark is 0 and 0 is a block.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..schemas import CONFIRMATION_DEPTH
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Blocks below the newest for which counters are kept.
 COUNTED_BLOCKS = 1000
+#: Shares of a block whose rows wait for its confirmation.
+BLOCK_PARTS = 8
 
 
 def with_state(stream: DataFrame) -> DataFrame:
@@ -64,58 +67,23 @@ def with_log_index(stream: DataFrame, keep: int = COUNTED_BLOCKS) -> DataFrame:
     return with_state(height).groupBy("block_number").transformWithState(_Numbers(names), shape, "Append", "EventTime")
 
 
-class _Pending(StatefulProcessor):
-    """Rows of a block until it is deep enough, and the newest notice that undoes it."""
-
-    def __init__(self, names: list[str], schema: str) -> None:
-        self.names, self.schema = names, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
-        self.undone = handle.getValueState("undone", "seq bigint")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        notice, new = self.undone.get()[0] if self.undone.exists() else None, []
-        for row in rows:
-            if row["_undo"] is None:
-                new.append(tuple(row[c] for c in self.names))
-            else:
-                notice = row["_undo"] if notice is None else max(notice, row["_undo"])
-        if new:
-            self.rows.appendList(new)
-        if notice is not None:
-            self.undone.update((notice,))
-        self.handle.registerTimer((key[0] + 1) * 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        notice = self.undone.get()[0] if self.undone.exists() else None
-        kept = [Row(**dict(zip(self.names, r))) for r in (self.rows.get() if self.rows.exists() else ())]
-        self.rows.clear()
-        self.undone.clear()
-        for row in sorted(kept, key=lambda r: r["log_index"]):
-            if notice is None or row["ingest_seq"] >= notice:
-                yield row
-
-    def close(self) -> None:
-        pass
-
-
-def confirmed(stream: DataFrame, notices: DataFrame | None = None, depth: int = CONFIRMATION_DEPTH) -> DataFrame:
+def confirmed(stream: DataFrame, notices: DataFrame | None = None, depth: int = CONFIRMATION_DEPTH, parts: int = BLOCK_PARTS) -> DataFrame:
     """Rows of a stream once their block lies `depth` blocks below the newest, each once; rows that a notice of a later seq
     than their ingest_seq undoes before that never come. stream: block_number, log_index, ingest_seq and others; notices:
     a stream of start_block, end_block, seq, which do not count for the height. Rows and notices of blocks that are confirmed
-    already come too late and go."""
-    names = stream.columns
-    rows = stream.withColumn("_undo", F.lit(None).cast("bigint"))
+    already come too late and go.
+
+    The rows of a block wait as lists, one for each of `parts` shares of its log indexes, so that no block is one task's."""
+    height = F.timestamp_seconds(F.col("block_number") + 1).alias("_height")
+    share = F.pmod(F.xxhash64("log_index"), F.lit(parts)).cast("int").alias("_share")
+    rows = stream.where("block_number IS NOT NULL").select(height, share, F.struct(*(F.col(c) for c in stream.columns)).alias("_row"), F.lit(None).cast("bigint").alias("_undo"))
+    rows = rows.withWatermark("_height", f"{depth} seconds")
     if notices is not None:
         blocks = notices.where("start_block <= end_block").select(F.explode(F.sequence("start_block", "end_block")).alias("block_number"), F.col("seq").alias("_undo"))
-        rows = rows.unionByName(blocks.select(*(F.col(c) if c in ("block_number", "_undo") else F.lit(None).cast(stream.schema[c].dataType).alias(c) for c in [*names, "_undo"])))
-    shape = stream.schema
-    height = rows.where("block_number IS NOT NULL").withColumn("_height", F.when(F.col("_undo").isNull(), F.timestamp_seconds(F.col("block_number") + 1))).withWatermark("_height", f"{depth} seconds")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
-    return with_state(height).groupBy("block_number").transformWithState(_Pending(names, ddl), shape, "Append", "EventTime")
+        blocks = blocks.select(height, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_share"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_undo")
+        rows = rows.unionByName(blocks)
+    held = with_state(rows).groupBy("_height", "_share").agg(F.collect_list("_row").alias("rows"), F.max("_undo").alias("undo"))
+    return held.select(F.explode("rows").alias("r"), "undo").where("undo IS NULL OR r.ingest_seq >= undo").select("r.*")
 
 
 class _Debounce(StatefulProcessor):

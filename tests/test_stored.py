@@ -190,6 +190,14 @@ def test_pending_rows_over_restarts(spark, tmp_path):
     assert sorted(got) == sorted([r for r in rows if not 25 <= r[0] <= 28] + [(27, 0, 5)])
 
 
+def test_pending_rows_stay_in_the_jvm(spark, tmp_path):
+    schema = "block_number bigint, log_index bigint, ingest_seq bigint"
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path))
+    notices = spark.readStream.schema("start_block bigint, end_block bigint, seq bigint").parquet(str(tmp_path))
+    for got in (stateful.confirmed(stream), stateful.confirmed(stream, notices)):
+        assert "TransformWithState" not in got._jdf.queryExecution().analyzed().toString()
+
+
 def test_debounce_over_restarts(spark, tmp_path):
     schema = "contract_address string, function string, ts bigint"
     times = sorted(rng.sample(range(1000, 2000), 60))
