@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ..schemas import Aggregate, Filter, Query
 from .tables import latest, totals
 
+#: Skipped rows from which a page is checked for being past the end before it is ordered.
+DEEP_OFFSET = 100_000
+
 
 def _compared(df: DataFrame, f: Filter) -> Column:
     """The filter on the column's own type; text columns compare as numbers for ranges. A null row is never kept."""
@@ -60,8 +63,12 @@ def ordered(df: DataFrame, order: str, descending: bool) -> DataFrame:
 
 
 def listed(df: DataFrame, query: Query) -> DataFrame:
-    """Filter, order, skip, limit: planned as a top-k."""
-    rows = ordered(filtered(df, query.filters), query.order, query.descending).offset(query.offset)
+    """Filter, order, skip, limit: planned as a top-k. Of a page far down a count tells first whether it is past the end, as
+    a top-k would hold all rows that it skips."""
+    kept = filtered(df, query.filters)
+    if query.offset >= DEEP_OFFSET and not df.isStreaming and kept.count() <= query.offset:
+        return kept.limit(0)
+    rows = ordered(kept, query.order, query.descending).offset(query.offset)
     return rows if query.limit is None else rows.limit(query.limit)
 
 

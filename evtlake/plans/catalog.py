@@ -51,7 +51,7 @@ for op, sign in (("eq", "="), ("neq", "<>"), ("gt", ">"), ("gte", ">="), ("lt",
 add("filter_all_of", on_log(lambda L: query.filtered(L, [Filter("k", "gte", 10), Filter("k", "lt", 20), Filter("event_name", "neq", "view")])), f"SELECT {LOG} FROM L WHERE k >= 10 AND k < 20 AND event_name <> 'view'")
 add("filter_text_number", on_log(lambda L: query.filtered(L.withColumn("big", F.concat(F.col("amount_cents").cast("string"), F.lit("000000000000000000000000000000"))), [Filter("big", "gte", "1" + "0" * 33)]).drop("big")), f"SELECT {LOG} FROM L WHERE amount_cents >= 1000")
 add("order_ascending", on_log(lambda L: query.listed(L, Query(order="k", descending=False, limit=200)).select("k", "log_index")), "SELECT k, log_index FROM L ORDER BY k, log_index LIMIT 200")
-add("page_past_end", on_log(lambda L: query.listed(L, Query(offset=150_000))), f"SELECT {LOG} FROM L LIMIT 0")
+add("page_past_end", on_log(lambda L: query.listed(L, Query(offset=max(150_000, L.count())))), f"SELECT {LOG} FROM L LIMIT 0")
 add("latest_event", on_log(query.latest_event), f"SELECT {LOG} FROM L ORDER BY block_number DESC, log_index DESC LIMIT 1")
 add("count_filtered", on_log(lambda L: query.counted(L, [Filter("event_name", "eq", "click")])), "SELECT COUNT(*) AS \"count\" FROM L WHERE event_name = 'click'")
 add("contract_filter", on_log(lambda L: query.of_contract(L, "0x3")), f"SELECT {LOG} FROM L WHERE contract_address = '0x3'")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evtlake.operators import changelog as ch
 from evtlake.operators import decode, lifecycle, query, registry, tables, views
+from evtlake.plans import adapters, catalog
 from evtlake.schemas import Aggregate, Filter, Query, TableSpec
 from evtlake.sources import events as src
 
@@ -219,3 +220,15 @@ def test_log_index_has_no_gaps_where_events_are_missing(spark):
     rows = [(b, s) for b in (1, 2) for s in range(12) if s % 3]
     out = decode.with_log_index(spark.createDataFrame(rows, "block_number bigint, event_seq bigint")).collect()
     assert {(r["block_number"], r["event_seq"]): r["log_index"] for r in out} == {(b, s): s - 1 - s // 3 for b, s in rows}
+
+
+def events_table(spark, path, n):
+    """n events over 300 hours as the supplied table has them."""
+    second = 473_352 * 3600 + F.col("id") % 300 * 3600
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(second).alias("ts"), (F.col("id") % 11).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 7}').alias("props"))
+    rows.write.parquet(f"{path}/events.parquet")
+
+
+def test_a_page_past_the_end_of_a_larger_log(spark, tmp_path):
+    events_table(spark, tmp_path, 150_100)
+    assert catalog.QUERIES["page_past_end"](spark, str(tmp_path)).count() == 0
