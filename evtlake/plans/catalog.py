@@ -433,18 +433,21 @@ add("stored_count", _stored_reads(lambda t: query.counted(t.read(), [Filter("eve
 add("stored_range", _stored_reads(lambda t: t.read(473_450, 473_520)), f"SELECT {LOG} FROM L WHERE block_number BETWEEN 473450 AND 473520")
 
 
-def _split(rows: DataFrame, folder: str, parts: int) -> None:
-    """Files of rows in no order, so that every micro-batch of one file has old rows and new ones."""
-    rows.repartition(parts, F.xxhash64("block_number", "log_index")).write.parquet(folder)
+def _split(rows: DataFrame, folder: str, parts: int) -> int:
+    """Files of rows in no order, so that every micro-batch has old rows and new ones; how many files a micro-batch takes, so
+    that all cores write and read each of the `parts`."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(parts * files, F.xxhash64("block_number", "log_index")).write.parquet(folder)
+    return files
 
 
 def _stored_unique(s: SparkSession, d: str) -> DataFrame:
     """The latest row of each account, kept by a stream that starts twice; then its batches come again from a second one."""
     rows, folder = ad.log(s, d), _folder(s)
-    _split(rows, f"{folder}/raw", 4)
+    files = _split(rows, f"{folder}/raw", 4)
     table = stored.UniqueTable(s, f"{folder}/unique", rows.schema, ["account"], 16)
     for writer in ("live", "live", "again"):
-        stream = streams.raw_stream(s, f"{folder}/raw", rows.schema, 1)
+        stream = streams.raw_stream(s, f"{folder}/raw", rows.schema, files)
         stored.kept_by(stream, table.merge, writer, f"{folder}/checkpoint-{writer}").awaitTermination()
     return table.read()
 

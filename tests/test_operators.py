@@ -232,3 +232,10 @@ def events_table(spark, path, n):
 def test_a_page_past_the_end_of_a_larger_log(spark, tmp_path):
     events_table(spark, tmp_path, 150_100)
     assert catalog.QUERIES["page_past_end"](spark, str(tmp_path)).count() == 0
+
+
+def test_files_of_a_micro_batch_are_as_many_as_cores(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("block_number"), F.lit(0).alias("log_index"))
+    files = catalog._split(rows, str(tmp_path / "raw"), 3)
+    assert files == spark.sparkContext.defaultParallelism > 1
+    assert len(list((tmp_path / "raw").glob("*.parquet"))) == 3 * files
