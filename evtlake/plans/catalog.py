@@ -489,8 +489,8 @@ def _by_blocks(rows: DataFrame, blocks: list[int]) -> list[DataFrame]:
     parts = []
     for low, high in zip([None, *blocks], [*blocks, None]):
         part = rows if low is None else rows.where(block >= low).where((block > low) | second)
-        if high is not None:
-            part = part.where((block <= high) | block.isNull()).where((block < high) | ~second | block.isNull())
+        if high is not None:  # coalesce, as Spark would join tests for null to one that it cannot push below the window
+            part = part.where(F.coalesce(block <= high, F.lit(True))).where(F.coalesce((block < high) | ~second, F.lit(True)))
         parts.append(part)
     return parts
 

@@ -234,6 +234,18 @@ def test_a_page_past_the_end_of_a_larger_log(spark, tmp_path):
     assert catalog.QUERIES["page_past_end"](spark, str(tmp_path)).count() == 0
 
 
+def test_parts_of_a_log_are_whole_and_filtered_below_its_window(spark, tmp_path):
+    events_table(spark, tmp_path, 3000)
+    log = adapters.log(spark, str(tmp_path))
+    parts = catalog._by_blocks(log, [473_400, 473_500])
+    got = [[tuple(r) for r in p.select("block_number", "log_index").collect()] for p in parts]
+    assert sorted(r for p in got for r in p) == sorted(tuple(r) for r in log.select("block_number", "log_index").collect())
+    assert max(got[0]) < (473_400, 1) <= min(got[1]) and max(got[1]) < (473_500, 1) <= min(got[2])
+    for part in parts:
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in plan[plan.index("Window") :] and "Repartition" not in plan  # no part is one task's
+
+
 def test_files_of_a_micro_batch_are_as_many_as_cores(spark, tmp_path):
     rows = spark.range(4000).select(F.col("id").alias("block_number"), F.lit(0).alias("log_index"))
     files = catalog._split(rows, str(tmp_path / "raw"), 3)
