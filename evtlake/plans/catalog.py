@@ -531,7 +531,7 @@ def _stream_log_index(s: SparkSession, d: str) -> DataFrame:
     """Numbers in the block over a stream whose parts end inside blocks."""
     folder = _folder(s)
     parts = _by_blocks(decode.with_log_index(ad.raw_events(s, d).select("block_number", "event_seq")), [473_400, 473_600])
-    _fed(parts, folder, lambda stream: streams.appended(stateful.with_log_index(stream), f"{folder}/log", f"{folder}/checkpoint"))
+    _fed(parts, folder, lambda stream: streams.appended(stateful.with_log_index(stream.drop("log_index")), f"{folder}/log", f"{folder}/checkpoint"))
     return s.read.schema("block_number bigint, event_seq bigint, log_index bigint").parquet(f"{folder}/log")
 
 
