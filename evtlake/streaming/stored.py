@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
@@ -24,7 +24,7 @@ from ..operators.registry import child_events
 from ..operators.tables import deltas, earliest, latest, merged_deltas
 from ..schemas import BUCKET_BLOCKS, CONFIRMATION_DEPTH, Aggregate
 from .streams import for_each_batch
-from .versions import BUCKET, Versioned, values_of
+from .versions import BUCKET, Version, Versioned, values_of
 
 POSITION = ["block_number", "log_index"]
 #: Buckets of a keyed table; parts of a table of totals before they are added up.
@@ -76,36 +76,42 @@ class LogTable:
         return F.coalesce(F.floor(F.col("block_number") / self.bucket_blocks), F.lit(-1)).cast("int")
 
     def _write(self, rows: DataFrame) -> dict[int, tuple[str, ...]]:
-        """rows in order of blocks, so that a bucket is a few sorted files, not one from each task."""
+        """One row of each position: the later ingest_seq, then the later _order. In order of blocks, so that a bucket is a few
+        sorted files, not one from each task; the shuffle and the sort for that also bring the rows of a position together."""
         placed = rows.withColumn(BUCKET, self._bucket()).repartitionByRange(BUCKET, *POSITION)
-        return self.store.write(placed.sortWithinPartitions(BUCKET, *POSITION))
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        """One row of each position: the later ingest_seq, then the later _order."""
-        data = F.struct(*self.store.schema.names)
-        rank = F.struct(*([F.col("ingest_seq").alias("s")] if self.seq else []), F.col("_order").alias("o"), F.xxhash64(data).alias("h"))
-        return rows.groupBy(*POSITION).agg(F.max_by(data, rank).alias("r")).select("r.*")
-
-    def append(self, rows: DataFrame, writer: str, batch: int) -> None:
+        later = [*(["ingest_seq"] if self.seq else []), "_order", F.xxhash64(*self.store.schema.names)]
+        order = Window.partitionBy(BUCKET, *POSITION).orderBy(*map(F.desc, later))
+        newest = placed.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+        return self.store.write(newest.select(*self.store.schema.names, BUCKET).sortWithinPartitions(BUCKET, *POSITION))
+
+    def _again(self, old: Version, new: DataFrame, known: list[int]) -> list[int]:
+        """Those of the buckets that are there already in which new rows have positions of stored ones."""
+        if not known:
+            return []
+        there, here = self.store.read(old, known).select(*POSITION), new.where(F.col(BUCKET).isin(known))
+        same = [there[c].eqNullSafe(here[c]) for c in POSITION]
+        return values_of(here.join(there, same[0] & same[1], "left_semi"), BUCKET)
+
+    def append(self, rows: DataFrame, writer: str, batch: int, cached: bool = False) -> None:
+        """cached: rows are little more than a cached table, so that they are not cached once more."""
         old = self.store.version()
         if old.has(writer, batch):
             return
-        new = self._newest(rows.select(*self.store.schema.names).withColumn("_order", F.lit(1))).withColumn(BUCKET, self._bucket()).persist()
+        new = rows.select(*self.store.schema.names).withColumn("_order", F.lit(1)).withColumn(BUCKET, self._bucket())
+        new = new if cached else new.persist()
         touched = values_of(new, BUCKET)
         folders = dict(old.folders)
         if touched:
-            there = self.store.read(old, touched).select(*POSITION)
-            same = [there[c].eqNullSafe(new[c]) for c in POSITION]
-            again = values_of(new.join(there, same[0] & same[1], "left_semi"), BUCKET)
+            again = self._again(old, new, [b for b in touched if b in old.folders])
             fresh = new.where(~F.col(BUCKET).isin(again)) if again else new
             for bucket, paths in self._write(fresh).items():
                 folders[bucket] = (*folders.get(bucket, ()), *paths)
             if again:
                 kept = self.store.read(old, again).withColumn("_order", F.lit(0))
-                both = self._newest(kept.unionByName(new.where(F.col(BUCKET).isin(again)).drop(BUCKET).withColumn("_order", F.lit(1))))
-                folders |= self._write(both)
+                folders |= self._write(kept.unionByName(new.where(F.col(BUCKET).isin(again)).drop(BUCKET)))
         self.store.publish(old, replace(old, folders=folders).with_batch(writer, batch))
-        new.unpersist()
+        if not cached:
+            new.unpersist()
 
     def undo(self, start_block: int, end_block: int, seq: int, writer: str = "reorg") -> None:
         """Takes the rows of start_block..end_block out, but those of a later ingest_seq than the notice's. Only buckets that
@@ -122,7 +128,7 @@ class LogTable:
         touched = values_of(rows.where(hit), BUCKET) if inside else []
         folders = dict(old.folders)
         if touched:
-            left = self._write(self.store.read(old, touched).where(~F.coalesce(hit, F.lit(False))))
+            left = self._write(self.store.read(old, touched).where(~F.coalesce(hit, F.lit(False))).withColumn("_order", F.lit(0)))
             folders = {b: left.get(b, f) if b in touched else f for b, f in folders.items() if b not in touched or b in left}
         self.store.publish(old, replace(old, folders=folders).with_batch(writer, seq))
 
@@ -208,7 +214,7 @@ class FrozenLog:
         rows = rows.persist()
         new = self.triggers(rows).select("contract_name", F.col("frozen_at_block").alias("block_number"), F.col("frozen_at_log").alias("log_index"))
         self.frozen.merge(new, writer, batch)
-        self.log.append(until_frozen(rows, self.found()), writer, batch)
+        self.log.append(until_frozen(rows, self.found()), writer, batch, cached=True)
         rows.unpersist()
 
     def read(self) -> DataFrame:
@@ -236,7 +242,7 @@ class ChildLog:
     def append(self, rows: DataFrame, writer: str, batch: int) -> None:
         rows = rows.persist()
         self.registry.merge(self.children(rows).withColumnRenamed("start_block", "block_number"), writer, batch)
-        self.log.append(child_events(rows.drop("contract_name"), self.registered()), writer, batch)
+        self.log.append(child_events(rows.drop("contract_name"), self.registered()), writer, batch, cached=True)
         rows.unpersist()
 
     def read(self) -> DataFrame:

@@ -68,6 +68,44 @@ def test_redelivered_rows_replace_themselves(spark, tmp_path):
     assert log.store.version().has("w", 2) and log.read().count() == 5
 
 
+def test_the_later_ingest_seq_of_a_position_stays(spark, tmp_path):
+    schema = LOG + ", ingest_seq bigint"
+    rows = [(rng.choice([1, 12, 25, None]), rng.randrange(4), rng.choice("ab"), i, rng.choice([None, 0, 1, 2])) for i in range(90)]
+    log = stored.LogTable(spark, str(tmp_path / "l"), spark.createDataFrame([], schema).schema, 10)
+    best = {}
+    for batch in range(3):
+        part = rows[batch * 30 : batch * 30 + 30]
+        log.append(spark.createDataFrame(part, schema), "w", batch)
+        for r in part:
+            rank = (-1 if r[4] is None else r[4], batch)
+            if rank >= best.get(r[:2], ((-2,), []))[0]:
+                best[r[:2]] = rank, [*(best[r[:2]][1] if best.get(r[:2], (None,))[0] == rank else []), r]
+    got = [tuple(r) for r in log.read().collect()]
+    assert sorted(map(repr, (r[:2] for r in got))) == sorted(map(repr, best))
+    assert all(r in best[r[:2]][1] for r in got)  # rows of one batch and ingest_seq are equals
+
+
+def test_a_batch_is_cached_once_and_shuffled_once(spark, tmp_path, monkeypatch):
+    plans, write = [], Versioned.write
+
+    def seen(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows)
+
+    df = spark.createDataFrame(ROWS, LOG).withColumns({"contract_address": F.concat(F.lit("0x"), "who"), "event_name": F.lit("new")})
+    df.write.parquet(str(tmp_path / "raw"))
+    rows = spark.read.parquet(str(tmp_path / "raw"))
+    children = lambda e: registry.children(e, "f", "new", "who", "abi")
+    table = stored.ChildLog(spark, str(tmp_path / "t"), rows.schema, children, children(rows).schema, 7)
+    assert "RDD" not in table.read()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Versioned, "write", seen)
+    table.append(rows.where("block_number < 31"), "w", 0)
+    table.append(rows.where("block_number >= 31"), "w", 1)
+    logs = [p for p in plans if "rangepartitioning" in p]
+    assert len(logs) == 2
+    assert all(p.count("partitioning(") == 1 and p.count("InMemoryRelation") == 1 for p in logs)
+
+
 def files(path):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
