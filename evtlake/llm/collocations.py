@@ -4,8 +4,9 @@ better than any of their cuts would suggest.
 Phrases are counted length by length in a HAT-trie of each task. Its keys are paths of word ids; its leaves are hash
 containers (aggregated by Arrow's hash tables) for a range of ids at one depth. A container that grows beyond `BURST` entries bursts
 into two for the halves of its range, or, where a single id is left, into a node one word deeper. When the trie holds
-`MOST` entries it spills whole subtrees, the largest first, as sorted runs, dealt out by prefix (language and first two words); the
+`MOST` entries it spills whole subtrees, the largest first, as sorted runs of `RUN` entries, dealt out by prefix (language and first two words); the
 runs of a prefix partition are merged in order (`runs`), so a common word or a large language is spread over partitions.
+A language has at most `PARTS` of them, however many partitions Spark is given, so that the pieces of a run stay large.
 
 A phrase can only be frequent if the two phrases one word shorter in it are; a filter of fixed size, built from the phrases
 found before, leaves out others while counting. It lets some rare phrases through, never holds back a frequent one; the
@@ -26,18 +27,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import chunk_batch, chunk_rows, chunk_schema, hash_filter, lines, merged, passes
+from .runs import chunk_batches, chunk_schema, hash_filter, merged, passes
 from .store import bounded, give_back, lean, written
-from .textarrays import LOWER, SLICE_BYTES, U64, byte_table, mix, slices, span_hashes, text_bytes, text_column, word_bounds
+from .textarrays import SLICE_BYTES, U64, byte_table, inside_of, limb_hashes, lowered, mix, slices, span_hashes, text_bytes, text_column, word_bounds
 
 BREAKS = byte_table(".,;:!?\n\v\f\r")
 WORDS = byte_table(" \t.,;:!?\n\v\f\r")
-#: Entries of a container before it bursts, rows that wait in one before they are added up, entries of a trie before it spills.
-BURST, WAIT, MOST = 1 << 15, 1 << 14, 3 << 18
+#: Entries of a container before it bursts, rows that wait in one before they are added up, entries of a trie before it spills,
+#: and of a run before it is sent.
+BURST, WAIT, MOST, RUN = 1 << 15, 1 << 14, 3 << 18, 1 << 18
 #: Bytes of text counted at once.
 SLICE = SLICE_BYTES
-#: A number for each byte value, for hashes that the order of bytes does not change.
-BAG = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+#: Prefix partitions of a language: fewest and most.
+PARTS = 256, 1024
 
 
 class Container:
@@ -47,8 +49,8 @@ class Container:
         self.depth, self.waiting, self.rows = depth, [], 0
         self.table = pa.table({"a": pa.array([], pa.uint64()), "b": pa.array([], pa.uint64()), "n": pa.array([], pa.int64())})
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> Container | Node:
-        self.waiting.append((a, b))
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Container | Node:
+        self.waiting.append((a, b, n))
         self.rows += len(a)
         if self.rows > max(WAIT, self.table.num_rows):
             self.settle()
@@ -58,8 +60,7 @@ class Container:
 
     def settle(self) -> pa.Table:
         if self.waiting:
-            a, b = (np.concatenate(x) for x in zip(*self.waiting))
-            more = pa.table({"a": a, "b": b, "n": np.ones(len(a), np.int64)})
+            more = pa.table({c: np.concatenate(x) for c, x in zip("abn", zip(*self.waiting))})
             self.table = pa.concat_tables([self.table, more]).combine_chunks().group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
             self.waiting, self.rows = [], 0
         return self.table
@@ -93,14 +94,14 @@ class Node:
     def __init__(self, depth: int, bounds: np.ndarray, children: list[Container | Node]) -> None:
         self.depth, self.bounds, self.children = depth, bounds, children
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> Node:
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Node:
         child = np.searchsorted(self.bounds, word_at(a, b, self.depth), "right") - 1
         order = np.argsort(child.astype(np.uint16), kind="stable")
         ends = np.searchsorted(child[order], np.arange(len(self.children) + 1))
         bounds, children = [], []
         for i, old in enumerate(self.children):
             own = order[ends[i] : ends[i + 1]]
-            new = old.add(a[own], b[own]) if len(own) else old
+            new = old.add(a[own], b[own], n[own]) if len(own) else old
             if new is not old and isinstance(new, Node) and new.depth == self.depth:  # halves of a range: siblings
                 bounds += [self.bounds[i], new.bounds[1]]
                 children += new.children
@@ -124,9 +125,8 @@ def word_at(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Trie:
-    """A task's trie and its vocabulary: ids of (lang, word), from 1. Words are told apart by a 64-bit hash of their bytes in order;
-    a second one, of the bytes in any order, shows whether two have the first in common. Then the vocabulary starts anew
-    with another `salt`."""
+    """A task's trie and its vocabulary: ids of (lang, word), from 1. Words are told apart by a 64-bit hash; a second one shows
+    whether two have the first in common. Then the vocabulary starts anew with another `salt`."""
 
     def __init__(self, length: int, parts: int) -> None:
         self.length, self.parts, self.salt = length, parts, 0
@@ -139,9 +139,6 @@ class Trie:
         self.words: list[bytes] = []
         self.langs: list[str] = []
 
-    def spread(self, raw: np.ndarray) -> np.ndarray:
-        return np.roll(BAG, self.salt)[raw] if self.salt else raw
-
     def numbers(self, own: np.ndarray, checks: np.ndarray, spell: Callable[[np.ndarray], tuple[list[str], list[bytes], np.ndarray]]) -> np.ndarray | None:
         """Ids of distinct hashes; None if one of them is another word's. spell: langs, words and lasting hashes of new ones."""
         at = np.searchsorted(self.known, own)
@@ -162,52 +159,81 @@ class Trie:
             self.known, self.known_ids = np.insert(self.known, at[new], own[new]), np.insert(self.known_ids, at[new], ids[new])
         return ids
 
-    def add(self, columns: list[np.ndarray]) -> None:
+    def add(self, columns: list[np.ndarray], counts: np.ndarray | None = None) -> None:
+        """Paths by columns of ids; counts: how often each stands, once if None."""
+        counts = np.ones(len(columns[0]), np.int64) if counts is None else counts
         columns = [*(c.astype(U64) for c in columns), *[np.zeros(len(columns[0]), U64)] * (4 - len(columns))]
-        self.root = self.root.add(columns[0] << U64(32) | columns[1], columns[2] << U64(32) | columns[3])
+        self.root = self.root.add(columns[0] << U64(32) | columns[1], columns[2] << U64(32) | columns[3], counts)
 
-    def spill(self, whole: bool) -> Iterator[tuple]:
-        """Chunks of the largest subtrees, until half of MOST is left, or of all."""
-        if not whole and self.root.size() <= MOST and len(self.words) <= MOST:
-            return
-        words = pa.array(self.words, pa.large_binary())
-        langs = pa.array(self.langs, pa.string()).dictionary_encode()
-        lang_of = np.r_[0, langs.indices.to_numpy()]
-        trees = sorted([self.root] if isinstance(self.root, Container) else self.root.children, key=lambda t: -t.size())
+    def spill(self, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Runs of the largest subtrees, until half of MOST is left, or of all."""
         left = self.root.size()
-        for tree in trees:
+        if not whole and left <= MOST and len(self.words) <= MOST:
+            return
+        whole = whole or len(self.words) > MOST
+        own: list[pa.Table] = []
+        for tree in sorted([self.root] if isinstance(self.root, Container) else self.root.children, key=lambda t: -t.size()):
             if not whole and left <= MOST // 2:
                 break
             left -= tree.size()
-            for table in tree.tables():
-                yield from self.run(table, words, lang_of, langs.dictionary.to_pylist())
+            own += tree.tables()
             if isinstance(self.root, Node):
                 self.root.children[self.root.children.index(tree)] = Container(self.root.depth)
             else:
                 self.root = Container(0)
-        if whole or len(self.words) > MOST:
-            if not whole:
-                for table in self.root.tables():
-                    yield from self.run(table, words, lang_of, langs.dictionary.to_pylist())
+            if sum(t.num_rows for t in own) >= RUN:
+                yield from self.run(own)
+                own = []
+        yield from self.run(own)
+        if whole:
             self.clear()
         give_back()
 
-    def run(self, table: pa.Table, words: pa.Array, lang_of: np.ndarray, langs: list[str]) -> Iterator[tuple]:
-        a, b, n = (table.column(c).to_numpy() for c in "abn")
-        if not len(n):
+    def run(self, tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the paths, ordered by language, part and bytes. Words are ranked with the space that follows them, as one
+        with a control character comes before its own beginning and a space."""
+        if not any(t.num_rows for t in tables):
             return
+        a, b, n = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in "abn")
         path = [word_at(a, b, d).astype(np.int64) for d in range(self.length)]
         prefix = self.hashes[path[0]] if self.length == 1 else mix(self.hashes[path[0]] + mix(self.hashes[path[1]]))
-        part = (prefix >> U64(20)) % U64(self.parts)
-        keys = pc.binary_join_element_wise(*(words.take(pa.array(p - 1)) for p in path), pa.scalar(b" ", pa.large_binary()))
-        group = lang_of[path[0]].astype(np.int64) * self.parts + part.astype(np.int64)
-        order = pc.sort_indices(keys).to_numpy()
-        order = order[np.argsort(group[order], kind="stable")]
-        group, keys, n = group[order], lines(keys.take(pa.array(order))), n[order]
-        at = np.flatnonzero(np.diff(group, prepend=-1))
-        for first, last in zip(at, np.append(at[1:], len(group))):
-            lang, own = divmod(int(group[first]), self.parts)
-            yield from chunk_rows((langs[lang],), own, keys, n, first, last)
+        part = ((prefix >> U64(20)) % U64(self.parts)).astype(np.int64)
+        used = np.zeros(len(self.words) + 1, bool)
+        for p in path:
+            used[p] = True
+        used = np.flatnonzero(used)
+        words = pa.array([self.words[i - 1] for i in used.tolist()], pa.large_binary())
+        langs = pa.array([self.langs[i - 1] for i in used.tolist()], pa.string()).dictionary_encode()
+        place = np.zeros(len(self.words) + 1, np.int64)
+        place[used] = np.arange(len(used))
+        group = langs.indices.to_numpy()[place[path[0]]].astype(np.int64)
+        ranks, spelled = [], []
+        for d, p in enumerate(path):
+            if d in (0, self.length - 1):
+                end = pa.scalar(b"\n" if d == self.length - 1 else b" ", pa.large_binary())
+                closed = pc.binary_join_element_wise(words, end, pa.scalar(b"", pa.large_binary()))
+                order = pc.sort_indices(words if d == self.length - 1 else closed)
+                closed, rank = closed.take(order), np.empty(len(used), np.int64)
+                rank[order.to_numpy()] = np.arange(len(used))
+            ranks.append(rank[place[p]])
+            spelled.append(closed)
+        order = order_of([group * self.parts + part, *ranks], [len(langs.dictionary) * self.parts, *[len(used)] * self.length])
+        keys = [w.take(pa.array(r[order])) for w, r in zip(spelled, ranks)]
+        keys = pc.binary_join_element_wise(*keys, pa.scalar(b"", pa.large_binary())) if self.length > 1 else keys[0]
+        yield from chunk_batches([(x,) for x in langs.dictionary.to_pylist()], ["lang"], group[order], part[order], keys, n[order])
+
+
+def order_of(columns: list[np.ndarray], ends: list[int]) -> np.ndarray:
+    """The order by columns, the most significant first, of numbers from 0 below their ends; as many columns as fit are sorted
+    as one."""
+    packed, room = [], 0
+    for column, end in zip(columns, ends):
+        bits = max(1, int(end - 1).bit_length())
+        if bits <= room:
+            packed[-1], room = packed[-1] << bits | column, room - bits
+        else:
+            packed, room = [*packed, column], 63 - bits
+    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
 
 
 def lang_hashes(langs: list[str]) -> np.ndarray:
@@ -229,7 +255,8 @@ def phrase_hashes(length: int):
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         raw, offsets = text_bytes(batch.column(1))
         starts, ends, first = word_bounds(raw, offsets, SPACES)
-        own = mix(span_hashes(raw, starts, ends) + np.repeat(lang_hashes(batch.column(0).to_pylist()), np.diff(first)))
+        langs = batch.column(0).dictionary_encode()
+        own = mix(limb_hashes(raw, starts, ends)[0] + np.repeat(lang_hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy()], np.diff(first)))
         return gram_hashes([own[i::length] for i in range(length)])
 
     return hashes
@@ -246,11 +273,15 @@ def phrase_runs(docs: DataFrame, length: int, parts: int, keep: np.ndarray | Non
         trie = Trie(length, parts)
         for batch in slices(batches, "text", SLICE):
             while (found := words_of(batch, trie)) is None:
-                yield from sent(trie.spill(True))
+                yield from trie.spill(True)
                 trie.salt += 1
             ids, joins = found
             n = len(ids) - length + 1
-            if n > 0:
+            if n > 0 and length == 1:
+                counts = np.bincount(ids)
+                at = np.flatnonzero(counts)
+                trie.add([at], counts[at])
+            elif n > 0:
                 good = np.ones(n, bool)
                 for i in range(length - 1):
                     good &= joins[i : i + n]
@@ -261,19 +292,8 @@ def phrase_runs(docs: DataFrame, length: int, parts: int, keep: np.ndarray | Non
                 at = np.flatnonzero(good)
                 if len(at):
                     trie.add([ids[at + i] for i in range(length)])
-            yield from sent(trie.spill(False))
-        yield from sent(trie.spill(True))
-
-    def sent(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for row in rows:
-            held.append(row)
-            size += len(row[-1]) + len(row[-2])
-            if size > 1 << 22:
-                yield chunk_batch(held, ["lang"])
-                held, size = [], 0
-        if held:
-            yield chunk_batch(held, ["lang"])
+            yield from trie.spill(False)
+        yield from trie.spill(True)
 
     return bounded(docs.select("lang", "text")).mapInArrow(lean(run), chunk_schema(["lang"]))
 
@@ -282,40 +302,39 @@ def words_of(batch: pa.RecordBatch, trie: Trie) -> tuple[np.ndarray, np.ndarray]
     """Ids of all words of a slice in order, and whether each is followed by another of its piece; None if two words have one
     hash."""
     raw, offsets = text_bytes(text_column(batch, "text"))
-    raw = LOWER[raw]
+    raw = lowered(raw)
     starts, ends, first = word_bounds(raw, offsets, WORDS)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    breaks = np.cumsum(~BREAKS[raw], dtype=np.int64)[starts]
     doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-    joins = np.append((breaks[1:] == breaks[:-1]) & (doc[1:] == doc[:-1]), False)
+    whole = inside_of(raw, BREAKS)
+    joins = np.append(whole[ends[:-1]] & (doc[1:] == doc[:-1]), False)
+    wide = np.flatnonzero(joins[:-1] & (starts[1:] - ends[:-1] > 1))  # more than one byte between two words
+    if len(wide):
+        joins[wide] = np.logical_and.reduceat(whole, np.column_stack([ends[wide], starts[wide + 1]]).ravel())[::2]
     langs = batch.column(batch.schema.get_field_index("lang")).dictionary_encode()
     names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()[doc]
-    salts = mix(lang_hashes(names))
-    hashes = span_hashes(trie.spread(raw), starts, ends) + salts[lang]
-    bags = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BAG[raw], dtype=U64, out=bags[1:])
-    checks = bags[ends] - bags[starts] + salts[lang]
-    order = np.argsort(hashes)
-    new = np.ones(len(order), bool)
-    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-    kind = np.cumsum(new) - 1
-    firsts = order[new]
-    if (checks[order] != checks[firsts][kind]).any():
+    bases = lang_hashes(names)
+    lasting, checks = limb_hashes(raw, starts, ends)
+    salts = mix(bases + U64(1))[lang]
+    hashes, checks = (lasting if not trie.salt else limb_hashes(raw, starts, ends, trie.salt)[0]) + salts, checks + salts
+    kind = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    firsts = np.flatnonzero(np.diff(np.maximum.accumulate(kind), prepend=-1))
+    if (checks != checks[firsts][kind]).any():
         return None
 
     def spell(chosen: np.ndarray) -> tuple[list[str], list[bytes], np.ndarray]:
-        at = firsts[chosen]
+        at = firsts[order[chosen]]
         data = raw.tobytes()
-        lasting = mix(span_hashes(raw, starts[at], ends[at]) + lang_hashes(names)[lang[at]])
-        return [names[i] for i in lang[at].tolist()], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], lasting
+        return [names[i] for i in lang[at].tolist()], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], mix(lasting[at] + bases[lang[at]])
 
-    ids = trie.numbers(hashes[firsts], checks[firsts], spell)
-    if ids is None:
+    order = np.argsort(hashes[firsts])
+    found = trie.numbers(hashes[firsts][order], checks[firsts][order], spell)
+    if found is None:
         return None
-    place = np.empty(len(order), np.int64)
-    place[order] = kind
-    return ids[place], joins
+    ids = np.empty(len(order), np.int64)
+    ids[order] = found
+    return ids[kind], joins
 
 
 def mined(docs: DataFrame, longest: int = 4, least: int = 30, top: int = 2000, share: int = 80, scale: int = 2_000_000) -> DataFrame:
@@ -327,7 +346,7 @@ def mined(docs: DataFrame, longest: int = 4, least: int = 30, top: int = 2000, s
         raise ValueError("phrases have two to four words")
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(max(PARTS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))), PARTS[1])
     levels: list[DataFrame] = []
     sizes, keep = None, None
     for length in range(1, longest + 1):

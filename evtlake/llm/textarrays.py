@@ -64,9 +64,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """LOWER[raw]."""
+    return raw + ((raw - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+
+
+def inside_of(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[raw], by a comparison for each range of separators."""
+    edges = np.flatnonzero(np.diff(table, prepend=True, append=True)).astype(np.uint8)  # byte_table: true from 0x80 on
+    out = np.ones(len(raw), bool)
+    for low, end in zip(edges[::2], edges[1::2]):
+        out &= raw - low >= end - low if end - low > 1 else raw != low
+    return out
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each text the number of its first word (one more at the end)."""
-    inside = table[raw]
+    inside = inside_of(raw, table)
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     first = inside.copy()
@@ -115,6 +129,31 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: By the bytes that are left of a span, up to eight: which bits of eight bytes belong to it.
+_MASKS = np.frombuffer(b"".join(b"\xff" * n + bytes(8 - n) for n in range(9)), U64)
+
+
+def limb_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of raw[start:end] for each pair, which is not empty, from eight bytes at a time; they depend on bytes
+    and salt alone. Cheaper than span_hashes where spans are short and do not overlap."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, U64, padded, 0, (1,))
+    sizes = ends - starts
+    seeds = mix(np.array([2 * salt + 1, 2 * salt + 2], U64) * U64(_BASE))
+    limbs = eight[starts] & _MASKS[np.minimum(sizes, 8)]
+    out = [mix(limbs + seeds[0]), mix(limbs ^ seeds[1])]
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        k = expand(np.ones(len(long), np.int64), more)
+        limbs = eight[np.repeat(starts[long], more) + 8 * k] & _MASKS[np.minimum(np.repeat(sizes[long], more) - 8 * k, 8)]
+        at, k = np.cumsum(more) - more, k.astype(U64) * U64(0xD6E8FEB86659FD93)
+        out[0][long] += np.add.reduceat(mix(limbs + k + seeds[1]), at)
+        out[1][long] += np.add.reduceat(mix((limbs ^ k) + seeds[0]), at)
+    sizes = sizes.astype(U64)
+    return mix(out[0] + sizes), mix(out[1] ^ sizes)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(raw, starts, ends)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evtlake.llm import chat, collocations, divergence, queries, runs
+from evtlake.llm import chat, collocations, divergence, queries, runs, textarrays
 from evtlake.llm.textarrays import U64
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +112,82 @@ def test_trie_counts_and_collisions(monkeypatch):
     assert words.numbers(np.array([9], U64), np.array([8], U64), spell) is None  # another word with the same hash
 
 
+def test_runs_stay_whole(spark, monkeypatch):
+    """A task that spills once sends one chunk for each language and part, however many containers its trie has; and the parts
+    do not grow with Spark's partitions without end, so neither does the number of chunks."""
+    local(monkeypatch, ("collocations", {"BURST": 8, "WAIT": 16}))
+    chunks = collocations.phrase_runs(table(spark).na.fill("und", ["lang"]).coalesce(1), 2, 5, None).groupBy("lang", "part").count().collect()
+    assert chunks and {r["count"] for r in chunks} == {1}
+    seen = []
+
+    def stop(docs, length, parts, keep):
+        seen.append(parts)
+        raise InterruptedError
+
+    monkeypatch.setattr(collocations, "phrase_runs", stop)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 600, 50_000):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            with pytest.raises(InterruptedError):
+                collocations.mined(table(spark))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [256, 600, 1024]
+
+
+def test_phrases_of_odd_words(spark, monkeypatch):
+    """Wide gaps, words that end in control characters (which sort before a space) and words of many bytes, in small runs."""
+    local(monkeypatch, ("collocations", {"BURST": 8, "WAIT": 16, "MOST": 60, "SLICE": 300}), ("runs", {"CHUNK": 3, "HELD": 5, "SENT": 60}))
+    words = ["x", "x\x01", "x\x01y", "X\x0e", "x" * 8, "x" * 9, "x" * 16, "é" * 70, "x" * 139 + "y", "x" * 140]
+    gaps = [" ", "  ", "\t ", ". ", " .", " . ", "  !  ", "\n\n", " \t \r \t "]
+    texts = ["".join(rng.choice(words[:4] * 3 + words) + rng.choice(gaps[:3] * 4 + gaps) for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "en" if i % 3 else "fr", "s", "k", i, 1, "p") for i, t in enumerate(texts)]
+    got = [tuple(r) for r in collocations.mined(table(spark, rows), least=4, top=500).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, 4, 500)
+
+
+def test_words_and_hashes(monkeypatch):
+    raw = np.frombuffer(bytes(range(256)) * 3 + b"AZ[@", np.uint8)
+    assert textarrays.lowered(raw).tolist() == textarrays.LOWER[raw].tolist()
+    for t in (collocations.BREAKS, collocations.WORDS, collocations.SPACES, textarrays.SPACED, textarrays.PLAIN, divergence.TERMS, textarrays.byte_table(""), textarrays.byte_table("\x00")):
+        assert textarrays.inside_of(raw, t).tolist() == t[raw].tolist()
+    words = sorted({bytes(rng.choice((0, 1, 97, 255)) for _ in range(n)) for n in [*range(1, 40)] * 20})
+    for salt in (0, 1, 7):
+        alone = [textarrays.limb_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), salt) for w in words]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        both = textarrays.limb_hashes(np.frombuffer(b"z" + b"z".join(words), np.uint8), ends - [len(w) for w in words], ends, salt)
+        for own, one in zip(both, zip(*alone)):
+            assert own.tolist() == [int(x[0]) for x in one] and len(set(own.tolist())) == len(words)
+    assert both[0].tolist() != textarrays.limb_hashes(np.frombuffer(b"z" + b"z".join(words), np.uint8), ends - [len(w) for w in words], ends)[0].tolist()
+
+    def collide(raw, starts, ends, salt=0, real=textarrays.limb_hashes):
+        first, second = real(raw, starts, ends, salt)
+        return first if salt else first & U64(1), second
+
+    monkeypatch.setattr(collocations, "limb_hashes", collide)
+    batch, trie = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b c. a", "a b"]}), collocations.Trie(1, 7)
+    assert collocations.words_of(batch, trie) is None
+    trie.salt = 1
+    ids, joins = collocations.words_of(batch, trie)
+    assert [(trie.langs[i - 1], trie.words[i - 1]) for i in ids] == [("en", b"a"), ("en", b"b"), ("en", b"c"), ("en", b"a"), ("de", b"a"), ("de", b"b")]
+    assert joins.tolist() == [True, True, False, False, True, False]
+
+
+def test_chunks_are_cut_by_batches(monkeypatch):
+    """As chunk_rows cuts them, in several batches."""
+    monkeypatch.setattr(runs, "CHUNK", 3)
+    monkeypatch.setattr(runs, "SENT", 50)
+    group, part = np.array([0] * 8 + [1] * 4), np.array([0, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3, 3])
+    keys, counts = pa.array([f"{i:02}\n".encode() for i in range(12)], pa.large_binary()), np.arange(12)
+    batches = list(runs.chunk_batches([("en",), ("fr",)], ["lang"], group, part, keys, counts))
+    want = []
+    for first, last in ((0, 1), (1, 8), (8, 10), (10, 12)):
+        want += runs.chunk_rows((["en", "fr"][group[first]],), int(part[first]), runs.lines(pa.array([f"{i:02}".encode() for i in range(12)], pa.large_binary())), counts, first, last)
+    assert len(batches) > 1 and [tuple(r.values()) for b in batches for r in b.to_pylist()] == want
+    assert batches[0].schema == runs.chunk_batch(want, ["lang"]).schema
+
+
 def test_chunks_merge_in_order(spark):
     rows = [("g", 0, *r[2:]) for keys in (["a", "c", "e"], ["b", "c"], ["c", "d", "é"]) for r in runs.chunk_rows(("g",), 0, runs.lines(pa.array([k.encode() for k in keys], pa.large_binary())), np.ones(len(keys), np.int64), 0, len(keys))]
     df = spark.createDataFrame(rows, runs.chunk_schema(["lang"]))
