@@ -71,10 +71,10 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 def inside_of(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     """table[raw], by a comparison for each range of separators."""
-    edges = np.flatnonzero(np.diff(table, prepend=True, append=True)).astype(np.uint8)  # byte_table: true from 0x80 on
+    edges = np.flatnonzero(np.diff(table, prepend=True, append=True)).tolist()
     out = np.ones(len(raw), bool)
     for low, end in zip(edges[::2], edges[1::2]):
-        out &= raw - low >= end - low if end - low > 1 else raw != low
+        out &= raw - np.uint8(low) > np.uint8(end - low - 1)
     return out
 
 
